@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.shared import small_batches, written
+from ledgerloom.llm.shared import for_python, written
 
 WINDOW = 4096
 END_ID = 2
@@ -126,7 +126,7 @@ def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, id_col
                 names=["doc_id", "part", "local_start", "tokens", "ids"],
             )
 
-    small_batches(docs.sparkSession)
+    for_python(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, part long, local_start long, tokens long, ids binary")
 

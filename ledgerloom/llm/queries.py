@@ -6,11 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import packing
+from ledgerloom.llm import fingerprints, language_id, packing, secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_packing": packing.op8_packing}
+    return {
+        "op1_secret_scans": secrets.op1_secret_scans,
+        "op3_language_id": language_id.op3_language_id,
+        "op6_document_fingerprints": fingerprints.op6_document_fingerprints,
+        "op8_packing": packing.op8_packing,
+    }
 
 
 def oracle_sql() -> dict[str, str]:

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerloom.session import ship
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``; a local one only where that setting is missing (tests)."""
@@ -28,8 +29,9 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Hand texts to Python in batches of at most ``rows`` rows, so that very long ones fit in memory."""
+def for_python(spark: SparkSession, rows: int = 1000) -> None:
+    """Before Python code runs on executors: send it there, and hand it batches of ``rows`` rows at most, so that very long texts fit in memory."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
