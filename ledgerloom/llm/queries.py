@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import fingerprints, language_id, packing, secrets
+from ledgerloom.llm import fingerprints, language_id, mixing, near_dedup, packing, secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,9 +14,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_secret_scans": secrets.op1_secret_scans,
         "op3_language_id": language_id.op3_language_id,
         "op6_document_fingerprints": fingerprints.op6_document_fingerprints,
+        "op7_mixing": mixing.op7_mixing,
         "op8_packing": packing.op8_packing,
+        "op9_minhash_near_dedup": near_dedup.op9_minhash_near_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_mixing": mixing.OP7_SQL}
