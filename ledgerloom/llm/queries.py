@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import fingerprints, language_id, mixing, near_dedup, packing, secrets
+from ledgerloom.llm import fingerprints, language_id, metric_search, mixing, near_dedup, packing, secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scans": secrets.op1_secret_scans,
+        "op2_exact_top_k": metric_search.op2_exact_top_k,
         "op3_language_id": language_id.op3_language_id,
         "op6_document_fingerprints": fingerprints.op6_document_fingerprints,
         "op7_mixing": mixing.op7_mixing,
@@ -21,4 +22,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": mixing.OP7_SQL}
+    return {"op2_exact_top_k": metric_search.OP2_SQL, "op7_mixing": mixing.OP7_SQL}
