@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import fingerprints, language_id, metric_search, mixing, near_dedup, packing, secrets
+from ledgerloom.llm import fingerprints, language_id, licenses, metric_search, mixing, near_dedup, packing, secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,8 +18,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_mixing": mixing.op7_mixing,
         "op8_packing": packing.op8_packing,
         "op9_minhash_near_dedup": near_dedup.op9_minhash_near_dedup,
+        "op10_license_scans": licenses.op10_license_scans,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_top_k": metric_search.OP2_SQL, "op7_mixing": mixing.OP7_SQL}
+    return {"op2_exact_top_k": metric_search.OP2_SQL, "op7_mixing": mixing.OP7_SQL, "op10_license_scans": licenses.OP10_SQL}
