@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import fingerprints, language_id, licenses, metric_search, mixing, near_dedup, packing, personal_data, secrets
+from ledgerloom.llm import chat_format, fingerprints, language_id, licenses, metric_search, mixing, near_dedup, packing, personal_data, secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_secret_scans": secrets.op1_secret_scans,
         "op2_exact_top_k": metric_search.op2_exact_top_k,
         "op3_language_id": language_id.op3_language_id,
+        "op4_chat_formatting": chat_format.op4_chat_formatting,
         "op5_personal_data": personal_data.op5_personal_data,
         "op6_document_fingerprints": fingerprints.op6_document_fingerprints,
         "op7_mixing": mixing.op7_mixing,
