@@ -116,6 +116,7 @@ def gram_counts(docs: DataFrame) -> DataFrame:
                 gram, n = np.unique(np.concatenate(found), return_counts=True)
                 yield pd.DataFrame({"lang": lang, "gram": gram, "n": n})
 
+    for_python(docs.sparkSession)
     return docs.select("lang", "text").mapInPandas(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
@@ -144,15 +145,17 @@ def predict(docs: DataFrame, trees: ByteTrees | None, keep: tuple[str, ...] = ("
     language first by code point. Texts of any length count whole.
     """
     spark = docs.sparkSession
-    rows = docs.select(*keep, F.col(text_col).cast("string").alias("_text"))
-    schema = rows.drop("_text").schema.add("lang_pred", "string").add("score", "double").add("bits_per_byte", "double")
+    # The text comes last unless it is kept; it is sent to Python once.
+    at = keep.index(text_col) if text_col in keep else len(keep)
+    rows = docs.select(*keep) if text_col in keep else docs.select(*keep, F.col(text_col).cast("string").alias("_text"))
+    schema = rows.select(*keep).schema.add("lang_pred", "string").add("score", "double").add("bits_per_byte", "double")
     shared = spark.sparkContext.broadcast(trees)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
             langs, scores, rates = [], [], []
-            for text in batch.column(batch.num_columns - 1).to_pylist():
+            for text in batch.column(at).to_pylist():
                 if not text or model is None or not _LETTER.search(text):
                     langs.append("und")
                     scores.append(0.0)
@@ -164,12 +167,18 @@ def predict(docs: DataFrame, trees: ByteTrees | None, keep: tuple[str, ...] = ("
                 scores.append(float(1 / np.exp2(np.minimum(0, bits[best] - bits)).sum()))
                 rates.append(float(bits[best] / n))
             added = [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rates, pa.float64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *added], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *added], names=schema.names)
 
     for_python(spark)
     return rows.mapInArrow(run, schema)
 
 
+def in_a_language(docs: DataFrame, trees: ByteTrees | None, most_bits: float = MOST_BITS) -> DataFrame:
+    """The rows of ``docs`` whose text is in one of the languages: none that is ``und`` or costs ``most_bits`` a byte."""
+    found = predict(docs, trees, keep=tuple(docs.columns))
+    return found.filter((F.col("lang_pred") != "und") & (F.col("bits_per_byte") < most_bits)).select(*docs.columns)
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document, learnt from those that are not held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

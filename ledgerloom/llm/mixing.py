@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm.shared import partitions, written
 
+#: A word.
+WORD = r"[^\x20\x09-\x0D]+"
 #: Words of a block.
 BLOCK = 128
 #: What the mix takes, in sizes of the whole input, and how often a source may be read.
@@ -29,7 +31,7 @@ _IN_BUCKET = 4096
 
 def words(text: str | Column = "text") -> Column:
     """The number of words: runs of anything but blanks and the control characters from tab to return."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long"), F.lit(0).cast("long"))
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
 
 
 def targets(sources: DataFrame, share: float = SHARE, epochs: int = EPOCHS, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
@@ -94,6 +96,11 @@ def schedule(sources: DataFrame, block: int = BLOCK) -> DataFrame:
     return ranked.unionByName(late)
 
 
+def _digest(id_col: str, text_col: str) -> Column:
+    """What documents are shuffled by."""
+    return F.md5(F.concat_ws("|", F.col(id_col).cast("string"), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))))
+
+
 def mix(
     docs: DataFrame,
     share: float = SHARE,
@@ -106,13 +113,13 @@ def mix(
 ) -> tuple[DataFrame, DataFrame]:
     """The documents with their sizes, and the mix.
 
-    Documents: doc_id, source_no, at, size, source_size, target. Mix: slot, source_no, at, doc_id, epoch,
+    Documents: h, doc_id, source_no, at, size, source_size, target. Mix: slot, source_no, at, h, doc_id, epoch,
     first, words: the slot's words come from that pass over the document, from word ``first`` on. ``at`` is
     a document's place in its source, and tells documents that are taken apart. Null and blank texts have
     size 0 and are never taken; a null source is a source of its own; rows that repeat an id are documents
     of their own. An empty table gives two empty ones. Extra columns are ignored.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), words(text_col).alias("size"), F.md5(F.concat_ws("|", F.col(id_col).cast("string"), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))).alias("h"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), words(text_col).alias("size"), _digest(id_col, text_col).alias("h"))
     rows = written(rows)
     sources = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_rows")).drop("source_rows"), share, epochs, weights)
     counts = rows.groupBy("source").agg(F.count("*").alias("n")).withColumnRenamed("source", "_source")
@@ -122,15 +129,29 @@ def mix(
     sized = rows.join(sources.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     bucket = F.floor(F.conv(F.substring("h", 1, 8), 16, 10).cast("double") / 4294967296.0 * F.ceil(F.col("n") / _IN_BUCKET))
     sized = _running(sized.withColumn("bucket", bucket), "source_no", "bucket", "size", ["h", "doc_id"], "at")
-    sized = written(sized.select("doc_id", "source_no", "at", "size", "source_size", "target"))
+    sized = written(sized.select("h", "doc_id", "source_no", "at", "size", "source_size", "target"))
     cut = F.floor(F.col("target")).cast("long")
     passes = sized.filter("size > 0").select("*", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias("epoch")).withColumn("start", F.col("at") + F.col("epoch") * F.col("source_size"))
     passes = passes.withColumn("end", F.least(F.col("start") + F.col("size"), cut)).filter("start < end")
     pieces = passes.select("*", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("end") - 1) / block))).alias("rank"))
     lo, hi = F.greatest("start", F.col("rank") * block), F.least("end", (F.col("rank") + 1) * block)
-    pieces = pieces.select("source_no", "rank", "at", "doc_id", "epoch", (lo - F.col("start")).alias("first"), (hi - lo).alias("words"))
+    pieces = pieces.select("source_no", "rank", "at", "h", "doc_id", "epoch", (lo - F.col("start")).alias("first"), (hi - lo).alias("words"))
     mixed = pieces.join(schedule(sources.select("source_no", "target"), block), ["source_no", "rank"])
-    return sized, mixed.select("slot", "source_no", "at", "doc_id", "epoch", "first", "words")
+    return sized, mixed.select("slot", "source_no", "at", "h", "doc_id", "epoch", "first", "words")
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+    """The documents of the mix, with the columns of ``docs``: a row for each pass over a document.
+
+    Where a source's target ends within a document, the text is cut to the words that are taken.
+    """
+    sized, mixed = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **how)
+    taken = mixed.groupBy("source_no", "at", "h", "epoch").agg(F.sum("words").alias("_taken")).select("h", "_taken")
+    texts = docs.withColumn("h", _digest(id_col, text_col)).dropDuplicates(["h"])
+    both = texts.hint("merge").join(taken, "h")
+    cut = F.array_join(F.slice(F.regexp_extract_all(text_col, F.lit(WORD), F.lit(0)), 1, F.col("_taken").cast("int")), " ")
+    text = F.when(F.col("_taken") < words(text_col), cut).otherwise(F.col(text_col))
+    return both.withColumn(text_col, text).select(*docs.columns)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
