@@ -88,7 +88,7 @@ EVENTS = [(1, 0, "name", "A"), (2, 10, "receipt", None), (3, 20, "receipt", None
 
 def _events(spark, rows):
     df = spark.createDataFrame(rows, "id long, s long, kind string, text string")
-    return df.select("id", F.lit("g").alias("grp"), F.lit("x").alias("sender"), F.timestamp_seconds("s").alias("ts"), "kind", "text")
+    return df.select("id", F.lit("g").alias("grp"), F.lit("x").alias("sender"), F.timestamp_seconds(F.col("s") + 1_700_000_000).alias("ts"), "kind", "text")
 
 
 def test_pairing_in_batch_and_stream(spark, tmp_path):
