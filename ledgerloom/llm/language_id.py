@@ -173,10 +173,26 @@ def predict(docs: DataFrame, trees: ByteTrees | None, keep: tuple[str, ...] = ("
     return rows.mapInArrow(run, schema)
 
 
-def in_a_language(docs: DataFrame, trees: ByteTrees | None, most_bits: float = MOST_BITS) -> DataFrame:
-    """The rows of ``docs`` whose text is in one of the languages: none that is ``und`` or costs ``most_bits`` a byte."""
-    found = predict(docs, trees, keep=tuple(docs.columns))
-    return found.filter((F.col("lang_pred") != "und") & (F.col("bits_per_byte") < most_bits)).select(*docs.columns)
+def in_a_language(docs: DataFrame, trees: ByteTrees | None, most_bits: float = MOST_BITS, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose text is in one of the languages.
+
+    Rejected are texts that ``predict`` calls ``und`` and those that cost ``most_bits`` a byte in the best language.
+    """
+    spark = docs.sparkSession
+    at, shared = docs.columns.index(text_col), spark.sparkContext.broadcast(trees)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in batches:
+            keep = []
+            for text in batch.column(at).to_pylist():
+                judged = bool(text) and model is not None and bool(_LETTER.search(text))
+                bits, n = model.bits(text) if judged else (None, 0)
+                keep.append(judged and float(bits.min()) / n < most_bits)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    for_python(spark)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -146,11 +146,11 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Where a source's target ends within a document, the text is cut to the words that are taken.
     """
     sized, mixed = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **how)
-    taken = mixed.groupBy("source_no", "at", "h", "epoch").agg(F.sum("words").alias("_taken")).select("h", "_taken")
-    texts = docs.withColumn("h", _digest(id_col, text_col)).dropDuplicates(["h"])
-    both = texts.hint("merge").join(taken, "h")
-    cut = F.array_join(F.slice(F.regexp_extract_all(text_col, F.lit(WORD), F.lit(0)), 1, F.col("_taken").cast("int")), " ")
-    text = F.when(F.col("_taken") < words(text_col), cut).otherwise(F.col(text_col))
+    taken = mixed.groupBy("source_no", "at", "h", "epoch").agg(F.sum("words").alias("__taken")).select(F.col("h").alias("__h"), "__taken")
+    texts = docs.withColumn("__digest", _digest(id_col, text_col)).dropDuplicates(["__digest"])
+    both = texts.hint("merge").join(taken, F.col("__digest") == F.col("__h"))
+    cut = F.array_join(F.slice(F.regexp_extract_all(text_col, F.lit(WORD), F.lit(0)), 1, F.col("__taken").cast("int")), " ")
+    text = F.when(F.col("__taken") < words(text_col), cut).otherwise(F.col(text_col))
     return both.withColumn(text_col, text).select(*docs.columns)
 
 
