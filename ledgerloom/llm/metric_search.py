@@ -25,7 +25,7 @@ from ledgerloom.llm.shared import for_python, written
 
 K = 5
 #: Entries of a page, vectors of a tree and queries of a block.
-PAGE = 64
+PAGE = 512
 IN_TREE = 16384
 IN_BLOCK = 512
 SCALE = 256
@@ -37,6 +37,7 @@ class Node:
 
     far: np.ndarray
     points: np.ndarray
+    squares: np.ndarray  # of the points' lengths
     ids: np.ndarray  # of a leaf's vectors; else the smallest id below each entry
     radius: np.ndarray
     below: list[Node] | None
@@ -46,21 +47,20 @@ class MTree:
     """An M-tree over integer vectors, loaded at once: pages are split around far-apart pivots from the top down."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, page: int = PAGE):
-        order = np.argsort(ids, kind="stable")
-        self.exact = vectors[order]
         self.page = page
-        norms = (self.exact.astype(np.float64) ** 2).sum(axis=1)
+        norms = (vectors.astype(np.float64) ** 2).sum(axis=1)
         self.m2 = float(norms.max())
-        points = np.column_stack([self.exact.astype(np.float64), np.sqrt(self.m2 - norms)])
-        self.ids = ids[order]
+        points = np.column_stack([vectors.astype(np.float64), np.sqrt(self.m2 - norms)])
+        self.ids = ids
         self.slack = 1e-9 * (self.m2 + 1)
         self.root_pivot = points.mean(axis=0)
         self.root = self._load(points, np.arange(len(points)), self.root_pivot)
+        del self.ids
 
     def _load(self, points: np.ndarray, rows: np.ndarray, pivot: np.ndarray) -> Node:
         own = points[rows]
         if len(rows) <= self.page:
-            return Node(np.sqrt(((own - pivot) ** 2).sum(axis=1)), own, self.ids[rows], np.zeros(len(rows)), None)
+            return Node(np.sqrt(((own - pivot) ** 2).sum(axis=1)), own, (own**2).sum(axis=1), self.ids[rows], np.zeros(len(rows)), None)
         # Pivots by farthest-first traversal, then every vector goes to its nearest pivot.
         n = min(self.page, max(2, len(rows) // (self.page // 2)))
         near, chosen, to = np.full(len(rows), np.inf), [0], np.zeros(len(rows), np.int64)
@@ -85,7 +85,7 @@ class MTree:
             radius.append(np.sqrt(((own[part] - p) ** 2).sum(axis=1)).max())
             least.append(self.ids[rows[part]].min())
         pivots = np.asarray(pivots)
-        return Node(np.sqrt(((pivots - pivot) ** 2).sum(axis=1)), pivots, np.asarray(least), np.asarray(radius), below)
+        return Node(np.sqrt(((pivots - pivot) ** 2).sum(axis=1)), pivots, (pivots**2).sum(axis=1), np.asarray(least), np.asarray(radius), below)
 
     def search(self, query: np.ndarray, k: int, own: int | None = None) -> list[tuple[int, int]]:
         """The ``k`` best (score, id), ties to smaller ids, without ``own``. Scores are exact integers."""
@@ -114,24 +114,24 @@ class MTree:
                 alive = np.flatnonzero(most(np.abs(to_pivot - node.far) - node.radius) >= worst)
                 if not len(alive):
                     continue
-            d = np.sqrt(((node.points[alive] - q) ** 2).sum(axis=1))
-            bounds = most(d - node.radius[alive])
-            if node.below is not None:
-                for i, b, x in zip(alive.tolist(), bounds.tolist(), d.tolist(), strict=True):
-                    if not full or b >= worst:
-                        pushed += 1
-                        heapq.heappush(todo, (-b, pushed, node.below[i], x))
+            dots = node.points[alive] @ q  # exact for vectors, as sums of integers below 2**53
+            if node.below is None:
+                if full:
+                    alive, dots = alive[dots >= worst], dots[dots >= worst]
+                for i, s in zip(node.ids[alive].tolist(), dots.tolist(), strict=True):
+                    if i != own:
+                        if len(best) < k:
+                            heapq.heappush(best, (s, -i))
+                        elif (s, -i) > best[0]:
+                            heapq.heapreplace(best, (s, -i))
                 continue
-            if full:
-                alive = alive[bounds >= worst]
-            at = np.searchsorted(self.ids, node.ids[alive])
-            for i, s in zip(node.ids[alive].tolist(), (self.exact[at] @ query).tolist(), strict=True):
-                if i != own:
-                    if len(best) < k:
-                        heapq.heappush(best, (s, -i))
-                    elif (s, -i) > best[0]:
-                        heapq.heapreplace(best, (s, -i))
-        return sorted(((s, -i) for s, i in best), key=lambda x: (-x[0], x[1]))
+            d = np.sqrt(np.maximum(node.squares[alive] + q2 - 2 * dots, 0.0))
+            bounds = most(d - node.radius[alive])
+            for i, b, x in zip(alive.tolist(), bounds.tolist(), d.tolist(), strict=True):
+                if not full or b >= worst:
+                    pushed += 1
+                    heapq.heappush(todo, (-b, pushed, node.below[i], x))
+        return sorted(((int(s), -i) for s, i in best), key=lambda x: (-x[0], x[1]))
 
 
 def quantised(vector: str = "embedding", scale: int = SCALE) -> Column:
