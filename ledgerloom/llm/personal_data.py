@@ -56,9 +56,10 @@ def with_matches(rows: DataFrame, name: str, pattern: str, needs: str | None = N
     rows = rows.withColumn(d, F.expr(f"zip_with({m}, slice({g}, 1, size({m})), (x, y) -> cast(length(x) + length(y) as bigint))"))
     total = "aggregate(slice(%s, %s, %s), 0L, (t, x) -> t + x)"
     rows = rows.withColumn(b, F.expr(f"if(size({m}) = 0, null, transform(sequence(0, (size({m}) - 1) div {_BLOCK}), j -> {total % (d, f'cast(j as int) * {_BLOCK} + 1', _BLOCK)}))"))
+    # The blocks' sums are named twice below, so that they are computed once a row and not moved into the loop.
     start = f"{total % (b, 1, f'cast(i div {_BLOCK} as int)')} + {total % (d, f'cast(i div {_BLOCK} as int) * {_BLOCK} + 1', f'i % {_BLOCK}')} + length({g}[i])"
     spans = f"transform(transform({m}, (v, i) -> named_struct('v', v, 's', {start})), x -> named_struct('v', x.v, 's', x.s, 'e', x.s + length(x.v)))"
-    return rows.withColumn(name, F.expr(f"if(size({m}) = 0, {_NO_SPANS}, {spans})")).drop(m, g, d, b)
+    return rows.withColumn(name, F.expr(f"if(size({m}) = 0 or size({b}) = 0, {_NO_SPANS}, {spans})")).drop(m, g, d, b)
 
 
 def _sound(kind: str) -> str:
@@ -95,7 +96,8 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = rows.withColumn("strict", F.expr(f"concat({strict})"))
     wide = ", ".join(f"transform({g}, x -> named_struct('v', x.v, 's', x.s, 'e', x.e, 'k', {i}))" for i, g in enumerate(ADDED))
     rows = rows.withColumn("wide", F.expr(f"concat({wide})"))
-    covers = "exists(strict, b -> b.s < x.e and x.s < b.e and b.e - b.s >= 0.8 * (x.e - x.s))"
+    # Named twice, the strict spans are computed once a row; named once, they would be moved into the loop.
+    covers = "size(strict) > 0 and exists(strict, b -> b.s < x.e and x.s < b.e and b.e - b.s >= 0.8 * (x.e - x.s))"
     return rows.select("doc_id", "text", "strict", F.expr(f"transform(wide, x -> named_struct('v', x.v, 's', x.s, 'e', x.e, 'k', x.k, 'f', {_features()}, 'y', {covers}))").alias("wide"))
 
 
