@@ -25,8 +25,10 @@ from ledgerloom.llm.shared import for_python, written
 
 WINDOW = 4096
 END_ID = 2
-#: Words whose ids one Python worker remembers at most.
-REMEMBERED = 1_000_000
+#: Words, with and without the marks behind them, whose ids one Python worker remembers at most, beyond those of
+#: the ``TOGETHER`` texts at hand; then it forgets them all. No result depends on either.
+REMEMBERED = 600_000
+TOGETHER = 100
 
 #: White space to str.split(), yet not to tokenizers: texts with one of these are parted by the pattern.
 _ODD = ("\x1c", "\x1d", "\x1e", "\x1f")
@@ -89,11 +91,13 @@ class WordEncoder:
 
     def batch(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
+        return [ids for i in range(0, len(texts), TOGETHER) for ids in self._some(texts[i : i + TOGETHER])]
+
+    def _some(self, texts: list[str]) -> list[bytes]:
         parted = [_PARTS.findall(t) if any(c in t for c in _ODD) else t.split() for t in texts]
         known = self._known
-        if len(known) > REMEMBERED:
+        if len(known) + len(self._cores) > REMEMBERED:
             known.clear()
-        if len(self._cores) > REMEMBERED:
             self._cores.clear()
         new = set().union(*parted).difference(known)
         if new:
