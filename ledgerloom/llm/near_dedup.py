@@ -6,9 +6,11 @@ near copies would make its own shingles light and every edit in it heavy, and so
 (Ioffe 2010) agree with the probability of the sets' weighted Jaccard similarity. Bands of samples propose
 pairs, and the exact weighted Jaccard similarity of the two texts decides.
 
-Within a band's bucket each text is held against two pivots of the bucket, never against all others, so the
-pairs grow with the documents. Buckets of two neighbouring bands together give every text further, closer
-pivots. Linked texts form classes; equal texts share a class before anything is compared.
+Within a band's bucket each text is first held against two pivots of the bucket. Buckets of two neighbouring
+bands together give every text further, closer pivots. Linked texts form classes; equal texts share a class
+before anything is compared. A bucket that still holds more than one class is then compared whole, in blocks:
+every two of its texts that are of different classes. Most buckets are of one class after the pivots; one
+whose texts are all unlike takes the square of its size.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ BUCKETS = 1 << 18
 #: Share of the documents up to which a shingle has full weight, and the weight of the most common ones.
 RARE = 0.001
 LEAST_IDF = 0.9
+#: Texts of a bucket that make a side of a block, about.
+BLOCK = 128
 
 _RNG = np.random.default_rng(19541)
 _LETTERS = _RNG.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -216,12 +220,97 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf, similarity: float, width:
     return with_a.select("a", "b", "text_a", "text_b").mapInArrow(run, "u long, v long")
 
 
+def similar_pairs(sets: list[tuple[np.ndarray, np.ndarray]], wanted: np.ndarray, similarity: float, slab: int = 2048) -> np.ndarray:
+    """Those of the ``wanted`` pairs (upper triangle of a boolean matrix) whose similarity is ``similarity`` or more, as rows (i, j)."""
+    weight = np.asarray([w.sum(dtype=np.float64) for _, w in sets])
+    wanted = wanted & (np.minimum.outer(weight, weight) >= (similarity - 1e-6) * np.maximum.outer(weight, weight))
+    if wanted.sum() > 4 * len(sets):
+        # Of all pairs at once, sums of the lesser weights of shared shingles, or somewhat more: at least what the exact ones are.
+        column, place = np.unique(np.concatenate([h for h, _ in sets]), return_inverse=True)
+        weights = np.concatenate([w for _, w in sets])
+        row = np.repeat(np.arange(len(sets)), [len(h) for h, _ in sets])
+        shared = np.bincount(place, minlength=len(column)) > 1
+        # The square root of a product is never below the lesser factor.
+        root = np.sqrt(weights)
+        use = shared[place]
+        number = np.cumsum(shared) - 1
+        column, row, root = number[place[use]], row[use], root[use]
+        order = np.argsort(column, kind="stable")
+        column, row, root = column[order], row[order], root[order]
+        both = np.zeros((len(sets), len(sets)))
+        for first in range(0, int(shared.sum()), slab):
+            i, j = np.searchsorted(column, (first, first + slab))
+            dense = np.zeros((len(sets), slab), np.float32)
+            dense[row[i:j], column[i:j] - first] = root[i:j]
+            both += dense @ dense.T
+        whole = np.add.outer(weight, weight) - both
+        wanted = wanted & (both >= (similarity - 1e-3) * whole)
+    pairs = np.argwhere(wanted)
+    return pairs[[weighted_jaccard(sets[i], sets[j]) >= similarity for i, j in pairs.tolist()]] if len(pairs) else pairs
+
+
+def _open_members(reps: DataFrame, links: DataFrame, bands: int) -> DataFrame:
+    """rep, root, sig, band, bucket and counts of the texts in single-band buckets that hold more than one class.
+
+    In a bucket of three each text has met both others as pivots.
+    """
+    own = F.slice("bands", 1, bands)
+    rooted = reps.filter("rep is not null").join(links, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("root", "rep").alias("root"), own.alias("sig"))
+    rows = rooted.select("key", "rep", "root", F.posexplode("sig").alias("band", "bucket"))
+    per_root = rows.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    per_bucket = per_root.groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("most"), F.count("*").alias("roots"))
+    unsettled = per_bucket.filter("n > 3 and roots > 1").select("bucket", F.col("most.root").alias("main"), F.col("most.n").alias("n_main"), (F.col("n") - F.col("most.n")).alias("n_rest"))
+    return rows.join(unsettled, "bucket").join(rooted.select("key", "sig"), "key").drop("key")
+
+
+def _blocks(members: DataFrame, block: int) -> DataFrame:
+    """rep, root, sig, band, bucket, text and the block (i, j) for every block that the text is in.
+
+    Texts of the bucket's largest class, which needn't meet one another, are dealt to chunks of their own, with
+    numbers below 0; blocks are two chunks, of which the first isn't of these.
+    """
+    rest, main = (F.greatest(F.lit(1), F.ceil(F.col(n) / block)).cast("int") for n in ("n_rest", "n_main"))
+    h = F.xxhash64("rep", "bucket")
+    chunk = F.when(F.col("root") == F.col("main"), -1 - F.pmod(h, main)).otherwise(F.pmod(h, rest)).cast("int")
+    rows = members.withColumn("chunk", chunk)
+    others = F.transform(F.sequence(F.lit(0), rest - 1), lambda j: F.struct(F.greatest(j, F.col("chunk")).alias("i"), F.least(j, F.col("chunk")).alias("j")))
+    mains = F.transform(F.sequence(-main, F.lit(-1)), lambda j: F.struct(F.col("chunk").alias("i"), j.alias("j")))
+    both = F.when(F.col("chunk") < 0, others).otherwise(F.concat(others, mains))
+    return rows.withColumn("at", F.explode(both)).select("rep", "root", "sig", "band", "bucket", "text", F.col("at.i").alias("i"), F.col("at.j").alias("j"))
+
+
+def _block_links(members: DataFrame, texts: DataFrame, idf, similarity: float, width: int, block: int) -> DataFrame:
+    """The links between texts of different classes in ``members``' buckets, all compared; each pair in its first shared band."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rep, root = (np.asarray(table.column(k).to_pylist(), np.int64) for k in ("rep", "root"))
+        sig = np.asarray(table.column("sig").to_pylist(), np.int64)
+        equal = sig[:, None, :] == sig[None, :, :]
+        wanted = np.triu((root[:, None] != root[None, :]) & (equal.argmax(axis=2) == table.column("band")[0].as_py()), 1)
+        need = np.flatnonzero(wanted.any(axis=0) | wanted.any(axis=1))
+        pairs = np.empty((0, 2), np.int64)
+        if len(need):
+            sets = [weighted(table.column("text")[int(i)].as_py(), idf.value, width) for i in need]
+            pairs = need[similar_pairs(sets, wanted[np.ix_(need, need)], similarity)]
+        return pa.table({"u": rep[pairs[:, 0]], "v": rep[pairs[:, 1]]})
+
+    rows = members.hint("merge").join(texts, "rep")
+    return _blocks(rows, block).groupBy("bucket", "i", "j").applyInArrow(run, "u long, v long")
+
+
+def _texts(table: DataFrame, reps: DataFrame, needed: DataFrame) -> DataFrame:
+    """rep and text of the ``needed`` reps."""
+    rows = table.withColumnRenamed("doc_id", "rep").hint("merge").join(needed.select("rep").distinct(), "rep", "left_semi")
+    return rows.hint("merge").join(reps.select("key", "rep"), ["key", "rep"], "left_semi").groupBy("rep").agg(F.min("text").alias("text"))
+
+
 def near_duplicates(
     docs: DataFrame,
     similarity: float = SIMILARITY,
     width: int = WIDTH,
     bands: int = BANDS,
     rows: int = ROWS,
+    block: int = BLOCK,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
@@ -229,8 +318,8 @@ def near_duplicates(
 
     Null texts count as empty. Equal texts share a class whatever they hold; texts without words are alike
     only if equal. Rows that repeat an id each get a row and share a class, also where their texts differ.
-    Rows with a null id are compared for equality alone; without an equal text they have a null class. An empty table gives no rows; other columns are ignored. Expected recall of a pair of
-    similarity s is 1 - (1 - s**rows)**bands: 0.9998 at 0.8.
+    Rows with a null id are compared for equality alone; without an equal text they have a null class. An empty table gives no rows; other columns are ignored. A pair of similarity s, at least
+    ``similarity``, shares a bucket, and so a class, with probability 1 - (1 - s**rows)**bands: 0.9998 at 0.8.
     """
     spark = docs.sparkSession
     for_python(spark)
@@ -240,9 +329,13 @@ def near_duplicates(
     signed = written(_signed(table, idf, bands, rows, width))
     reps = written(signed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands")))
     pairs = written(_proposed(reps.filter("rep is not null")))
-    needed = pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))).distinct()
-    texts = table.withColumnRenamed("doc_id", "rep").hint("merge").join(needed, "rep", "left_semi").hint("merge").join(reps.select("key", "rep"), ["key", "rep"], "left_semi").groupBy("rep").agg(F.min("text").alias("text"))
+    texts = _texts(table, reps, pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))))
     links = components(_verified(pairs, texts, idf, similarity, width))
+    members = written(_open_members(reps, links, bands))
+    if not members.isEmpty():
+        more = written(_block_links(members, _texts(table, reps, members), idf, similarity, width, block))
+        if not more.isEmpty():
+            links = components(links.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
     classes = reps.select("key", "rep").join(links, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("root", "rep").alias("class_id"))
     return signed.select("doc_id", "key").join(classes, "key").select("doc_id", "class_id")
 

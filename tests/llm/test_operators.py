@@ -402,6 +402,39 @@ def test_near_duplicates_lose_no_link(spark):
     assert got == {i: top(i) for i in range(len(texts))}
 
 
+def test_near_duplicates_hold_a_star_together(spark):
+    """Copies that are like their original and not like one another, more than a block holds; the original has any id."""
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(304)]
+    texts = []
+    for k in range(1100):
+        copy = list(base)
+        for i in rng.sample(range(5, 295), 5):
+            copy[i] = f"e{k}x{i}"
+        texts.append(" ".join(copy))
+    texts.insert(613, " ".join(base))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    idf = near_dedup.inverse_frequencies(df)
+    sets = [near_dedup.weighted(t, idf) for t in texts]
+    near = [i for i, s in enumerate(sets) if near_dedup.weighted_jaccard(sets[613], s) >= 0.8]
+    assert len(near) > 1000
+    assert sum(near_dedup.weighted_jaccard(a, b) >= 0.8 for a, b in zip(sets[:600], sets[1:601])) < 10
+    got = by_id(near_dedup.near_duplicates(df), "class_id")
+    assert {got[i] for i in near} == {0}
+
+
+def test_block_pairs_are_exact():
+    rng = np.random.default_rng(6)
+    sets = []
+    for _ in range(60):
+        h = np.sort(rng.choice(40, rng.integers(20, 40), replace=False)).astype(np.uint64)
+        sets.append((h, rng.choice(np.asarray([0.9, 1.0, 1.69], np.float32), len(h))))
+    wanted = np.triu(np.ones((60, 60), bool), 1)
+    for least in (0.5, 0.6):
+        want = [(i, j) for i, j in itertools.combinations(range(60), 2) if near_dedup.weighted_jaccard(sets[i], sets[j]) >= least]
+        assert want and list(map(tuple, near_dedup.similar_pairs(sets, wanted, least, slab=16).tolist())) == want
+
+
 def test_samples_follow_the_similarity():
     rng = np.random.default_rng(0)
     h = rng.integers(0, 2**63, 400, dtype=np.uint64)
