@@ -1,10 +1,9 @@
 """Licence scans by a positional index of rare words.
 
 Licence notices are templates of words. Every word of theirs is posted with its template and place, and
-counted over all documents. A file is looked up by the rarest of these words that it holds: each place of
-such a word, less the word's place in a template, says where the template would begin, and places that
-agree are votes for it. Where enough agree and the template's mandatory phrase stands at its place, the
-licence is found. All of it is done within each row by array functions; nothing is shuffled but the counts
+counted over all documents. A template's mandatory phrase, found by its rarest word, says where the template
+would begin. There the rarest of the template's own words that the file holds are looked up; those that
+stand at their places are votes for it. Where enough agree, the licence is found. All of it is done within each row by array functions; nothing is shuffled but the counts
 of the templates' words.
 """
 
@@ -14,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Rare words that a file is looked up by, and the share of them that must agree on a place.
+#: Rare words of a template that a file is looked up by, and the share of them that must agree on a place.
 LOOKED_UP = 12
 AGREE = 0.5
 #: The base phrases and their labels.
@@ -72,21 +71,29 @@ def scan_licenses(docs: DataFrame, looked_up: int = LOOKED_UP, agree: float = AG
     templates = [_places(*t) for t in TEMPLATES]
     n, df = word_counts(rows, sorted({w for _, words, _, _ in templates for w in words}))
     rare = sorted((w for w in df if 3 * df[w] <= n), key=lambda w: (df[w], w))
-    kinds = "array<struct<label:string,words:array<struct<w:string,p:int>>,phrase:array<string>,at:int,need:int>>"
+    known = sorted(df, key=lambda w: (df[w], w))
+    # A notice stands where its phrase does; the phrase is looked for at its rarest word.
+    anchors = [min(phrase, key=lambda w: (df.get(w, 0), w)) for _, _, phrase, _ in templates]
+    hit, seen = "array<struct<w:string,p:int>>", _quoted(sorted(set(anchors)))
+    rows = rows.withColumn("hits", F.expr(f"if(arrays_overlap(words, {seen}), filter(transform(words, (w, i) -> named_struct('w', w, 'p', i)), x -> array_contains({seen}, x.w)), cast(array() as {hit}))"))
+    rows = rows.withColumn("held", F.expr(f"if(size(hits) > 0, array_intersect({_quoted(known)}, words), cast(array() as array<string>))"))
     shown = []
-    for label, words, phrase, at in templates:
-        posted = [f"named_struct('w', '{w}', 'p', {p})" for p, w in enumerate(words) if w in rare]
-        if posted:
-            shown.append(f"named_struct('label', '{label}', 'words', array({', '.join(posted)}), 'phrase', {_quoted(phrase)}, 'at', {at}, 'need', {min(len(posted), looked_up)})")
-    posted = f"array({', '.join(shown)})" if shown else f"cast(array() as {kinds})"
-    rows = rows.withColumn("sel", F.expr(f"slice(array_intersect({_quoted(rare)}, words), 1, {looked_up})"))
-    hits = "filter(transform(words, (w, i) -> named_struct('w', w, 'p', i)), x -> array_contains(sel, x.w))"
-    rows = rows.withColumn("hits", F.expr(f"if(size(sel) = 0, cast(array() as array<struct<w:string,p:int>>), {hits})"))
-    begins = "array_distinct(flatten(transform(hits, h -> transform(filter(t.words, y -> y.w = h.w), y -> h.p - y.p))))"
-    here = "filter(%s, o -> o + t.at >= 0 and slice(words, o + t.at + 1, size(t.phrase)) = t.phrase)" % begins
-    votes = "size(filter(hits, h -> exists(t.words, y -> y.w = h.w and h.p - y.p = o)))"
-    match = f"transform({here}, o -> named_struct('label', t.label, 'word', cast(o + t.at as long), 'share', least(1.0D, cast({votes} as double) / t.need)))"
-    rows = rows.withColumn("found", F.expr(f"if(size(sel) = 0, cast(array() as array<struct<label:string,word:bigint,share:double>>), filter(flatten(transform({posted}, t -> {match})), x -> x.share >= {agree}D))"))
+    for (label, words, phrase, at), anchor in zip(templates, anchors):
+        k = phrase.index(anchor)
+        shares = []
+        for order in (rare,):
+            posted = [f"named_struct('w', '{w}', 'p', {p})" for p, w in enumerate(words) if w in order]
+            if posted:
+                sel = f"slice(array_intersect({_quoted([w for w in order if w in words])}, held), 1, {looked_up})"
+                votes = f"size(filter(array({', '.join(posted)}), y -> get(words, h.p - {k + at} + y.p) = y.w and array_contains({sel}, y.w)))"
+                shares.append(f"least(1.0D, cast({votes} as double) / {min(len(posted), looked_up)})")
+        if shares:
+            here = f"filter(hits, h -> h.w = '{anchor}' and h.p >= {k} and slice(words, h.p - {k} + 1, {len(phrase)}) = {_quoted(phrase)})"
+            share = shares[0] if len(shares) == 1 else f"greatest({', '.join(shares)})"
+            shown.append(f"transform({here}, h -> named_struct('label', '{label}', 'word', cast(h.p - {k} as long), 'share', {share}))")
+    none = "cast(array() as array<struct<label:string,word:bigint,share:double>>)"
+    found = f"if(size(hits) = 0, {none}, filter(concat({', '.join(shown)}), x -> x.share >= {agree}D))" if shown else none
+    rows = rows.withColumn("found", F.expr(found))
     base = []
     for phrase, label in BASE.items():
         w = phrase.split()

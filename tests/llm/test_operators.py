@@ -475,6 +475,18 @@ def test_license_labels(spark):
     assert "mit" in got[4][1] and got[5] == (set(), set()) and got[6] == (set(), set()) and got[20] == (set(), set())
 
 
+def test_license_notices_displace_none(spark):
+    """A file that holds all notices, verbatim, has each of them found in whole."""
+    text = ". ".join(notice for _, notice, _ in licenses.TEMPLATES)
+    df = spark.createDataFrame([(0, text), *((i, f"plain row {i}") for i in range(1, 6))], "doc_id long, text string")
+    found = {(f["label"], f["word"]): f["share"] for f in licenses.scan_licenses(df).filter("doc_id = 0").first()["found"]}
+    begin = 0
+    for label, notice, key in licenses.TEMPLATES:
+        _, words, _, at = licenses._places(label, notice, key)
+        assert found[label, begin + at] == 1.0, notice
+        begin += len(words)
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
