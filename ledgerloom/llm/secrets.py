@@ -2,7 +2,7 @@
 
 A vocabulary learnt from ordinary text spells ordinary strings with few, long tokens. A string whose
 characters per token stay low is unlike anything in that text: a key, a password, a random identifier.
-Known digests and plain identifiers, which are as dense but no secrets, are excluded first.
+Known digests, numbers and identifiers of readable words, which can be as dense but are no secrets, are excluded.
 Fixed patterns for assignments, access keys and long hexadecimal strings come beside it.
 """
 
@@ -33,7 +33,7 @@ _DENSE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_LENGTH)
 _DIGEST = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128}|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12})\Z")
 #: Numbers and dates; words, also joined by marks or in camel case, each with at most four digits behind it.
 _NAME = re.compile(r"(?:[0-9+/_=-]+|(?:[+/_=-]*(?:[A-Z]?[a-z]+|[A-Z]+)[0-9]{0,4})+[+/_=-]*)\Z")
-_LETTER_DIGIT = re.compile(r"(?=.*[0-9])(?=.*[A-Za-z])|(?=.*[a-z][A-Z][a-z]*[A-Z])")
+_ALNUM = re.compile(r"[A-Za-z0-9]")
 
 
 @lru_cache(maxsize=2)
@@ -46,14 +46,15 @@ def _encoding(path: str):
     return tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def known_name(s: str) -> bool:
-    """Whether ``s`` is a digest, a number or a readable identifier (words of three letters on average)."""
+def known_name(s: str, encoding, most_per_token: float = MOST_PER_TOKEN) -> bool:
+    """Whether ``s`` is a digest, a number or a readable identifier (words of three letters on average that are not dense themselves)."""
     if _DIGEST.match(s):
         return True
     if not _NAME.match(s):
         return False
     words = re.findall(r"[A-Z]?[a-z]+|[A-Z]+", s)
-    return not words or sum(map(len, words)) >= 3 * len(words)
+    letters = sum(map(len, words))
+    return not words or letters >= 3 * len(words) and letters > most_per_token * sum(len(encoding.encode_ordinary(w)) for w in words)
 
 
 def find_secrets(text: str, encoding, most_per_token: float = MOST_PER_TOKEN) -> list[tuple[str, int, int]]:
@@ -65,9 +66,9 @@ def find_secrets(text: str, encoding, most_per_token: float = MOST_PER_TOKEN) ->
     base = list(found)
     for m in _DENSE.finditer(text):
         s = m[0]
-        if not _LETTER_DIGIT.match(s) or known_name(s) or any(a < m.end() and m.start() < b for _, a, b in base):
+        if not _ALNUM.search(s) or any(a < m.end() and m.start() < b for _, a, b in base):
             continue
-        if len(s) / len(encoding.encode_ordinary(s)) <= most_per_token:
+        if len(s) / len(encoding.encode_ordinary(s)) <= most_per_token and not known_name(s, encoding, most_per_token):
             found.append(("dense", m.start(), m.end()))
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 

@@ -82,6 +82,16 @@ def test_secrets():
         assert find(f"see {known} there") == [], known
 
 
+@pytest.mark.parametrize("alphabet", ["abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"])
+def test_random_strings_of_any_alphabet(alphabet):
+    """The ratio alone decides on random strings; most are found."""
+    rng, e = random.Random(8), secrets._encoding(VOCABULARY)
+    keys = ["".join(rng.choices(alphabet, k=rng.randint(20, 40))) for _ in range(400)]
+    dense = [len(k) / len(e.encode_ordinary(k)) <= secrets.MOST_PER_TOKEN for k in keys]
+    found = [bool(secrets.find_secrets(k, e)) for k in keys]
+    assert found == dense and sum(found) > 0.8 * len(keys)
+
+
 def test_secret_columns(spark):
     text = "é🙂 secret:abcdefgh1 and AKIAABCDEFGHIJKLMN"
     r = secrets.scan_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string"), VOCABULARY).select("doc_id", *secrets.span_columns(secrets.KINDS, secrets.BASE)).first()
