@@ -62,8 +62,8 @@ def word_counts(words: DataFrame, vocabulary: list[str]) -> tuple[int, dict[str,
 def scan_licenses(docs: DataFrame, looked_up: int = LOOKED_UP, agree: float = AGREE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_words, base (array of label, word), found (array of label, word, share).
 
-    ``base`` has every place of a base phrase, ``found`` every verified notice with the share of its rare
-    words that agree. Rare are words in at most a third of the rows. Null texts count as empty and have no
+    ``base`` has every place of a base phrase, ``found`` every verified notice with the share of its words
+    that agree: of its rarest that the file holds, or of those in at most a third of the rows, whichever is more. Null texts count as empty and have no
     words; repeated rows are scanned each for itself; an empty table gives no rows; other columns are ignored.
     """
     text = F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), _UPPER, _LOWER)
@@ -71,6 +71,7 @@ def scan_licenses(docs: DataFrame, looked_up: int = LOOKED_UP, agree: float = AG
     templates = [_places(*t) for t in TEMPLATES]
     n, df = word_counts(rows, sorted({w for _, words, _, _ in templates for w in words}))
     rare = sorted((w for w in df if 3 * df[w] <= n), key=lambda w: (df[w], w))
+    # All words, by which a whole notice is found in any table; and those left without the common ones, by which parts of it are.
     known = sorted(df, key=lambda w: (df[w], w))
     # A notice stands where its phrase does; the phrase is looked for at its rarest word.
     anchors = [min(phrase, key=lambda w: (df.get(w, 0), w)) for _, _, phrase, _ in templates]
@@ -81,7 +82,7 @@ def scan_licenses(docs: DataFrame, looked_up: int = LOOKED_UP, agree: float = AG
     for (label, words, phrase, at), anchor in zip(templates, anchors):
         k = phrase.index(anchor)
         shares = []
-        for order in (rare,):
+        for order in (known, rare):
             posted = [f"named_struct('w', '{w}', 'p', {p})" for p, w in enumerate(words) if w in order]
             if posted:
                 sel = f"slice(array_intersect({_quoted([w for w in order if w in words])}, held), 1, {looked_up})"

@@ -497,6 +497,19 @@ def test_license_notices_displace_none(spark):
         begin += len(words)
 
 
+@pytest.mark.parametrize("others", [0, 1, 3])
+def test_license_notices_common_in_the_table(spark, others):
+    """Whole notices are found however large a part of the rows holds them."""
+    rows = [(i, notice) for i, (_, notice, _) in enumerate(licenses.TEMPLATES) if others or i == 1]
+    copies = [(100 + i, licenses.TEMPLATES[1][1]) for i in range(others * 6)]
+    df = spark.createDataFrame(rows + copies + [(200 + i, "plain") for i in range(others)], "doc_id long, text string")
+    got = by_id(licenses.scan_licenses(df), "found")
+    for i, text in rows + copies:
+        label = next(label for label, notice, _ in licenses.TEMPLATES if notice == text)
+        assert (label, 1.0) in {(f["label"], f["share"]) for f in got[i]}, text
+    assert all(got[200 + i] == [] for i in range(others))
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
