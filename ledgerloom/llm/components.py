@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.shared import written
+from ledgerloom.llm.shared import discard, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -26,13 +26,14 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """``node`` and ``root``, the smallest node of its component, for every node but the roots themselves.
 
-    ``edges`` has the columns u and v (long). Each round is written to the shared folder; the rounds end
-    when one changes nothing. Their number grows with the logarithm of the largest component.
+    ``edges`` has the columns u and v (long). Each round is written to the shared folder in place of the one before;
+    the rounds end when one changes nothing. Their number grows with the logarithm of the largest component.
     """
     edges = written(edges.filter("u <> v").select("u", "v").distinct())
     mark = None
     while True:
-        edges = written(_small_star(_large_star(edges)))
+        before, edges = edges, written(_small_star(_large_star(edges)))
+        discard(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,8 +32,12 @@ _HEX = re.compile(r"[0-9a-f]{32,}")  # a run is taken whole: one of 32 or more b
 _DENSE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_LENGTH)
 #: Digests by their length in hexadecimal digits (MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512) and UUIDs.
 _DIGEST = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128}|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12})\Z")
-#: Numbers and dates; words, also joined by marks or in camel case, each with at most four digits behind it.
-_NAME = re.compile(r"(?:[0-9+/_=-]+|(?:[+/_=-]*(?:[A-Z]?[a-z]+|[A-Z]+)[0-9]{0,4})+[+/_=-]*)\Z")
+#: The parts of a string: words, also in camel case, numbers, and marks. Each character is looked at once.
+_PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+|[+/_=-]+")
+#: Digits that a word of an identifier may have behind it.
+MOST_DIGITS = 4
+#: Characters that are encoded at once; longer strings in stretches, as the vocabulary's own merging takes more than linear time.
+STRETCH = 1024
 _ALNUM = re.compile(r"[A-Za-z0-9]")
 
 
@@ -46,15 +51,35 @@ def _encoding(path: str):
     return tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def n_tokens(s: str, encoding) -> int:
+    """The number of tokens that spell ``s``, summed over stretches of ``STRETCH`` characters."""
+    return sum(len(encoding.encode_ordinary(s[i : i + STRETCH])) for i in range(0, len(s), STRETCH))
+
+
 def known_name(s: str, encoding, most_per_token: float = MOST_PER_TOKEN) -> bool:
-    """Whether ``s`` is a digest, a number or a readable identifier (words of three letters on average that are not dense themselves)."""
+    """Whether ``s`` is a digest, a number or a readable identifier.
+
+    Numbers hold digits and marks alone, such as dates. An identifier is words of three letters on average that
+    are not dense themselves, joined by marks or in camel case, each with at most ``MOST_DIGITS`` digits behind it.
+    """
     if _DIGEST.match(s):
         return True
-    if not _NAME.match(s):
-        return False
-    words = re.findall(r"[A-Z]?[a-z]+|[A-Z]+", s)
+    words, before, lettered = [], "", any(map(str.isalpha, s))
+    for part in _PARTS.findall(s):
+        first = part[0]
+        if first.isalpha():
+            words.append(part)
+        elif lettered and first.isdigit() and (len(part) > MOST_DIGITS or not before.isalpha()):
+            return False  # beside words, digits that stand alone make no identifier
+        before = part
     letters = sum(map(len, words))
-    return not words or letters >= 3 * len(words) and letters > most_per_token * sum(len(encoding.encode_ordinary(w)) for w in words)
+    return not words or letters >= 3 * len(words) and letters > most_per_token * sum(n_tokens(w, encoding) for w in words)
+
+
+def _touches(merged: list[tuple[int, int]], start: int, end: int) -> bool:
+    """Whether one of ``merged``, sorted and apart, overlaps the span."""
+    k = bisect_left(merged, (end, 0))
+    return k > 0 and merged[k - 1][1] > start
 
 
 def find_secrets(text: str, encoding, most_per_token: float = MOST_PER_TOKEN) -> list[tuple[str, int, int]]:
@@ -63,12 +88,17 @@ def find_secrets(text: str, encoding, most_per_token: float = MOST_PER_TOKEN) ->
     if "AKIA" in text:
         found += [("access", m.start(), m.end()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 16]
     found += [("hex", m.start(), m.end()) for m in _HEX.finditer(text)]
-    base = list(found)
+    base: list[tuple[int, int]] = []
+    for a, b in sorted((a, b) for _, a, b in found):
+        if base and a <= base[-1][1]:
+            base[-1] = base[-1][0], max(base[-1][1], b)
+        else:
+            base.append((a, b))
     for m in _DENSE.finditer(text):
         s = m[0]
-        if not _ALNUM.search(s) or any(a < m.end() and m.start() < b for _, a, b in base):
+        if not _ALNUM.search(s) or _touches(base, m.start(), m.end()):
             continue
-        if len(s) / len(encoding.encode_ordinary(s)) <= most_per_token and not known_name(s, encoding, most_per_token):
+        if len(s) / n_tokens(s, encoding) <= most_per_token and not known_name(s, encoding, most_per_token):
             found.append(("dense", m.start(), m.end()))
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
@@ -93,7 +123,11 @@ def scan_secrets(docs: DataFrame, vocabulary: str, most_per_token: float = MOST_
 
 
 def redact_secrets(docs: DataFrame, vocabulary: str, mark: str = "[SECRET]", text_col: str = "text") -> DataFrame:
-    """``docs`` with ``mark`` in place of every secret; all columns stay, texts without secrets are untouched."""
+    """``docs`` with ``mark`` in place of every secret; all columns stay, texts without secrets are untouched.
+
+    Spans that overlap get one mark. Null and empty texts stay as they are; repeated rows are each masked; an
+    empty table gives no rows; no other column is looked at, whatever its name.
+    """
     schema, at = docs.schema, docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,7 +138,7 @@ def redact_secrets(docs: DataFrame, vocabulary: str, mark: str = "[SECRET]", tex
                 parts, end = [], 0
                 for _, a, b in find_secrets(text or "", encoding):
                     if b > end:
-                        parts += [text[end:a], mark] if a >= end else []
+                        parts += [text[end:a], mark] if a >= end else []  # a span that begins within the last one only lengthens it
                         end = b
                 texts.append(text if not parts else "".join(parts) + text[end:])
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
@@ -114,7 +148,7 @@ def redact_secrets(docs: DataFrame, vocabulary: str, mark: str = "[SECRET]", tex
 
 
 def span_columns(kinds: tuple[str, ...], base: tuple[str, ...]) -> list:
-    """Counts by kind of ``base``, the digest of their spans, and all spans as text."""
+    """Counts by kind of ``base``, the digest of their spans, and all spans as text; of no spans 0 and the empty text."""
     shown = lambda s: F.array_join(F.transform(s, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
     counts = [F.expr(f"cast(size(filter(spans, x -> x.kind = '{k}')) as long)").alias(f"n_{k}") for k in base]
     return [*counts, F.sha2(shown(F.filter("spans", lambda x: x["kind"].isin(*base))), 256).alias("base_sha256"), shown(F.col("spans")).alias("spans")]

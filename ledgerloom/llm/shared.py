@@ -1,4 +1,4 @@
-"""Helpers that the corpus operators share: tables in the shared folder and Arrow batch sizes."""
+"""Helpers that the corpus operators share: tables in the shared folder, and Python code on executors."""
 
 from __future__ import annotations
 
@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.session import ship
 
+
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``; a local one only where that setting is missing (tests)."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """A new folder below ``spark.checkpoint.dir``; a local one only where that setting is missing and all runs on this machine (tests)."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.gettempdir() + "/ledgerloom-checkpoints"
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/ledgerloom-{uuid.uuid4().hex}"
@@ -29,10 +32,18 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def for_python(spark: SparkSession, rows: int = 1000) -> None:
-    """Before Python code runs on executors: send it there, and hand it batches of ``rows`` rows at most, so that very long texts fit in memory."""
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of ``written`` tables from which nothing is read any more."""
+    for table in tables:
+        jvm = table.sparkSession._jvm
+        for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def for_python(spark: SparkSession) -> None:
+    """Before Python code runs on executors: send it there. Spark bounds the bytes of the batches that it gets."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def partitions(spark: SparkSession) -> int:

@@ -92,6 +92,59 @@ def test_random_strings_of_any_alphabet(alphabet):
     assert found == dense and sum(found) > 0.8 * len(keys)
 
 
+def plain_secrets(text, e):
+    """The contract's patterns one by one, and a scanner that looks at each string of the dense alphabet by itself."""
+    found = []
+    for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.IGNORECASE | re.ASCII):
+        found += [("assign", m.start(), m.end())] if len(m[2]) >= 8 else []
+    found += [("access", m.start(), m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    found += [("hex", m.start(), m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+    base, start = list(found), None
+    for i in range(len(text) + 1):
+        inside = i < len(text) and (text[i].isascii() and text[i].isalnum() or text[i] in "+/_=-")
+        if inside and start is None:
+            start = i
+        elif not inside and start is not None:
+            s, a, b = text[start:i], start, i
+            start = None
+            if b - a < 16 or not any(c.isalnum() for c in s) or any(x < b and a < y for _, x, y in base):
+                continue
+            count = sum(len(e.encode_ordinary(s[k : k + 1024])) for k in range(0, len(s), 1024))
+            if len(s) / count <= 2.0 and not plain_name(s, e):
+                found.append(("dense", a, b))
+    return sorted(found, key=lambda x: (x[1], ["assign", "access", "hex", "dense"].index(x[0])))
+
+
+def plain_name(s, e):
+    if re.fullmatch("[0-9a-fA-F]+", s) and len(s) in (32, 40, 56, 64, 96, 128) or re.fullmatch("[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", s):
+        return True
+    if not any(c.isalpha() for c in s):
+        return True
+    for m in re.finditer("[0-9]+", s):
+        if len(m[0]) > 4 or m.start() == 0 or not s[m.start() - 1].isalpha():
+            return False
+    words = re.findall("[A-Z]?[a-z]+|[A-Z]+", s)
+    return sum(map(len, words)) >= 3 * len(words) and sum(map(len, words)) > 2.0 * sum(len(e.encode_ordinary(w)) for w in words)
+
+
+def test_secrets_by_brute_force(spark, corpus):
+    rng = random.Random(12)
+    bits = ["token", "API_key", "=", ": ", '"', " ", "\n", "é", "AKIA", "Z9Q4", "deadbeef", "0123456789abcdef", "zX9q4LmP2vRt8WnB", "someOtherName", "user_id", "-", "/", "12", "20240131", ".", "word", "TLS"]
+    texts = ["".join(rng.choices(bits, k=rng.randint(1, 40))) for _ in range(1500)] + [r["text"] for r in corpus.select("text").collect()] + [None, ""]
+    e = secrets._encoding(VOCABULARY)
+    got = by_id(secrets.scan_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), VOCABULARY), "spans")
+    want = {i: plain_secrets(t or "", e) for i, t in enumerate(texts)}
+    assert {i: [tuple(x) for x in s] for i, s in got.items()} == want
+    assert {k for s in want.values() for k, _, _ in s} == set(secrets.KINDS)
+
+
+def test_secrets_in_long_strings():
+    """Each takes a time in proportion to its length, or would not end."""
+    e = secrets._encoding(VOCABULARY)
+    for text in ("q" * 40 + "12345", "x" * 10_000 + "12345", "aB3" * 200_000, "1-" * 200_000, "secret" + " " * 50_000, "k9" * 20 + " token=abcdefgh12 " * 500, "f" * 500_000):
+        assert secrets.find_secrets(text, e) == plain_secrets(text, e), text[:50]
+
+
 def test_secret_columns(spark):
     text = "é🙂 secret:abcdefgh1 and AKIAABCDEFGHIJKLMN"
     r = secrets.scan_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string"), VOCABULARY).select("doc_id", *secrets.span_columns(secrets.KINDS, secrets.BASE)).first()
