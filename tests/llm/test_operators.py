@@ -550,6 +550,21 @@ def test_license_notices_displace_none(spark):
         begin += len(words)
 
 
+@pytest.mark.parametrize("n", [1, 2, 9])
+def test_license_notice_in_every_row(spark, n):
+    df = spark.createDataFrame([(i, "Redistribution and use in source and binary forms, with or without modification, are permitted") for i in range(n)], "doc_id long, text string")
+    assert all([f["label"] for f in r["found"]] == ["bsd"] for r in licenses.scan_licenses(df).collect())
+
+
+def test_license_notices_in_a_long_text(spark):
+    """A long text that repeats rare words and notices: each place once, in linear time; the SQL agrees."""
+    notice = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
+    text = "merchant purpose fee granted apache license " * 20_000 + (notice + " . ") * 2000
+    df = spark.createDataFrame([(0, text), (1, None), (2, "license " * 50_000)], "doc_id long, text string")
+    got = by_id(licenses.scan_licenses(df), "found")
+    assert sum(f["label"] == "isc" for f in got[0]) == 2000 and got[1] == [] and got[2] == []
+
+
 @pytest.mark.parametrize("others", [0, 1, 3])
 def test_license_notices_common_in_the_table(spark, others):
     """Whole notices are found however large a part of the rows holds them."""
