@@ -4,13 +4,12 @@ For each language a tree of byte contexts up to ``ORDER`` long is counted on lab
 costs what its longest known context gives it; where the context has never been followed by that byte, the
 escape probability is paid and the context shortened, down to a uniform code over all bytes (method C
 escapes, no exclusions). The statistics are frozen after training, so a byte's cost depends on the bytes
-just before it alone, and all costs are compiled into one table that scores whole texts by lookups. The
-language whose code is shortest wins.
+just before it alone, and the costs of all runs of bytes that training has seen are compiled into sorted
+tables that score whole texts by lookups. The language whose code is shortest wins.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,15 +22,15 @@ from ledgerloom.llm.shared import for_python
 
 #: Bytes of context at most.
 ORDER = 3
-#: Documents of each language that are counted, about; drawn by a hash of their id.
+#: Documents that are counted, about, drawn by a hash: of each language, and of all languages together.
 TRAIN_DOCS = 1500
-#: Contexts of full length that the compiled table holds; rarer ones are shortened by a byte.
-LONG_CONTEXTS = 8192
-#: A text that costs more bits a byte than bytes have isn't in any of the languages.
-MOST_BITS = 8.0
+TRAIN_TOTAL = 24_000
+#: One in so many of them isn't counted, but tells what documents that training hasn't seen cost; and how far above the
+#: dearest of these, of its length or longer, a document in one of the languages may be.
+CALIBRATE = 5
+MARGIN = 1.25
 
 _PIECE = 1 << 20
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -43,65 +42,93 @@ def _bytes(text: str) -> np.ndarray:
     return np.frombuffer(b"\n" * ORDER + text.lower().encode("utf-8", "replace"), np.uint8)
 
 
+def has_letter(text: str) -> bool:
+    return any(map(str.isalpha, text))
+
+
 class ByteTrees:
-    """The compiled trees. ``cost[row[context], symbol]`` has the bits of each language."""
+    """The compiled trees of all languages: costs in bits of the runs of up to four bytes that training has seen.
 
-    def __init__(self, langs: list[str], symbols: np.ndarray, row: np.ndarray, cost: np.ndarray):
-        self.langs, self.symbols, self.row, self.cost = langs, symbols, row, cost
+    ``grams`` and ``triples`` are sorted runs of four and three bytes, as numbers, with their costs by language;
+    ``pairs`` has the costs of all runs of two. Escapes stand by context: ``contexts`` are the sorted runs of three
+    bytes that have one; all runs of two have.
+    """
+
+    def __init__(self, langs, grams, gram_cost, contexts, context_escape, triples, triple_cost, pair_escape, pairs):
+        self.langs, self.grams, self.gram_cost, self.contexts, self.context_escape = langs, grams, gram_cost, contexts, context_escape
+        self.triples, self.triple_cost, self.pair_escape, self.pairs = triples, triple_cost, pair_escape, pairs
+        self.limits = np.full(64, np.inf)  # bits a byte that a text of 2**k bytes and more may cost in its language
 
     @classmethod
-    def compiled(cls, counts: pd.DataFrame, long_contexts: int = LONG_CONTEXTS) -> ByteTrees:
+    def compiled(cls, counts: pd.DataFrame) -> ByteTrees:
         """``counts``: lang, gram (four bytes as one number, the last byte lowest), n."""
         langs = sorted(counts.lang.unique())
         gram, n = counts.gram.to_numpy(np.int64), counts.n.to_numpy(np.float64)
         lang = np.searchsorted(langs, counts.lang.to_numpy(object))
-        used = np.unique(gram & 255)
-        size = len(used) + 1  # the last symbol stands for all bytes that training has not shown
-        symbols = np.full(256, size - 1, np.int64)
-        symbols[used] = np.arange(size - 1)
-        parts = [symbols[(gram >> 8 * k) & 255] for k in range(ORDER, -1, -1)]
-        context = (parts[0] * size + parts[1]) * size + parts[2]
-
-        def level(key: np.ndarray, lower: np.ndarray, of: np.ndarray) -> np.ndarray:
-            """Probabilities of all symbols in contexts 0..len(of)-1; ``of`` is each one's shorter context's row in ``lower``."""
-            seen = np.zeros((len(of), size, len(langs)))
-            ok = key >= 0
-            np.add.at(seen, (key[ok], parts[3][ok], lang[ok]), n[ok])
-            total, kinds = seen.sum(axis=1, keepdims=True), (seen > 0).sum(axis=1, keepdims=True)
-            whole = np.maximum(total + kinds, 1)
-            escape = np.where(total > 0, kinds / whole, 1.0)
-            return np.where(seen > 0, seen / whole, escape * lower[of])
-
-        uniform = np.full((1, size, len(langs)), 1 / 256)
-        p0 = level(np.zeros(len(n), np.int64), uniform, np.zeros(1, np.int64))
-        p1 = level(parts[2], p0, np.zeros(size, np.int64))
-        pairs, pair_row = np.unique(parts[1] * size + parts[2], return_inverse=True)
-        p2 = level(pair_row, p1, pairs % size)
-        triples, triple_row, = np.unique(context, return_inverse=True)
-        often = np.argsort(-np.bincount(triple_row, n), kind="stable")[:long_contexts]
-        place = np.full(len(triples), -1)
-        place[often] = np.arange(len(often))
-        p3 = level(place[triple_row], p2, np.searchsorted(pairs, triples[often] % size**2))
-        # Each context of three symbols leads to the row of its longest known ending.
-        row = np.tile(np.arange(size, dtype=np.int32), size**2)
-        by_pair = np.full(size**2, -1, np.int32)
-        by_pair[pairs] = size + np.arange(len(pairs))
-        by_pair = np.tile(by_pair, size)
-        row = np.where(by_pair >= 0, by_pair, row).astype(np.int32)
-        row[triples[often]] = size + len(pairs) + np.arange(len(often))
-        return cls(langs, symbols, row, (-np.log2(np.concatenate([p1, p2, p3]))).astype(np.float32))
+
+        def level(keys: np.ndarray, of: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Costs of the ``keys`` (context and byte), their contexts, and the contexts' escapes; ``of``: each count's key."""
+            contexts, at = np.unique(keys >> 8, return_inverse=True)
+            cost, escape = np.empty((len(keys), len(langs)), np.float32), np.empty((len(contexts), len(langs)), np.float32)
+            for k in range(len(langs)):
+                seen = np.bincount(of[lang == k], n[lang == k], len(keys))
+                total, kinds = np.bincount(at, seen, len(contexts)), np.bincount(at[seen > 0], minlength=len(contexts))
+                whole = np.maximum(total + kinds, 1)
+                escape[:, k] = np.where(total > 0, -np.log2(np.maximum(kinds, 1) / whole), 0)
+                cost[:, k] = np.where(seen > 0, -np.log2(np.maximum(seen, 1) / whole[at]), escape[at, k] + lower[:, k])
+            return cost, contexts, escape
+
+        uniform = np.full((256, len(langs)), 8.0, np.float32)
+        single, _, _ = level(np.arange(256), gram & 255, uniform)
+        every = np.arange(1 << 16)
+        pairs, _, _ = level(every, gram & 0xFFFF, single[every & 255])
+        triples, of = np.unique(gram & 0xFFFFFF, return_inverse=True)
+        triple_cost, twos, two_escape = level(triples, of, pairs[triples & 0xFFFF])
+        pair_escape = np.zeros((1 << 16, len(langs)), np.float32)
+        pair_escape[twos] = two_escape
+        grams, of = np.unique(gram, return_inverse=True)
+        gram_cost, contexts, context_escape = level(grams, of, triple_cost[np.searchsorted(triples, grams & 0xFFFFFF)])
+        return cls(langs, grams, gram_cost, contexts, context_escape, triples, triple_cost, pair_escape, pairs)
 
     def bits(self, text: str) -> tuple[np.ndarray, int]:
         """Code lengths by language, and the number of bytes."""
-        data, size = _bytes(text), self.cost.shape[1]
-        flat = self.cost.reshape(-1, len(self.langs))
-        total = np.zeros(len(self.langs))
+        data, total = _bytes(text), np.zeros(len(self.langs))
         for i in range(0, len(data) - ORDER, _PIECE):
-            s = self.symbols[data[i : i + _PIECE + ORDER]]
-            at = self.row[(s[:-3] * size + s[1:-2]) * size + s[2:-1]].astype(np.int64) * size + s[3:]
-            total += flat[at].sum(axis=0, dtype=np.float64)
+            b = data[i : i + _PIECE + ORDER].astype(np.int64)
+            gram, n = np.unique((b[:-3] << 24) | (b[1:-2] << 16) | (b[2:-1] << 8) | b[3:], return_counts=True)
+            at, known = _found(self.grams, gram)
+            total += n[known] @ self.gram_cost[at[known]].astype(np.float64)
+            gram, n = gram[~known], n[~known]
+            # Shorter contexts, each after the escape from the one before it.
+            at, known = _found(self.contexts, gram >> 8)
+            total += n[known] @ self.context_escape[at[known]].astype(np.float64)
+            at, known = _found(self.triples, gram & 0xFFFFFF)
+            total += n[known] @ self.triple_cost[at[known]].astype(np.float64)
+            gram, n = gram[~known], n[~known]
+            total += n @ (self.pair_escape[(gram >> 8) & 0xFFFF] + self.pairs[gram & 0xFFFF]).astype(np.float64)
         return total, len(data) - ORDER
 
+    def calibrate(self, dearest: dict[int, float], margin: float = MARGIN) -> None:
+        """``dearest``: the most bits a byte of any known document of 2**k to 2**(k+1) bytes. Texts shorter than all of these have no limit."""
+        most = 0.0
+        for k in range(max(dearest, default=-1), min(dearest, default=0) - 1, -1):
+            most = max(most, dearest.get(k, 0.0))
+            self.limits[k] = margin * most
+        self.limits[max(dearest, default=63) + 1 :] = margin * dearest[max(dearest)] if dearest else np.inf
+
+    def knows(self, text: str | None) -> bool:
+        """Whether a text is in one of the languages: it has a letter, and its shortest code isn't too long."""
+        if not text or not has_letter(text):
+            return False
+        bits, n = self.bits(text)
+        return float(bits.min()) / n <= self.limits[n.bit_length() - 1]
+
+
+def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each of ``wanted`` stands among the sorted ``keys``, and whether it does."""
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
 
 def gram_counts(docs: DataFrame) -> DataFrame:
     """Counts of all runs of four bytes by language, from columns lang and text."""
@@ -121,20 +148,37 @@ def gram_counts(docs: DataFrame) -> DataFrame:
 
 
 def train(labelled: DataFrame, train_docs: int = TRAIN_DOCS, id_col: str = "doc_id") -> ByteTrees | None:
-    """Trees from about ``train_docs`` whole documents of each language; None if nothing is labelled.
+    """Trees from about ``train_docs`` whole documents of each language, ``TRAIN_TOTAL`` in all; None if nothing is labelled.
 
-    Columns used: ``id_col``, lang, text. Rows with a null lang or text take no part.
+    Columns used: ``id_col``, lang, text. Rows with a null lang or text take no part. What reaches the driver is one
+    row for each language, and the counts of the drawn documents' runs of four bytes.
     """
     rows = labelled.filter("lang is not null and text is not null and text <> ''").select(F.col(id_col).alias("i"), F.col("lang").cast("string").alias("lang"), "text")
     per = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not per:
         return None
-    share = F.lit(0)
-    for lang, n in per.items():
-        share = F.when(F.col("lang") == lang, F.lit(int(min(1.0, train_docs / n) * 2**30))).otherwise(share)
-    drawn = rows.filter(F.pmod(F.xxhash64("i", "lang"), F.lit(2**30)) < share)
-    counts = gram_counts(drawn).toPandas()
-    return ByteTrees.compiled(counts) if len(counts) else None
+    each = min(train_docs, TRAIN_TOTAL / len(per))
+    share = F.element_at(F.create_map(*[F.lit(x) for lang, n in per.items() for x in (lang, int(min(1.0, each / n) * 2**30))]), F.col("lang"))
+    drawn = rows.filter(F.pmod(F.xxhash64("i", "lang", "text"), F.lit(2**30)) < share)
+    aside = F.pmod(F.xxhash64("text", F.lit(3)), F.lit(CALIBRATE)) == 0
+    counts = gram_counts(drawn.filter(~aside)).toPandas()
+    if not len(counts):
+        return None
+    trees = ByteTrees.compiled(counts)
+    trees.calibrate({r["k"]: r["rate"] for r in _rates(drawn.filter(aside), trees).groupBy("k").agg(F.max("rate").alias("rate")).collect()})
+    return trees
+
+
+def _rates(docs: DataFrame, trees: ByteTrees) -> DataFrame:
+    """k and rate: the logarithm of each text's number of bytes, and the bits a byte of its shortest code."""
+    shared = docs.sparkSession.sparkContext.broadcast(trees)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(n.bit_length() - 1, float(bits.min()) / n) for bits, n in map(shared.value.bits, filter(has_letter, batch.column(0).to_pylist()))]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int32()), pa.array([r for _, r in found], pa.float64())], names=["k", "rate"])
+
+    return docs.select("text").mapInArrow(run, "k int, rate double")
 
 
 def predict(docs: DataFrame, trees: ByteTrees | None, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
@@ -156,7 +200,7 @@ def predict(docs: DataFrame, trees: ByteTrees | None, keep: tuple[str, ...] = ("
         for batch in batches:
             langs, scores, rates = [], [], []
             for text in batch.column(at).to_pylist():
-                if not text or model is None or not _LETTER.search(text):
+                if not text or model is None or not has_letter(text):
                     langs.append("und")
                     scores.append(0.0)
                     rates.append(None)
@@ -173,10 +217,12 @@ def predict(docs: DataFrame, trees: ByteTrees | None, keep: tuple[str, ...] = ("
     return rows.mapInArrow(run, schema)
 
 
-def in_a_language(docs: DataFrame, trees: ByteTrees | None, most_bits: float = MOST_BITS, text_col: str = "text") -> DataFrame:
+def in_a_language(docs: DataFrame, trees: ByteTrees | None, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, whose text is in one of the languages.
 
-    Rejected are texts that ``predict`` calls ``und`` and those that cost ``most_bits`` a byte in the best language.
+    Rejected are texts that ``predict`` calls ``und``, null and empty ones among them, and those that cost more bits
+    a byte in their best language than known documents of their length do, by ``MARGIN``. Repeated rows are each
+    judged; where nothing was learnt no row stays; no other column is looked at, whatever its name.
     """
     spark = docs.sparkSession
     at, shared = docs.columns.index(text_col), spark.sparkContext.broadcast(trees)
@@ -184,12 +230,7 @@ def in_a_language(docs: DataFrame, trees: ByteTrees | None, most_bits: float = M
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            keep = []
-            for text in batch.column(at).to_pylist():
-                judged = bool(text) and model is not None and bool(_LETTER.search(text))
-                bits, n = model.bits(text) if judged else (None, 0)
-                keep.append(judged and float(bits.min()) / n < most_bits)
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            yield batch.filter(pa.array([model is not None and model.knows(t) for t in batch.column(at).to_pylist()], pa.bool_()))
 
     for_python(spark)
     return docs.mapInArrow(run, docs.schema)
