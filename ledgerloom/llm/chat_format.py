@@ -160,12 +160,13 @@ def _solved(rows: DataFrame, together: int) -> DataFrame:
 
     def compose(key: tuple, table: pa.Table) -> pa.Table:
         ms = table.sort_by("i")["m"].to_pylist()
-        return pa.table({"conv": [key[0].as_py()], "i": pa.array([key[1].as_py()], pa.int64()), "m": pa.array([composed(ms)], pa.list_(pa.int64()))})
+        return pa.table({"conv": pa.array([key[0].as_py()], pa.int64()), "i": pa.array([key[1].as_py()], pa.int64()), "m": pa.array([composed(ms)], pa.list_(pa.int64()))})
 
     up = written(grouped.groupBy("conv", "up").applyInArrow(compose, "conv long, i long, m array<long>"))
     if up.groupBy("conv").count().filter("count > 1").isEmpty():
-        state = F.udf(lambda m: ends(m)[0], "int")  # one row a conversation of several chunks
-        above = up.select(F.col("conv"), F.col("i").alias("up"), F.lit(0).alias("start"), state("m").alias("end"))
+        closing = ", ".join(str(INSERT * len(_CLOSING[b])) for b in range(4))
+        end = F.expr(f"array_min(transform(array({closing}), (c, b) -> named_struct('cost', m[b] + c, 'b', b))).b")  # as ``ends``
+        above = up.select(F.col("conv"), F.col("i").alias("up"), F.lit(0).alias("start"), end.alias("end"))
     else:
         above = _solved(up, together).select("conv", F.col("i").alias("up"), "start", "end")
     joined = grouped.join(above.withColumnRenamed("conv", "_conv").withColumnRenamed("up", "_up"), F.col("conv").eqNullSafe(F.col("_conv")) & (F.col("up") == F.col("_up")))
@@ -183,8 +184,8 @@ def repair(turns: DataFrame, chunk: int = CHUNK, conv_col: str = "conv_id", turn
 
     action is keep, relabel, merge or relabel+merge; inserted names the empty turns before this one; piece is
     the turn's part of the rendered conversation, in which the last one closes it, with empty turns if need
-    be. Turns stand in the order of turn, role and text, nulls last; equal rows are turns of their own.
-    Unknown and null roles are relabelled; null texts are empty; rows with a null conversation form one
+    be. Turns stand in the order of turn and role, nulls last, and then of the texts' hashes; equal rows are
+    turns of their own. Unknown and null roles are relabelled; null texts are empty; rows with a null conversation form one
     conversation. An empty table gives no rows; extra columns are ignored.
     """
     for_python(turns.sparkSession)
@@ -194,7 +195,7 @@ def repair(turns: DataFrame, chunk: int = CHUNK, conv_col: str = "conv_id", turn
     several = chunks.groupBy("conv_id").agg(F.count("*").alias("n"), F.min(F.struct("part", "no")).alias("first")).filter("n > 1").select(F.col("conv_id").alias("conv"), "n")
     cut = chunks.select("conv_id", "part", "no", "m").join(several, F.col("conv_id").eqNullSafe(F.col("conv")), "left_semi")
     cut = written(_numbered(cut))
-    states = _solved(cut.select(F.col("conv_id").alias("conv"), "i", "m"), chunk) if not cut.isEmpty() else None
+    states = _solved(cut.select(F.col("conv_id").alias("conv"), "i", "m"), max(2, chunk)) if not cut.isEmpty() else None
     if states is not None:
         placed = cut.join(states.withColumnRenamed("i", "_i"), F.col("conv_id").eqNullSafe(F.col("conv")) & (F.col("i") == F.col("_i"))).select(F.col("part").alias("_part"), F.col("no").alias("_no"), "start", "end", "last")
         chunks = chunks.join(placed, (F.col("part") == F.col("_part")) & (F.col("no") == F.col("_no")), "left")
