@@ -27,6 +27,8 @@ WEIGHTS = (5.0, 2.0, 1.0)
 GOLDEN = 0.6180339887498949
 #: Documents and slots that one bucket holds, about.
 _IN_BUCKET = 4096
+#: Slots of a file of mixed documents, about.
+_IN_FILE = 65536
 
 
 def words(text: str | Column = "text") -> Column:
@@ -35,7 +37,7 @@ def words(text: str | Column = "text") -> Column:
 
 
 def targets(sources: DataFrame, share: float = SHARE, epochs: int = EPOCHS, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
-    """``sources`` (source, source_size) with weight and target.
+    """``sources`` (source, source_size) with weight and target; one row per source, in one task.
 
     Sources by code point, null last, weigh ``weights`` in turn and share ``share`` of all sizes; no target
     exceeds ``epochs`` times its source's size. A source is full once the level L, words per unit of weight,
@@ -96,9 +98,10 @@ def schedule(sources: DataFrame, block: int = BLOCK) -> DataFrame:
     return ranked.unionByName(late)
 
 
-def _digest(id_col: str, text_col: str) -> Column:
-    """What documents are shuffled by."""
-    return F.md5(F.concat_ws("|", F.col(id_col).cast("string"), F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))))
+def _digest(id_col: str, text_col: str, source_col: str) -> Column:
+    """What documents are shuffled by. Rows that agree in id, source and text are alike to the mix."""
+    own = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (id_col, source_col)]
+    return F.md5(F.concat_ws("|", *own, F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))))
 
 
 def mix(
@@ -119,7 +122,7 @@ def mix(
     size 0 and are never taken; a null source is a source of its own; rows that repeat an id are documents
     of their own. An empty table gives two empty ones. Extra columns are ignored.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), words(text_col).alias("size"), _digest(id_col, text_col).alias("h"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), words(text_col).alias("size"), _digest(id_col, text_col, source_col).alias("h"))
     rows = written(rows)
     sources = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("source_rows")).drop("source_rows"), share, epochs, weights)
     counts = rows.groupBy("source").agg(F.count("*").alias("n")).withColumnRenamed("source", "_source")
@@ -140,32 +143,46 @@ def mix(
     return sized, mixed.select("slot", "source_no", "at", "h", "doc_id", "epoch", "first", "words")
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """The documents of the mix, with the columns of ``docs``: a row for each pass over a document.
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = SHARE, block: int = BLOCK, **how) -> DataFrame:
+    """The documents of the mix, with the columns of ``docs``: a row for each pass over a document, in the order of the schedule.
 
-    Where a source's target ends within a document, the text is cut to the words that are taken.
+    A document stands where the first of its blocks does: partitions, and so files, hold consecutive stretches of
+    slots, sorted. Where a source's target ends within a document, the text is cut to the words that are taken.
+    Null and blank texts are never taken. Rows that agree in id, source and text, whatever their other columns
+    hold, are each taken as often as the mix takes them, with the columns of the first by all columns' values. An
+    empty table gives no rows; no other column's name matters.
     """
-    sized, mixed = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, **how)
-    taken = mixed.groupBy("source_no", "at", "h", "epoch").agg(F.sum("words").alias("__taken")).select(F.col("h").alias("__h"), "__taken")
-    texts = docs.withColumn("__digest", _digest(id_col, text_col)).dropDuplicates(["__digest"])
-    both = texts.hint("merge").join(taken, F.col("__digest") == F.col("__h"))
-    cut = F.array_join(F.slice(F.regexp_extract_all(text_col, F.lit(WORD), F.lit(0)), 1, F.col("__taken").cast("int")), " ")
-    text = F.when(F.col("__taken") < words(text_col), cut).otherwise(F.col(text_col))
-    return both.withColumn(text_col, text).select(*docs.columns)
+    spark = docs.sparkSession
+    sized, mixed = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, share=share, block=block, **how)
+    taken = mixed.groupBy("source_no", "at", "h", "epoch").agg(F.sum("words").alias("taken"), F.min("slot").alias("slot")).select("h", "taken", "slot")
+    # Below one name the columns of ``docs`` clash with none.
+    rows = docs.select(F.struct(*docs.columns).alias("row"), _digest(id_col, text_col, source_col).alias("digest"))
+    texts = rows.withColumn("nth", F.row_number().over(Window.partitionBy("digest").orderBy("row"))).filter("nth = 1")
+    both = texts.hint("merge").join(taken, F.col("digest") == F.col("h"))
+    own = F.col("row").getField(text_col)
+    cut = F.array_join(F.slice(F.regexp_extract_all(own, F.lit(WORD), F.lit(0)), 1, F.col("taken").cast("int")), " ")
+    text = F.when(F.col("taken") < words(own), cut).otherwise(own)
+    slots = int(share * (sized.agg(F.sum("size")).first()[0] or 0) / block) + 1
+    n = max(partitions(spark), slots // _IN_FILE + 1)
+    part = F.least(F.floor(F.col("slot") * F.lit(n) / slots), F.lit(n - 1)).cast("int")
+    placed = both.select("row", text.alias("text"), "slot", "h", part.alias("part")).repartitionById(n, F.col("part")).sortWithinPartitions("slot", "h")
+    return placed.select(*[(F.col("text") if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the mix takes of every document."""
+    """What the mix takes of every document, and in which slots: the first, the last and how many blocks."""
     sized, mixed = mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    taken = mixed.groupBy("source_no", "at").agg(F.sum("words").alias("taken"))
-    got = F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(0).cast("long")
-    return sized.join(taken, ["source_no", "at"], "left").select("doc_id", "size", "source_size", "target", got.alias("taken"))
+    taken = mixed.groupBy("source_no", "at").agg(F.sum("words").alias("taken"), F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot"), F.count("*").alias("n_blocks"))
+    # Documents of size 0 share their place with the one behind them and are never taken.
+    own = lambda c: F.when(F.col("size") > 0, F.col(c))
+    zero = lambda c: F.coalesce(own(c), F.lit(0)).cast("long").alias(c)
+    return sized.join(taken, ["source_no", "at"], "left").select("doc_id", "size", "source_size", "target", zero("taken"), own("first_slot").alias("first_slot"), own("last_slot").alias("last_slot"), zero("n_blocks"))
 
 
 OP7_SQL = r"""
 with d as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size,
-         md5(concat_ws('|', cast(doc_id as varchar), md5(coalesce(text, '')))) as h
+         md5(concat_ws('|', coalesce(cast(doc_id as varchar), ''), coalesce(source, ''), md5(coalesce(text, '')))) as h
   from documents),
 s as (
   select source, cast(sum(size) as bigint) as source_size, row_number() over (order by source nulls last) as no
@@ -177,14 +194,37 @@ l as (
   select *, (1.5::double * (select sum(source_size) from s) - coalesce(sum(lim) over b, 0)) / (sum(weight) over () - coalesce(sum(weight) over b, 0)) as level
   from w window b as (order by lim / weight, source nulls last rows between unbounded preceding and 1 preceding)),
 t as (
-  select source, source_size,
+  select no, source, source_size,
          least(lim, coalesce((select max(level) from l where level <= lim / weight) * weight, lim)) as target
   from l),
 p as (
-  select d.doc_id, d.size, t.source_size, t.target,
+  select t.no, d.doc_id, d.size, t.source_size, t.target,
          coalesce(sum(d.size) over (partition by d.source order by h, d.doc_id rows between unbounded preceding and 1 preceding), 0) as pos
-  from d join t on d.source is not distinct from t.source)
+  from d join t on d.source is not distinct from t.source),
+c as (select no, cast(ceil(target / 128) as bigint) as blocks, sum(target) over (order by no) / sum(target) over () as high from t where target > 0),
+b as (select *, coalesce(lag(high) over (order by no), 0.0::double) as low from c),
+n as (select coalesce(cast(sum(blocks) as bigint), 0) as slots from c),
+x as (select i as slot, (i + 0.5::double) * 0.6180339887498949::double as x from range((select slots from n)) g(i)),
+k as (
+  select slot, no, rank from (
+    select slot, no, blocks, row_number() over (partition by no order by slot) - 1 as rank
+    from x join b on x - floor(x) >= low and x - floor(x) < high)
+  where rank < blocks),
+late as (
+  select (select slots from n) + row_number() over (order by no, rank) - 1 as slot, no, rank
+  from (select no, unnest(range(coalesce((select count(*) from k where k.no = b.no), 0), blocks)) as rank from b)),
+z as (select * from k union all select * from late),
+e as (
+  select *, row_number() over () as r,
+         least(pos + size, floor(target)) as end0, least(pos + source_size + size, floor(target)) as end1, pos + source_size as pos1
+  from p),
+q as (
+  select r, no, min(a) as a, max(o) as o, sum(o - a + 1) as n from (
+    select r, no, cast(pos // 128 as bigint) as a, cast(end0 - 1 as bigint) // 128 as o from e where size > 0 and pos < end0
+    union all
+    select r, no, cast(pos1 // 128 as bigint), cast(end1 - 1 as bigint) // 128 from e where size > 0 and pos1 < end1)
+  group by r, no)
 select doc_id, size, source_size, target,
-       cast(greatest(0, least(pos + size, floor(target)) - pos) + greatest(0, least(pos + source_size + size, floor(target)) - pos - source_size) as bigint) as taken
-from p
+       cast(greatest(0, end0 - pos) + greatest(0, end1 - pos1) as bigint) as taken, f.slot as first_slot, g.slot as last_slot, cast(coalesce(n, 0) as bigint) as n_blocks
+from e left join q using (r) left join z f on f.no = q.no and f.rank = q.a left join z g on g.no = q.no and g.rank = q.o
 """
