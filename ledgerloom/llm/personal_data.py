@@ -1,24 +1,28 @@
 """Personal data by candidates and boosted trees.
 
-Wide generators propose spans that overlap freely: whatever looks like a number in groups or has an @ in
-it. Boosted trees judge each by its format and its context. They are fitted on the corpus itself: a
-candidate counts as personal where it covers a span that the strict patterns and their check digits
-confirm, and those checks are no features, so that the trees carry the judgement over to spans that only
-look alike. The threshold comes from held-out documents. Strict spans always stay. All of it is DataFrame
-expressions; what reaches the driver is a table of counted feature vectors, bounded by their bins.
+Wide generators propose spans that overlap freely: whatever looks like a number, a group of numbers or an
+address. Boosted trees judge each by its format and its context. They are fitted on a seed of labelled examples
+that is drawn by rule from stated formats and cues, both of personal data and of what looks like it (dates, book
+and order numbers, amounts, versions), never on what the strict patterns find. The threshold comes from held-out
+seeds. Of a chain of overlapping candidates the generator of the best one stays; strict spans always stay and
+nothing overlaps them. All of it is DataFrame operations: candidates are rows, and chains are told by a sweep
+over each document's sorted spans.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.boosting import Boosted, threshold
+from ledgerloom.llm.shared import written
 
 KINDS = ("email", "ip", "card", "phone")
-ADDED = ("number", "address")
+ADDED = ("number", "group", "address")
 PRECISION = 0.95
+#: Labelled examples that the trees are fitted on and calibrated with.
+SEEDS = 6000
 #: The strict patterns, rewritten so that no text takes more than a few steps a character: runs are entered
 #: at their start alone (or where the last match ended) and never given back. They match what these do:
 #: [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+; [0-9]+(\.[0-9]+){3}; [0-9]([ -]?[0-9])+ with 16 to 19
@@ -28,7 +32,8 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}",
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,18}(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "number": r"(?<![0-9A-Za-z_+(])[+(]{0,2}[0-9](?:[\x20().\-/]{0,2}[0-9]){6,24}(?![0-9A-Za-z_])",
+    "number": r"(?<![0-9A-Za-z_+(])[+(]{0,2}[0-9](?:[\x20().\-/]{0,3}[0-9]){6,24}(?![0-9A-Za-z_])",
+    "group": r"(?<![0-9A-Za-z_])[0-9]{1,6}+(?:[\x20\-][0-9]{2,6}+){1,5}+(?![0-9A-Za-z_])",
     "address": r"(?<![^\s<>()\[\]\",;:])[^\s<>()\[\]\",;:@]{1,64}+(?:@|\s?\(at\)\s?)[^\s<>()\[\]\",;:@]{3,253}+",
 }
 #: Words of context, in the languages of the corpus, and their numbers as a feature.
@@ -36,15 +41,31 @@ CONTEXT = (
     (1, r"(?i)\b(phone|tel|telephone|call|mobile|fax|telefon|anruf|mobil|teléfono|llamar|téléphone|appel|portable)\b"),
     (2, r"(?i)\b(mail|e-mail|email|contact|kontakt|correo|courriel|write|adresse)\b"),
     (3, r"(?i)\b(card|visa|mastercard|credit|karte|tarjeta|carte|iban|account|konto|cuenta|compte)\b"),
-    (4, r"(?i)\b(ip|host|server|address|login)\b"),
-    (5, r"(?i)\b(isbn|issn|doi|order|version|page|bestellung|pedido|commande|art|no|nr)\b"),
+    (4, r"(?i)\b(ssn|social security|passport|ausweis|pasaporte|passeport)\b"),
+    (5, r"(?i)\b(isbn|issn|doi|order|version|page|bestellung|pedido|commande|art|no|nr|on|am|total|price|preis|precio|prix)\b"),
 )
+#: The formats of the seed: # stands for a digit, ? for a letter. ``always`` is personal, ``never`` is not, and ``cued`` is
+#: where a cue before it says so.
+FORMATS = (
+    ("always", "(###) ###-####"), ("always", "###-###-####"), ("always", "0## ### ## ##"), ("always", "0### / ######"), ("always", "8 (9##) ###-##-##"),
+    ("always", "0#.##.##.##.##"), ("always", "(0##) #### ####"), ("cued", "0##########"), ("cued", "##########"), ("cued", "### ### ###"), ("cued", "#######"),
+    ("cued", "## ## ## ## ##"), ("cued", "###-##-####"), ("cued", "#### ###### #####"), ("cued", "###-####"), ("cued", "#########"),
+    ("always", "????? (at) ????.???"), ("always", "???.???? (at) ?????.??"), ("always", "jörg.????@????.??"), ("always", "????@müller.??"), ("always", "?????.????é@????.???"), ("always", "???(at)????.??"),
+    ("never", "20##-0#-1#"), ("never", "20##-0#-1# 1#:##"), ("never", "1#.0#.20##"), ("never", "0#/1#/20##"), ("never", "978-#-##-######-#"), ("never", "# ### ### ###"), ("never", "### ###.##"),
+    ("never", "#.#.##.####"), ("never", "################"), ("never", "####################"), ("never", "19## - 20##"), ("never", "20## 20## 20##"), ("never", "##.###### ##.######"), ("never", "#######.##"),
+    ("never", "#### #### #### ####"), ("never", "####-####"), ("never", "##-##-##-##"), ("never", "@???????"), ("never", "??? @???? ???"), ("never", "#@###"), ("never", "??@??"),
+)
+#: Words before a seed: those that speak of personal data, and others. The first empty ones are as likely as all others are.
+PERSONAL_CUES = ("phone", "call me at", "Tel.", "my mobile:", "fax", "Telefon", "llamar al teléfono", "téléphone", "account", "Konto", "SSN", "passport", "contact", "card")
+OTHER_CUES = ("", "", "", "and the", "ISBN", "order", "total", "page", "version", "on", "price", "of about", "in the year", "see", "Bestellung Nr")
+TAILS = ("", ".", ", ok", " and", ")", ";", " / 555-012-3456")
 _BLOCK = 512
 _NO_SPANS = "cast(array() as array<struct<v:string,s:bigint,e:bigint>>)"
+_NO_CANDIDATES = "cast(array() as array<struct<v:string,s:bigint,e:bigint,b:string,a:string>>)"
 
 
-def with_matches(rows: DataFrame, name: str, pattern: str, needs: str | None = None) -> DataFrame:
-    """``rows`` with the column ``name``: each match of ``pattern`` in the column text, its start and its end.
+def with_matches(rows: DataFrame, name: str, pattern: str, needs: str | None = None, around: bool = False) -> DataFrame:
+    """``rows`` with the column ``name``: each match of ``pattern`` in the column text, its start and its end, and what is ``around`` it up to the next match: b, 24 characters before, and a, one behind.
 
     A text is matches and the gaps between them, so starts are running sums of both lengths; the sums are
     taken in blocks, as a single running sum of an array would copy it once for each element.
@@ -58,8 +79,12 @@ def with_matches(rows: DataFrame, name: str, pattern: str, needs: str | None = N
     rows = rows.withColumn(b, F.expr(f"if(size({m}) = 0, null, transform(sequence(0, (size({m}) - 1) div {_BLOCK}), j -> {total % (d, f'cast(j as int) * {_BLOCK} + 1', _BLOCK)}))"))
     # The blocks' sums are named twice below, so that they are computed once a row and not moved into the loop.
     start = f"{total % (b, 1, f'cast(i div {_BLOCK} as int)')} + {total % (d, f'cast(i div {_BLOCK} as int) * {_BLOCK} + 1', f'i % {_BLOCK}')} + length({g}[i])"
-    spans = f"transform(transform({m}, (v, i) -> named_struct('v', v, 's', {start})), x -> named_struct('v', x.v, 's', x.s, 'e', x.s + length(x.v)))"
-    return rows.withColumn(name, F.expr(f"if(size({m}) = 0 or size({b}) = 0, {_NO_SPANS}, {spans})")).drop(m, g, d, b)
+    more, shown, kind = "", "", _NO_SPANS
+    if around:
+        more = f", 'b', right({g}[i], 24), 'a', left({g}[i + 1], 1)"
+        shown, kind = ", 'b', x.b, 'a', x.a", _NO_CANDIDATES
+    spans = f"transform(transform({m}, (v, i) -> named_struct('v', v, 's', {start}{more})), x -> named_struct('v', x.v, 's', x.s, 'e', x.s + length(x.v){shown}))"
+    return rows.withColumn(name, F.expr(f"if(size({m}) = 0 or size({b}) = 0, {kind}, {spans})")).drop(m, g, d, b)
 
 
 def _sound(kind: str) -> str:
@@ -76,65 +101,87 @@ def _sound(kind: str) -> str:
 
 
 def _features() -> str:
-    """Binned features of a candidate ``x`` in the column text: format first, then context."""
-    digits = "length(regexp_replace(x.v, '[^0-9]', ''))"
-    marks = "length(regexp_replace(x.v, '[^ ()/-]', ''))"
-    before, after = "substring(text, greatest(cast(x.s as int) - 23, 1), least(24, cast(x.s as int)))", "substring(text, cast(x.e as int) + 1, 1)"
-    words = " ".join(f"when {before} rlike r'{p}' then {n}" for n, p in CONTEXT)
+    """Binned features of a candidate (columns k, v, b, a): format first, then context."""
+    words = " ".join(f"when b rlike r'{p}' then {n}" for n, p in CONTEXT)
+    # Lengths of the runs of digits, by position, tell formats apart.
     return f"""array(
-      x.k, least({digits}, 20), least({marks}, 4), cast(x.v like '+%' as int), cast(x.v like '%(%' as int),
-      least(length(regexp_replace(x.v, '[^.]', '')), 4), cast(x.v rlike '@.*[.][A-Za-z]' as int), cast(x.v rlike '^[ -~]*$' as int),
-      case {words} else 0 end, case when {after} = '' then 0 when {after} rlike '[A-Za-z0-9]' then 2 else 1 end)"""
+      k, least(length(regexp_replace(v, '[^0-9]', '')), 20), least(regexp_count(v, '[0-9]+'), 7), least(length(regexp_extract(v, '^[^0-9]*([0-9]+)', 1)), 8),
+      least(length(regexp_extract(v, '([0-9]+)[^0-9]*$', 1)), 8), least(length(regexp_replace(v, '[^ ()/-]', '')), 5), cast(v like '%(%' as int), cast(v like '%-%' as int), cast(v like '%/%' as int),
+      least(length(regexp_replace(v, '[^.]', '')), 4), cast(v rlike '^[(]?0' as int), cast(v rlike '^(19|20)[0-9][0-9]([^0-9]|$)' as int), cast(v rlike '[^0-9](19|20)[0-9][0-9]$' as int), cast(v like '978%' as int),
+      case when v rlike '([(]at[)]|@).*[.][a-z]' then 2 when v rlike '@' then 1 else 0 end, cast(v rlike '^[ -~]*$' as int),
+      case {words} else 0 end, case when a = '' then 0 when a rlike '[A-Za-z0-9]' then 2 else 1 end)"""
 
 
-def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text, ``strict`` (array of kind, s, e) and ``wide`` (array of v, s, e, k, f: generator, features; y: covers a strict span)."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    for kind, needs in zip((*KINDS, *ADDED), ("@", ".", None, "+", None, None), strict=True):
+def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, ``keep``, ``strict`` (array of kind, s, e) and ``wide`` (array of k, the generator's number, v, s, e, b, a)."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *keep)
+    for kind, needs in zip(KINDS, ("@", ".", None, "+"), strict=True):
         rows = with_matches(rows, kind, PATTERNS[kind], needs)
+    for kind in ADDED:
+        rows = with_matches(rows, kind, PATTERNS[kind], around=True)
     strict = ", ".join(f"transform(filter({k}, x -> {_sound(k)}), x -> named_struct('kind', '{k}', 's', x.s, 'e', x.e))" for k in KINDS)
-    rows = rows.withColumn("strict", F.expr(f"concat({strict})"))
-    wide = ", ".join(f"transform({g}, x -> named_struct('v', x.v, 's', x.s, 'e', x.e, 'k', {i}))" for i, g in enumerate(ADDED))
-    rows = rows.withColumn("wide", F.expr(f"concat({wide})"))
-    # Named twice, the strict spans are computed once a row; named once, they would be moved into the loop.
-    covers = "size(strict) > 0 and exists(strict, b -> b.s < x.e and x.s < b.e and b.e - b.s >= 0.8 * (x.e - x.s))"
-    return rows.select("doc_id", "text", "strict", F.expr(f"transform(wide, x -> named_struct('v', x.v, 's', x.s, 'e', x.e, 'k', x.k, 'f', {_features()}, 'y', {covers}))").alias("wide"))
-
-
-def trained(found: DataFrame, precision: float = PRECISION) -> tuple[Boosted | None, float]:
-    """The trees and the threshold, from counted features; a third of the documents, by a hash, is held out."""
-    each = found.select(F.pmod(F.xxhash64("doc_id"), F.lit(3)).alias("part"), F.explode("wide").alias("x")).select((F.col("part") == 0).alias("held"), "x.f", "x.y")
-    counts = each.groupBy("held", "f").agg(F.sum(F.col("y").cast("long")).alias("p"), F.count("*").alias("n")).collect()
+    wide = ", ".join(f"transform({g}, x -> named_struct('k', {i}, 'v', x.v, 's', x.s, 'e', x.e, 'b', x.b, 'a', x.a))" for i, g in enumerate(ADDED))
+    return rows.select("doc_id", *keep, F.expr(f"concat({strict})").alias("strict"), F.expr(f"concat({wide})").alias("wide"))
+
+
+def seeds(spark: SparkSession, n: int = SEEDS) -> DataFrame:
+    """Labelled examples: doc_id, text, where in it the value stands (vs, ve), and whether it is personal (y); by hashes of their numbers."""
+    listed = lambda x: F.array(*map(F.lit, x))
+    of = lambda x, seed: F.element_at(listed(x), (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(len(x))) + 1).cast("int"))
+    rows = spark.range(0, n, 1, 1).select("id", of([f for f, _ in FORMATS], 1).alias("label"), of([f for _, f in FORMATS], 1).alias("format"), of([0, 1], 2).alias("cued"), of(PERSONAL_CUES, 3).alias("cue"), of(OTHER_CUES, 4).alias("other"), of(TAILS, 5).alias("tail"))
+    drawn = "case c when '#' then cast(pmod(xxhash64(id, i, 6), 10) as string) when '?' then substring('abcdefghijklmnopqrstuvwxyz', cast(pmod(xxhash64(id, i, 7), 26) as int) + 1, 1) else c end"
+    rows = rows.withColumn("value", F.expr(f"array_join(transform(split(format, ''), (c, i) -> {drawn}), '')"))
+    before = F.when(F.col("cued") == 1, F.col("cue")).otherwise(F.col("other"))
+    rows = rows.withColumn("before", F.concat(F.lit("so "), before, F.lit(" ")))
+    y = (F.col("label") == "always") | ((F.col("label") == "cued") & (F.col("cued") == 1))
+    vs = F.length("before").cast("long")
+    return rows.select(F.col("id").alias("doc_id"), F.concat("before", "value", "tail").alias("text"), vs.alias("vs"), (vs + F.length("value")).alias("ve"), y.alias("y"))
+
+
+def trained(spark: SparkSession, precision: float = PRECISION, n: int = SEEDS) -> tuple[Boosted, float]:
+    """The trees and the threshold, from the counted features of the seeds' candidates; a third of the seeds, by a hash, is held out.
+
+    A candidate is personal where it and the value that it was drawn around overlap by four fifths of either. What
+    begins behind the value has no label.
+    """
+    found = candidates(seeds(spark, n), keep=("vs", "ve", "y"))
+    each = found.select((F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(3)) == 0).alias("held"), "vs", "ve", "y", F.inline("wide")).filter("s < ve")
+    personal = F.expr("y and least(e, ve) - greatest(s, vs) >= 0.8 * greatest(e - s, ve - vs)")
+    each = each.select("held", F.expr(_features()).alias("f"), personal.cast("long").alias("y"))
+    counts = each.groupBy("held", "f").agg(F.sum("y").alias("p"), F.count("*").alias("n")).collect()  # as many rows as there are seeds' candidates at most
     parts = {}
     for held in (False, True):
         rows = sorted((r["f"], r["p"], r["n"]) for r in counts if bool(r["held"]) == held)
         parts[held] = [np.asarray([r[k] for r in rows], float if k else int) for k in range(3)]
-    if not len(parts[False][0]) or not len(parts[True][0]):
-        return None, float("inf")
-    model = Boosted.fitted(*parts[False])
-    x, p, n = parts[True]
-    return model, threshold(model.score(x), p, n, precision)
+    model = Boosted.fitted(*parts[False], rounds=40)
+    x, p, total = parts[True]
+    return model, threshold(model.score(x), p, total, precision)
 
 
 def find_personal_data(docs: DataFrame, precision: float = PRECISION, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, text and ``spans``, an array of (kind, start, end, score).
+    """One row per row of ``docs``: doc_id and ``spans``, an array of (kind, start, end, score).
 
-    Strict spans have score 1. Added ones pass the threshold, touch no strict span and no added one of a
-    higher score (ties: the earlier, then the longer). Null texts count as empty; repeated rows are searched
-    each for itself; where there is nothing to learn from, strict spans alone are found; an empty table
-    gives no rows; other columns are ignored.
+    Strict spans come first, by kind, with score 1; added ones by start, with their calibrated model's probability.
+    These pass the threshold and overlap no strict span and none of their own. Null texts count as empty; repeated
+    rows are searched each for itself, with or without an id; an empty table gives no rows; other columns are ignored.
     """
-    found = candidates(docs, id_col, text_col)
-    model, least = trained(found, precision)
-    strict = "transform(strict, x -> named_struct('kind', x.kind, 'start', x.s, 'end', x.e, 'score', 1.0D))"
-    if model is None or least == float("inf"):
-        return found.select("doc_id", "text", F.expr(strict).alias("spans"))
-    odds = f"transform(wide, x -> named_struct('s', x.s, 'e', x.e, 'k', x.k, 'o', {model.sql('x.f')}))"
-    rows = found.withColumn("scored", F.expr(f"if(size(wide) = 0, null, filter({odds}, x -> x.o >= {least!r}D and not exists(strict, b -> b.s < x.e and x.s < b.e)))"))
-    better = "y.s < x.e and x.s < y.e and (y.o > x.o or y.o = x.o and (y.s < x.s or y.s = x.s and (y.e > x.e or y.e = x.e and y.k < x.k)))"
-    names = f"element_at(array({', '.join(map(repr, ADDED))}), x.k + 1)"
-    added = f"transform(filter(scored, x -> not exists(scored, y -> {better})), x -> named_struct('kind', {names}, 'start', x.s, 'end', x.e, 'score', 1.0D / (1.0D + exp(-x.o))))"
-    return rows.select("doc_id", "text", F.expr(f"if(scored is null, {strict}, concat({strict}, {added}))").alias("spans"))
+    model, least = trained(docs.sparkSession, precision)
+    found = written(candidates(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()))
+    each = found.filter("size(wide) > 0").select("row", F.inline("wide")).select("row", "k", "s", "e", F.expr(_features()).alias("f"))
+    scored = each.select("row", "k", "s", "e", F.expr(model.sql("f")).alias("o")).filter(F.col("o") >= least)
+    strict = found.select("row", F.inline("strict")).select("row", F.lit(-1).alias("k"), "s", "e", F.lit(0.0).alias("o"))
+    # A span begins a new chain where none before it in its document reaches it.
+    by = Window.partitionBy("row").orderBy("s", "e", "k")
+    swept = scored.unionByName(strict).withColumn("reach", F.max("e").over(by.rowsBetween(Window.unboundedPreceding, -1)))
+    swept = swept.withColumn("chain", F.sum(F.when(F.col("s") < F.col("reach"), 0).otherwise(1)).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    chain = Window.partitionBy("row", "chain")
+    swept = swept.withColumn("strict", F.min("k").over(chain) < 0).withColumn("best", F.max_by("k", F.struct("o", -F.col("s"), "e", -F.col("k"))).over(chain))
+    names = F.element_at(F.array(*map(F.lit, ADDED)), F.col("k") + 1)
+    stays = swept.filter("not strict and k = best").select("row", F.struct(F.col("s").alias("start"), names.alias("kind"), F.col("e").alias("end"), (1 / (1 + F.exp(-F.col("o")))).alias("score")).alias("x"))
+    added = stays.groupBy("row").agg(F.sort_array(F.collect_list("x")).alias("added"))
+    none = "cast(array() as array<struct<kind:string,start:bigint,end:bigint,score:double>>)"
+    spans = f"concat(transform(strict, x -> named_struct('kind', x.kind, 'start', x.s, 'end', x.e, 'score', 1.0D)), coalesce(transform(added, x -> named_struct('kind', x.kind, 'start', x.start, 'end', x.end, 'score', x.score)), {none}))"
+    return found.select("row", "doc_id", "strict").join(added, "row", "left").select("doc_id", F.expr(spans).alias("spans"))
 
 
 def span_columns() -> list[Column]:
