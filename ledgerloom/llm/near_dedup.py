@@ -1,9 +1,9 @@
 """Near duplicates by improved consistent weighted sampling.
 
-Documents are weighted sets of shingles of five words: damped term frequency times damped inverse document
-frequency, the latter counted over all documents for hashed shingles. Without the damping a large group of
-near copies would make its own shingles light and every edit in it heavy, and so tear itself apart. Consistent weighted samples of these sets
-(Ioffe 2010) agree with the probability of the sets' weighted Jaccard similarity. Bands of samples propose
+Documents are weighted sets of shingles of five words: damped term frequency times inverse document frequency,
+the latter counted over all documents for hashed shingles and kept between two thirds and one. Without that floor
+a large group of near copies would make its own shingles light and every edit in it heavy, and so tear itself
+apart. Consistent weighted samples of these sets (Ioffe 2010) agree with the probability of the sets' weighted Jaccard similarity. Bands of samples propose
 pairs, and the exact weighted Jaccard similarity of the two texts decides.
 
 Within a band's bucket each text is first held against two pivots of the bucket. Buckets of two neighbouring
@@ -33,7 +33,7 @@ ROWS = 3
 BUCKETS = 1 << 18
 #: Share of the documents up to which a shingle has full weight, and the weight of the most common ones.
 RARE = 0.001
-LEAST_IDF = 0.9
+LEAST_IDF = 2 / 3
 #: Texts of a bucket that make a side of a block, about.
 BLOCK = 128
 
@@ -169,13 +169,13 @@ def inverse_frequencies(docs: DataFrame, width: int = WIDTH) -> np.ndarray:
 
 
 def _signed(docs: DataFrame, idf, bands: int, rows: int, width: int) -> DataFrame:
-    """doc_id, key and ``bands``: the hashes of each band and of each two neighbours; empty without words."""
+    """row, doc_id, key and ``bands``: the hashes of each band and of each two neighbours; empty without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = idf.value
         for batch in batches:
             found: list[list[int]] = [[] for _ in range(batch.num_rows)]
-            for at, sets in _grouped([t or "" for t in batch.column(2).to_pylist()], table, width):
+            for at, sets in _grouped([t or "" for t in batch.column(3).to_pylist()], table, width):
                 s = samples(sets, bands * rows).reshape(len(sets), bands, rows)
                 one = np.zeros(s.shape[:2], np.uint64)
                 for k in range(rows):
@@ -184,15 +184,15 @@ def _signed(docs: DataFrame, idf, bands: int, rows: int, width: int) -> DataFram
                 two = _mixed(one * np.uint64(3) + np.roll(one, -1, axis=1))
                 for i, b in zip(at, np.concatenate([one, two], axis=1).view(np.int64).tolist(), strict=True):
                     found[i] = b
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "key", "bands"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.list_(pa.int64()))], names=["row", "doc_id", "key", "bands"])
 
-    return docs.select("doc_id", "key", "text").mapInArrow(run, "doc_id long, key binary, bands array<long>")
+    return docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "key", "text").mapInArrow(run, "row long, doc_id long, key binary, bands array<long>")
 
 
 def _proposed(reps: DataFrame) -> DataFrame:
     """Pairs (a, b) of texts that share a bucket, each text with its bucket's two pivots."""
     rows = reps.select("rep", F.explode("bands").alias("bucket"))
-    # An id, mixed with its bucket, takes another place in each bucket's order, and can be got back.
+    # A text's number, mixed with its bucket, takes another place in each bucket's order, and can be got back.
     mixed = F.col("rep").bitwiseXOR(F.col("bucket"))
     pivots = rows.groupBy("bucket").agg(F.min(mixed).alias("p"), F.max(mixed).alias("q")).filter("p <> q")
     pivots = pivots.select("bucket", F.explode(F.array(F.col("p").bitwiseXOR(F.col("bucket")), F.col("q").bitwiseXOR(F.col("bucket")))).alias("pivot"))
@@ -255,12 +255,12 @@ def _open_members(reps: DataFrame, links: DataFrame, bands: int) -> DataFrame:
     In a bucket of three each text has met both others as pivots.
     """
     own = F.slice("bands", 1, bands)
-    rooted = reps.filter("rep is not null").join(links, F.col("rep") == F.col("node"), "left").select("key", "rep", F.coalesce("root", "rep").alias("root"), own.alias("sig"))
-    rows = rooted.select("key", "rep", "root", F.posexplode("sig").alias("band", "bucket"))
+    rooted = reps.join(links, F.col("rep") == F.col("node"), "left").select("rep", F.coalesce("root", "rep").alias("root"), own.alias("sig"))
+    rows = rooted.select("rep", "root", F.posexplode("sig").alias("band", "bucket"))
     per_root = rows.groupBy("bucket", "root").agg(F.count("*").alias("n"))
     per_bucket = per_root.groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("most"), F.count("*").alias("roots"))
     unsettled = per_bucket.filter("n > 3 and roots > 1").select("bucket", F.col("most.root").alias("main"), F.col("most.n").alias("n_main"), (F.col("n") - F.col("most.n")).alias("n_rest"))
-    return rows.join(unsettled, "bucket").join(rooted.select("key", "sig"), "key").drop("key")
+    return rows.join(unsettled, "bucket").join(rooted.select("rep", "sig"), "rep")
 
 
 def _blocks(members: DataFrame, block: int) -> DataFrame:
@@ -299,9 +299,14 @@ def _block_links(members: DataFrame, texts: DataFrame, idf, similarity: float, w
 
 
 def _texts(table: DataFrame, reps: DataFrame, needed: DataFrame) -> DataFrame:
-    """rep and text of the ``needed`` reps."""
-    rows = table.withColumnRenamed("doc_id", "rep").hint("merge").join(needed.select("rep").distinct(), "rep", "left_semi")
-    return rows.hint("merge").join(reps.select("key", "rep"), ["key", "rep"], "left_semi").groupBy("rep").agg(F.min("text").alias("text"))
+    """rep and text of the ``needed`` reps, from the first row that has the text."""
+    wanted = reps.hint("merge").join(needed.select("rep").distinct(), "rep").select("rep", F.col("key").alias("_key"), F.col("first.doc_id").alias("_id"))
+    return table.hint("merge").join(wanted, (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_id"))).groupBy("rep").agg(F.min("text").alias("text"))
+
+
+def _table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return rows.withColumn("key", F.unhex(F.md5("text")))
 
 
 def near_duplicates(
@@ -314,21 +319,24 @@ def near_duplicates(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """One row per row of ``docs``: doc_id and class_id, the smallest id among its near duplicates.
+    """One row per row of ``docs``: doc_id, key (of the text), class_id, the smallest id among its near duplicates, and kept.
 
-    Null texts count as empty. Equal texts share a class whatever they hold; texts without words are alike
-    only if equal. Rows that repeat an id each get a row and share a class, also where their texts differ.
-    Rows with a null id are compared for equality alone; without an equal text they have a null class. An empty table gives no rows; other columns are ignored. A pair of similarity s, at least
+    Texts alone decide. Null texts count as empty. Equal texts share a class whatever they hold; texts without words
+    are alike only if equal. Rows that repeat an id, or have none, are documents of their own; where different texts
+    share an id, two classes may have the same smallest id. A class whose rows all lack an id has a null one. ``kept``
+    is true for one row of each class: the first by id (nulls last), and of equal ids any one row of the text with
+    the smallest key. An empty table gives no rows; other columns are ignored. A pair of similarity s, at least
     ``similarity``, shares a bucket, and so a class, with probability 1 - (1 - s**rows)**bands: 0.9998 at 0.8.
     """
     spark = docs.sparkSession
     for_python(spark)
-    table = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    table = table.withColumn("key", F.unhex(F.md5("text")))
+    table = _table(docs, id_col, text_col)
     idf = spark.sparkContext.broadcast(inverse_frequencies(table, width))
     signed = written(_signed(table, idf, bands, rows, width))
-    reps = written(signed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands")))
-    pairs = written(_proposed(reps.filter("rep is not null")))
+    # Each different text once, with a number of its own and its first row.
+    first = F.struct(F.col("doc_id").isNull().alias("without"), "doc_id", "row")
+    reps = written(signed.groupBy("key").agg(F.min(first).alias("first"), F.any_value("bands").alias("bands")).withColumn("rep", F.monotonically_increasing_id()))
+    pairs = written(_proposed(reps))
     texts = _texts(table, reps, pairs.select(F.col("a").alias("rep")).unionByName(pairs.select(F.col("b").alias("rep"))))
     links = components(_verified(pairs, texts, idf, similarity, width))
     members = written(_open_members(reps, links, bands))
@@ -336,23 +344,25 @@ def near_duplicates(
         more = written(_block_links(members, _texts(table, reps, members), idf, similarity, width, block))
         if not more.isEmpty():
             links = components(links.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
-    classes = reps.select("key", "rep").join(links, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("root", "rep").alias("class_id"))
-    return signed.select("doc_id", "key").join(classes, "key").select("doc_id", "class_id")
+    rooted = reps.join(links, F.col("rep") == F.col("node"), "left").select("key", "first", F.coalesce("root", "rep").alias("root"))
+    least = rooted.groupBy("root").agg(F.min(F.struct("first.without", "first.doc_id", "key", "first.row")).alias("least"))
+    classes = rooted.join(least, "root").select("key", F.col("least.doc_id").alias("class_id"), F.col("least.row").alias("_kept"))
+    return signed.select("row", "doc_id", "key").join(classes, "key").select("doc_id", "key", "class_id", (F.col("row") == F.col("_kept")).alias("kept"))
 
 
-def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """The rows of ``docs`` that stand for their class: one row each, and every row with a null id.
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+    """The rows of ``docs`` that stand for their class, one each, with all columns.
 
-    Of rows that repeat the smallest id of a class the one with the least values stays.
+    A class keeps the text of its smallest id. Of rows that repeat that id and text the first by all columns stays.
     """
-    found = near_duplicates(docs, id_col=id_col, **how)
-    kept = found.filter("doc_id = class_id").select(F.col("doc_id").alias("__kept")).distinct()
-    rows = docs.hint("merge").join(kept, F.col(id_col).cast("long") == F.col("__kept"), "left_semi")
-    first = F.row_number().over(Window.partitionBy(id_col).orderBy(*[c for c in docs.columns if c != id_col]))
-    return rows.withColumn("__nth", first).filter("__nth = 1").drop("__nth").unionByName(docs.filter(F.col(id_col).isNull()))
+    kept = near_duplicates(docs, id_col=id_col, text_col=text_col, **how).filter("kept").select(F.col("key").alias("kept_key"), F.col("doc_id").alias("kept_id"))
+    # Below one name the columns of ``docs`` clash with none.
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("id"), F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))).alias("key"))
+    rows = keyed.hint("merge").join(kept, (F.col("key") == F.col("kept_key")) & F.col("id").eqNullSafe(F.col("kept_id")), "left_semi")
+    return rows.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("row"))).filter("nth = 1").select("row.*")
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The near-duplicate class of every document."""
+    """The near-duplicate class of every document, and whether it is the one that stays."""
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return found.select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.lit(True)).alias("kept"))
+    return found.select("doc_id", "class_id", "kept")
