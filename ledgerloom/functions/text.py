@@ -124,7 +124,7 @@ def detect_bank(c: str | Column) -> Column:
     c = _col(c)
     named = [F.when(c.rlike(f"(?iu){p}"), bank) for bank, p in V.BANKS]
     generic = F.lower(F.regexp_extract(c, V.GENERIC_BANK, 1))
-    return F.coalesce(*named, F.when((generic != "") & ~generic.isin(*V.NOT_BANKS), F.concat(F.upper(F.substring(generic, 1, 1)), F.substring(generic, 2, 1000))), F.lit(""))
+    return F.coalesce(*named, F.when((generic != "") & ~generic.isin(*V.NOT_BANKS), F.concat(F.upper(F.substring(generic, 1, 1)), F.substr(generic, F.lit(2)))), F.lit(""))
 
 
 def looks_like_receipt(c: str | Column) -> Column:
@@ -192,3 +192,77 @@ def consensus_amount(values: str | Column) -> Column:
     votes = F.transform(F.array_distinct(v), lambda x: F.struct((-F.size(F.filter(v, lambda y: y == x))).alias("n"), x.alias("x")))
     best = F.array_min(votes)
     return F.when(F.size(v) == 0, F.lit(0.0)).when(best["n"] <= -2, best["x"]).otherwise(F.element_at(v, F.greatest(F.expr("1"), ((F.size(v) + 1) / 2).cast("int"))))
+
+
+def parse_datetime(c: str | Column) -> Column:
+    """The time of a text in one of the known layouts; else null."""
+    t = trimmed(c)
+    return F.coalesce(*[F.when(t.rlike(shape), F.try_to_timestamp(t, F.lit(layout))) for layout, shape in V.DATE_LAYOUTS])
+
+
+def without_name(c: str | Column, name: str) -> Column:
+    """What is said to ``name``, in any case, at the beginning; a greeting if nothing is; null if it isn't addressed."""
+    t = trimmed(c)
+    n = len(name)
+    after = F.substring(t, n + 1, 1)
+    addressed = (F.lower(F.substring(t, 1, n)) == name.lower()) & ((after == "") | after.rlike("[ \t,:;!?.—-]"))
+    rest = F.regexp_replace(F.substr(t, F.lit(n + 1)), "^[ \t,:;!?.—-]+", "")
+    return F.when(addressed & F.lit(n > 0), F.when(rest == "", V.GREETING).otherwise(rest))
+
+
+def looks_like_silence(c: str | Column) -> Column:
+    """Whether a reply says that there is nothing to say."""
+    low = F.lower(_col(c))
+    return (F.length(low) <= V.SILENCE_LENGTH) & F.exists(F.lit(list(V.SILENCE)), lambda p: low.contains(p))
+
+
+def worth_a_word(c: str | Column, least: int = 6) -> Column:
+    """Whether a message is long enough to be answered unasked."""
+    return F.length(trimmed(c)) >= least
+
+
+def means_main_group(c: str | Column) -> Column:
+    return F.lower(trimmed(c)).isin(*V.MAIN_GROUP)
+
+
+def forward_source(c: str | Column) -> Column:
+    """``dm`` for private chats; null where a group is meant."""
+    return F.when(F.lower(trimmed(c)).isin(*V.PRIVATE_CHATS), "dm")
+
+
+def file_name(c: str | Column, most: int = 60) -> Column:
+    """A title as a safe file name."""
+    safe = F.left(F.regexp_replace(trimmed(c), r'[/\\:*?"<>|\n\t]', "_"), F.lit(most))
+    return F.when(safe == "", V.UNTITLED).otherwise(safe)
+
+
+def truncated(c: str | Column, most: int) -> Column:
+    """At most ``most`` bytes, with dots behind what is cut; a character that the cut parts is lost."""
+    c = _col(c)
+    cut = F.decode(F.substring(F.encode(c, "UTF-8"), 1, most), "UTF-8") if most else F.lit("")
+    return F.when(F.octet_length(c) <= most, c).otherwise(F.concat(F.regexp_replace(cut, "\ufffd+$", ""), F.lit("...")))
+
+
+def unclear_reason(kind: str | Column, amount: str | Column, recipient: str | Column) -> Column:
+    """Why an item is unclear, in words."""
+    kind, amount, recipient = _col(kind), _col(amount), _col(recipient)
+    named = F.concat(F.lit('получатель "'), recipient, F.lit('"'))
+    whole = F.bround(amount.cast("decimal(20,4)"), 0).cast("decimal(18,0)").cast("string")
+    return F.when(kind == "message", V.UNCLEAR_MESSAGE).when((amount == 0) & (recipient == ""), V.UNCLEAR_ALL).when(amount == 0, F.concat(named, F.lit(", сумма не распозналась"))).otherwise(F.concat(named, F.lit(" — незнакомое имя, "), whole, F.lit(" ₽")))
+
+
+def is_report_command(c: str | Column) -> Column:
+    return _col(c).isin(*V.REPORT_COMMANDS)
+
+
+def is_pdf(mime: str | Column, name: str | Column) -> Column:
+    return F.lower(_col(mime)).contains("pdf") | F.lower(_col(name)).endswith(".pdf")
+
+
+def has_digit(c: str | Column) -> Column:
+    return _col(c).rlike(r"\p{Nd}")
+
+
+def message_text(conversation: str | Column, extended: str | Column, caption: str | Column) -> Column:
+    """The text of a message: what was written, else the extended text if there is one at all, else the picture's caption."""
+    return F.coalesce(F.nullif(_col(conversation), F.lit("")), _col(extended), _col(caption), F.lit(""))

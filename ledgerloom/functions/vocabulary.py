@@ -163,3 +163,43 @@ FIELDS = (
     ("status", r"статус\s+операции"),
     ("status", r"статус"),
 )
+
+#: Replies that say nothing, by a phrase in them, and the length up to which a reply may be one.
+SILENCE = (
+    "нечего добавить", "добавить нечего", "нечего сказать", "сказать нечего",
+    "пустое сообщение", "без контекста", "нет контекста", "не по теме",
+    "не моя тема", "промолчу", "молчу", "не буду вмешиваться", "не вмешиваюсь",
+    "нет вопроса", "нет информации", "непонятно", "не могу помочь", "ничего добавить",
+    "нет повода", "воздержусь", "оставлю без", "не требуется", "нечего комментировать",
+)
+SILENCE_LENGTH = 120
+#: How the main group and private chats are called.
+MAIN_GROUP = (
+    "", "основная", "основную", "основной", "основная группа", "главная", "главную", "главная группа",
+    "основная группа учёта", "группа оплаты", "основную группу", "главную группу",
+)
+PRIVATE_CHATS = ("личка", "лс", "dm", "личные", "личные чаты", "личные сообщения")
+#: Commands for the monthly report, the greeting in place of an empty address, and the name of an untitled file.
+REPORT_COMMANDS = ("/отчет", "/отчёт", "/report", "/итог")
+GREETING = "Привет!"
+UNTITLED = "Отчёт"
+#: First names that are known without any table of aliases.
+BUILT_IN_ALIASES = {
+    "Пияна": ("пияна", "пиян"), "Хадижат": ("хадижат", "хадижа"), "Наличка": ("наличка", "нал"), "Ахмед": ("ахмед",),
+    "Милана": ("милана",), "Яхита": ("яхита",), "Нажуд": ("нажуд",), "Сафаи": ("сафаи",),
+}
+#: Layouts of a model's dates, as Spark patterns and the patterns of texts that they fit, in the order of trial.
+DATE_LAYOUTS = (
+    ("yyyy-MM-dd HH:mm:ss", r"^\d{4}-\d\d-\d\d \d\d:\d\d:\d\d$"),
+    ("yyyy-MM-dd HH:mm", r"^\d{4}-\d\d-\d\d \d\d:\d\d$"),
+    ("yyyy-MM-dd", r"^\d{4}-\d\d-\d\d$"),
+    ("yyyy-MM-dd'T'HH:mm:ss", r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d$"),
+    ("yyyy-MM-dd'T'HH:mm", r"^\d{4}-\d\d-\d\dT\d\d:\d\d$"),
+    ("yyyy-MM-dd'T'HH:mm:ssXXX", r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(Z|[+-]\d\d:\d\d)$"),
+    ("dd.MM.yyyy HH:mm:ss", r"^\d\d\.\d\d\.\d{4} \d\d:\d\d:\d\d$"),
+    ("dd.MM.yyyy HH:mm", r"^\d\d\.\d\d\.\d{4} \d\d:\d\d$"),
+    ("dd.MM.yyyy", r"^\d\d\.\d\d\.\d{4}$"),
+)
+#: What an unclear item is, by what is known of it.
+UNCLEAR_MESSAGE = "фото/файл без распознанной операции"
+UNCLEAR_ALL = "не распознались ни сумма, ни получатель"

@@ -1,8 +1,9 @@
 """Rules that depend on the order of events, in batch: duplicate receipts, held repeats of cash, pairing of names.
 
 Each is a fold over the events of one key in time. Originals beyond the window can't matter any more, so a
-fold carries the window's originals alone; keys are (group, client, amount) and stay small, and a key whose
-events are many is folded in one pass over its sorted rows, batch by batch.
+fold carries the window's originals alone, and a key's events fall into stretches that nothing links: where no
+event lies within a window's length. Stretches are folded apart, in as many tasks as there are; one is folded in
+one pass over its sorted rows, batch by batch.
 """
 
 from __future__ import annotations
@@ -17,13 +18,34 @@ from pyspark.sql import functions as F
 from ledgerloom.session import ship
 
 
-def _folded(rows: DataFrame, key: list[str], order: list[str], fold, schema: str, keep: list[str]) -> DataFrame:
+def stretches(rows: DataFrame, key: list[str], time: str, gap: int) -> DataFrame:
+    """``rows`` with ``stretch``: rows of one key in different stretches are more than ``gap`` apart.
+
+    Time is cut into cells as long as the gap; a stretch is a run of cells that hold events. Only the cells in use,
+    once each, are ordered by key, not the rows.
+    """
+    rows = rows.withColumn("_cell", F.floor(F.col(time) / F.lit(max(gap, 1))))
+    cells = rows.select(*key, "_cell").distinct()
+    by = Window.partitionBy(*key).orderBy("_cell")
+    begins = F.when(F.lag("_cell").over(by) == F.col("_cell") - 1, None).otherwise(F.col("_cell"))
+    cells = cells.withColumn("_begin", begins).withColumn("stretch", F.last("_begin", ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    named = cells.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(key)], F.col("_cell").alias("_c"), "stretch")
+    same = F.col("_cell") == F.col("_c")
+    for i, c in enumerate(key):
+        same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    return rows.join(named, same).select(*rows.columns, "stretch").drop("_cell")
+
+
+def folded(rows: DataFrame, key: list[str], order: list[str], fold, schema: str, keep: list[str], gap: int | None = None) -> DataFrame:
     """``fold`` makes a function from one row to its result for each new key; rows come by key and order.
 
-    Rows are dealt by key and sorted within partitions, so that a key is a stretch of its partition and is
-    never held in memory as a whole.
+    Rows are dealt by key, and stretch if a ``gap`` in units of the first of ``order`` is given, and sorted within
+    partitions, so that a key is a stretch of its partition and is never held in memory as a whole.
     """
     ship(rows.sparkSession)
+    if gap is not None:
+        rows = stretches(rows, key, order[0], gap)
+        key = [*key, "stretch"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, step = None, None
@@ -68,7 +90,7 @@ def duplicate_receipts(receipts: DataFrame, window_seconds: int = 300) -> DataFr
 
         return step
 
-    return _folded(rows, ["g", "who", "a"], ["s", "id"], fold, "id long, result boolean", ["id"]).withColumnRenamed("result", "is_copy")
+    return folded(rows, ["g", "who", "a"], ["s", "id"], fold, "id long, result boolean", ["id"], window_seconds).withColumnRenamed("result", "is_copy")
 
 
 def held_cash(transactions: DataFrame, groups: DataFrame, days: int = 30) -> DataFrame:
@@ -91,7 +113,7 @@ def held_cash(transactions: DataFrame, groups: DataFrame, days: int = 30) -> Dat
 
         return step
 
-    return _folded(rows, ["g", "who", "a"], ["d", "id"], fold, "id long, result boolean", ["id"]).withColumnRenamed("result", "held")
+    return folded(rows, ["g", "who", "a"], ["d", "id"], fold, "id long, result boolean", ["id"], days).withColumnRenamed("result", "held")
 
 
 def pair_names(events: DataFrame, ttl_seconds: int = 360, most: int = 20) -> DataFrame:
@@ -125,7 +147,7 @@ def pair_names(events: DataFrame, ttl_seconds: int = 360, most: int = 20) -> Dat
 
         return step
 
-    pairs = _folded(rows, ["grp", "sender"], ["s", "id"], fold, "id long, result string", ["id"]).filter("result is not null")
+    pairs = folded(rows, ["grp", "sender"], ["s", "id"], fold, "id long, result string", ["id"], ttl_seconds).filter("result is not null")
     found = pairs.select(F.split_part("result", F.lit("\t"), F.lit(1)).cast("long").alias("_id"), F.split_part("result", F.lit("\t"), F.lit(2)).alias("name"))
     return events.filter("kind = 'receipt'").select("id").join(found, F.col("id") == F.col("_id"), "left").select("id", "name")
 
@@ -148,13 +170,24 @@ def false_duplicates(receipts: DataFrame, window_seconds: int = 300) -> DataFram
 
 
 def promoted(receipts: DataFrame, deleted: DataFrame, window_seconds: int = 300) -> DataFrame:
-    """The newest live copy of each original whose message was revoked. ``deleted``: raw_message_id."""
+    """The newest live copy of each original whose message was revoked: original, id. ``deleted``: raw_message_id.
+
+    A copy has the original's group and its document, or its authorisation, or its client and amount within the
+    window: three joins on equal keys, united.
+    """
     group = F.coalesce("group_jid", F.lit(""))
     s = F.unix_seconds(F.col("tx_date").cast("timestamp"))
-    gone = receipts.filter("not is_duplicate").join(deleted, "raw_message_id", "left_semi").select(F.col("id").alias("original"), group.alias("g"), F.col("contact_id").alias("c"), F.col("amount").alias("a"), s.alias("s"))
-    copies = receipts.filter("is_duplicate and not ignored").join(deleted, "raw_message_id", "left_anti").withColumn("_g", group)
-    pairs = copies.join(gone, (F.col("_g") == F.col("g")) & (F.col("contact_id") == F.col("c")) & (F.col("amount") == F.col("a")) & (F.abs(s - F.col("s")) <= window_seconds))
-    newest = F.row_number().over(Window.partitionBy("original").orderBy(F.col("tx_date").desc(), F.col("id").desc()))
+    gone = receipts.filter("not is_duplicate and not ignored").join(deleted, "raw_message_id", "left_semi")
+    gone = gone.select(F.col("id").alias("original"), group.alias("g"), F.col("contact_id").alias("c"), F.col("amount").alias("a"), s.alias("s"), F.col("doc_number").alias("doc"), F.col("auth_code").alias("auth"))
+    copies = receipts.filter("is_duplicate and not ignored").join(deleted, "raw_message_id", "left_anti").withColumn("_g", group).withColumn("_s", s)
+    same = F.col("_g") == F.col("g")
+    ways = [
+        copies.filter("doc_number <> ''").join(gone, same & (F.col("doc_number") == F.col("doc"))),
+        copies.filter("auth_code <> ''").join(gone, same & (F.col("auth_code") == F.col("auth"))),
+        copies.join(gone, same & (F.col("contact_id") == F.col("c")) & (F.col("amount") == F.col("a")) & (F.abs(F.col("_s") - F.col("s")) <= window_seconds)),
+    ]
+    pairs = ways[0].unionByName(ways[1]).unionByName(ways[2])
+    newest = F.row_number().over(Window.partitionBy("original").orderBy(F.col("created_at").desc(), F.col("id").desc()))
     return pairs.withColumn("nth", newest).filter("nth = 1").select("original", "id")
 
 
@@ -183,3 +216,49 @@ def forwarded(events: DataFrame, rules: DataFrame) -> DataFrame:
     """What the rules send on. ``events``: wa_message_id, source, group; ``rules``: source, target_jid."""
     pairs = events.join(rules, "source").filter("target_jid <> grp")
     return pairs.select(F.concat_ws("-fwd-", "wa_message_id", F.split_part("target_jid", F.lit("@"), F.lit(1))).alias("wa_message_id"), F.col("target_jid").alias("grp"))
+
+
+def cash_photos(events: DataFrame, window_seconds: int = 600, most: int = 20) -> DataFrame:
+    """What pictures of cash say: id and result of each picture, and of each payment that one before it made cash.
+
+    ``events``: id, grp, sender, ts, kind (payment, name or photo), text (a name, or the photo's payer), amount, paired
+    (a payment that a receipt stands for, or cash already). A photo makes the sender's newest unpaired payment of the
+    window cash (``mark:id``); else it is a payment of its own, of its payer or of the first waiting name with an amount
+    (``record:name:amount``); else it waits for the next payment (``wait``), which becomes ``cash``.
+    """
+    rows = events.select("id", "grp", "sender", F.unix_seconds(F.col("ts").cast("timestamp")).alias("s"), "kind", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("amount").cast("double"), F.lit(0.0)).alias("amount"), F.coalesce("paired", F.lit(False)).alias("paired"))
+
+    def fold():
+        payments: deque = deque()
+        names: deque = deque(maxlen=most)
+        waits: list[int] = []
+
+        def photo(r) -> str:
+            while payments and r.s - payments[0][0] > window_seconds:
+                payments.popleft()
+            if payments:
+                return f"mark:{payments.pop()[1]}"
+            if r.text and r.amount > 0:
+                return f"record:{r.text}:{r.amount:g}"
+            for k, (s, name, amount) in enumerate(names):
+                if amount > 0 and r.s - s <= window_seconds:
+                    del names[k]
+                    return f"record:{name}:{amount:g}"
+            waits[:] = [r.s]
+            return "wait"
+
+        def step(r) -> str | None:
+            if r.kind == "photo":
+                return photo(r)
+            if r.kind == "name":
+                names.append((r.s, r.text, r.amount))
+                return None
+            waited = waits and r.s - waits[0] <= window_seconds
+            waits.clear()
+            if not waited and not r.paired:
+                payments.append((r.s, r.id))
+            return "cash" if waited else None
+
+        return step
+
+    return folded(rows, ["grp", "sender"], ["s", "id"], fold, "id long, result string", ["id"], window_seconds).filter("result is not null")

@@ -89,7 +89,7 @@ def parse_receipts(receipts: DataFrame, id_col: str = "id", text_col: str = "tex
     bank = F.when(bank != "", bank).otherwise(fn.detect_bank("text"))
     # Without a labelled recipient: the line below the words for an outgoing transfer.
     outgoing = F.array_position(F.transform(lines, lambda x: F.lower(x).contains("исходящий перевод")), True).cast("int")
-    below = F.get(F.filter(F.slice(lines, outgoing + 1, 100_000), lambda x: x != ""), 0)
+    below = F.get(F.filter(F.slice(lines, outgoing + 1, F.size(lines)), lambda x: x != ""), 0)
     unlabelled = (F.col("f.recipient") == "") & (outgoing > 0)
     recipient = F.when(F.col("f.recipient") != "", F.col("f.recipient")).when(unlabelled & fn.looks_like_fio(below), below).otherwise("")
     alone = r"(?iu)^(\d[\d\s.,]*)\s*(₽|руб\.?|р\.?)$"
@@ -130,3 +130,72 @@ def resolve_names(names: DataFrame, aliases: DataFrame) -> DataFrame:
     by_word = words.join(known, F.col("w") == F.col("alias")).groupBy("id").agg(F.min("canonical").alias("lo"), F.max("canonical").alias("hi"))
     rows = exact.join(by_word, "id", "left").withColumn("found", F.coalesce("exact", F.when(F.col("lo") == F.col("hi"), F.col("lo"))))
     return rows.select("id", F.coalesce("found", "raw").alias("canonical"), F.col("found").isNotNull().alias("matched"))
+
+
+def with_built_in(aliases: DataFrame) -> DataFrame:
+    """``aliases`` (alias, canonical) and the built-in ones; of an alias in both the given one holds."""
+    spark = aliases.sparkSession
+    known = [(a, c) for c, names in V.BUILT_IN_ALIASES.items() for a in names]
+    fixed = spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(a).alias("alias"), F.lit(c).alias("canonical")) for a, c in known])))
+    own = aliases.select("alias", "canonical")
+    return own.unionByName(fixed.join(own.select(F.lower("alias").alias("_own")).distinct(), F.col("alias") == F.col("_own"), "left_anti"))
+
+
+def caption_names(captions: DataFrame, extract=None, id_col: str = "id", text_col: str = "caption") -> DataFrame:
+    """id and name: the client that a picture's caption names, by ``extract`` (a column function, such as a model's) or else by its form."""
+    found = fn.client_name(text_col) if extract is None else F.coalesce(F.nullif(extract(F.col(text_col)), F.lit("")), fn.client_name(text_col))
+    return captions.select(F.col(id_col).alias("id"), found.alias("name"))
+
+
+#: What a model says of a message.
+REPLY = "struct<payments:array<struct<name:string,amount:double,cash:boolean,collector:string,note:string,card:string>>,clarify:string>"
+
+
+def model_payments(messages: DataFrame, replies: DataFrame) -> DataFrame:
+    """The payments in messages as a model read them, or as the rules do where it found none.
+
+    ``messages``: id, body, cash_hint. ``replies``: id, reply, in which a JSON object is looked for. One row per payment:
+    id, line_no, raw_name, amount, note, card_to, is_cash, collector, by_model.
+    """
+    said = messages.join(replies, "id", "left").withColumn("r", F.from_json(fn.json_block("reply"), REPLY))
+    each = said.select("id", "body", "cash_hint", F.posexplode("r.payments").alias("line_no", "p")).withColumn("name", fn.trimmed("p.name")).filter("p.amount > 0 and name <> ''")
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    cash = F.coalesce("p.cash", F.lit(False)) | F.col("cash_hint") | fn.is_cash(F.concat_ws(" ", text("body"), text("p.note"), text("p.card")))
+    model = each.withColumn("is_cash", cash).select(
+        "id", "line_no", F.col("name").alias("raw_name"), F.col("p.amount").alias("amount"), text("p.note").alias("note"),
+        F.when(F.col("is_cash") & (text("p.card") == ""), V.CASH_CARD).otherwise(text("p.card")).alias("card_to"), "is_cash", fn.trimmed(text("p.collector")).alias("collector"), F.lit(True).alias("by_model"),
+    )
+    rest = messages.join(model.select("id").distinct(), "id", "left_anti")
+    plain = parse_messages(rest).filter("unparsed is null").join(rest.select(F.col("id").alias("_id"), "body", "cash_hint"), F.col("id") == F.col("_id"))
+    plain = plain.select("id", "line_no", "raw_name", "amount", "note", "card_to", (fn.is_cash(text("body")) | F.col("cash_hint")).alias("is_cash"), F.lit("").alias("collector"), F.lit(False).alias("by_model"))
+    return model.unionByName(plain)
+
+
+#: The fields of a reading; those of the first list say how full it is.
+_SCORED = ("recipient", "datetime", "sender", "bank", "status", "doc_number")
+_FILLED = (*_SCORED, "recipient_bank")
+
+
+def consensus_records(reads: DataFrame) -> DataFrame:
+    """One row per receipt from several readings: id, kind, amount and the fields.
+
+    ``reads``: id, nth, kind (cash or receipt), amount and the fields. Cash wins if more readings say so than say
+    receipt. Else, of the readings with the amount that most agree on, the fullest counts, and what it lacks comes from
+    the others; where none has an amount, the first reading. A receipt is read a few times, so its readings fit in a row.
+    """
+    texts = [F.coalesce(fn.trimmed(c), F.lit("")).alias(c) for c in _FILLED]
+    score = sum(F.when(F.coalesce(fn.trimmed(c), F.lit("")) != "", 1).otherwise(0) for c in _SCORED)
+    rows = reads.select("id", "kind", F.struct((-score).alias("score"), "nth", F.coalesce("amount", F.lit(0.0)).alias("amount"), *texts).alias("x"))
+    cash = F.col("kind") == "cash"
+    seen = rows.groupBy("id").agg(
+        F.sort_array(F.collect_list(F.when(~cash, F.col("x")))).alias("r"),
+        F.count_if(cash).alias("cash"),
+        F.max(F.when(cash, F.struct(F.col("x.nth").alias("nth"), F.col("x").alias("x")))).alias("last"),
+    )
+    seen = seen.withColumn("winner", fn.consensus_amount(F.filter(F.transform("r", lambda x: x["amount"]), lambda a: a > 0)))
+    agreed = F.filter("r", lambda x: x["amount"] == F.col("winner"))
+    first = F.array(F.get(F.array_sort(F.transform("r", lambda x: F.struct(x["nth"].alias("nth"), x.alias("x")))), F.lit(0))["x"])
+    is_cash = F.col("cash") > F.size("r")
+    seen = seen.withColumn("used", F.when(is_cash, F.array(F.col("last.x"))).when(F.col("winner") > 0, agreed).otherwise(first))
+    value = lambda c: F.coalesce(F.get(F.filter(F.transform("used", lambda x: x[c]), lambda v: v != ""), F.lit(0)), F.lit("")).alias(c)
+    return seen.select("id", F.when(is_cash, "cash").otherwise("receipt").alias("kind"), F.get("used", F.lit(0))["amount"].alias("amount"), *[value(c) for c in _FILLED])

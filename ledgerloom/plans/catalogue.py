@@ -8,8 +8,9 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerloom.operators import updates
 from ledgerloom.plans import reports as rp
-from ledgerloom.plans.oracle import END, LATE, LATE_END, MONTH, MONTH_END, START
+from ledgerloom.plans.oracle import EARLY, END, LATE, LATE_END, MONTH, MONTH_END, START
 from ledgerloom.sources.ledger import Ledger, from_events
 
 _d = datetime.fromisoformat
@@ -34,7 +35,29 @@ REPORTS: dict[str, Callable[[Ledger], DataFrame]] = {
     "rp16_unclear_items": lambda l: rp.unclear_items(l),
     "rp17_group_medians": lambda l: rp.group_medians(l, _d(MONTH)),
     "rp18_suspicious_amounts": lambda l: rp.suspicious_amounts(l, _d(MONTH), least=20, times=3),
-    **{f"rp19_queue_{k}": partial(rp.clarification_queue, kind=k, now=_d(LATE_END), most=1000) for k in ("unconfirmed", "unrecognized", "collector", "cash_repeat")},
+    "rp18_suspicious_by_default": lambda l: rp.suspicious_amounts(l),
+    **{f"rp19_queue_{k}": partial(rp.clarification_queue, kind=k, now=_d(LATE_END), most=1000) for k in rp.QUESTIONS},
+    # Early on some groups' queues are short enough to be asked about, and some are not.
+    **{f"rp19_gated_{k}": partial(rp.clarification_queue, kind=k, now=_d(EARLY)) for k in rp.QUESTIONS},
+    "rp19_cycle": lambda l: rp.clarification_cycle(l, _d(EARLY)),
+    "rp01_in_groups": lambda l: rp.summary_for_period(l, *PERIOD, groups=["g1", "g3"]),
+    "rp04_by_name_or_phone": lambda l: rp.sender_stats(l, *PERIOD, groups=["g0", "g1"], query="er 1"),
+    "rp07_bounded": lambda l: rp.person_report(l, "2", *PERIOD, group="g2"),
+    "rp08_of_a_person": lambda l: rp.receipts_ledger(l, *PERIOD, person="customer#00000001_", groups=["g0", "g2"], limit=20),
+    "rp16_of_a_group": lambda l: rp.unclear_items(l, group="g2", limit=5),
+    "rp21_unconfirmed_from": lambda l: updates.unconfirmed_from(l, _d("2024-02-20")),
+    "rp22_watch_list": lambda l: rp.watch_list(l, ["ambiguous", "unmatched"]),
+    "rp22_due_watches": lambda l: rp.due_watches(l, _d(LATE)),
+    "rp22_latest_noname": lambda l: rp.latest_noname_watches(l, _d(START)),
+    "rp23_reconcile_group": lambda l: rp.reconcile(l, *PERIOD, group="g1"),
+    "rp26_phone_owners": lambda l: l.owners,
+    "rp26_rules": lambda l: l.rules,
+    "rp26_settings": lambda l: l.settings,
+    "rp27_finance_report_with_notes": lambda l: rp.finance_report(l, *PERIOD, now=_d("2024-01-21")),
+    "rp27_finance_report_by_chat": lambda l: rp.finance_report_by_chat(l, *THE_LATE),
+    "rp29_month_context": lambda l: rp.month_context(l, _d("2024-01-15")),
+    "rp30_same_as": lambda l: updates.same_as(l, "g1", "5", 10, _d("2024-01-15"), doc="d5-10", seconds=20 * 86400),
+    "rp31_media_path": lambda l: rp.media_path(l, "message:40").unionByName(rp.media_path(l, "receipt:64")),
     "rp20_unparsed_messages": lambda l: rp.unparsed_messages(l),
     "rp20_unresolved_receipts": lambda l: rp.unresolved_receipts(l),
     "rp21_recent_sender_texts": lambda l: rp.recent_sender_texts(l, "79000000001@s.example", "g1", *PERIOD),

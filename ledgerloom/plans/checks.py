@@ -16,7 +16,7 @@ from ledgerloom.streaming import flows
 DAY = 86400
 
 
-def _bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+def bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages made of the events, each of one of four shapes."""
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     k, n = F.get_json_object("props", "$.k").cast("int"), (F.floor("value") + 1).cast("string")
@@ -41,7 +41,13 @@ def _phones(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _stream_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = flows.event_stream(spark, sf_dir).select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("kind"), F.floor("value").cast("decimal(12,2)").alias("amount"))
-    return flows.drained(flows.daily_totals(e), "ledgerloom_daily_totals", "complete")
+    return flows.drained(flows.daily_totals(e), "complete")
+
+
+def _stream_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages that each come twice, once."""
+    e = flows.event_stream(spark, sf_dir).select(F.concat(F.lit("m"), F.floor(F.col("event_id") / 2)).alias("wa_message_id"), F.col("ts").cast("timestamp").alias("received_at"))
+    return flows.drained(flows.messages_once(e, late="60 days")).select("wa_message_id")
 
 
 def _pair_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "fn22_phones": _phones,
     "fn09_consensus_amount": lambda s, d: s.read.parquet(f"{d}/events.parquet").groupBy("user_id").agg(F.collect_list(F.floor("value").cast("double")).alias("v")).select("user_id", fn.consensus_amount("v").alias("amount")),
     "fn23_format_money": lambda s, d: s.read.parquet(f"{d}/orders.parquet").select("o_orderkey", fn.format_money("o_totalprice").alias("shown")),
-    "tv01_parse_messages": lambda s, d: parsers.parse_messages(_bodies(s, d)),
+    "tv01_parse_messages": lambda s, d: parsers.parse_messages(bodies(s, d)),
     "st01_pair_names": lambda s, d: folds.pair_names(_pair_events(s, d), ttl_seconds=3 * 3600),
     "st02_duplicate_receipts": lambda s, d: folds.duplicate_receipts(from_events(s, d).receipts, window_seconds=5 * DAY),
     "st03_held_cash": lambda s, d: folds.held_cash(from_events(s, d).transactions, from_events(s, d).messages),
@@ -72,7 +78,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         from_events(s, d).groups.select(F.col("group_jid").alias("source"), F.lit("g2").alias("target_jid")),
     ),
     "st20_stream_daily_totals": _stream_days,
-    "sk01_messages_once": lambda s, d: folds.latest(from_events(s, d).messages.withColumn("half", F.floor(F.col("id") / 2)), ["half"], "id").select("half", "id"),
+    "sk01_messages_once": _stream_once,
+    "sk04_latest": lambda s, d: folds.latest(from_events(s, d).messages.withColumn("half", F.floor(F.col("id") / 2)), ["half"], "id").select("half", "id"),
     "sk06_history_last_n": lambda s, d: folds.last_n(from_events(s, d).history, "chat_key", "seq", 3).select("chat_key", "seq", "from_user"),
 }
 
@@ -100,7 +107,21 @@ w as (
   from w join x on x.key = w.key and x.n = w.n + 1)
 select id, held from w"""
 
+_PAIRS = """with recursive x as (
+  select event_id as id, 'g' || (cast(json_extract(props, '$.k') as int) % 4) || '/s' || (user_id % 10) as key, epoch(ts) as s, event_type = 'click' as is_name, 'Name ' || user_id as t,
+         row_number() over (partition by cast(json_extract(props, '$.k') as int) % 4, user_id % 10 order by epoch(ts), event_id) as n
+  from events where event_type in ('purchase', 'click')),
+w as (
+  select distinct key, cast(0 as bigint) as n, cast(null as bigint) as rid, cast(null as varchar) as name, cast([] as struct(s double, t varchar)[]) as names, cast([] as struct(s double, id bigint)[]) as waits from x
+  union all
+  select key, n, case when is_name and len(rc) > 0 then rc[1].id when not is_name and len(nm) > 0 then id end, case when is_name and len(rc) > 0 then t when not is_name and len(nm) > 0 then nm[1].t end,
+         case when is_name then (case when len(rc) > 0 then nm else list_append(nm, {'s': s, 't': t})[-20:] end) else nm[2:] end,
+         case when is_name then rc[2:] when len(nm) > 0 then rc else list_append(rc, {'s': s, 'id': id}) end
+  from (select x.*, list_filter(w.names, lambda a: x.s - a.s <= 10800) as nm, list_filter(w.waits, lambda a: x.s - a.s <= 10800) as rc from w join x on x.key = w.key and x.n = w.n + 1))
+select event_id as id, w.name from events left join w on w.rid = event_id where event_type = 'purchase'"""
+
 ORACLES: dict[str, str] = {
+    "st01_pair_names": _PAIRS,
     "fn01_parse_money": "select o_orderkey, cast(round(o_totalprice, 2) as double) as plain, cast(round(o_totalprice, 2) as double) as european, cast(round(o_totalprice, 2) as double) as spaced from orders",
     "fn22_phones": "select c_custkey, '79' || lpad(cast(c_custkey as varchar), 9, '0') as phone, '79' || lpad(cast(c_custkey as varchar), 9, '0') as found from customer",
     "fn09_consensus_amount": """with v as (select user_id, floor(value) as x, count(*) as n from events group by 1, 2),
@@ -115,11 +136,12 @@ ORACLES: dict[str, str] = {
       union all select id, 0, '(не указано)', 1000 + n, '', 'сбер', null from e where m = 3""",
     "st02_duplicate_receipts": _FOLD,
     "st03_held_cash": _HELD,
-    "st06_promoted": f"with {LEDGER} select o.id as original, c.id from br o join br c on c.is_duplicate and not c.ignored and c.id % 3 <> 0 and c.group_jid = o.group_jid and c.contact_id = o.contact_id and c.amount = o.amount and abs(epoch(c.tx_date) - epoch(o.tx_date)) <= {20 * DAY} where not o.is_duplicate and o.id % 3 = 0 qualify row_number() over (partition by o.id order by c.tx_date desc, c.id desc) = 1",
+    "st06_promoted": f"with {LEDGER} select o.id as original, c.id from br o join br c on c.is_duplicate and not c.ignored and c.id % 3 <> 0 and c.group_jid = o.group_jid and ((c.doc_number <> '' and c.doc_number = o.doc_number) or (c.auth_code <> '' and c.auth_code = o.auth_code) or (c.contact_id = o.contact_id and c.amount = o.amount and abs(epoch(c.tx_date) - epoch(o.tx_date)) <= {20 * DAY})) where not o.is_duplicate and not o.ignored and o.id % 3 = 0 qualify row_number() over (partition by o.id order by c.created_at desc, c.id desc) = 1",
     "st07_false_duplicates": f"with {LEDGER} select id from br b where is_duplicate and not exists (select 1 from br o where not o.is_duplicate and o.group_jid = b.group_jid and ((b.doc_number <> '' and o.doc_number = b.doc_number) or (b.auth_code <> '' and o.auth_code = b.auth_code) or (o.contact_id = b.contact_id and o.amount = b.amount and abs(epoch(o.tx_date) - epoch(b.tx_date)) <= {DAY})))",
     "st08_corrected": f"with {LEDGER} select id, case when id % 5 = 0 then 'Last' else bank end as bank, case when id % 5 = 0 then 7.5 else cast(amount as double) end as amount, needs_review from br",
     "st10_forwarded": f"with {LEDGER} select wa_message_id || '-fwd-g2' as wa_message_id, 'g2' as grp from messages where wa_group_jid <> 'g2' and wa_group_jid in (select 'g' || r_regionkey from region)",
     "st20_stream_daily_totals": "select date_trunc('day', ts) as day, event_type as kind, count(*) as cnt, cast(sum(cast(floor(value) as decimal(12,2))) as double) as total from events group by 1, 2",
-    "sk01_messages_once": "select event_id // 2 as half, max(event_id) as id from events group by 1",
+    "sk01_messages_once": "select distinct 'm' || (event_id // 2) as wa_message_id from events",
+    "sk04_latest": "select event_id // 2 as half, max(event_id) as id from events group by 1",
     "sk06_history_last_n": "select conv_id as chat_key, turn as seq, role = 'user' as from_user from conversations qualify row_number() over (partition by conv_id order by turn desc) <= 3",
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 START, END = "2024-01-05", "2024-01-20"
 MONTH, MONTH_END = "2024-01-01", "2024-02-01"
 LATE, LATE_END = "2024-02-01", "2024-03-01"
+EARLY = "2024-01-01 12:00:00"
 
 LEDGER = """
 ev as (
@@ -23,15 +24,24 @@ br as (
          'Bank' || (k % 5) as bank, case when k % 4 = 0 then '' else 'RBank' || (k % 3) end as recipient_bank,
          case when k % 5 = 0 then '' when k % 2 = 1 then lower('Card Owner ' || (k % 6)) else 'Card Owner ' || (k % 6) end as card_owner,
          case when k % 6 = 0 then 'Submitter ' || (k % 5) else '' end as submitted_by, k % 10 = 0 as needs_review, k = 55 as is_duplicate, k = 13 as ignored,
-         k % 10 <> 0 as client_confirmed, received_at as created_at
+         k % 10 <> 0 as client_confirmed, k % 17 = 0 as clarify_asked, received_at as created_at
   from e where pic and k <> 44),
 tr as (
   select event_id as id, user_id as contact_id, 'Raw ' || user_id as raw_name, amount, cast(ts as date) as tx_date, case when event_type = 'signup' then 'cash' else '' end as card_to,
-         case when k % 8 = 0 then 'Collector ' || (k % 3) else '' end as collector, event_type = 'signup' as is_cash, k = 21 as dup_pending, k = 13 as ignored, received_at as created_at
+         case when k % 8 = 0 then 'Collector ' || (k % 3) else '' end as collector, event_type = 'signup' as is_cash, k = 21 as dup_pending, k % 19 = 0 as collector_asked, event_id % 3 = 0 as dup_asked, k = 13 as ignored, received_at as created_at
   from e where not pic and k % 23 <> 0),
 payments as (
   select event_id as payment_id, user_id as client_id, cast(amount as bigint) * case when k % 7 = 0 then 100 else 1 end as amount, ts + to_days(k % 8) as paid_at
   from e where pic and k % 4 <> 1),
+clients as (
+  select c_custkey as id, c_name as full_name from customer where c_custkey % 7 <> 0
+  union all select c_custkey + 10000000, c_name || ' Jr' from customer where c_custkey % 11 = 0 union all select 20000000, 'Old Recipient'),
+contracts as (select o_orderkey as id, o_custkey as client_id, 'b' || (o_orderkey % 3) as branch_id, case when o_orderstatus = 'O' then cast(floor(o_totalprice) as bigint) else 0 end as remaining from orders),
+watches as (
+  select event_id as id, 'g' || (k % 4) as group_jid, '7900' || lpad(cast(k % 12 as varchar), 7, '0') || '@s.example' as sender_jid,
+         case when k % 5 = 0 then '' else 'Customer#' || lpad(cast(user_id as varchar), 9, '0') end as client_text, case when k % 5 = 2 then user_id end as client_id,
+         amount, ts as tx_date, ['noname', 'lookup', 'watch', 'ambiguous', 'unmatched'][k % 5 + 1] as status, received_at as created_at
+  from e where pic and k % 3 = 1),
 expenses as (select event_id as id, amount, 'note ' || (k % 4) as note, ts as spent_at from e where event_type = 'error' and k % 5 = 0),
 r as (
   select br.*, m.wa_message_id, m.wa_group_jid, m.sender_jid, m.phone, m.sender_name, m.media_path, m.received_at, m.deleted, c.c_name as canonical_name, o.owner,
@@ -72,12 +82,12 @@ def _summary(texts: str, receipts: str) -> str:
     return _with("select min(first)[3] as name, cast(sum(amount) as double) as total, cast(sum(n) as bigint) as cnt, string_agg(card || '=' || amount, ';' order by card || '=' || amount) as by_card from y group by key", rows)
 
 
-def _senders(receipts: str, texts: str) -> str:
+def _senders(receipts: str, texts: str, where: str = "true") -> str:
     rows = f"""x as (
       select coalesce(nullif(owner, ''), nullif(submitted_by, ''), nullif(sender_name, ''), '') as sender, phone, amount from {_first('key2', receipts + ' and live and amount > 0')}
       union all
       select coalesce(nullif(collector, ''), nullif(owner, ''), nullif(sender_name, ''), ''), phone, amount from t where {texts} and not ignored and not deleted and amount > 0)"""
-    return _with("select sender, phone, count(*) as cnt, cast(sum(amount) as double) as total from x group by all", rows)
+    return _with(f"select sender, phone, count(*) as cnt, cast(sum(amount) as double) as total from x where {where} group by all", rows)
 
 
 _NAME = "coalesce(canonical_name, recipient_raw, '')"
@@ -103,20 +113,63 @@ _EXCLUDED = f"""x as (
 ex as (select b.bucket, count(x.amount) as cnt, cast(coalesce(sum(x.amount), 0) as double) as total from (values ('needs_review'), ('held_cash'), ('text_duplicate')) b(bucket) left join x using (bucket) group by 1)"""
 
 
-def _queue(kind: str) -> str:
-    source = {
-        "unconfirmed": ("r", "group_jid", "live and not client_confirmed and amount > 0"),
-        "unrecognized": ("r", "group_jid", "live and amount <= 0"),
-        "collector": ("t", "wa_group_jid", "is_cash and not ignored and not deleted and collector = '' and not dup_pending"),
-        "cash_repeat": ("t", "wa_group_jid", "is_cash and not ignored and not deleted and dup_pending"),
-    }[kind]
-    gate = "" if kind == "cash_repeat" else "and waiting <= 1000"
+_UNCLEAR = "x as (select 'receipt' as kind, id, group_jid as grp, recipient_raw as name, cast(amount as double) as amount, tx_date as happened_at, coalesce(media_path, '') as media_path, sender_name as who from r where needs_review and live union all select 'message', id, wa_group_jid, '', 0.0::double, received_at, media_path, sender_name from messages where has_media and not deleted and media_path <> '' and id not in (select id from br) and id not in (select id from tr))"
+
+_QUESTIONS = {
+    "unconfirmed": ("r", "group_jid", "live and not client_confirmed and not clarify_asked and amount > 0"),
+    "collector": ("t", "wa_group_jid", "is_cash and not ignored and not deleted and collector = '' and not dup_pending and not collector_asked and amount > 0"),
+    "cash_repeat": ("t", "wa_group_jid", "is_cash and not ignored and not deleted and dup_pending and not dup_asked and amount > 0"),
+    "unrecognized": ("r", "group_jid", "live and not clarify_asked and amount <= 0"),
+}
+
+
+def _waiting(kind: str, now: str) -> str:
+    table, group, where = _QUESTIONS[kind]
+    return f"select id, {group} as grp, cast(amount as double) as amount, created_at, count(*) over (partition by {group}) as waiting, row_number() over (partition by {group} order by created_at, id) as nth from {table} where {where} and created_at < timestamp '{now}' - interval 90 second"
+
+
+def _queue(kind: str, now: str = LATE_END, most: int = 1000) -> str:
+    gate = "" if kind == "cash_repeat" else f"and waiting <= {most}"
+    return _with(f"select id, grp, amount, waiting from x where nth <= 2 {gate}", f"x as ({_waiting(kind, now)})")
+
+
+def _suspicious(where: str, least: float, times: float) -> str:
     return _with(
-        f"select id, grp, amount, waiting from x where nth <= 2 {gate}",
-        f"x as (select id, {source[1]} as grp, cast(amount as double) as amount, count(*) over (partition by {source[1]}) as waiting, row_number() over (partition by {source[1]} order by created_at, id) as nth from {source[0]} where {source[2]} and created_at < timestamp '2024-03-01' - interval 90 second)",
+        f"select id, group_jid, cast(amount as double) as amount, n, median from x where n >= 30 and median > 0 and amount > {times} * median",
+        f"""x as (select a.id, a.group_jid, a.amount, count(*) as n, cast(quantile_cont(cast(b.amount as double), 0.5) as double) as median
+          from (select * from r where live and amount >= {least} and {where}) a join (select * from r where live and amount > 0) b on b.group_jid = a.group_jid and b.created_at >= cast(cast(a.created_at as date) - interval 3 month as date) and b.created_at <= a.created_at
+          group by 1, 2, 3)""",
     )
 
 
+def _cycle(now: str) -> str:
+    every = " union all ".join(f"select {n} as q, '{k}' as question, * from ({_waiting(k, now)}) {'' if k == 'cash_repeat' else 'where waiting <= 6'}" for n, k in enumerate(_QUESTIONS))
+    return _with("select grp, question, id, amount from x order by grp, q, created_at, id limit 2", f"x as ({every})")
+
+
+def _reconcile(where: str) -> str:
+    """Receipts take payments one by one, by recursion over each client's receipts."""
+    return _with(
+        """select n.id, n.name, case when k = 1 then n.c end as client_id, case when k = 1 and exact then w.payment_id end as payment_id,
+                  case when k = 1 and exact then (case when w.payment_id is null then 'missing' else 'added' end) else 'attention' end as status,
+                  case when k = 0 then 'no client' when k > 1 then 'several clients' when not exact then 'alike' else '' end as why
+           from n left join w on w.id = n.id""",
+        f"rc as (select id, {_NAME} as name, amount, tx_date from r where live and amount > 0 and {_NAME} <> '' and {where})",
+        "whole as (select name, count(*) as k, min(c.id) as c from (select distinct name from rc) join clients c on contains(lower(full_name), lower(name)) group by 1)",
+        "byword as (select name, count(distinct c.id) as k, min(c.id) as c from (select name, unnest(string_split(name, ' ')) as word from (select distinct name from rc) where name not in (select name from whole)) join clients c on length(word) >= 3 and contains(lower(full_name), lower(word)) group by 1)",
+        "n as (select rc.*, coalesce(a.k, b.k, 0) as k, coalesce(a.c, b.c) as c, a.k is not null as exact from rc left join whole a using (name) left join byword b using (name))",
+        "sure as (select *, row_number() over (partition by c order by tx_date desc, id) as i, max(tx_date) over (partition by c) as newest from n where k = 1 and exact)",
+        """avail as (select s.c, list({'id': p.payment_id, 'a': p.amount} order by p.paid_at, p.payment_id) as free
+                     from (select distinct c, newest from sure) s join payments p on p.client_id = s.c and cast(p.paid_at as date) between cast(newest as date) - 5 and cast(newest as date) + 5 group by 1)""",
+        """z as (
+             select s.c, cast(0 as bigint) as i, cast(null as bigint) as id, cast(null as bigint) as payment_id, coalesce(free, []) as free from (select distinct c from sure) s left join avail using (c)
+             union all
+             select c, i, id, pick.id, case when pick is null then free else list_filter(free, lambda x: x.id <> pick.id) end
+             from (select s.c, s.i, s.id, z.free, list_filter(z.free, lambda x: x.a = cast(floor(s.amount + 0.5) as bigint) or x.a = cast(floor(s.amount * 100 + 0.5) as bigint))[1] as pick from z join sure s on s.c = z.c and s.i = z.i + 1))""",
+        "w as (select * from z where id is not null)",
+    ).replace("with ", "with recursive ", 1)
+
+
 _PEOPLE = f"""p as (select 'client' as section, name as label, cnt, total from ({_summary(f"{_in('tx_date')} and not ignored and not deleted and canonical_name is not null and " + _countable('tx_date', START, END), _first('key1', _in('tx_date') + ' and live and not needs_review and canonical_name is not null'))}))"""
 
 
@@ -155,23 +208,46 @@ def oracle_sql() -> dict[str, str]:
         "rp13_receipt_details": _with(f"select id, {_NAME} as name, cast(amount as double) as amount, tx_date, bank, recipient_raw, recipient_bank, card_owner, doc_number, auth_code, needs_review, client_confirmed, group_jid, {_BY} as submitted_by from r where not is_duplicate and not ignored and {_NAME} ilike '%customer%1%' order by tx_date desc, id limit 40"),
         "rp14_receipt_files": _with(f"select id, {_NAME} as name, cast(amount as double) as amount, tx_date, media_path from r where live and media_path <> '' and {_NAME} ilike '%1%' order by tx_date desc, id limit 15"),
         "rp15_find_operations": _with("select kind, id, name, cast(amount as double) as amount, tx_date, grp, ignored from x where amount = 10 order by tx_date desc, kind, id limit 10", f"x as (select 'transaction' as kind, id, coalesce(canonical_name, raw_name) as name, amount, cast(tx_date as timestamp) as tx_date, wa_group_jid as grp, ignored from t where not deleted union all select 'receipt', id, {_NAME}, amount, tx_date, group_jid, ignored from r where not is_duplicate and not deleted)"),
-        "rp16_unclear_items": _with("select * from x order by happened_at desc, kind, id limit 50", "x as (select 'receipt' as kind, id, group_jid as grp, recipient_raw as name, cast(amount as double) as amount, tx_date as happened_at, coalesce(media_path, '') as media_path, sender_name as who from r where needs_review and live union all select 'message', id, wa_group_jid, '', 0.0::double, received_at, media_path, sender_name from messages where has_media and not deleted and media_path <> '' and id not in (select id from br) and id not in (select id from tr))"),
+        "rp16_unclear_items": _with("select * from x order by happened_at desc, kind, id limit 50", _UNCLEAR),
         "rp17_group_medians": _with("select group_jid, count(*) as n, cast(quantile_cont(cast(amount as double), 0.5) as double) as median from r where live and amount > 0 and created_at >= timestamp '2024-01-01' group by 1"),
-        "rp18_suspicious_amounts": _with("select id, r.group_jid, cast(amount as double) as amount, n, median from r join m using (group_jid) where live and amount > 0 and amount >= 20 and n >= 30 and amount > 3 * median", "m as (select group_jid, count(*) as n, quantile_cont(cast(amount as double), 0.5) as median from r where live and amount > 0 and created_at >= timestamp '2024-01-01' group by 1)"),
-        **{f"rp19_queue_{k}": _queue(k) for k in ("unconfirmed", "unrecognized", "collector", "cash_repeat")},
+        "rp18_suspicious_amounts": _suspicious("created_at >= timestamp '2024-01-01'", 20, 3),
+        "rp18_suspicious_by_default": _suspicious("true", 100000, 12),
+        **{f"rp19_queue_{k}": _queue(k) for k in _QUESTIONS},
+        **{f"rp19_gated_{k}": _queue(k, EARLY, 6) for k in _QUESTIONS},
+        "rp19_cycle": _cycle(EARLY),
+        "rp01_in_groups": _summary(_in("tx_date") + " and wa_group_jid in ('g1', 'g3') and " + texts + _countable("tx_date", START, END), _first("key1", _in("tx_date") + " and group_jid in ('g1', 'g3') and live and not needs_review and canonical_name is not null")),
+        "rp04_by_name_or_phone": _senders(_in("tx_date") + " and group_jid in ('g0', 'g1')", _in("tx_date") + " and wa_group_jid in ('g0', 'g1') and " + _countable("tx_date", START, END), "sender ilike '%er 1%' or phone like '%er 1%'"),
+        "rp07_bounded": _with(
+            """select c_name as name, coalesce(r_cnt, 0) as receipt_cnt, cast(coalesce(r_total, 0) as double) as receipt_total, coalesce(t_cnt, 0) as payment_cnt, cast(coalesce(t_total, 0) as double) as payment_total, least(r_first, t_first) as first_op, greatest(r_last, t_last) as last_op
+            from customer left join a on c_custkey = a.contact_id left join b on c_custkey = b.contact_id
+            where c_name ilike '%2%' and (coalesce(r_cnt, 0) > 0 or coalesce(t_cnt, 0) > 0) order by coalesce(r_total, 0) + coalesce(t_total, 0) desc, c_custkey limit 5""",
+            f"a as (select contact_id, count(*) as r_cnt, sum(amount) as r_total, min(tx_date) as r_first, max(tx_date) as r_last from r where live and group_jid = 'g2' and {_in('tx_date')} group by 1)",
+            f"b as (select contact_id, count(*) as t_cnt, sum(amount) as t_total, cast(min(tx_date) as timestamp) as t_first, cast(max(tx_date) as timestamp) as t_last from t where not ignored and not deleted and wa_group_jid = 'g2' and {_in('tx_date')} group by 1)",
+        ),
+        "rp08_of_a_person": _with("select * exclude (nth), (select count(*) from y) > 20 as truncated from (select *, row_number() over (order by tx_date desc, kind, id) as nth from y) where nth <= 20", _LEDGER_ROWS, "y as (select * from x where client ilike '%customer#00000001_%' and grp in ('g0', 'g2'))"),
+        "rp16_of_a_group": _with("select * from x where grp = 'g2' order by happened_at desc, kind, id limit 5", _UNCLEAR),
+        "rp21_unconfirmed_from": _with("select distinct group_jid as grp, sender_jid as sender from r where not client_confirmed and not is_duplicate and not ignored and created_at > timestamp '2024-02-20'"),
+        "rp22_watch_list": _with("select * replace (cast(amount as double) as amount) from watches where status in ('ambiguous', 'unmatched') order by created_at desc, id desc limit 50"),
+        "rp22_due_watches": _with(f"select * replace (cast(amount as double) as amount) from watches where status = 'watch' and created_at < timestamp '{LATE}' - interval 24 hour order by created_at, id limit 30"),
+        "rp22_latest_noname": _with(f"select group_jid, sender_jid, arg_max(id, (created_at, id)) as id from watches where status = 'noname' and created_at > timestamp '{START}' group by all"),
+        "rp26_phone_owners": _with("select * from owners"),
+        "rp26_rules": "select 'g' || r_regionkey as source, r_name as source_name, 'g' || ((r_regionkey + 1) % 4) as target_jid, lower(r_name) as target_name from region",
+        "rp26_settings": "select ['main_group', 'working_group', 'unmatched_branch'][r_regionkey + 1] as key, 'g' || (r_regionkey + 1) as value from region where r_regionkey < 3",
+        "rp27_finance_report_with_notes": f"with {_PEOPLE}, l as (with {LEDGER}, {_EXCLUDED} select 'left_out' as section, bucket as label, cnt, total from ex), o as (with {LEDGER} select * from r where live and amount > 0 and {_NAME} <> '' and created_at >= timestamp '2024-01-20 12:00:00' and not ({_in('tx_date')}) order by created_at desc, id limit 12) select * from p union all select * from l union all select 'outside', {_NAME}, count(*), cast(sum(amount) as double) from o group by all union all select 'sum', 'total', sum(cnt), sum(total) from p union all select 'sum', 'maximum', sum(cnt), sum(total) from (select cnt, total from p union all select cnt, total from l where label <> 'text_duplicate')",
+        "rp27_finance_report_by_chat": f"""with p as (select 'client' as section, name as label, cnt, total from ({_summary(_in("received_at", LATE, LATE_END) + " and " + texts + _countable("received_at", LATE, LATE_END), _first("key1", _in("received_at", LATE, LATE_END) + " and " + _in("tx_date", LATE, LATE_END) + " and live and not needs_review and canonical_name is not null"))})),
+          o as (with {LEDGER} select {_NAME} as label, amount from {_first('key2', _in('received_at', LATE, LATE_END) + ' and not (' + _in('tx_date', LATE, LATE_END) + ') and live and not needs_review and amount > 0', 'tx_date, created_at, id')} order by key2 limit 50)
+          select * from p union all select 'old', label, count(*), cast(sum(amount) as double) from o group by 2 union all select 'sum', 'old', count(*), cast(sum(amount) as double) from o having count(*) > 0 union all select 'sum', 'total', coalesce(sum(cnt), 0), coalesce(sum(total), 0) from p""",
+        "rp29_month_context": f"""with p as (select name as label, cnt, total from ({_summary(_in("tx_date", MONTH, MONTH_END) + " and " + texts + _countable("tx_date", MONTH, MONTH_END), _first("key1", _in("tx_date", MONTH, MONTH_END) + " and live and not needs_review and canonical_name is not null"))}))
+          select 'client' as section, label, cnt, total from p union all select 'sum', 'total', sum(cnt), sum(total) from p union all select 'group', r_name, null, null from region union all select 'person', c_name, null, null from customer
+          union all select 'rule', r_name || ' > ' || lower(r_name), null, null from region union all select 'setting', ['main_group', 'working_group', 'unmatched_branch'][a.r_regionkey + 1] || '=' || b.r_name, null, null from region a join region b on b.r_regionkey = a.r_regionkey + 1 where a.r_regionkey < 3""",
+        "rp30_same_as": _with("select id, tx_date from r where live and group_jid = 'g1' and coalesce(cast(contact_id as varchar), recipient_raw) = '5' and amount = 10 and (doc_number = '' or doc_number = 'd5-10') and abs(epoch(tx_date) - epoch(timestamp '2024-01-15')) <= 1728000 order by tx_date, id limit 1"),
+        "rp31_media_path": _with("select 'message' as kind, id, media_path from messages where id = 40 and media_path <> '' union all select 'receipt', br.id, media_path from br join messages using (id) where br.id = 64 and media_path <> ''"),
         "rp20_unparsed_messages": _with("select id, wa_group_jid, body, received_at from messages where not parsed and not has_media and not deleted and id not in (select id from tr where ignored is null) and id not in (select id from tr) order by received_at, id limit 100"),
         "rp20_unresolved_receipts": _with("select id, recipient_raw, group_jid from br where contact_id is null and not ignored and not is_duplicate"),
         "rp21_recent_sender_texts": _with(f"select id, body, received_at from messages where sender_jid = '79000000001@s.example' and wa_group_jid = 'g1' and {_in('received_at')} and not deleted order by received_at desc, id limit 15"),
-        "rp23_reconcile": _with(
-            """select a.id, a.client_id, a.units, p.payment_id, case when p.payment_id is null then 'missing' when abs(epoch(paid_at) - epoch(tx_date)) > 432000 then 'attention' else 'added' end as status
-            from a left join p on a.client_id = p.client_id and a.units = p.units and a.nth = p.nth""",
-            f"a as (select id, contact_id as client_id, cast(amount as bigint) as units, tx_date, row_number() over (partition by contact_id, cast(amount as bigint) order by tx_date, id) as nth from r where {_in('tx_date')} and live and not needs_review and contact_id is not null and amount > 0)",
-            """q as (select payment_id, client_id, paid_at, max(units) as units from (
-                 select payment_id, client_id, paid_at, amount as units from payments union all select payment_id, client_id, paid_at, amount // 100 from payments where amount % 100 = 0)
-               where (client_id, units) in (select (client_id, units) from a) group by 1, 2, 3)""",
-            "p as (select *, row_number() over (partition by client_id, units order by paid_at, payment_id) as nth from q)",
-        ),
-        "rp24_has_payment_around": _with(f"select id from r where {_in('tx_date')} and live and amount > 0 and exists (select 1 from payments p where p.client_id = r.contact_id and (p.amount = r.amount or p.amount = r.amount * 100) and p.paid_at between r.tx_date - interval 5 day and r.tx_date + interval 5 day)"),
+        "rp23_reconcile": _reconcile(_in("tx_date")),
+        "rp23_reconcile_group": _reconcile(_in("tx_date") + " and group_jid = 'g1'"),
+        "rp24_has_payment_around": _with(f"select id from r where {_in('tx_date')} and live and amount > 0 and exists (select 1 from payments p where p.client_id = r.contact_id and (p.amount = r.amount or p.amount = r.amount * 100) and cast(p.paid_at as date) between cast(r.tx_date as date) - 5 and cast(r.tx_date as date) + 5)"),
         "rp25_expenses": _with(f"select id, cast(amount as double) as amount, note, spent_at from expenses where {_in('spent_at')} union all select null, cast(coalesce(sum(amount), 0) as double), 'total', null from expenses where {_in('spent_at')}"),
         "rp26_contacts": "select c_custkey as id, c_name as canonical_name from customer",
         "rp27_finance_report": f"with {_PEOPLE}, l as (with {LEDGER}, {_EXCLUDED} select 'left_out' as section, bucket as label, cnt, total from ex) select * from p union all select * from l union all select 'sum', 'total', sum(cnt), sum(total) from p union all select 'sum', 'maximum', sum(cnt), sum(total) from (select cnt, total from p union all select cnt, total from l where label <> 'text_duplicate')",

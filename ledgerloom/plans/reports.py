@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from collections import deque
+from datetime import datetime, timedelta
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.functions import text as fn
+from ledgerloom.operators import updates
+from ledgerloom.operators.folds import folded
 from ledgerloom.operators.rules import LIVE, countable, distinct_on, filled, full_receipts, full_transactions, in_groups, name_key, same_receipt, within
 from ledgerloom.sources.ledger import Ledger
 
@@ -13,6 +20,8 @@ NO_BANK = "банк не указан"
 NO_OWNER = "не распознано"
 RECEIPT, CASH, TRANSFER = "чек", "наличка", "перевод"
 
+BUCKETS = ("needs_review", "held_cash", "text_duplicate")
+
 #: Which copy of a receipt stands for all where nothing else decides.
 COPY = ["created_at", "id"]
 
@@ -22,13 +31,17 @@ def money(column: str | Column) -> Column:
     return F.coalesce(F.sum(column), F.lit(0)).cast("double")
 
 
-def _summary(texts: DataFrame, receipts: DataFrame) -> DataFrame:
+def _cards(texts: DataFrame, receipts: DataFrame) -> DataFrame:
+    """What each client (key) gave to each card: amount, n and first, which holds the spelling that stands for the client."""
     rows = texts.select("canonical_name", F.col("card_to").alias("card"), "amount", F.lit(0).alias("branch"), "id").unionByName(
         receipts.select("canonical_name", F.coalesce("bank", F.lit(NO_BANK)).alias("card"), "amount", F.lit(1).alias("branch"), "id")
     )
     rows = rows.withColumn("key", name_key("canonical_name")).withColumn("card", filled("card", default=NO_CARD))
-    # By client and card first, then by client: the second step sees a few rows a client.
-    cards = rows.groupBy("key", "card").agg(F.sum("amount").alias("amount"), F.count("*").alias("n"), F.min(F.struct("branch", "id", "canonical_name")).alias("first"))
+    return rows.groupBy("key", "card").agg(F.sum("amount").alias("amount"), F.count("*").alias("n"), F.min(F.struct("branch", "id", "canonical_name")).alias("first"))
+
+
+def _summary(cards: DataFrame) -> DataFrame:
+    # By client and card first, then by client: this second step sees a few rows a client.
     people = cards.groupBy("key").agg(
         F.min("first")["canonical_name"].alias("name"),
         money("amount").alias("total"),
@@ -38,26 +51,49 @@ def _summary(texts: DataFrame, receipts: DataFrame) -> DataFrame:
     return people.select("name", "total", "cnt", "by_card")
 
 
-def summary_for_period(l: Ledger, start, end, groups: list[str] | None = None) -> DataFrame:
-    """Per client: total, count and totals by card, by the operations' dates."""
+def _counted(l: Ledger, start, end, groups: list[str] | None) -> DataFrame:
+    """The cards of all that counts, by the operations' dates."""
     texts = full_transactions(l).filter(within("tx_date", start, end)).filter("not ignored and not deleted and canonical_name is not null").filter(in_groups("wa_group_jid", groups))
     receipts = full_receipts(l).filter(within("tx_date", start, end)).filter(f"{LIVE} and not needs_review and canonical_name is not null").filter(in_groups("group_jid", groups))
-    return _summary(countable(texts, l, start, end), distinct_on(receipts, [same_receipt(False)], COPY))
+    return _cards(countable(texts, l, start, end), distinct_on(receipts, [same_receipt(False)], COPY))
 
 
-def summary_by_chat(l: Ledger, start, end, month_start, month_end, groups: list[str] | None = None) -> DataFrame:
-    """The same by the dates of posting; receipts' operations must be in the month."""
+def _counted_by_chat(l: Ledger, start, end, month_start, month_end, groups: list[str] | None) -> DataFrame:
     texts = full_transactions(l).filter(within("received_at", start, end)).filter("not ignored and not deleted and canonical_name is not null").filter(in_groups("wa_group_jid", groups))
     receipts = full_receipts(l).filter(within("received_at", start, end) & within("tx_date", month_start, month_end))
     receipts = receipts.filter(f"{LIVE} and not needs_review and canonical_name is not null").filter(in_groups("group_jid", groups))
-    return _summary(countable(texts, l, start, end, by_chat=True), distinct_on(receipts, [same_receipt(False)], COPY))
+    return _cards(countable(texts, l, start, end, by_chat=True), distinct_on(receipts, [same_receipt(False)], COPY))
+
+
+def summary_for_period(l: Ledger, start, end, groups: list[str] | None = None) -> DataFrame:
+    """Per client: total, count and totals by card, by the operations' dates."""
+    return _summary(_counted(l, start, end, groups))
+
+
+def summary_by_chat(l: Ledger, start, end, month_start, month_end, groups: list[str] | None = None) -> DataFrame:
+    """The same by the dates of posting; receipts' operations must be in the month."""
+    return _summary(_counted_by_chat(l, start, end, month_start, month_end, groups))
+
+
+def report_tables(l: Ledger, start, end, groups: list[str] | None = None) -> DataFrame:
+    """The printed report's two tables: cards by name and clients by total, each with its last row, the sum of all. ``nth`` is a row's place."""
+    cards = _counted(l, start, end, groups)
+    by_card = cards.groupBy(F.col("card").alias("label")).agg(F.sum("amount").alias("total"))
+    by_person = cards.groupBy("key").agg(F.min("first")["canonical_name"].alias("label"), F.sum("n").alias("cnt"), F.sum("amount").alias("total"))
+    card_rows = by_card.select(F.lit(1).alias("section"), "label", F.lit(None).cast("long").alias("cnt"), "total", F.lit(0).alias("last"))
+    person_rows = by_person.select(F.lit(2).alias("section"), "label", "cnt", "total", F.lit(0).alias("last"))
+    grand = by_card.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("total"))
+    sums = grand.select(F.explode(F.array(F.lit(1), F.lit(2))).alias("section"), F.lit("ИТОГО").alias("label"), F.lit(None).cast("long").alias("cnt"), "total", F.lit(1).alias("last"))
+    rows = card_rows.unionByName(person_rows).unionByName(sums)
+    order = Window.partitionBy("section").orderBy("last", F.when(F.col("section") == 2, -F.col("total")), "label")
+    return rows.select("section", F.row_number().over(order).alias("nth"), "label", "cnt", F.col("total").cast("double").alias("total"))
 
 
 def old_operations(l: Ledger, start, end, month_start, month_end, groups: list[str] | None = None, limit: int = 15) -> DataFrame:
     """Receipts posted in the period whose operation lies outside the months."""
     rows = full_receipts(l).filter(within("received_at", start, end)).filter((F.col("tx_date") < F.lit(month_start)) | (F.col("tx_date") >= F.lit(month_end)))
     rows = rows.filter(f"{LIVE} and not needs_review and amount > 0").filter(in_groups("group_jid", groups)).withColumn("key", same_receipt(True))
-    rows = distinct_on(rows, ["key"], ["tx_date", *COPY]).orderBy("key").limit(limit)
+    rows = distinct_on(rows, ["key"], ["tx_date", *COPY]).orderBy("key").limit(limit) if limit else distinct_on(rows, ["key"], ["tx_date", *COPY])
     return rows.select(F.coalesce("canonical_name", "recipient_raw", F.lit("")).alias("name"), F.col("amount").cast("double").alias("amount"), "tx_date", filled("submitted_by", "sender_name").alias("submitted_by"))
 
 
@@ -176,6 +212,12 @@ def missing_in_group(l: Ledger, target: str, start, end, sources: list[str] | No
 
 def exclusions(l: Ledger, start, end, groups: list[str] | None = None) -> DataFrame:
     """What a total leaves out: receipts under review, held repeats of cash, and texts that a receipt stands for."""
+    rows = _left_out(l, start, end, groups).groupBy("bucket").agg(F.sum("n").alias("cnt"), money("amount").alias("total"))
+    return rows.select("bucket", F.col("cnt").cast("long").alias("cnt"), "total")
+
+
+def _left_out(l: Ledger, start, end, groups: list[str] | None) -> DataFrame:
+    """bucket, n and amount: what is left out, row by row, and an empty row for each bucket."""
     every = full_receipts(l)
     rows = every.filter(within("tx_date", start, end)).filter(f"(needs_review or contact_id is null) and {LIVE} and amount > 0").filter(in_groups("group_jid", groups))
     texts = full_transactions(l).filter(within("tx_date", start, end)).filter("not ignored and not deleted")
@@ -187,15 +229,16 @@ def exclusions(l: Ledger, start, end, groups: list[str] | None = None) -> DataFr
     # A forwarded message's id begins with its original's.
     origin = copies.select(F.col("wa_message_id").alias("_origin")).filter("_origin <> ''").distinct()
     rows = rows.join(origin, F.col("wa_message_id").contains("-fwd-") & (F.split_part("wa_message_id", F.lit("-fwd-"), F.lit(1)) == F.col("_origin")), "left_anti")
-    total = lambda bucket, x: x.agg(F.count("*").alias("cnt"), money("amount").alias("total")).select(F.lit(bucket).alias("bucket"), "cnt", "total")
-    review = total("needs_review", distinct_on(rows, [same_receipt(True)], COPY))
+    of = lambda bucket, x: x.select(F.lit(bucket).alias("bucket"), F.lit(1).alias("n"), "amount")
+    review = of("needs_review", distinct_on(rows, [same_receipt(True)], COPY))
     texts = texts.filter("amount > 0").filter(in_groups("wa_group_jid", groups))
-    held = total("held_cash", texts.filter("is_cash and dup_pending"))
+    held = of("held_cash", texts.filter("is_cash and dup_pending"))
     paired = l.receipts.filter("not needs_review and not is_duplicate and not ignored").filter(within("tx_date", start, end))
     paired = paired.select(F.col("contact_id").alias("_c"), F.col("amount").alias("_a"), F.coalesce("group_jid", F.lit("")).alias("_g"))
     match = (F.col("contact_id") == F.col("_c")) & (F.col("amount") == F.col("_a")) & (F.coalesce("wa_group_jid", F.lit("")) == F.col("_g"))
-    twice = total("text_duplicate", texts.filter("not is_cash and not dup_pending").join(paired, match, "left_semi"))
-    return review.unionByName(held).unionByName(twice)
+    twice = of("text_duplicate", texts.filter("not is_cash and not dup_pending").join(paired, match, "left_semi"))
+    empty = l.receipts.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, BUCKETS))).alias("bucket"), F.lit(0).alias("n"), F.lit(0).cast("decimal(12,2)").alias("amount"))
+    return review.unionByName(held).unionByName(twice).unionByName(empty)
 
 
 def _named(l: Ledger) -> DataFrame:
@@ -238,14 +281,19 @@ def find_operations(l: Ledger, amount: float, person: str = "", start=None, end=
     return rows.orderBy(F.col("tx_date").desc(), "kind", "id").limit(limit).withColumn("amount", F.col("amount").cast("double"))
 
 
-def unclear_items(l: Ledger, group: str = "", limit: int = 50) -> DataFrame:
+def every_unclear_item(l: Ledger) -> DataFrame:
     """Receipts under review, and pictures that became nothing."""
     r = full_receipts(l).filter(f"needs_review and {LIVE}").select(F.lit("receipt").alias("kind"), "id", F.coalesce("group_jid", F.lit("")).alias("grp"), F.coalesce("recipient_raw", F.lit("")).alias("name"), F.coalesce("amount", F.lit(0)).cast("double").alias("amount"), F.col("tx_date").alias("happened_at"), F.coalesce("media_path", F.lit("")).alias("media_path"), filled("sender_name", "phone").alias("who"))
     m = l.messages.filter("has_media and not deleted and media_path <> ''")
     used = l.receipts.select(F.col("raw_message_id").alias("id")), l.transactions.select(F.col("raw_message_id").alias("id"))
     m = m.join(used[0], "id", "left_anti").join(used[1], "id", "left_anti")
     m = m.select(F.lit("message").alias("kind"), "id", F.col("wa_group_jid").alias("grp"), F.lit("").alias("name"), F.lit(0.0).alias("amount"), F.col("received_at").alias("happened_at"), "media_path", filled("sender_name", F.split_part("sender_jid", F.lit("@"), F.lit(1))).alias("who"))
-    rows = r.unionByName(m)
+    return r.unionByName(m)
+
+
+def unclear_items(l: Ledger, group: str = "", limit: int = 50) -> DataFrame:
+    """The latest of them, of one group if it is named."""
+    rows = every_unclear_item(l)
     rows = rows.filter(F.col("grp") == group) if group else rows
     return rows.orderBy(F.col("happened_at").desc(), "kind", "id").limit(limit)
 
@@ -256,32 +304,80 @@ def group_medians(l: Ledger, since) -> DataFrame:
     return rows.groupBy("group_jid").agg(F.count("*").alias("n"), F.percentile("amount", 0.5).alias("median"))
 
 
-def suspicious_amounts(l: Ledger, since, least: float = 100_000, times: float = 12, least_n: int = 30) -> DataFrame:
-    """Receipts far above the median of their group."""
-    medians = group_medians(l, since)
-    rows = full_receipts(l).filter(f"{LIVE} and amount > 0").filter(F.col("created_at") >= F.lit(since)).filter(F.col("amount") >= least)
-    rows = rows.join(medians, "group_jid").filter((F.col("n") >= least_n) & (F.col("median") > 0) & (F.col("amount") > times * F.col("median")))
-    return rows.select("id", "group_jid", F.col("amount").cast("double").alias("amount"), "n", "median")
+def suspicious_amounts(l: Ledger, start=None, end=None, least: float = 100_000, times: float = 12, least_n: int = 30, months: int = 3) -> DataFrame:
+    """Receipts recorded in the period that lie far above the median of their group's ``months`` before, themselves included.
 
+    Only the few large receipts look back; what they look at is counted by group, time and amount first.
+    """
+    live = full_receipts(l).filter(f"{LIVE} and amount > 0")
+    large = live.filter(within("created_at", start, end)).filter(F.col("amount") >= least).select("id", "group_jid", "amount", "created_at")
+    past = live.groupBy(F.col("group_jid").alias("g"), F.col("created_at").alias("c"), F.col("amount").alias("a")).agg(F.count("*").alias("n"))
+    near = large.join(past, (F.col("group_jid") == F.col("g")) & (F.col("c") >= F.add_months(F.to_date("created_at"), -months)) & (F.col("c") <= F.col("created_at")))
+    near = near.groupBy("id", "group_jid", "amount").agg(F.sum("n").alias("n"), F.expr("percentile(a, 0.5, n)").alias("median"))
+    return near.filter((F.col("n") >= least_n) & (F.col("median") > 0) & (F.col("amount") > times * F.col("median"))).select("id", "group_jid", F.col("amount").cast("double").alias("amount"), "n", "median")
 
-def clarification_queue(l: Ledger, kind: str, now, grace_seconds: int = 90, most: int = 6, per_group: int = 2) -> DataFrame:
-    """What to ask next in each group: ``unconfirmed``, ``unrecognized``, ``collector`` or ``cash_repeat``.
 
-    A group whose queue is longer than ``most`` isn't asked at all, but for repeats of cash.
-    """
+#: The questions, in the order in which they are asked.
+QUESTIONS = ("unconfirmed", "collector", "cash_repeat", "unrecognized")
+
+
+def _waiting(l: Ledger, kind: str, now, grace_seconds: int) -> DataFrame:
+    """id, grp, sender_jid, card_owner, amount, created_at of what waits to be asked about."""
     ripe = F.col("created_at") < F.lit(now).cast("timestamp") - F.make_dt_interval(secs=F.lit(grace_seconds))
     if kind in ("unconfirmed", "unrecognized"):
-        rows = full_receipts(l).filter(LIVE).filter(ripe).withColumn("grp", F.coalesce("group_jid", "wa_group_jid"))
+        rows = full_receipts(l).filter(LIVE).filter(ripe).filter("not clarify_asked").withColumn("grp", F.coalesce("group_jid", "wa_group_jid"))
         rows = rows.filter("not client_confirmed and amount > 0" if kind == "unconfirmed" else "amount <= 0")
     else:
-        rows = full_transactions(l).filter("is_cash and not ignored and not deleted").filter(ripe).withColumn("grp", F.col("wa_group_jid"))
-        rows = rows.filter("dup_pending" if kind == "cash_repeat" else "coalesce(collector, '') = '' and not dup_pending")
+        rows = full_transactions(l).filter("is_cash and not ignored and not deleted and amount > 0").filter(ripe).withColumn("grp", F.col("wa_group_jid")).withColumn("card_owner", F.lit(""))
+        rows = rows.filter("dup_pending and not dup_asked" if kind == "cash_repeat" else "coalesce(collector, '') = '' and not dup_pending and not collector_asked")
+    return rows.select("id", "grp", "sender_jid", "card_owner", F.col("amount").cast("double").alias("amount"), "created_at")
+
+
+def clarification_queue(l: Ledger, kind: str, now, grace_seconds: int = 90, most: int = 6, per_group: int = 2) -> DataFrame:
+    """What to ask next in each group, by one of ``QUESTIONS``.
+
+    A group whose queue is longer than ``most`` isn't asked at all, but for repeats of cash.
+    """
     by = Window.partitionBy("grp")
-    rows = rows.select("id", "grp", F.col("amount").cast("double").alias("amount"), "created_at", F.count("*").over(by).alias("waiting"), F.row_number().over(by.orderBy("created_at", "id")).alias("nth"))
+    rows = _waiting(l, kind, now, grace_seconds).select("id", "grp", "amount", "created_at", F.count("*").over(by).alias("waiting"), F.row_number().over(by.orderBy("created_at", "id")).alias("nth"))
     rows = rows if kind == "cash_repeat" else rows.filter(F.col("waiting") <= most)
     return rows.filter(F.col("nth") <= per_group).select("id", "grp", "amount", "waiting")
 
 
+def clarification_cycle(l: Ledger, now, aliases: DataFrame | None = None, grace_seconds: int = 90, most: int = 6, per_cycle: int = 2) -> DataFrame:
+    """The ``per_cycle`` questions of one round: by group, then by the order of ``QUESTIONS``, the oldest first.
+
+    Receipts whose client the sender has named beside them aren't asked about.
+    """
+    queues = []
+    for nth, kind in enumerate(QUESTIONS):
+        rows = _waiting(l, kind, now, grace_seconds).withColumn("waiting", F.count("*").over(Window.partitionBy("grp")))
+        rows = rows if kind == "cash_repeat" else rows.filter(F.col("waiting") <= most)
+        if kind == "unconfirmed" and aliases is not None:
+            asked = rows.select("id", "grp", F.col("sender_jid").alias("sender"), "card_owner", F.lit(now).cast("timestamp").alias("at"))
+            rows = rows.join(updates.silently_resolved(asked, l.messages, aliases).select("id"), "id", "left_anti")
+        queues.append(rows.select(F.lit(nth).alias("nth"), F.lit(kind).alias("question"), "id", "grp", "amount", "created_at"))
+    every = queues[0].unionByName(queues[1]).unionByName(queues[2]).unionByName(queues[3])
+    return every.orderBy("grp", "nth", "created_at", "id").limit(per_cycle).select("grp", "question", "id", "amount")
+
+
+def watch_list(l: Ledger, statuses: list[str], limit: int = 50) -> DataFrame:
+    """The watches of these statuses, the latest first."""
+    return l.watches.filter(F.col("status").isin(statuses)).orderBy(F.col("created_at").desc(), F.col("id").desc()).limit(limit).withColumn("amount", F.col("amount").cast("double"))
+
+
+def due_watches(l: Ledger, now, hours: int = 24, limit: int = 30) -> DataFrame:
+    """The watches whose payment should be there by now, the oldest first."""
+    due = l.watches.filter("status = 'watch'").filter(F.col("created_at") < F.lit(now).cast("timestamp") - F.make_dt_interval(hours=F.lit(hours)))
+    return due.orderBy("created_at", "id").limit(limit).withColumn("amount", F.col("amount").cast("double"))
+
+
+def latest_noname_watches(l: Ledger, since) -> DataFrame:
+    """Of each sender in each group, the latest watch since then that has no name."""
+    open_ = l.watches.filter("status = 'noname'").filter(F.col("created_at") > F.lit(since))
+    return open_.groupBy("group_jid", "sender_jid").agg(F.max_by("id", F.struct("created_at", "id")).alias("id"))
+
+
 def unparsed_messages(l: Ledger, limit: int = 100) -> DataFrame:
     """Messages of text alone that became nothing yet."""
     rows = l.messages.filter("not parsed and not has_media and not deleted and body <> ''")
@@ -307,41 +403,128 @@ def expenses_for_period(l: Ledger, start, end) -> DataFrame:
     return rows.select("id", "amount", "note", "spent_at").unionByName(total).withColumn("amount", F.col("amount").cast("double"))
 
 
-def reconcile(l: Ledger, start, end, days: int = 5) -> DataFrame:
-    """Receipts against the payments of the other program, one to one, by client and amount in units or hundredths.
+def reconcile(l: Ledger, start, end, group: str = "", days: int = 5) -> DataFrame:
+    """The period's receipts against the payments of the other program: added, missing, or to be looked at (attention).
 
-    Both sides are numbered within client and amount, and equal numbers meet; a pair more than ``days`` apart
-    needs attention.
+    A receipt's client is looked up by name; only a find of one client by the whole name is sure. A client's receipts,
+    the latest first, each take the first payment left of their amount, in units or hundredths, among those within
+    ``days`` of the client's first receipt in that order. A client's receipts pass through one task: the rule is sequential.
     """
-    receipts = full_receipts(l).filter(within("tx_date", start, end)).filter(f"{LIVE} and not needs_review and contact_id is not null and amount > 0")
-    receipts = receipts.select("id", F.col("contact_id").alias("client_id"), F.col("amount").cast("long").alias("units"), "tx_date")
-    receipts = receipts.withColumn("nth", F.row_number().over(Window.partitionBy("client_id", "units").orderBy("tx_date", "id")))
-    # A payment may be in either unit: it meets the receipts of its own amount, or of a hundredth of it.
-    amounts = receipts.select("client_id", "units").distinct()
-    paid = l.payments.select("payment_id", "client_id", "paid_at", F.explode(F.array_distinct(F.array(F.col("amount"), F.when(F.col("amount") % 100 == 0, F.floor(F.col("amount") / 100)).otherwise(F.col("amount"))))).alias("units"))
-    paid = paid.join(amounts, ["client_id", "units"], "left_semi")
-    paid = distinct_on(paid, ["payment_id"], [F.col("units").desc()])
-    paid = paid.withColumn("nth", F.row_number().over(Window.partitionBy("client_id", "units").orderBy("paid_at", "payment_id")))
-    both = receipts.join(paid, ["client_id", "units", "nth"], "left")
-    apart = F.abs(F.unix_seconds(F.col("paid_at").cast("timestamp")) - F.unix_seconds(F.col("tx_date").cast("timestamp"))) > days * 86400
-    status = F.when(F.col("payment_id").isNull(), "missing").when(apart, "attention").otherwise("added")
-    return both.select("id", "client_id", "units", "payment_id", status.alias("status"))
+    receipts = receipts_for_period(l, start, end, group).withColumn("units", updates.units("amount"))
+    found = updates.looked_up(receipts.select("name").distinct(), l.clients)
+    rows = receipts.join(found, "name")
+    sure = rows.filter("n = 1 and exact").select("id", "client_id", "tx_date", "units")
+    first = sure.groupBy("client_id").agg(F.to_date(F.max("tx_date")).alias("_day"))
+    day = F.to_date("paid_at")
+    paid = l.payments.join(first, "client_id").filter(day.between(F.date_sub("_day", days), F.date_add("_day", days)))
+    seconds = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    events = paid.select("client_id", F.lit(0).alias("kind"), seconds("paid_at").alias("nth"), F.col("payment_id").alias("id"), F.array("amount").alias("units"))
+    events = events.unionByName(sure.select("client_id", F.lit(1).alias("kind"), (-seconds("tx_date")).alias("nth"), "id", "units"))
+
+    def fold():
+        left: dict[int, deque] = {}  # (place, payment) by amount; payments come before receipts
+        n = count()
+
+        def step(r) -> int | None:
+            if r.kind == 0:
+                left.setdefault(int(r.units[0]), deque()).append((next(n), r.id))
+                return None
+            queues = [q for u in r.units if (q := left.get(int(u)))]
+            return min(queues, key=lambda q: q[0]).popleft()[1] if queues else None
+
+        return step
+
+    pairs = folded(events, ["client_id"], ["kind", "nth", "id"], fold, "kind int, id long, result long", ["kind", "id"]).filter("kind = 1").select("id", F.col("result").alias("payment_id"))
+    status = F.when((F.col("n") == 1) & F.col("exact"), F.when(F.col("payment_id").isNull(), "missing").otherwise("added")).otherwise("attention")
+    why = F.when(F.col("n") == 0, "no client").when(F.col("n") > 1, "several clients").when(~F.col("exact"), "alike").otherwise("")
+    return rows.join(pairs, "id", "left").select("id", "name", "client_id", "payment_id", status.alias("status"), why.alias("why"))
 
 
 def has_payment_around(l: Ledger, start, end, days: int = 5) -> DataFrame:
-    """The receipts with at least one payment of their amount, in either unit, within ``days``."""
-    receipts = full_receipts(l).filter(within("tx_date", start, end)).filter(f"{LIVE} and amount > 0").select("id", "contact_id", "amount", "tx_date")
-    span = F.make_dt_interval(days=F.lit(days))
-    units = receipts.select("*", F.explode(F.array(F.bround("amount", 0).cast("long"), F.bround(F.col("amount") * 100, 0).cast("long"))).alias("units"))
-    found = units.join(l.payments, (F.col("contact_id") == F.col("client_id")) & (F.col("units") == l.payments["amount"]) & F.col("paid_at").between(F.col("tx_date") - span, F.col("tx_date") + span), "left_semi")
+    """The receipts with at least one payment of their amount, in either unit, at most ``days`` days before or behind."""
+    receipts = full_receipts(l).filter(within("tx_date", start, end)).filter(f"{LIVE} and amount > 0").select("id", "contact_id", F.to_date("tx_date").alias("day"), F.explode(updates.units("amount")).alias("units"))
+    paid = l.payments.select("client_id", F.col("amount").alias("paid"), F.to_date("paid_at").alias("on"))
+    found = receipts.join(paid, (F.col("contact_id") == F.col("client_id")) & (F.col("units") == F.col("paid")) & F.col("on").between(F.date_sub("day", days), F.date_add("day", days)), "left_semi")
     return found.select("id").distinct()
 
 
-def finance_report(l: Ledger, start, end, groups: list[str] | None = None) -> DataFrame:
-    """The summary, what it leaves out and the most it could be, as sections of labelled sums."""
-    people = summary_for_period(l, start, end, groups).select(F.lit("client").alias("section"), F.col("name").alias("label"), "cnt", "total")
-    left_out = exclusions(l, start, end, groups).select(F.lit("left_out").alias("section"), F.col("bucket").alias("label"), "cnt", "total")
-    whole = people.agg(F.coalesce(F.sum("cnt"), F.lit(0)).alias("cnt"), F.coalesce(F.sum("total"), F.lit(0.0)).alias("total"))
-    most = whole.unionByName(left_out.filter("label <> 'text_duplicate'").select("cnt", "total")).agg(F.sum("cnt").alias("cnt"), F.sum("total").alias("total"))
-    sums = whole.select(F.lit("sum").alias("section"), F.lit("total").alias("label"), "cnt", "total").unionByName(most.select(F.lit("sum").alias("section"), F.lit("maximum").alias("label"), "cnt", "total"))
-    return people.unionByName(left_out).unionByName(sums)
+def _totals(rows: DataFrame, most: tuple[str, ...]) -> DataFrame:
+    """section, label, cnt, total of ``rows`` (section, label, n, amount), with the clients' sum, and the most it could be, in one pass."""
+    client, left = F.col("section") == "client", F.col("label").isin(*most)
+    own = F.struct("section", "label")
+    of = lambda s, label: F.struct(F.lit(s).alias("section"), F.lit(label).alias("label"))
+    also = F.array(F.when(F.col("section") != "none", own), F.when(client | (F.col("section") == "none"), of("sum", "total")), F.when(client | (left & (F.col("section") == "left_out")) | (F.col("section") == "none"), of("sum", "maximum")))
+    each = rows.select(F.explode(F.filter(also, lambda x: x.isNotNull())).alias("x"), "n", "amount")
+    return each.groupBy("x.section", "x.label").agg(F.sum("n").cast("long").alias("cnt"), money("amount").alias("total"))
+
+
+def _people(cards: DataFrame) -> DataFrame:
+    rows = cards.groupBy("key").agg(F.min("first")["canonical_name"].alias("label"), F.sum("n").alias("n"), F.sum("amount").alias("amount"))
+    return rows.select(F.lit("client").alias("section"), "label", "n", F.col("amount").cast("decimal(22,2)").alias("amount"))
+
+
+def _nothing(l: Ledger) -> DataFrame:
+    """A row that adds nothing, so that the sums are there without any client."""
+    return l.receipts.sparkSession.range(1).select(F.lit("none").alias("section"), F.lit("").alias("label"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("decimal(22,2)").alias("amount"))
+
+
+def _noted(section: str, rows: DataFrame) -> DataFrame:
+    return rows.select(F.lit(section).alias("section"), F.col("name").alias("label"), F.lit(1).cast("long").alias("n"), F.col("amount").cast("decimal(22,2)").alias("amount"))
+
+
+def finance_report(l: Ledger, start, end, groups: list[str] | None = None, now=None) -> DataFrame:
+    """The summary, what it leaves out and the most it could be, as sections of labelled sums.
+
+    With ``now``: what was recorded in the twelve hours before and lies outside the period, the latest twelve, as section ``outside``.
+    """
+    left = _left_out(l, start, end, groups).select(F.lit("left_out").alias("section"), F.col("bucket").alias("label"), F.col("n").cast("long").alias("n"), F.col("amount").cast("decimal(22,2)").alias("amount"))
+    rows = _people(_counted(l, start, end, groups)).unionByName(left).unionByName(_nothing(l))
+    if now is not None:
+        rows = rows.unionByName(_noted("outside", recent_outside_period(l, now - timedelta(hours=12), start, end, groups)))
+    return _totals(rows, ("needs_review", "held_cash"))
+
+
+def months_of(start: datetime, end: datetime) -> tuple[datetime, datetime]:
+    """From the first day of the period's first month to the first day after its last one."""
+    last = end - timedelta(days=1)
+    return start.replace(day=1), last.replace(year=last.year + last.month // 12, month=last.month % 12 + 1, day=1)
+
+
+def finance_report_by_chat(l: Ledger, start: datetime, end: datetime, groups: list[str] | None = None) -> DataFrame:
+    """The summary by the dates of posting, and the receipts of other months that were posted in the period, as section ``old``, with their sum."""
+    months = months_of(start, end)
+    old = _noted("old", old_operations(l, start, end, *months, groups, limit=50))
+    rows = _people(_counted_by_chat(l, start, end, *months, groups)).unionByName(old).unionByName(old.select(F.lit("sum").alias("section"), F.lit("old").alias("label"), "n", "amount")).unionByName(_nothing(l))
+    return _totals(rows, ()).filter("label <> 'maximum' or section <> 'sum'")
+
+
+def month_context(l: Ledger, now: datetime) -> DataFrame:
+    """What an assistant is told of the month: its clients and sum, the groups, the known people, the rules and the settings."""
+    start = now.replace(day=1, hour=0, minute=0, second=0, microsecond=0)
+    month = finance_report(l, start, months_of(start, start + timedelta(days=1))[1]).filter("section = 'client' or label = 'total'").select("section", "label", "cnt", "total")
+    plain = lambda section, rows, label: rows.select(F.lit(section).alias("section"), label.alias("label"), F.lit(None).cast("long").alias("cnt"), F.lit(None).cast("double").alias("total"))
+    named = l.settings.join(l.groups, F.col("value") == F.col("group_jid"), "left").select("key", F.coalesce("name", "value").alias("shown"))
+    return (
+        month.unionByName(plain("group", l.groups, F.col("name")))
+        .unionByName(plain("person", l.contacts, F.col("canonical_name")))
+        .unionByName(plain("rule", l.rules, F.concat_ws(" > ", "source_name", "target_name")))
+        .unionByName(plain("setting", named, F.concat_ws("=", "key", "shown")))
+    )
+
+
+def media_path(l: Ledger, code: str) -> DataFrame:
+    """kind, id and media_path of the unclear item with this code (``kind:id``); no row without a file."""
+    kind, _, num = code.partition(":")
+    m = l.messages.select(F.col("id").alias("_mid"), "media_path")
+    rows = m.select(F.col("_mid").alias("id"), "media_path") if kind == "message" else l.receipts.select("id", "raw_message_id").join(m, F.col("raw_message_id") == F.col("_mid")).select("id", "media_path")
+    return rows.filter((F.col("id") == int(num)) & (F.col("media_path") != "")).select(F.lit(kind).alias("kind"), "id", "media_path")
+
+
+def chat_histories(l: Ledger) -> DataFrame:
+    """The turns of each chat, in order."""
+    return l.history.groupBy("chat_key").agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", "from_user", "body"))), lambda x: x["body"]).alias("turns"), F.count("*").alias("n"))
+
+
+def unclear_with_reason(l: Ledger) -> DataFrame:
+    """All unclear items with the reason in words."""
+    return every_unclear_item(l).select("kind", "id", fn.unclear_reason("kind", "amount", "name").alias("reason"))

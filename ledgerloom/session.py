@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -21,3 +22,13 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(here.parent))
     sc.addPyFile(str(path))
     sc._ledgerloom_shipped = True
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder below ``spark.checkpoint.dir``; a local one only where that setting is missing and all runs on this machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = tempfile.gettempdir() + "/ledgerloom-checkpoints"
+    return f"{base.rstrip('/')}/ledgerloom-{uuid.uuid4().hex}"

@@ -23,6 +23,12 @@ class Ledger:
     payments: DataFrame
     expenses: DataFrame
     history: DataFrame
+    #: The other program's clients and contracts; watches on receipts that it should know; rules and settings.
+    clients: DataFrame
+    contracts: DataFrame
+    watches: DataFrame
+    rules: DataFrame
+    settings: DataFrame
 
 
 def from_events(spark: SparkSession, sf_dir: str) -> Ledger:
@@ -67,6 +73,7 @@ def from_events(spark: SparkSession, sf_dir: str) -> Ledger:
         (F.col("k") == 55).alias("is_duplicate"),
         (F.col("k") == 13).alias("ignored"),
         (F.col("k") % 10 != 0).alias("client_confirmed"),
+        (F.col("k") % 17 == 0).alias("clarify_asked"),
         F.col("received_at").alias("created_at"),
     )
     transactions = events.filter(~picture & (F.col("k") % 23 != 0)).select(
@@ -80,6 +87,8 @@ def from_events(spark: SparkSession, sf_dir: str) -> Ledger:
         F.when(F.col("k") % 8 == 0, text("Collector ", F.col("k") % 3)).otherwise("").alias("collector"),
         (F.col("event_type") == "signup").alias("is_cash"),
         (F.col("k") == 21).alias("dup_pending"),
+        (F.col("k") % 19 == 0).alias("collector_asked"),
+        (F.col("event_id") % 3 == 0).alias("dup_asked"),
         (F.col("k") == 13).alias("ignored"),
         F.col("received_at").alias("created_at"),
     )
@@ -90,7 +99,31 @@ def from_events(spark: SparkSession, sf_dir: str) -> Ledger:
         (F.col("ts") + F.make_dt_interval(days=F.col("k") % 8)).alias("paid_at"),
     )
     expenses = events.filter((F.col("event_type") == "error") & (F.col("k") % 5 == 0)).select(F.col("event_id").alias("id"), "amount", text("note ", F.col("k") % 4).alias("note"), F.col("ts").alias("spent_at"))
+    customers = read("customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("full_name"))
+    # Some clients are missing, some have a namesake, and one has a name in common with unknown recipients.
+    clients = customers.filter("id % 7 <> 0").unionByName(customers.filter("id % 11 = 0").select((F.col("id") + 10_000_000).alias("id"), F.concat("full_name", F.lit(" Jr")).alias("full_name")))
+    clients = clients.unionByName(customers.filter("id = 1").select(F.lit(20_000_000).cast("long").alias("id"), F.lit("Old Recipient").alias("full_name")))
+    contracts = read("orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("client_id"), text("b", F.col("o_orderkey") % 3).alias("branch_id"), F.when(F.col("o_orderstatus") == "O", F.floor("o_totalprice")).otherwise(0).cast("long").alias("remaining"))
+    watches = events.filter(picture & (F.col("k") % 3 == 1)).select(
+        F.col("event_id").alias("id"),
+        group.alias("group_jid"),
+        text("7900", F.lpad((F.col("k") % 12).cast("string"), 7, "0"), "@s.example").alias("sender_jid"),
+        F.when(F.col("k") % 5 == 0, "").otherwise(F.concat(F.lit("Customer#"), F.lpad(F.col("user_id").cast("string"), 9, "0"))).alias("client_text"),
+        F.when(F.col("k") % 5 == 2, F.col("user_id")).alias("client_id"),
+        "amount",
+        F.col("ts").alias("tx_date"),
+        F.element_at(F.array(*map(F.lit, ("noname", "lookup", "watch", "ambiguous", "unmatched"))), (F.col("k") % 5 + 1).cast("int")).alias("status"),
+        F.col("received_at").alias("created_at"),
+    )
+    regions = read("region")
+    rules = regions.select(text("g", F.col("r_regionkey")).alias("source"), F.col("r_name").alias("source_name"), text("g", (F.col("r_regionkey") + 1) % 4).alias("target_jid"), F.lower("r_name").alias("target_name"))
+    settings = regions.filter("r_regionkey < 3").select(F.element_at(F.array(*map(F.lit, ("main_group", "working_group", "unmatched_branch"))), (F.col("r_regionkey") + 1).cast("int")).alias("key"), text("g", F.col("r_regionkey") + 1).alias("value"))
     return Ledger(
+        clients=clients,
+        contracts=contracts,
+        watches=watches,
+        rules=rules,
+        settings=settings,
         messages=messages,
         receipts=receipts,
         transactions=transactions,

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ledgerloom.session import ship
+from ledgerloom.session import scratch, ship
 
 
 def messages_once(messages: DataFrame, key: str = "wa_message_id", time: str = "received_at", late: str = "1 day") -> DataFrame:
@@ -33,7 +33,7 @@ def paired_names(events: DataFrame, ttl_seconds: int = 360, most: int = 20, late
     """Names and receipts of a sender in a group, paired first in first out as they come.
 
     ``events``: id, grp, sender, ts, kind (``name`` or ``receipt``), text. The state is what still waits: at
-    most ``most`` names and as many receipts, for ``ttl_seconds`` of event time. One row per pair: id, name.
+    most ``most`` names and all receipts, for ``ttl_seconds`` of event time. One row per pair: id, name.
     """
     ship(events.sparkSession)
 
@@ -58,7 +58,7 @@ def paired_names(events: DataFrame, ttl_seconds: int = 360, most: int = 20, late
             elif names:
                 pairs.append((r.id, names.pop(0)[1]))
             else:
-                receipts = [*receipts, (r.s, r.id)][-most:]
+                receipts.append((r.s, r.id))
         state.update(([x[0] for x in names], [x[1] for x in names], [x[0] for x in receipts], [x[1] for x in receipts]))
         last = int(rows.s.max()) + ttl_seconds
         if last * 1000 > state.getCurrentWatermarkMs():
@@ -69,11 +69,22 @@ def paired_names(events: DataFrame, ttl_seconds: int = 360, most: int = 20, late
     return rows.groupBy("grp", "sender").applyInPandasWithState(step, "id long, name string", "ns array<long>, nt array<string>, rs array<long>, ri array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all that is there, into a table in memory; for checks and small results."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """Run a stream over all that is there, into Parquet files in the shared folder; a batch that is run again replaces its own."""
+    spark = stream.sparkSession
+    path = scratch(spark)
+
+    def land(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(path if mode == "complete" else f"{path}/batch={n}")
+
+    query = stream.writeStream.foreachBatch(land).outputMode(mode).option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(path)
+
+
+def posted(stream: DataFrame, post: Callable[[DataFrame, int], None], path: str):
+    """Start a stream that hands each batch, with its number, to ``post``, which sends it to another program; progress is kept at ``path``."""
+    return stream.writeStream.foreachBatch(post).option("checkpointLocation", path).start()
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

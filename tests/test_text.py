@@ -101,11 +101,11 @@ def test_pairing_in_batch_and_stream(spark, tmp_path):
             os.utime(f, (1_700_000_000 + 60 * k,) * 2)  # files are read in the order of their times
     schema = _events(spark, EVENTS).schema
     stream = flows.paired_names(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")))
-    assert {r["id"]: r["name"] for r in flows.drained(stream, "pairs").collect()} == {2: "A", 3: "B"}
+    assert {r["id"]: r["name"] for r in flows.drained(stream).collect()} == {2: "A", 3: "B"}
 
 
 def test_messages_once(spark, tmp_path):
     df = spark.createDataFrame([("a", 0), ("a", 1), ("b", 2)], "wa_message_id string, s long").select("wa_message_id", F.timestamp_seconds("s").alias("received_at"))
     df.write.parquet(str(tmp_path / "in"))
     stream = flows.messages_once(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")))
-    assert sorted(r["wa_message_id"] for r in flows.drained(stream, "once").collect()) == ["a", "b"]
+    assert sorted(r["wa_message_id"] for r in flows.drained(stream).collect()) == ["a", "b"]
