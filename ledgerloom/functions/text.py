@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -119,23 +121,26 @@ def header_lines(c: str | Column, n: int = 5) -> Column:
     return F.array_join(F.slice(lines, 1, n), "\n")
 
 
+#: Any bank's mark, in lower-cased text.
+_ANY_BANK = "|".join(f"(?:{p})" for _, p in V.BANKS)
+
+
 def detect_bank(c: str | Column) -> Column:
     """The first bank, in order, whose mark the text bears; else a word that ends like a bank's name; else nothing."""
-    c = _col(c)
-    named = [F.when(c.rlike(f"(?iu){p}"), bank) for bank, p in V.BANKS]
-    generic = F.lower(F.regexp_extract(c, V.GENERIC_BANK, 1))
-    return F.coalesce(*named, F.when((generic != "") & ~generic.isin(*V.NOT_BANKS), F.concat(F.upper(F.substring(generic, 1, 1)), F.substr(generic, F.lit(2)))), F.lit(""))
+
+    def found(low: Column) -> Column:
+        generic = F.regexp_extract(low, V.GENERIC_BANK, 1)
+        word = F.when((generic != "") & ~generic.isin(*V.NOT_BANKS), F.concat(F.upper(F.substring(generic, 1, 1)), F.substr(generic, F.lit(2))))
+        # The marks are tried one by one only where there is one at all.
+        return F.when(low.rlike(_ANY_BANK), F.coalesce(*[F.when(low.rlike(p), bank) for bank, p in V.BANKS])).otherwise(F.coalesce(word, F.lit("")))
+
+    # As an element the lower-cased text is computed once.
+    return F.get(F.transform(F.array(F.lower(_col(c))), found), F.lit(0))
 
 
 def looks_like_receipt(c: str | Column) -> Column:
-    c = _col(c)
-    low = F.lower(c)
-    test = F.lit(False)
-    for phrase in V.RECEIPT_PHRASES:
-        test = test | low.contains(phrase)
-    for _, p in V.BANKS:
-        test = test | c.rlike(f"(?iu){p}")
-    return test
+    phrases = "|".join(re.escape(p) for p in V.RECEIPT_PHRASES)
+    return F.lower(_col(c)).rlike(f"{phrases}|{_ANY_BANK}")
 
 
 def line_time(c: str | Column) -> Column:

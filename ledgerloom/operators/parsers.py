@@ -85,8 +85,9 @@ def parse_receipts(receipts: DataFrame, id_col: str = "id", text_col: str = "tex
 
     rows = receipts.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text")).withColumn("f", labelled("text"))
     lines = F.transform(F.split("text", "\r?\n"), fn.trimmed)
-    bank = fn.detect_bank(fn.header_lines("text"))
-    bank = F.when(bank != "", bank).otherwise(fn.detect_bank("text"))
+    rows = rows.withColumn("head", fn.detect_bank(fn.header_lines("text"))).withColumn("lines", lines)
+    rows = rows.withColumn("bank", F.when(F.col("head") != "", F.col("head")).otherwise(fn.detect_bank("text")))
+    bank, lines = F.col("bank"), F.col("lines")
     # Without a labelled recipient: the line below the words for an outgoing transfer.
     outgoing = F.array_position(F.transform(lines, lambda x: F.lower(x).contains("исходящий перевод")), True).cast("int")
     below = F.get(F.filter(F.slice(lines, outgoing + 1, F.size(lines)), lambda x: x != ""), 0)

@@ -68,3 +68,29 @@ def test_tools(spark):
             tools.call(l, **bad)
     fixed = tools.call(l, "correct_operation", kind="receipt", id=l.receipts.first()["id"], field="bank", value="Bank X")
     assert [r["bank"] for r in fixed.collect()] == ["Bank X"]
+
+
+def test_tools_that_change_things(spark):
+    l = from_events(spark, SF)
+    call = lambda tool, **k: tools.call(l, tool, **k)
+    assert {"recount_everything", "cmf_resolve"} <= set(tools.visible(True))
+    assert [(r["canonical"], r["amount"], r["is_cash"], r["group_jid"]) for r in call("record_payment", text="Милана\n5000").collect()] == [("Милана", 5000.0, False, "g2")]
+    assert call("record_expense", amount=5, note="такси", date="2024-01-02").count() == l.expenses.count() + 1
+    one = l.receipts.filter("needs_review").first()["id"]
+    fixed = call("fix_receipt", code=f"receipt:{one}", name="Customer#000000001", amount=12).first()
+    assert (fixed["recipient_raw"], fixed["contact_id"], float(fixed["amount"]), fixed["needs_review"]) == ("Customer#000000001", 1, 12.0, False)
+    assert call("fix_receipt", code="message:40", name="X").count() == 1
+    assert call("assign_receipt_collector", who="Оля", group="g1").filter("submitted_by = 'Оля'").count() == 1
+    assert call("manage_receipt_forwarding", action="add", source="личка", target="ASIA").filter("source = 'dm'").count() == 1
+    assert call("manage_receipt_forwarding", action="remove").count() == 0 and call("manage_receipt_forwarding", action="list").count() == l.rules.count()
+    assert call("phone_memory", action="set", phone="8 900 000-00-09", name="Оля").filter("phone = '79000000009'").count() == 1
+    assert call("phone_memory", action="remove", phone="79000000001").count() == l.owners.count() - 1
+    assert call("set_main_group", value="asia").filter("key = 'main_group'").first()["value"] == "g2"
+    watch = l.watches.filter("status = 'ambiguous'").first()["id"]
+    assert call("cmf_resolve", watch=watch, client=1).first()["status"] == "watch"
+    sent = spark.createDataFrame([("c", i, f"m{i}") for i in range(30)], "chat string, seq long, message_id string")
+    assert {r["seq"] for r in call("delete_my_messages", sent=sent, n=2).collect()} == {28, 29}
+    assert call("recount_everything").count() > 0
+    for bad in ({"tool": "fix_receipt", "code": "x"}, {"tool": "phone_memory", "action": "set", "phone": "12"}, {"tool": "set_main_group", "value": "nowhere"}):
+        with pytest.raises(tools.BadCall):
+            tools.call(l, **bad)
