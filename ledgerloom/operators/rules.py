@@ -37,23 +37,25 @@ def distinct_on(rows: DataFrame, key: list[Column | str], order: list[Column | s
 
 def full_receipts(l: Ledger) -> DataFrame:
     """Receipts with their message, contact and the owner of the sender's phone."""
-    m = l.messages.select(F.col("id").alias("_mid"), "wa_message_id", "wa_group_jid", "sender_jid", "sender_name", "media_path", "received_at", "deleted")
-    c = l.contacts.select(F.col("id").alias("_cid"), "canonical_name")
-    rows = l.receipts.join(m, F.col("raw_message_id") == F.col("_mid"), "left").join(c, F.col("contact_id") == F.col("_cid"), "left")
-    return _with_owner(rows, l).withColumn("deleted", F.coalesce("deleted", F.lit(False)))
+    return _full(l, "receipts", ["wa_message_id", "wa_group_jid", "sender_jid", "sender_name", "media_path", "received_at", "deleted"])
 
 
 def full_transactions(l: Ledger) -> DataFrame:
     """Text payments with their message, contact and the owner of the sender's phone."""
-    m = l.messages.select(F.col("id").alias("_mid"), "wa_group_jid", "sender_jid", "sender_name", "received_at", "deleted")
-    c = l.contacts.select(F.col("id").alias("_cid"), "canonical_name")
-    rows = l.transactions.join(m, F.col("raw_message_id") == F.col("_mid"), "left").join(c, F.col("contact_id") == F.col("_cid"), "left")
-    return _with_owner(rows, l).withColumn("deleted", F.coalesce("deleted", F.lit(False)))
+    return _full(l, "transactions", ["wa_group_jid", "sender_jid", "sender_name", "received_at", "deleted"])
 
 
-def _with_owner(rows: DataFrame, l: Ledger) -> DataFrame:
+def _full(l: Ledger, table: str, of_message: list[str]) -> DataFrame:
+    """The joined table, made once for a ledger, however often a report asks for it."""
+    if (known := l.__dict__.get(f"_full_{table}")) is not None:
+        return known
+    m = l.messages.select(F.col("id").alias("_mid"), *of_message)
+    c = l.contacts.select(F.col("id").alias("_cid"), "canonical_name")
+    rows = getattr(l, table).join(m, F.col("raw_message_id") == F.col("_mid"), "left").join(c, F.col("contact_id") == F.col("_cid"), "left")
     rows = rows.withColumn("phone", F.split_part(F.coalesce("sender_jid", F.lit("")), F.lit("@"), F.lit(1)))
-    return rows.join(l.owners, "phone", "left")
+    rows = rows.join(l.owners, "phone", "left").withColumn("deleted", F.coalesce("deleted", F.lit(False)))
+    l.__dict__[f"_full_{table}"] = rows
+    return rows
 
 
 #: Not a duplicate, not ignored, its message not deleted.
