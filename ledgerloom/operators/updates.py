@@ -280,11 +280,10 @@ def _clients_with(parts: DataFrame, clients: DataFrame) -> DataFrame:
     index = clients.select(F.col("id").alias("client_id"), "full_name", F.explode(F.concat(*[ngrams("full_name", n) for n in (1, 2, 3)])).alias("gram"))
     df = index.groupBy("gram").agg(F.count("*").alias("df"))
     own = F.when(F.length("part") < 3, F.array(F.lower("part"))).otherwise(ngrams("part", 3))
-    grams = parts.filter("part <> ''").select("part", F.explode(own).alias("gram")).join(df, "gram")
-    whole = parts.filter("part <> ''").select("part", F.size(own).alias("n"))
+    grams = parts.filter("part <> ''").select("part", F.explode(own).alias("gram")).join(df, "gram", "left")
     # A part of which one run is in no name is in none.
-    rarest = grams.groupBy("part").agg(F.count("*").alias("found"), F.min_by("gram", F.struct("df", "gram")).alias("gram")).join(whole, "part").filter("found = n").select("part", "gram")
-    return rarest.join(index, "gram").filter(F.lower("full_name").contains(F.lower("part"))).select("part", "client_id").distinct()
+    rarest = grams.groupBy("part").agg(F.count("*").alias("n"), F.count("df").alias("known"), F.min_by("gram", F.struct("df", "gram")).alias("gram")).filter("known = n")
+    return rarest.select("part", "gram").join(index, "gram").filter(F.lower("full_name").contains(F.lower("part"))).select("part", "client_id").distinct()
 
 
 def looked_up(names: DataFrame, clients: DataFrame) -> DataFrame:
@@ -293,11 +292,11 @@ def looked_up(names: DataFrame, clients: DataFrame) -> DataFrame:
     The clients whose name holds the whole; if there are none, those whose name holds one of its words of three letters
     and more: such a find isn't exact.
     """
-    whole = _clients_with(names.select(F.col("name").alias("part")), clients).groupBy(F.col("part").alias("name")).agg(F.count("*").alias("n"), F.min("client_id").alias("client_id"))
-    rest = names.join(whole.select("name"), "name", "left_anti")
-    words = rest.select("name", F.explode(F.array_distinct(F.filter(fn.words_of("name"), lambda w: F.length(w) >= 3))).alias("part"))
-    by_word = words.join(_clients_with(words.select("part").distinct(), clients), "part").groupBy("name").agg(F.countDistinct("client_id").alias("n"), F.min("client_id").alias("client_id"))
-    found = whole.select("*", F.lit(True).alias("exact")).unionByName(by_word.select("*", F.lit(False).alias("exact")))
+    words = F.filter(fn.words_of("name"), lambda w: F.length(w) >= 3)
+    parts = names.select("name", F.lit(True).alias("exact"), F.col("name").alias("part")).unionByName(names.select("name", F.lit(False).alias("exact"), F.explode(F.array_distinct(words)).alias("part")))
+    pairs = parts.join(_clients_with(parts.select("part").distinct(), clients), "part").select("name", "exact", "client_id").distinct()
+    found = pairs.groupBy("name").agg(F.max("exact").alias("exact"), *[x for e, n in ((F.col("exact"), "whole"), (~F.col("exact"), "words")) for x in (F.count_if(e).alias(n), F.min(F.when(e, F.col("client_id"))).alias(f"by_{n}"))])
+    found = found.select("name", "exact", F.when(F.col("exact"), F.col("whole")).otherwise(F.col("words")).alias("n"), F.when(F.col("exact"), F.col("by_whole")).otherwise(F.col("by_words")).alias("client_id"))
     rows = names.join(found, "name", "left")
     return rows.select("name", F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("n") == 1, F.col("client_id")).alias("client_id"), F.coalesce("exact", F.lit(False)).alias("exact"))
 
