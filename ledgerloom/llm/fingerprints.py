@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.shared import for_python, partitions, written
+from ledgerloom.llm.shared import for_python, partitions, slices, written
 
 #: Minimum hashes of a signature, each kept to 16 bits.
 HASHES = 64
@@ -119,7 +119,7 @@ def fingerprint_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
         held = None  # (range, id, text, signature, signature of the part that edits keep, its dictionary and last phrase)
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for dest, tail, doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if tail and (held is None or held[0] != dest):

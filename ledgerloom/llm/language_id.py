@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.shared import for_python
+from ledgerloom.llm.shared import for_python, slices
 
 #: Bytes of context at most.
 ORDER = 3
@@ -134,8 +134,8 @@ def gram_counts(docs: DataFrame) -> DataFrame:
     """Counts of all runs of four bytes by language, from columns lang and text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for lang, texts in batch.groupby("lang").text:
+        for rows in (batch.iloc[i : i + 1000] for batch in batches for i in range(0, len(batch), 1000)):
+            for lang, texts in rows.groupby("lang").text:
                 found = []
                 for text in texts:
                     b = _bytes(text).astype(np.int64)
@@ -174,7 +174,7 @@ def _rates(docs: DataFrame, trees: ByteTrees) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(trees)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = [(n.bit_length() - 1, float(bits.min()) / n) for bits, n in map(shared.value.bits, filter(has_letter, batch.column(0).to_pylist()))]
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.int32()), pa.array([r for _, r in found], pa.float64())], names=["k", "rate"])
 
@@ -197,7 +197,7 @@ def predict(docs: DataFrame, trees: ByteTrees | None, keep: tuple[str, ...] = ("
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             langs, scores, rates = [], [], []
             for text in batch.column(at).to_pylist():
                 if not text or model is None or not has_letter(text):
@@ -229,7 +229,7 @@ def in_a_language(docs: DataFrame, trees: ByteTrees | None, text_col: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             yield batch.filter(pa.array([model is not None and model.knows(t) for t in batch.column(at).to_pylist()], pa.bool_()))
 
     for_python(spark)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.components import components
-from ledgerloom.llm.shared import for_python, written
+from ledgerloom.llm.shared import for_python, slices, written
 
 SIMILARITY = 0.8
 WIDTH = 5
@@ -151,7 +151,7 @@ def inverse_frequencies(docs: DataFrame, width: int = WIDTH) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, rows = np.zeros(BUCKETS, np.int64), 0
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 rows += 1
                 counts[np.unique(shingles(text or "", width) & np.uint64(BUCKETS - 1)).astype(np.int64)] += 1
@@ -173,7 +173,7 @@ def _signed(docs: DataFrame, idf, bands: int, rows: int, width: int) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = idf.value
-        for batch in batches:
+        for batch in slices(batches):
             found: list[list[int]] = [[] for _ in range(batch.num_rows)]
             for at, sets in _grouped([t or "" for t in batch.column(3).to_pylist()], table, width):
                 s = samples(sets, bands * rows).reshape(len(sets), bands, rows)
@@ -205,7 +205,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf, similarity: float, width:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, last = idf.value, (None, None)
-        for batch in batches:
+        for batch in slices(batches):
             a, b = (batch.column(k).to_pylist() for k in (0, 1))
             keep = []
             for i in range(batch.num_rows):

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.shared import for_python, written
+from ledgerloom.llm.shared import for_python, slices, written
 
 WINDOW = 4096
 END_ID = 2
@@ -116,7 +116,7 @@ def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, id_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, at = _encoder(tokenizer_path), TaskContext.get().partitionId(), 0
         end = np.asarray([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in slices(batches):
             starts, counts, blobs = [], [], []
             for blob in encode.batch([t or "" for t in batch.column(1).to_pylist()]):
                 ids = np.frombuffer(blob + end, "<u4")
@@ -159,7 +159,7 @@ def pack(
     placed = table.join(F.broadcast(bases), "part").select("doc_id", (F.col("base") + F.col("local_start")).alias("at"), "tokens", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             doc, start, length, crc, whole, seq, offset, blobs = [], [], [], [], [], [], [], []
             for d, at, n, ids in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 ids = np.frombuffer(ids, "<u2" if len(ids) == 2 * n else "<u4").astype("<u4")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.shared import for_python
+from ledgerloom.llm.shared import for_python, slices
 
 KINDS = ("assign", "access", "hex", "dense")
 BASE = KINDS[:3]
@@ -113,7 +113,7 @@ def scan_secrets(docs: DataFrame, vocabulary: str, most_per_token: float = MOST_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = _encoding(vocabulary)
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-        for batch in batches:
+        for batch in slices(batches):
             spans = [[{"kind": k, "start": a, "end": b} for k, a, b in find_secrets(t.as_py() or "", encoding, most_per_token)] for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(spans, kind)], names=["doc_id", "spans"])
 
@@ -132,7 +132,7 @@ def redact_secrets(docs: DataFrame, vocabulary: str, mark: str = "[SECRET]", tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = _encoding(vocabulary)
-        for batch in batches:
+        for batch in slices(batches):
             texts = []
             for text in batch.column(at).to_pylist():
                 parts, end = [], 0

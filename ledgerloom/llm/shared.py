@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.session import ship
@@ -46,6 +48,13 @@ def for_python(spark: SparkSession) -> None:
     ship(spark)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of ``rows`` rows at most, so that few texts at a time become Python objects."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def partitions(spark: SparkSession) -> int:
     """The number of partitions that the session's shuffles are dealt to."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
