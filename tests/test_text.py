@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as fn
 from ledgerloom.operators import folds, parsers
+from ledgerloom.sources import files
 from ledgerloom.streaming import flows
 
 CASES = [
@@ -109,3 +110,45 @@ def test_messages_once(spark, tmp_path):
     df.write.parquet(str(tmp_path / "in"))
     stream = flows.messages_once(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")))
     assert sorted(r["wa_message_id"] for r in flows.drained(stream).collect()) == ["a", "b"]
+
+
+def test_cash_photos(spark):
+    """A photo marks the newest open payment, or records its payer's or a waiting name's cash, or waits for the next payment."""
+    rows = [
+        (1, 0, "payment", None, 100.0, False), (2, 60, "payment", None, 200.0, True), (3, 120, "photo", None, None, None),
+        (4, 180, "photo", "Ким", 50.0, None), (5, 240, "name", "Оля", 30.0, None), (6, 300, "photo", None, None, None),
+        (7, 360, "photo", None, None, None), (8, 420, "payment", None, 70.0, False), (9, 480, "photo", None, None, None), (10, 5000, "payment", None, 5.0, False),
+    ]
+    df = spark.createDataFrame(rows, "id long, s long, kind string, text string, amount double, paired boolean")
+    df = df.select("id", F.lit("g").alias("grp"), F.lit("x").alias("sender"), F.timestamp_seconds(F.col("s") + 1_700_000_000).alias("ts"), "kind", "text", "amount", "paired")
+    got = {r["id"]: r["result"] for r in folds.cash_photos(df).collect()}
+    assert got == {3: "mark:1", 4: "record:Ким:50", 6: "record:Оля:30", 7: "wait", 8: "cash", 9: "wait"}
+
+
+def test_stretches_change_nothing(spark):
+    """Folds of a key dealt by stretches give what one fold over the whole key gives, with gaps at and around the window."""
+    times = [0, 300, 301, 601, 1200, 1500, 1801, 5000, 5299, 5601]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(times)], "id long, s long").withColumn("k", F.lit("a"))
+
+    def fold():
+        last: list[int] = []
+
+        def step(r) -> bool:
+            hit = bool(last) and r.s - last[0] <= 300
+            if not hit:
+                last[:] = [r.s]
+            return hit
+
+        return step
+
+    whole, parts = ({r["id"]: r["result"] for r in folds.folded(df, ["k"], ["s", "id"], fold, "id long, result boolean", ["id"], gap).collect()} for gap in (None, 300))
+    assert whole == parts
+
+
+def test_files_with_text(spark, tmp_path):
+    (tmp_path / "a.PDF").write_bytes(b"one")
+    (tmp_path / "b.png").write_bytes(b"two")
+    found = files.media(spark, str(tmp_path))
+    got = {r["name"]: (r["is_pdf"], r["text"]) for r in files.with_text(found, lambda content, pdf: content.decode() if pdf else "").collect()}
+    assert got == {"a.PDF": (True, "one"), "b.png": (False, "")}
+    assert {r["text"] for r in files.with_text(found).collect()} == {""}
