@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerloom.llm import chat_format, fingerprints, language_id, licenses, metric_search, mixing, near_dedup, packing, personal_data, secrets
+from ledgerloom.llm import chat_format, exact_dedup, fingerprints, language_id, licenses, metric_search, mixing, near_dedup, packing, personal_data, secrets
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": packing.op8_packing,
         "op9_minhash_near_dedup": near_dedup.op9_minhash_near_dedup,
         "op10_license_scans": licenses.op10_license_scans,
+        "op12_exact_dedup": exact_dedup.op12_exact_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_top_k": metric_search.OP2_SQL, "op7_mixing": mixing.OP7_SQL, "op10_license_scans": licenses.OP10_SQL}
+    return {
+        "op2_exact_top_k": metric_search.OP2_SQL,
+        "op7_mixing": mixing.OP7_SQL,
+        "op10_license_scans": licenses.OP10_SQL,
+        "op12_exact_dedup": exact_dedup.OP12_SQL,
+    }
