@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
 
@@ -24,6 +26,12 @@ def ship(spark: SparkSession) -> None:
     sc._ledgerloom_shipped = True
 
 
+def ship_code(*modules: str) -> None:
+    """Have what these modules define go to Python workers as code: a stream also starts one on the driver, which doesn't get the files that are shipped."""
+    for name in modules:
+        cloudpickle.register_pickle_by_value(sys.modules[name])
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``; a local one only where that setting is missing and all runs on this machine."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)

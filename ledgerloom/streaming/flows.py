@@ -69,6 +69,24 @@ def paired_names(events: DataFrame, ttl_seconds: int = 360, most: int = 20, late
     return rows.groupBy("grp", "sender").applyInPandasWithState(step, "id long, name string", "ns array<long>, nt array<string>, rs array<long>, ri array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def with_a_last_beat(stream: DataFrame, key: str) -> DataFrame:
+    """``stream`` and one event long after all others, under a key of its own, as a live feed's next events are: the watermark passes all there is.
+
+    Columns other than ts, the key and id (-1) are null.
+    """
+    spark = stream.sparkSession
+    path = scratch(spark)
+    values = {"id": F.lit(-1), "ts": F.lit("2100-01-01").cast("timestamp"), key: F.lit("beat")}
+    beat = spark.range(1).select(*[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in stream.schema])
+    beat.write.parquet(path)
+    return stream.unionByName(spark.readStream.schema(stream.schema).parquet(path))
+
+
+def with_rocks(spark: SparkSession) -> None:
+    """Have the session keep streams' state in RocksDB, as state variables and timers need it."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over all that is there, into Parquet files in the shared folder; a batch that is run again replaces its own."""
     spark = stream.sparkSession
