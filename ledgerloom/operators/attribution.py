@@ -38,6 +38,8 @@ class Waiting:
         """What the event ``r`` of this sender does; ``r.kind`` also may be ``bound`` (a reply to the receipt ``r.about``) or ``queue`` (a reply to none)."""
         self.receipts = [x for x in self.receipts if r.s - x[0] < limits.names]
         self.payments = [x for x in self.payments if r.s - x[0] <= limits.cash]
+        if r.kind in ("name", "queue") and not r.name:
+            return None
         return getattr(self, f"_{r.kind}")(r, limits)
 
     def _payer(self, r, limits: Limits) -> tuple[str, float]:
@@ -144,3 +146,17 @@ def attributed(events: DataFrame, limits: Limits = Limits()) -> DataFrame:
 
     out = folded(dealt, ["grp", "sender"], ["s", "id"], fold, "id long, result struct<what:string,about:long,name:string,amount:double>", ["id"], max(limits.names, limits.cash))
     return out.filter("result is not null").select("id", "result.*")
+
+
+def cash_photos(events: DataFrame, window_seconds: int = 600, most: int = 20) -> DataFrame:
+    """What pictures of cash say: id and result of each picture, and of each payment or name that one before it made cash.
+
+    ``events``: id, grp, sender, ts, kind (payment, name or photo), text (a name, or the photo's payer), amount, paired. Results:
+    ``mark:id`` (of a payment), ``record:name:amount``, ``wait``, ``cash``, as ``attributed`` has them.
+    """
+    none = F.lit(None).cast("string")
+    rows = events.select("id", "grp", "sender", "ts", "kind", F.col("text").alias("name"), "amount", "paired", none.alias("message"), none.alias("quoted"))
+    money = F.regexp_replace(F.format_string("%.2f", "amount"), r"\.?0+$", "")
+    of = {"marked": F.concat(F.lit("mark:"), "about"), "recorded": F.concat_ws(":", F.lit("record"), "name", money), "waits": F.lit("wait"), "cash": F.lit("cash")}
+    result = F.coalesce(*[F.when(F.col("what") == what, text) for what, text in of.items()])
+    return attributed(rows, Limits(cash=window_seconds, most=most)).select("id", result.alias("result")).filter("result is not null")

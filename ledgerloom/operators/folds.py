@@ -1,13 +1,14 @@
 """Rules that depend on the order of events, in batch: duplicate receipts, held repeats of cash, pairing of names.
 
-Each is a fold over the events of one key in time. Originals beyond the window can't matter any more, so a
-fold carries the window's originals alone, and a key's events fall into stretches that nothing links: where no
-event lies within a window's length. Stretches are folded apart, in as many tasks as there are; one is folded in
-one pass over its sorted rows, batch by batch.
+Each is a fold over the events of one key. A key's events fall into stretches that nothing links: where no event
+lies within a window's length of the operations' times. Stretches are folded apart, in as many tasks as there are;
+one is folded in one pass over its sorted rows, batch by batch, in the order in which they were recorded where a rule
+asks what was known by then. The state of a fold is one stretch's originals.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections import deque
 from collections.abc import Iterator
 
@@ -15,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.functions import text as fn
 from ledgerloom.session import ship
 
 
@@ -61,59 +63,146 @@ def folded(rows: DataFrame, key: list[str], order: list[str], fold, schema: str,
     return rows.repartition(*key).sortWithinPartitions(*key, *order).mapInPandas(run, schema)
 
 
-def duplicate_receipts(receipts: DataFrame, window_seconds: int = 300) -> DataFrame:
-    """id and is_copy: whether a live receipt repeats one that counts, in its group, of its client and amount.
+class Originals:
+    """The originals of one group and amount by the time of their operation: a window on both sides is a stretch of a sorted list.
 
-    Two are the same within the window if neither document nor authorisation numbers contradict. Copies are
-    no originals, so a chain of repeats breaks where an original is out of reach.
+    Found by client, or by what is printed of the recipient, as the receipt that looks for one has it.
     """
+
+    def __init__(self):
+        self.by: dict[tuple, list] = {}
+
+    @staticmethod
+    def _keys(r) -> list[tuple]:
+        return [(n, v) for n, v in (("contact", r.contact), ("recipient", r.recipient)) if v]
+
+    def add(self, r) -> None:
+        for key in self._keys(r):
+            insort(self.by.setdefault(key, []), (r.s, r.id, r.doc, r.auth))
+
+    def remove(self, r) -> None:
+        for key in self._keys(r):
+            rows = self.by[key]
+            del rows[bisect_left(rows, (r.s, r.id, r.doc, r.auth))]
+
+    def has_like(self, r, window: int) -> bool:
+        """Whether one lies within the window, before or after, whose numbers don't contradict."""
+        rows = self.by.get(("contact", r.contact) if r.contact else ("recipient", r.recipient), [])
+        for i in range(bisect_left(rows, (r.s - window,)), len(rows)):
+            s, _, doc, auth = rows[i]
+            if s > r.s + window:
+                return False
+            if (not r.doc or not doc or r.doc == doc) and (not r.auth or not auth or r.auth == auth):
+                return True
+        return False
+
+
+def duplicate_receipts(receipts: DataFrame, window_seconds: int = 300, revoked: DataFrame | None = None) -> DataFrame:
+    """id, is_copy and freed: whether a receipt repeated a live one when it was recorded, and whether it has become an original since.
+
+    Receipts are taken in the order in which they were recorded (created_at, id), whatever the times of their operations. One
+    is a copy if a live original of its group and amount lies within the window on either side, of its client (or, for a
+    receipt without one, with the same recipient printed), and neither document nor authorisation numbers contradict. Copies are
+    no originals. ``revoked`` (raw_message_id, at) takes messages back: their originals no longer count, and of each one's copies
+    the newest that is live becomes an original (``freed``): one with the same document or authorisation, or of its client within
+    the window. Of copies with another amount than the original's, ``promoted`` tells.
+    """
+    filled = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     rows = receipts.filter("not ignored and amount > 0").select(
+        F.unix_micros(F.col("created_at").cast("timestamp")).alias("at"),
+        F.lit(0).alias("nth"),
         "id",
         F.coalesce("group_jid", F.lit("")).alias("g"),
-        F.coalesce(F.col("contact_id").cast("string"), F.concat(F.lit("?"), "recipient_raw"), F.lit("")).alias("who"),
         F.col("amount").cast("string").alias("a"),
-        F.unix_seconds(F.col("tx_date").cast("timestamp")).alias("s"),
-        F.coalesce("doc_number", F.lit("")).alias("doc"),
-        F.coalesce("auth_code", F.lit("")).alias("auth"),
+        F.unix_seconds(F.coalesce("tx_date", "created_at").cast("timestamp")).alias("s"),
+        filled("contact_id").alias("contact"),
+        filled("recipient_raw").alias("recipient"),
+        filled("doc_number").alias("doc"),
+        filled("auth_code").alias("auth"),
+        "raw_message_id",
     )
+    rows = stretches(rows, ["g", "a"], "s", window_seconds)
+    if revoked is not None:
+        gone = revoked.groupBy("raw_message_id").agg(F.min(F.unix_micros(F.col("at").cast("timestamp"))).alias("_at"))
+        gone = rows.join(gone, "raw_message_id").withColumns({"at": F.greatest("at", "_at"), "nth": F.lit(1)}).select(*rows.columns)
+        rows = rows.unionByName(gone)
 
     def fold():
-        originals: deque = deque()
-
-        def step(r) -> bool:
-            while originals and r.s - originals[0][0] > window_seconds:
-                originals.popleft()
-            same = any((not r.doc or not d or r.doc == d) and (not r.auth or not c or r.auth == c) for _, d, c in originals)
-            if not same:
-                originals.append((r.s, r.doc, r.auth))
-            return same
+        originals, copies, lost = Originals(), {}, set()
+
+        def taken_back(r) -> dict:
+            lost.add(r.id)
+            if copies.pop(r.id, None) is not None:
+                return {"is_copy": None, "freed": None}
+            originals.remove(r)
+            like = lambda c: (r.doc and c.doc == r.doc) or (r.auth and c.auth == r.auth) or (r.contact and c.contact == r.contact and abs(c.s - r.s) <= window_seconds)
+            best = max((c for c in copies.values() if like(c)), key=lambda c: (c.at, c.id), default=None)
+            if best is None:
+                return {"is_copy": None, "freed": None}
+            originals.add(copies.pop(best.id))
+            return {"is_copy": None, "freed": best.id}
+
+        def step(r) -> dict:
+            if r.nth:
+                return taken_back(r)
+            same = originals.has_like(r, window_seconds)
+            if same:
+                copies[r.id] = r
+            else:
+                originals.add(r)
+            return {"is_copy": same, "freed": None}
 
         return step
 
-    return folded(rows, ["g", "who", "a"], ["s", "id"], fold, "id long, result boolean", ["id"], window_seconds).withColumnRenamed("result", "is_copy")
+    out = folded(rows, ["g", "a", "stretch"], ["at", "nth", "id"], fold, "id long, result struct<is_copy:boolean,freed:long>", ["id"])
+    freed = out.filter("result.freed is not null").select(F.col("result.freed").alias("_id"))
+    was = out.filter("result.is_copy is not null").select("id", "result.is_copy")
+    return was.join(freed, F.col("id") == F.col("_id"), "left").select("id", "is_copy", F.col("_id").isNotNull().alias("freed"))
 
 
-def held_cash(transactions: DataFrame, groups: DataFrame, days: int = 30) -> DataFrame:
-    """id and held: whether a cash payment repeats a counted one of its client, amount and group within ``days``.
+def held_cash(transactions: DataFrame, groups: DataFrame, days: int = 30, answers: DataFrame | None = None) -> DataFrame:
+    """id, held and answer: whether a cash payment was held back when it was recorded, and what was said of it.
 
-    ``groups``: id, wa_group_jid of the messages. Held payments are no originals.
+    ``groups``: id, wa_group_jid of the messages. Payments are taken in the order in which they were recorded (created_at, id).
+    One is held if a counted one of its client, amount and group, recorded by then, is dated on its day or up to ``days`` before.
+    Held ones don't count until an answer says so. ``answers``: id, at, answer (text); ``new`` lets a held payment count from
+    then on, ``same`` drops it, anything else changes nothing; the first clear one holds.
     """
     m = groups.select(F.col("id").alias("_mid"), "wa_group_jid")
     rows = transactions.filter("is_cash and not ignored and amount > 0 and contact_id is not null").join(m, F.col("raw_message_id") == F.col("_mid"))
-    rows = rows.select("id", F.col("wa_group_jid").alias("g"), F.col("contact_id").alias("who"), F.col("amount").cast("string").alias("a"), F.datediff("tx_date", F.lit("1970-01-01")).alias("d"))
+    rows = rows.select(F.unix_micros(F.col("created_at").cast("timestamp")).alias("at"), F.lit("").alias("answer"), "id", F.col("wa_group_jid").alias("g"), F.col("contact_id").alias("who"), F.col("amount").cast("string").alias("a"), F.datediff("tx_date", F.lit("1970-01-01")).alias("d"))
+    rows = stretches(rows, ["g", "who", "a"], "d", days)
+    if answers is not None:
+        said = answers.select(F.col("id").alias("_id"), F.unix_micros(F.col("at").cast("timestamp")).alias("_at"), fn.dup_answer("answer").alias("_said")).filter("_said <> 'unclear'")
+        said = said.groupBy("_id").agg(F.min(F.struct("_at", "_said")).alias("first"))
+        said = rows.join(said, F.col("id") == F.col("_id")).withColumns({"at": F.greatest("at", "first._at"), "answer": F.col("first._said")}).select(*rows.columns)
+        rows = rows.unionByName(said)
 
     def fold():
-        last: list[int] = []
+        counted: list[int] = []
+        held: set[int] = set()
 
-        def step(r) -> bool:
-            held = bool(last) and r.d - last[0] <= days
-            if not held:
-                last[:] = [r.d]
-            return held
+        def step(r) -> str | None:
+            if r.answer:
+                if r.id not in held:
+                    return None
+                held.remove(r.id)
+                if r.answer == "new":
+                    insort(counted, r.d)
+                return r.answer
+            i = bisect_left(counted, r.d - days)
+            if i < len(counted) and counted[i] <= r.d:
+                held.add(r.id)
+                return "held"
+            insort(counted, r.d)
+            return ""
 
         return step
 
-    return folded(rows, ["g", "who", "a"], ["d", "id"], fold, "id long, result boolean", ["id"], days).withColumnRenamed("result", "held")
+    out = folded(rows, ["g", "who", "a", "stretch"], ["at", "answer", "id"], fold, "id long, answer string, result string", ["id", "answer"])
+    first = out.filter("answer = ''").select("id", (F.col("result") == "held").alias("held"))
+    said = out.filter("answer <> '' and result is not null").select(F.col("id").alias("_id"), "result")
+    return first.join(said, F.col("id") == F.col("_id"), "left").select("id", "held", F.coalesce("result", F.lit("")).alias("answer"))
 
 
 def pair_names(events: DataFrame, ttl_seconds: int = 360, most: int = 20) -> DataFrame:
@@ -216,49 +305,3 @@ def forwarded(events: DataFrame, rules: DataFrame) -> DataFrame:
     """What the rules send on. ``events``: wa_message_id, source, group; ``rules``: source, target_jid."""
     pairs = events.join(rules, "source").filter("target_jid <> grp")
     return pairs.select(F.concat_ws("-fwd-", "wa_message_id", F.split_part("target_jid", F.lit("@"), F.lit(1))).alias("wa_message_id"), F.col("target_jid").alias("grp"))
-
-
-def cash_photos(events: DataFrame, window_seconds: int = 600, most: int = 20) -> DataFrame:
-    """What pictures of cash say: id and result of each picture, and of each payment that one before it made cash.
-
-    ``events``: id, grp, sender, ts, kind (payment, name or photo), text (a name, or the photo's payer), amount, paired
-    (a payment that a receipt stands for, or cash already). A photo makes the sender's newest unpaired payment of the
-    window cash (``mark:id``); else it is a payment of its own, of its payer or of the first waiting name with an amount
-    (``record:name:amount``); else it waits for the next payment (``wait``), which becomes ``cash``.
-    """
-    rows = events.select("id", "grp", "sender", F.unix_seconds(F.col("ts").cast("timestamp")).alias("s"), "kind", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(F.col("amount").cast("double"), F.lit(0.0)).alias("amount"), F.coalesce("paired", F.lit(False)).alias("paired"))
-
-    def fold():
-        payments: deque = deque()
-        names: deque = deque(maxlen=most)
-        waits: list[int] = []
-
-        def photo(r) -> str:
-            while payments and r.s - payments[0][0] > window_seconds:
-                payments.popleft()
-            if payments:
-                return f"mark:{payments.pop()[1]}"
-            if r.text and r.amount > 0:
-                return f"record:{r.text}:{r.amount:g}"
-            for k, (s, name, amount) in enumerate(names):
-                if amount > 0 and r.s - s <= window_seconds:
-                    del names[k]
-                    return f"record:{name}:{amount:g}"
-            waits[:] = [r.s]
-            return "wait"
-
-        def step(r) -> str | None:
-            if r.kind == "photo":
-                return photo(r)
-            if r.kind == "name":
-                names.append((r.s, r.text, r.amount))
-                return None
-            waited = waits and r.s - waits[0] <= window_seconds
-            waits.clear()
-            if not waited and not r.paired:
-                payments.append((r.s, r.id))
-            return "cash" if waited else None
-
-        return step
-
-    return folded(rows, ["grp", "sender"], ["s", "id"], fold, "id long, result string", ["id"], window_seconds).filter("result is not null")

@@ -151,7 +151,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "j14_looked_up": _l(lambda l: updates.looked_up(l.clients.select(F.col("full_name").alias("name")).union(l.contacts.select("canonical_name")).union(l.contacts.filter("id < 40").select(_text("Recipient ", F.col("id")))).union(l.contacts.filter("id < 5").select(_text("No", F.col("id")))).distinct(), l.clients)),
     "st04_held_resolved": _l(lambda l: updates.held_resolved(l.transactions, l.transactions.filter("dup_pending").select("id", F.explode(F.array(F.struct(F.lit(1).alias("seq"), F.lit("новый").alias("answer")), F.struct(F.lit(2).alias("seq"), F.when(F.col("id") % 3 == 0, "тот же").when(F.col("id") % 3 == 1, "хз").otherwise("да").alias("answer")))).alias("a")).select("id", "a.*")).select("id", "ignored", "dup_pending")),
     "st04_asked_payment": _l(lambda l: updates.asked_payment(l.transactions.select(_text("q", F.col("id") % 50).alias("ask_id"), "id"), l.transactions)),
-    "st05_cash_photos": _l(lambda l: folds.cash_photos(l.messages.join(l.transactions.select(F.col("raw_message_id").alias("id"), F.col("amount").alias("a")), "id", "left").select("id", F.col("wa_group_jid").alias("grp"), F.col("sender_jid").alias("sender"), F.col("received_at").alias("ts"), F.when(F.col("a").isNotNull(), "payment").when(F.col("id") % 2 == 0, "photo").otherwise("name").alias("kind"), F.when(F.col("id") % 3 == 0, "Ким").alias("text"), F.coalesce("a", F.col("id") % 7).alias("amount"), (F.col("id") % 4 == 0).alias("paired")), 8 * 3600)),
     "st08_fixed_receipts": _l(lambda l: _double(updates.fixed_receipts(l.receipts, _fixes(l)).select(*_R, "amount", "tx_date"))),
     "st08_receipts_from_messages": _l(lambda l: updates.receipts_from_messages(l.messages, l.messages.filter("id % 50 = 0").select("id", F.when(F.col("id") % 100 == 0, "A").otherwise("").alias("name"), F.lit(3).cast("long").alias("contact"), F.lit(9.0).alias("new_amount"), F.lit(None).cast("timestamp").alias("new_date")))),
     "st08_filled_by_reply": _l(lambda l: _double(updates.filled_by_reply(l.receipts, l.messages, _receipts_sent(l, "id % 6 = 0", F.when(F.col("id") % 4 == 0, _new_name()).otherwise("").alias("name"), F.lit(7).cast("long").alias("contact"), F.when(F.col("id") % 3 == 0, 3.0).otherwise(0.0).alias("new_amount"))).select(*_R, "amount"))),

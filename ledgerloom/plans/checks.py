@@ -57,6 +57,17 @@ def _pair_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("event_id").alias("id"), F.concat(F.lit("g"), k % 4).alias("grp"), F.concat(F.lit("s"), F.col("user_id") % 10).alias("sender"), "ts", F.when(F.col("event_type") == "click", "name").otherwise("receipt").alias("kind"), F.concat(F.lit("Name "), "user_id").alias("text"))
 
 
+def _revoked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some messages, taken back two days after they were recorded."""
+    return from_events(spark, sf_dir).receipts.filter("id % 9 = 0").select("raw_message_id", (F.col("created_at") + F.make_dt_interval(days=F.lit(2))).alias("at"))
+
+
+def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is said of some payments a day later: new, the same, or nothing clear."""
+    said = F.when(F.col("id") % 4 == 2, "хз").when(F.col("id") % 8 == 1, "новый").otherwise("тот же")
+    return from_events(spark, sf_dir).transactions.filter("id % 4 in (1, 2)").select("id", (F.col("created_at") + F.make_dt_interval(days=F.lit(1))).alias("at"), said.alias("answer"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "fn01_parse_money": _money,
     "fn22_phones": _phones,
@@ -64,8 +75,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "fn23_format_money": lambda s, d: s.read.parquet(f"{d}/orders.parquet").select("o_orderkey", fn.format_money("o_totalprice").alias("shown")),
     "tv01_parse_messages": lambda s, d: parsers.parse_messages(bodies(s, d)),
     "st01_pair_names": lambda s, d: folds.pair_names(_pair_events(s, d), ttl_seconds=3 * 3600),
-    "st02_duplicate_receipts": lambda s, d: folds.duplicate_receipts(from_events(s, d).receipts, window_seconds=5 * DAY),
-    "st03_held_cash": lambda s, d: folds.held_cash(from_events(s, d).transactions, from_events(s, d).messages),
+    "st02_duplicate_receipts": lambda s, d: folds.duplicate_receipts(from_events(s, d).receipts, 5 * DAY, _revoked(s, d)),
+    "st03_held_cash": lambda s, d: folds.held_cash(from_events(s, d).transactions, from_events(s, d).messages, answers=_answers(s, d)),
     "st06_promoted": lambda s, d: folds.promoted(from_events(s, d).receipts, from_events(s, d).receipts.filter("id % 3 = 0").select("raw_message_id"), 20 * DAY),
     "st07_false_duplicates": lambda s, d: folds.false_duplicates(from_events(s, d).receipts, DAY),
     "st08_corrected": lambda s, d: folds.corrected(
@@ -83,29 +94,45 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sk06_history_last_n": lambda s, d: folds.last_n(from_events(s, d).history, "chat_key", "seq", 3).select("chat_key", "seq", "from_user"),
 }
 
+# Both by the statements that look for an original at insertion: live rows recorded before, on either side of the operation's time.
 _FOLD = f"""with recursive {LEDGER},
-x as (
-  select id, group_jid || '/' || coalesce(cast(contact_id as varchar), '?' || recipient_raw) || '/' || amount as key, epoch(tx_date) as s, doc_number as doc, auth_code as auth,
-         row_number() over (partition by group_jid, coalesce(cast(contact_id as varchar), '?' || recipient_raw), amount order by tx_date, id) as n
+i as (
+  select group_jid || '/' || amount as key, epoch_us(created_at) as seen, 0 as nth, id, cast(epoch(tx_date) as bigint) as s, contact_id as contact, recipient_raw as raw, doc_number as doc, auth_code as auth
   from br where not ignored and amount > 0),
+x as (
+  select *, row_number() over (partition by key order by seen, nth, id) as n
+  from (select * from i union all select * replace (seen + {2 * DAY * 1000000} as seen, 1 as nth) from i where id % 9 = 0)),
 w as (
-  select id, key, n, false as is_copy, [{{'s': s, 'doc': doc, 'auth': auth}}] as org from x where n = 1
+  select distinct key, cast(0 as bigint) as n, cast(null as bigint) as id, 0 as nth, false as is_copy, cast(null as bigint) as freed,
+         cast([] as struct(seen bigint, id bigint, s bigint, contact bigint, raw varchar, doc varchar, auth varchar)[]) as org, cast([] as struct(seen bigint, id bigint, s bigint, contact bigint, raw varchar, doc varchar, auth varchar)[]) as cop from x
   union all
-  select x.id, x.key, x.n, hit, case when hit then org else list_append(org, {{'s': x.s, 'doc': x.doc, 'auth': x.auth}}) end
-  from (select w.org, x.*, len([o for o in w.org if abs(x.s - o.s) <= {5 * DAY} and (o.doc = '' or x.doc = '' or o.doc = x.doc) and (o.auth = '' or x.auth = '' or o.auth = x.auth)]) > 0 as hit
-        from w join x on x.key = w.key and x.n = w.n + 1) x)
-select id, is_copy from w"""
+  select key, n, id, nth, nth = 0 and hit, case when was_org then best.id end,
+         case when nth = 0 and not hit then list_append(org, own) when was_org and best is not null then list_append(list_filter(org, lambda o: o.id <> z.id), best) when was_org then list_filter(org, lambda o: o.id <> z.id) else org end,
+         case when nth = 0 and hit then list_append(cop, own) when was_org and best is not null then list_filter(cop, lambda o: o.id <> best.id) when nth = 1 then list_filter(cop, lambda o: o.id <> z.id) else cop end
+  from (
+    select x.*, w.org, w.cop, {{'seen': x.seen, 'id': x.id, 's': x.s, 'contact': x.contact, 'raw': x.raw, 'doc': x.doc, 'auth': x.auth}} as own,
+           nth = 1 and len(list_filter(w.org, lambda o: o.id = x.id)) > 0 as was_org,
+           len(list_filter(w.org, lambda o: abs(x.s - o.s) <= {5 * DAY} and (case when x.contact is not null then coalesce(o.contact = x.contact, false) else o.raw = x.raw end) and (o.doc = '' or x.doc = '' or o.doc = x.doc) and (o.auth = '' or x.auth = '' or o.auth = x.auth))) > 0 as hit,
+           list_reverse_sort(list_filter(w.cop, lambda o: (x.doc <> '' and o.doc = x.doc) or (x.auth <> '' and o.auth = x.auth) or (coalesce(o.contact = x.contact, false) and abs(x.s - o.s) <= {5 * DAY})))[1] as best
+    from (select key, n, org, cop from w) w join x on x.key = w.key and x.n = w.n + 1) z)
+select id, is_copy, id in (select freed from w where freed is not null) as freed from w where id is not null and nth = 0"""
 
 _HELD = f"""with recursive {LEDGER},
-x as (
-  select id, wa_group_jid || '/' || contact_id || '/' || amount as key, tx_date as d, row_number() over (partition by wa_group_jid, contact_id, amount order by tx_date, id) as n
+i as (
+  select wa_group_jid || '/' || contact_id || '/' || amount as key, epoch_us(created_at) as seen, '' as answer, id, tx_date as d
   from t where is_cash and not ignored and amount > 0),
+x as (
+  select *, row_number() over (partition by key order by seen, answer, id) as n
+  from (select * from i union all select * replace (seen + {DAY * 1000000} as seen, case when id % 8 = 1 then 'new' else 'same' end as answer) from i where id % 4 = 1)),
 w as (
-  select id, key, n, false as held, d as last from x where n = 1
+  select distinct key, cast(0 as bigint) as n, cast(null as bigint) as id, '' as answer, '' as result, cast([] as date[]) as counted, cast([] as bigint[]) as held from x
   union all
-  select x.id, x.key, x.n, date_diff('day', w.last, x.d) <= 30, case when date_diff('day', w.last, x.d) <= 30 then w.last else x.d end
-  from w join x on x.key = w.key and x.n = w.n + 1)
-select id, held from w"""
+  select key, n, id, answer, case when answer = '' then (case when hit then 'held' else '' end) when was then answer else '' end,
+         case when (answer = '' and not hit) or (was and answer = 'new') then list_append(counted, d) else counted end,
+         case when answer = '' and hit then list_append(held, id) when answer <> '' then list_filter(held, lambda h: h <> z.id) else held end
+  from (select x.*, w.counted, w.held, x.answer <> '' and list_contains(w.held, x.id) as was, len(list_filter(w.counted, lambda c: c between x.d - 30 and x.d)) > 0 as hit
+        from (select key, n, counted, held from w) w join x on x.key = w.key and x.n = w.n + 1) z)
+select a.id, a.result = 'held' as held, coalesce(b.result, '') as answer from w a left join w b on b.id = a.id and b.answer <> '' where a.id is not null and a.answer = ''"""
 
 _PAIRS = """with recursive x as (
   select event_id as id, 'g' || (cast(json_extract(props, '$.k') as int) % 4) || '/s' || (user_id % 10) as key, epoch(ts) as s, event_type = 'click' as is_name, 'Name ' || user_id as t,

@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import attribution
-from ledgerloom.plans.oracle import _with
+from ledgerloom.plans.oracle import LEDGER
+from ledgerloom.sources.ledger import from_events
 from ledgerloom.streaming import attribution as attribution_stream
 from ledgerloom.streaming import flows
 
 HOUR, DAY = 3600, 86400
+PHOTOS = attribution.Limits(cash=8 * HOUR)
 LIMITS = attribution.Limits(names=3 * HOUR, cash=5 * HOUR, most=3, quotes=20 * DAY)
 
 
@@ -36,6 +38,16 @@ def _attributed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flows.drained(attribution_stream.attributed(events, LIMITS))
 
 
+def _cash_photos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger's messages: those with a payment as payments, others as pictures of cash and names."""
+    l = from_events(spark, sf_dir)
+    paid = l.transactions.select(F.col("raw_message_id").alias("id"), F.col("amount").alias("a"))
+    kind = F.when(F.col("a").isNotNull(), "payment").when(F.col("id") % 2 == 0, "photo").otherwise("name")
+    text = F.when(F.col("id") % 3 == 0, "Ким").when(kind == "name", "Имя")
+    rows = l.messages.join(paid, "id", "left").select("id", F.col("wa_group_jid").alias("grp"), F.col("sender_jid").alias("sender"), F.col("received_at").alias("ts"), kind.alias("kind"), text.alias("text"), F.coalesce("a", F.col("id") % 7).alias("amount"), (F.col("id") % 4 == 0).alias("paired"))
+    return attribution.cash_photos(rows, PHOTOS.cash)
+
+
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 
@@ -43,23 +55,19 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "st01_attributed": lambda s, d: attribution.attributed(chat_events(_events(s, d)), LIMITS),
     "st01_attributed_stream": _attributed_stream,
+    "st05_cash_photos": _cash_photos,
 }
 
-_ATTRIBUTED = f"""with recursive ev as (select *, cast(json_extract(props, '$.k') as int) as k from events),
-e as (
-  select event_id as id, 'g' || (k % 4) as grp, 's' || (user_id % 10) as sender, cast(floor(epoch(ts)) as bigint) as s,
-         case when event_type in ('click', 'error') then 'name' when event_type = 'signup' then 'payment' when event_type = 'view' and k % 3 = 0 then 'photo' else 'receipt' end as kind,
-         case when event_type in ('click', 'error') then 'Name ' || user_id when event_type = 'signup' and k % 5 = 0 then 'Line ' || user_id when event_type in ('view', 'purchase') and k % 9 = 0 then 'Written ' || k else '' end as name,
-         case when event_type in ('error', 'signup') or (event_type = 'view' and k % 12 = 0) then floor(value) else 0 end as amount, event_id % 6 = 0 as paired, 'm' || event_id as message,
-         case when event_type in ('click', 'error', 'signup') and event_id % 2 = 0 then 'm' || (event_id - 1 - k % 3) else '' end as quoted
-  from ev),
+def _attributed(events: str, limits: attribution.Limits) -> str:
+    """The effects, by recursion over each sender's events. ``events``: tables, the last of which is said (id, grp, sender, s, kind, name, amount, paired, message, quoted)."""
+    return f"""with recursive {events},
 hit as (
   select e.id, max(struct_pack(s := r.s, id := r.id, sender := r.sender)) as r
-  from e join e r on r.grp = e.grp and r.message = e.quoted
-  where e.quoted <> '' and e.name <> '' and e.kind in ('name', 'payment') and r.kind = 'receipt' and not r.paired and (r.s < e.s or (r.s = e.s and r.id < e.id)) and e.s - r.s <= {LIMITS.quotes} group by e.id),
+  from said e join said r on r.grp = e.grp and r.message = e.quoted
+  where e.quoted <> '' and e.name <> '' and e.kind in ('name', 'payment') and r.kind = 'receipt' and not r.paired and (r.s < e.s or (r.s = e.s and r.id < e.id)) and e.s - r.s <= {limits.quotes} group by e.id),
 y as (
   select e.id, grp, coalesce(r.sender, sender) as sender, e.s, case when r is not null then 'bound' when quoted <> '' and name <> '' and kind in ('name', 'payment') then 'queue' else kind end as kind, name, amount, paired, r.id as target
-  from e left join hit using (id)),
+  from said e left join hit using (id)),
 x as (select *, row_number() over (partition by grp, sender order by s, id) as n from y),
 w as (
   select distinct grp, sender, cast(0 as bigint) as n, cast(null as bigint) as id, cast(null as varchar) as act, cast(null as bigint) as about, cast(null as varchar) as said, cast(null as double) as money,
@@ -70,7 +78,7 @@ w as (
          case act when 'named by it' then id when 'waits' then id when 'recorded' then id when 'from queue' then id when 'cash' then id when 'queued' then id when 'marked' then pays[-1].id when 'names' then recs[1].id when 'bound' then target end,
          case act when 'named by it' then payer when 'recorded' then coalesce(payer, name) when 'from queue' then pick.name when 'names' then name when 'bound' then name when 'queued' then name end,
          case act when 'recorded' then amt when 'from queue' then pick.amount when 'queued' then amount end,
-         case act when 'queued' then list_append(names, {{'s': s, 'name': name, 'amount': amount}})[-{LIMITS.most}:] when 'from queue' then list_filter(names, lambda a, i: i <> pick.i) else names end,
+         case act when 'queued' then list_append(names, {{'s': s, 'name': name, 'amount': amount}})[-{limits.most}:] when 'from queue' then list_filter(names, lambda a, i: i <> pick.i) else names end,
          case act when 'names' then recs[2:] when 'bound' then list_filter(recs, lambda a: a.id <> target) when 'a receipt' then (case when paired then recs else list_append(recs, {{'s': s, 'id': id}}) end) else recs end,
          case act when 'marked' then pays[:-2] when 'a payment' then (case when paired then pays else list_append(pays, {{'s': s, 'id': id}}) end) else pays end,
          case when act = 'waits' then s when kind = 'payment' and act <> 'names' then null when kind = 'name' and act <> 'names' and amount > 0 then null else pic end
@@ -79,21 +87,38 @@ w as (
                    when kind = 'photo' then (case when len(pays) > 0 then 'marked' when payer is not null and amt > 0 then 'recorded' when pick is not null then 'from queue' else 'waits' end)
                    when kind = 'bound' then 'bound' when kind = 'queue' then 'queued'
                    when len(recs) > 0 and name <> '' then 'names'
-                   when kind = 'name' then (case when amount > 0 and s - pic <= {LIMITS.cash} then 'recorded' else 'queued' end)
-                   when s - pic <= {LIMITS.cash} then 'cash' else 'a payment' end as act
+                   when kind = 'name' then (case when amount > 0 and s - pic <= {limits.cash} then 'recorded' else 'queued' end)
+                   when s - pic <= {limits.cash} then 'cash' else 'a payment' end as act
     from (
       select grp, sender, n, id, s, kind, name, paired, target, amount, recs, pays, pic, case when kind in ('receipt', 'photo') then (case when name <> '' then name when len(nm) > 0 then nm[1].name end) end as payer,
              case when amount <> 0 or kind <> 'photo' then amount when name = '' and len(nm) > 0 then nm[1].amount else 0 end as amt,
              case when kind in ('receipt', 'photo') and name = '' then nm[2:] else nm end as names,
-             list_filter(list_transform(case when name = '' then nm[2:] else nm end, lambda a, i: {{'i': i, 's': a.s, 'name': a.name, 'amount': a.amount}}), lambda a: a.amount > 0 and x.s - a.s <= {LIMITS.cash})[1] as pick
+             list_filter(list_transform(case when name = '' then nm[2:] else nm end, lambda a, i: {{'i': i, 's': a.s, 'name': a.name, 'amount': a.amount}}), lambda a: a.amount > 0 and x.s - a.s <= {limits.cash})[1] as pick
       from (
-        select x.*, w.pic, list_filter(w.recs, lambda a: x.s - a.s < {LIMITS.names}) as recs, list_filter(w.pays, lambda a: x.s - a.s <= {LIMITS.cash}) as pays,
-               case when x.kind in ('receipt', 'photo') and x.name = '' then list_filter(w.names, lambda a: x.s - a.s <= {LIMITS.names}) else w.names end as nm
+        select x.*, w.pic, list_filter(w.recs, lambda a: x.s - a.s < {limits.names}) as recs, list_filter(w.pays, lambda a: x.s - a.s <= {limits.cash}) as pays,
+               case when x.kind in ('receipt', 'photo') and x.name = '' then list_filter(w.names, lambda a: x.s - a.s <= {limits.names}) else w.names end as nm
         from w join x on x.grp = w.grp and x.sender = w.sender and x.n = w.n + 1) x) z) q)
 select id, case act when 'named by it' then 'named' when 'names' then 'named' when 'bound' then 'named' when 'from queue' then 'recorded' else act end as what, about, said as name, money as amount
 from w where act is not null and act not in ('a receipt', 'a payment')"""
 
+
+_CHATS = """ev as (select *, cast(json_extract(props, '$.k') as int) as k from events),
+said as (
+  select event_id as id, 'g' || (k % 4) as grp, 's' || (user_id % 10) as sender, cast(floor(epoch(ts)) as bigint) as s,
+         case when event_type in ('click', 'error') then 'name' when event_type = 'signup' then 'payment' when event_type = 'view' and k % 3 = 0 then 'photo' else 'receipt' end as kind,
+         case when event_type in ('click', 'error') then 'Name ' || user_id when event_type = 'signup' and k % 5 = 0 then 'Line ' || user_id when event_type in ('view', 'purchase') and k % 9 = 0 then 'Written ' || k else '' end as name,
+         case when event_type in ('error', 'signup') or (event_type = 'view' and k % 12 = 0) then floor(value) else 0 end as amount, event_id % 6 = 0 as paired, 'm' || event_id as message,
+         case when event_type in ('click', 'error', 'signup') and event_id % 2 = 0 then 'm' || (event_id - 1 - k % 3) else '' end as quoted
+  from ev)"""
+
+_PHOTOS = f"""{LEDGER.strip()},
+said as (
+  select m.id, wa_group_jid as grp, sender_jid as sender, cast(floor(epoch(received_at)) as bigint) as s, case when tr.id is not null then 'payment' when m.id % 2 = 0 then 'photo' else 'name' end as kind,
+         case when m.id % 3 = 0 then 'Ким' when tr.id is null and m.id % 2 = 1 then 'Имя' else '' end as name, cast(coalesce(tr.amount, m.id % 7) as double) as amount, m.id % 4 = 0 as paired, '' as message, '' as quoted
+  from messages m left join tr using (id))"""
+
 ORACLES: dict[str, str] = {
-    "st01_attributed": _ATTRIBUTED,
-    "st01_attributed_stream": _ATTRIBUTED,
+    "st01_attributed": _attributed(_CHATS, LIMITS),
+    "st01_attributed_stream": _attributed(_CHATS, LIMITS),
+    "st05_cash_photos": f"select id, case what when 'marked' then 'mark:' || about when 'recorded' then 'record:' || name || ':' || cast(amount as bigint) when 'waits' then 'wait' else 'cash' end as result from ({_attributed(_PHOTOS, PHOTOS)}) where what in ('marked', 'recorded', 'waits', 'cash')",
 }

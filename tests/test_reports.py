@@ -7,13 +7,13 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from ledgerloom.plans import cases, catalogue, changes, checks, oracle, reports, tools
+from ledgerloom.plans import cases, catalogue, changes, checks, oracle, reports, streams, tools
 from ledgerloom.sources.ledger import from_events
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUERIES = catalogue.queries() | checks.QUERIES | cases.QUERIES | changes.QUERIES
-ORACLES = oracle.oracle_sql() | checks.ORACLES | cases.ORACLES | changes.ORACLES
+QUERIES = catalogue.queries() | checks.QUERIES | cases.QUERIES | changes.QUERIES | streams.QUERIES
+ORACLES = oracle.oracle_sql() | checks.ORACLES | cases.ORACLES | changes.ORACLES | streams.ORACLES
 
 
 @pytest.fixture(scope="module")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as fn
-from ledgerloom.operators import folds, parsers
+from ledgerloom.operators import attribution, folds, parsers
 from ledgerloom.sources import files
 from ledgerloom.streaming import flows
 
@@ -80,7 +80,7 @@ def test_names(spark):
 
 def test_duplicate_chain(spark):
     rows = [(i, s, "", "") for i, s in enumerate((0, 240, 480))]
-    df = spark.createDataFrame(rows, "id long, s long, doc_number string, auth_code string").select("id", F.timestamp_seconds("s").alias("tx_date"), "doc_number", "auth_code", F.lit("g").alias("group_jid"), F.lit(1).cast("long").alias("contact_id"), F.lit("r").alias("recipient_raw"), F.lit(10).cast("decimal(12,2)").alias("amount"), F.lit(False).alias("ignored"))
+    df = spark.createDataFrame(rows, "id long, s long, doc_number string, auth_code string").select("id", F.timestamp_seconds("s").alias("tx_date"), "doc_number", "auth_code", F.lit("g").alias("group_jid"), F.lit(1).cast("long").alias("contact_id"), F.lit("r").alias("recipient_raw"), F.lit(10).cast("decimal(12,2)").alias("amount"), F.lit(False).alias("ignored"), F.timestamp_seconds("s").alias("created_at"), F.col("id").alias("raw_message_id"))
     assert {r["id"]: r["is_copy"] for r in folds.duplicate_receipts(df).collect()} == {0: False, 1: True, 2: False}
 
 
@@ -121,7 +121,7 @@ def test_cash_photos(spark):
     ]
     df = spark.createDataFrame(rows, "id long, s long, kind string, text string, amount double, paired boolean")
     df = df.select("id", F.lit("g").alias("grp"), F.lit("x").alias("sender"), F.timestamp_seconds(F.col("s") + 1_700_000_000).alias("ts"), "kind", "text", "amount", "paired")
-    got = {r["id"]: r["result"] for r in folds.cash_photos(df).collect()}
+    got = {r["id"]: r["result"] for r in attribution.cash_photos(df).collect()}
     assert got == {3: "mark:1", 4: "record:Ким:50", 6: "record:Оля:30", 7: "wait", 8: "cash", 9: "wait"}
 
 
