@@ -27,8 +27,8 @@ LEAST_WORDS = 20
 PERCENT = 10
 SEED = 2024
 #: Bytes of text and documents of a block, about; and of the part of a long text that is split at a time.
-BLOCK_BYTES = 8 << 20
-BLOCK_ROWS = 16384
+BLOCK_BYTES = 32 << 20
+BLOCK_ROWS = 65536
 PART_BYTES = 1 << 20
 #: Bytes of words in lower case; all others part words.
 _WORDS = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
