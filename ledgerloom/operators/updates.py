@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as fn
 from ledgerloom.operators import parsers
-from ledgerloom.operators.folds import folded
+from ledgerloom.operators.folds import duplicate_receipts, folded
 from ledgerloom.operators.rules import distinct_on
 
 
@@ -238,6 +238,59 @@ def pending_receipts(uploads: DataFrame, most: int = 300) -> DataFrame:
     return uploads.withColumn("_nth", nth).filter(F.col("_nth") <= most).drop("_nth")
 
 
+def flushed(events: DataFrame, most: int = 300) -> DataFrame:
+    """flush, target, nth and id of the uploads that each command takes: the last ``most`` of its chat since the command before.
+
+    ``events``: chat, id, ts, kind (upload or flush), target (of a flush).
+    """
+    w = Window.partitionBy("chat").orderBy(F.unix_seconds(F.col("ts").cast("timestamp")), "id")
+    after = F.first(F.when(F.col("kind") == "flush", F.struct(F.col("id").alias("flush"), "target")), ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    rows = events.withColumn("after", after).filter("kind = 'upload' and after is not null").select("after.*", "id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("s"))
+    back = F.row_number().over(Window.partitionBy("flush").orderBy(F.col("s").desc(), F.col("id").desc()))
+    kept = rows.withColumn("back", back).filter(F.col("back") <= most)
+    return kept.select("flush", "target", F.row_number().over(Window.partitionBy("flush").orderBy("s", "id")).cast("long").alias("nth"), "id")
+
+
+def saved_uploads(taken: DataFrame, uploads: DataFrame, receipts: DataFrame, at: DataFrame, window_seconds: int = 300) -> DataFrame:
+    """flush, id and status (``saved`` or ``skipped``) of the uploads that commands save into their target groups.
+
+    ``taken``: what ``flushed`` gives; ``uploads``: the read receipts, as ``receipts`` without group and created_at, ids from 0 on;
+    ``at``: flush, ts. An upload that repeats a receipt of the target group, or an upload saved before it, is skipped.
+    """
+    rows = taken.join(at, "flush").join(uploads, "id")
+    new = rows.withColumns({"group_jid": F.col("target"), "created_at": F.col("ts").cast("timestamp") + F.make_dt_interval(secs=F.col("nth") / 1_000_000)})
+    own = ["id", "raw_message_id", "group_jid", "contact_id", "recipient_raw", "amount", "tx_date", "doc_number", "auth_code", "ignored", "created_at"]
+    # Below nought the uploads' ids meet none of the receipts'.
+    rows = receipts.filter("not is_duplicate").select(*own).unionByName(new.select(*own).withColumn("id", -F.col("id") - 1))
+    told = duplicate_receipts(rows, window_seconds).filter("id < 0").select((-F.col("id") - 1).alias("id"), "is_copy")
+    return taken.join(told, "id").select("flush", "id", F.when(F.col("is_copy"), "skipped").otherwise("saved").alias("status"))
+
+
+def replies_about(events: DataFrame, most: int = 500) -> DataFrame:
+    """id and about of each reply: what its question was about, as far as the question is one of the last ``most`` of its kind then.
+
+    ``events``: kind, id, ts, what (ask or reply), ask_id, about. Questions count from when they were first asked; one that
+    is asked again before it is forgotten keeps its place, with what it is about now. A kind's events pass through one task.
+    """
+    rows = events.filter("ask_id <> ''").select("kind", "id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("s"), "what", "ask_id", "about")
+
+    def fold():
+        known: dict[str, int] = {}
+
+        def step(r) -> int | None:
+            if r.what == "reply":
+                return known.get(r.ask_id)
+            known[r.ask_id] = int(r.about)
+            if len(known) > most:
+                del known[next(iter(known))]
+            return None
+
+        return step
+
+    out = folded(rows, ["kind"], ["s", "id"], fold, "id long, what string, result long", ["id", "what"])
+    return out.filter("what = 'reply'").select("id", F.col("result").alias("about"))
+
+
 # --- the recount ------------------------------------------------------------------------------------------------------
 
 

@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import attribution
+from ledgerloom.operators import attribution, updates
 from ledgerloom.plans.oracle import LEDGER
 from ledgerloom.sources.ledger import from_events
+from ledgerloom.session import scratch
 from ledgerloom.streaming import attribution as attribution_stream
-from ledgerloom.streaming import flows
+from ledgerloom.streaming import flows, snapshots, stateful
 
 HOUR, DAY = 3600, 86400
 PHOTOS = attribution.Limits(cash=8 * HOUR)
@@ -38,6 +39,76 @@ def _attributed_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flows.drained(attribution_stream.attributed(events, LIMITS))
 
 
+def uploads(events: DataFrame) -> DataFrame:
+    """Uploads into four chats, and now and then a command that saves them to a group."""
+    flush = F.col("event_id") % 40 == 0
+    return events.select(F.concat(F.lit("c"), _k() % 4).alias("chat"), F.col("event_id").alias("id"), "ts", F.when(flush, "flush").otherwise("upload").alias("kind"), F.when(flush, F.concat(F.lit("g"), _k() % 3)).alias("target"))
+
+
+def asks(events: DataFrame) -> DataFrame:
+    """Questions of four kinds, some asked again, and replies to questions of before."""
+    reply = F.col("event_id") % 3 == 0
+    ask = F.floor(F.col("event_id") / 5) - F.when(reply, _k()).otherwise(0)
+    return events.select(F.concat(F.lit("k"), _k() % 4).alias("kind"), F.col("event_id").alias("id"), "ts", F.when(reply, "reply").otherwise("ask").alias("what"), F.concat(F.lit("q"), ask).alias("ask_id"), F.col("event_id").alias("about"))
+
+
+def watched(events: DataFrame) -> DataFrame:
+    """A watch for each event, half of them begun twice, and a third settled after some hours."""
+    of = lambda kind, hours: F.struct(F.lit(kind).alias("kind"), (F.col("ts").cast("timestamp") + F.make_dt_interval(hours=hours)).alias("ts"))
+    some = F.when(F.col("event_id") % 3 == 0, F.array(of("watch", F.lit(0)), of("settled", _k()))).when(F.col("event_id") % 3 == 1, F.array(of("watch", F.lit(0)), of("watch", F.lit(5))))
+    return events.select(F.col("event_id").alias("id"), F.inline(F.coalesce(some, F.array(of("watch", F.lit(0))))))
+
+
+def paid_and_revoked(events: DataFrame) -> DataFrame:
+    """Payments, two to a message and some of them twice, and revocations of messages before and behind."""
+    text = lambda c: F.concat(F.lit("m"), F.floor(c / 2))
+    pay = F.struct(text(F.col("event_id")).alias("message"), F.col("event_id").alias("id"), F.lit("payment").alias("what"))
+    revoke = F.struct(text(F.col("event_id") - 9 + _k()).alias("message"), F.col("event_id").alias("id"), F.lit("revoke").alias("what"))
+    rows = F.when(_k() % 7 == 0, F.array(pay, revoke)).when(_k() % 7 == 1, F.array(pay, pay)).otherwise(F.array(pay))
+    return events.select(F.inline(rows), "ts", F.to_date("ts").alias("day"), F.col("event_type").alias("kind"), F.floor("value").cast("decimal(18,2)").alias("amount"))
+
+
+def _stream(events: Callable[[DataFrame], DataFrame], key: str, rule: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: flows.drained(rule(flows.with_a_last_beat(events(flows.event_stream(spark, sf_dir)), key)))
+
+
+def _totals_after_revokes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily totals that payments enter and, revoked, leave again, batch by batch in a table of their own."""
+    path = scratch(spark)
+    table = snapshots.Snapshot(spark, path, "day date, kind string, cnt long, total decimal(28,2)", ["day", "kind"], snapshots.summed(["day", "kind"], cnt="cnt", total="total"), 8)
+    rows = stateful.signed(flows.with_a_last_beat(paid_and_revoked(flows.event_stream(spark, sf_dir)), "message"))
+    snapshots.upserted(rows.filter("day is not null").select("day", "kind", F.col("sign").alias("cnt"), (F.col("sign") * F.col("amount")).alias("total")), table, f"{path}-state").awaitTermination()
+    return table.read().filter("cnt > 0").select(F.col("day").cast("timestamp").alias("day"), "kind", "cnt", F.col("total").cast("double").alias("total"))
+
+
+def in_files(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
+    """The events as a stream of ``n`` files, one a batch, in their order: files are read as they were written, one after another."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    path, last = scratch(spark), events.agg(F.max("event_id")).first()[0]
+    for i in range(n):
+        events.filter(F.floor(F.col("event_id") * n / (last + 1)) == i).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _upserted_senders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last that each user did, with when they were first seen, kept up to date over four batches."""
+    path = scratch(spark)
+    table = snapshots.Snapshot(spark, path, "user_id long, event_id long, event_type string, first_id long", ["user_id"], snapshots.last_by(["user_id"], "event_id", keep=("first_id",)), 8)
+    rows = in_files(spark, sf_dir, 4).select("user_id", "event_id", "event_type", F.col("event_id").alias("first_id"))
+    snapshots.upserted(rows, table, f"{path}-state").awaitTermination()
+    return table.read()
+
+
+def _arrived_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many deliveries each message had, and how many of them it existed at, over four batches."""
+    path = scratch(spark)
+    table = snapshots.Arrivals(spark, path, "wa_message_id string, seq long", ["wa_message_id"], "seq", 8)
+    rows = in_files(spark, sf_dir, 4).select(F.concat(F.lit("m"), F.floor(F.col("event_id") / 3) % 500).alias("wa_message_id"), F.col("event_id").alias("seq"))
+    snapshots.upserted(rows, table, f"{path}-state").awaitTermination()
+    told = table.told().groupBy("wa_message_id").agg(F.count("*").alias("n"), F.count_if("existed").alias("existed"))
+    return told.join(table.read().select("wa_message_id"), "wa_message_id")
+
+
 def _cash_photos(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ledger's messages: those with a payment as payments, others as pictures of cash and names."""
     l = from_events(spark, sf_dir)
@@ -56,6 +127,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "st01_attributed": lambda s, d: attribution.attributed(chat_events(_events(s, d)), LIMITS),
     "st01_attributed_stream": _attributed_stream,
     "st05_cash_photos": _cash_photos,
+    "st06_totals_after_revokes": _totals_after_revokes,
+    "st11_flushed": lambda s, d: updates.flushed(uploads(_events(s, d)), 30),
+    "st11_flushed_stream": _stream(uploads, "chat", lambda x: stateful.flushed(x, 30)),
+    "st12_due_watches_stream": _stream(watched, "id", lambda x: stateful.due_watches(x, DAY, by_clock=False).filter("id >= 0")),
+    "st13_spaced_stream": _stream(lambda e: e.select(F.concat(F.lit("g"), _k() % 4).alias("chat"), F.col("event_id").alias("id"), "ts"), "chat", lambda x: stateful.spaced(x, 5 * HOUR).filter("id >= 0")),
+    "st14_replies": lambda s, d: updates.replies_about(asks(_events(s, d)), 20),
+    "st14_replies_stream": _stream(asks, "kind", lambda x: stateful.replies_about(x, 20)),
+    "sk01_arrivals_stream": _arrived_messages,
+    "sk04_upserted_stream": _upserted_senders,
 }
 
 def _attributed(events: str, limits: attribution.Limits) -> str:
@@ -117,7 +197,52 @@ said as (
          case when m.id % 3 = 0 then 'Ким' when tr.id is null and m.id % 2 = 1 then 'Имя' else '' end as name, cast(coalesce(tr.amount, m.id % 7) as double) as amount, m.id % 4 = 0 as paired, '' as message, '' as quoted
   from messages m left join tr using (id))"""
 
+_E = "e as (select *, cast(json_extract(props, '$.k') as int) as k from events)"
+
+_FLUSHED = f"""with {_E},
+u as (select 'c' || (k % 4) as chat, event_id as id, ts, event_id % 40 = 0 as flush, 'g' || (k % 3) as target from e),
+f as (select *, sum(flush::int) over (partition by chat order by ts, id rows between unbounded preceding and 1 preceding) as n from u),
+l as (select chat, coalesce(n, 0) as n, id as flush, target from f where flush),
+r as (select chat, coalesce(n, 0) as n, id, row_number() over (partition by chat, coalesce(n, 0) order by ts desc, id desc) as back, row_number() over (partition by chat, coalesce(n, 0) order by ts, id) as place from f where not flush)
+select l.flush, target, row_number() over (partition by l.flush order by place) as nth, r.id from r join l using (chat, n) where back <= 30"""
+
+_REPLIES = f"""with recursive {_E},
+x as (
+  select 'k' || (k % 4) as kind, event_id as id, event_id % 3 = 0 as reply, 'q' || (event_id // 5 - case when event_id % 3 = 0 then k else 0 end) as ask_id, row_number() over (partition by k % 4 order by ts, event_id) as n from e),
+w as (
+  select distinct kind, cast(0 as bigint) as n, cast(null as bigint) as id, false as reply, cast(null as bigint) as about, cast([] as struct(q varchar, a bigint)[]) as known from x
+  union all
+  select kind, n, id, reply, case when reply then hit end,
+         case when reply then known when hit is not null then list_transform(known, lambda v: case when v.q = z.ask_id then {{'q': v.q, 'a': z.id}} else v end) else list_append(known, {{'q': ask_id, 'a': id}})[-20:] end
+  from (select x.*, w.known, list_filter(w.known, lambda v: v.q = x.ask_id)[1].a as hit from (select kind, n, known from w) w join x on x.kind = w.kind and x.n = w.n + 1) z)
+select id, about from w where reply"""
+
+_REVOKED = f"""with {_E},
+gone as (select distinct 'm' || cast(floor((event_id - 9 + k) / 2) as bigint) as message from e where k % 7 = 0)
+select date_trunc('day', ts) as day, event_type as kind, count(*) as cnt, cast(sum(floor(value)) as double) as total
+from e where 'm' || (event_id // 2) not in (select message from gone) group by 1, 2"""
+
+_DUE = f"""with {_E}
+select event_id as id, cast(date_trunc('second', ts) as timestamp) + interval 24 hour as due from e where event_id % 3 <> 0 or k >= 24"""
+
+_SPACED = f"""with recursive {_E},
+x as (select event_id as id, k % 4 as c, cast(floor(epoch(ts)) as bigint) as s, row_number() over (partition by k % 4 order by floor(epoch(ts)), event_id) as n from e),
+w as (
+  select c, cast(0 as bigint) as n, cast(null as bigint) as id, cast(-1000000000000 as bigint) as last, false as free from x group by 1
+  union all
+  select x.c, x.n, x.id, case when x.s - w.last >= 18000 then x.s else w.last end, x.s - w.last >= 18000 from w join x on x.c = w.c and x.n = w.n + 1)
+select id from w where free"""
+
 ORACLES: dict[str, str] = {
+    "st06_totals_after_revokes": _REVOKED,
+    "st11_flushed": _FLUSHED,
+    "st11_flushed_stream": _FLUSHED,
+    "st12_due_watches_stream": _DUE,
+    "st13_spaced_stream": _SPACED,
+    "st14_replies": _REPLIES,
+    "st14_replies_stream": _REPLIES,
+    "sk01_arrivals_stream": "select 'm' || ((event_id // 3) % 500) as wa_message_id, count(*) as n, count(*) - 1 as existed from events group by 1",
+    "sk04_upserted_stream": "select user_id, max(event_id) as event_id, arg_max(event_type, event_id) as event_type, min(event_id) as first_id from events group by 1",
     "st01_attributed": _attributed(_CHATS, LIMITS),
     "st01_attributed_stream": _attributed(_CHATS, LIMITS),
     "st05_cash_photos": f"select id, case what when 'marked' then 'mark:' || about when 'recorded' then 'record:' || name || ':' || cast(amount as bigint) when 'waits' then 'wait' else 'cash' end as result from ({_attributed(_PHOTOS, PHOTOS)}) where what in ('marked', 'recorded', 'waits', 'cash')",

@@ -1,27 +1,19 @@
 """The rule of names, receipts, payments and pictures of cash as a stream with state, chat by chat.
 
-Events wait until the watermark has passed them and are then taken in their order, whatever the order in which
-they came; a timer of the chat wakes it for its next one. The four waiting places of each sender, and the receipts
-that replies may quote, are state variables of their own, so that a chat reads and writes those of its active
-senders alone.
+The four waiting places of each sender, and the receipts that replies may quote, are state variables of their own,
+so that a chat reads and writes those of its active senders alone.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from types import SimpleNamespace
 
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessorHandle
 
 from ledgerloom.operators.attribution import Limits, Waiting, rows_of
-from ledgerloom.session import ship, ship_code
-from ledgerloom.streaming.flows import with_rocks
+from ledgerloom.streaming.ordered import Ordered, in_order
 
-#: An event as it waits for the watermark.
-_EVENT = {"id": "long", "sender": "string", "s": "long", "kind": "string", "name": "string", "amount": "double", "paired": "boolean", "message": "string", "quoted": "string"}
 _HOUR = 3600
 
 
@@ -49,15 +41,16 @@ class _Loaded:
                 self.state.updateValue((key,), value)
 
 
-class Chat(StatefulProcessor):
-    """One chat. Effects as the batch form has them: id, what, about, name, amount."""
+class Chat(Ordered):
+    """One chat. Effects as the batch form has them."""
+
+    events = {"id": "long", "sender": "string", "s": "long", "kind": "string", "name": "string", "amount": "double", "paired": "boolean", "message": "string", "quoted": "string"}
+    gives = {"id": "long", "what": "string", "about": "long", "name": "string", "amount": "double"}
 
     def __init__(self, limits: Limits = Limits()):
         self.limits = limits
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.ahead = handle.getListState("ahead", ", ".join(f"{c} {t}" for c, t in _EVENT.items()))
+    def open(self, handle: StatefulProcessorHandle) -> None:
         self.names = handle.getMapState("names", "sender string", "at array<long>, name array<string>, amount array<double>")
         self.receipts = handle.getMapState("receipts", "sender string", "at array<long>, id array<long>")
         self.payments = handle.getMapState("payments", "sender string", "at array<long>, id array<long>")
@@ -65,47 +58,10 @@ class Chat(StatefulProcessor):
         self.sent = handle.getMapState("sent", "message string", "at long, id long, sender string")
         self.hours = handle.getMapState("hours", "hour long", "messages array<string>")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first = None
-        for batch in rows:
-            if not len(batch):
-                continue
-            new = [tuple(x) for x in zip(*(batch[c].tolist() for c in _EVENT), strict=True)]
-            self.ahead.appendList(new)
-            least = min(x[2] for x in new)
-            first = least if first is None else min(first, least)
-        if first is not None:
-            self._wake(first)
-        yield from ()
-
-    def _wake(self, second: int) -> None:
-        """Have a timer at this second at the latest, and one timer only."""
-        at, set_ = second * 1000, list(self.handle.listTimers())
-        if not set_ or at < min(set_):
-            for t in set_:
-                self.handle.deleteTimer(t)
-            self.handle.registerTimer(at)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentWatermarkInMs()
-        every = sorted(self.ahead.get(), key=lambda x: (x[2], x[0]))
-        due = [x for x in every if x[2] * 1000 <= now]
-        rest = every[len(due) :]
-        if rest:
-            self.ahead.put(rest)
-            self.handle.registerTimer(rest[0][2] * 1000)
-        else:
-            self.ahead.clear()
-        out = self._taken(due)
-        if out:
-            yield pd.DataFrame(out, columns=["id", "what", "about", "name", "amount"]).astype({"about": "int64"})
-
-    def _taken(self, due: list[tuple]) -> list[tuple]:
+    def take(self, key: tuple, due: list[SimpleNamespace]) -> list[tuple]:
         senders, sent, hours = {}, _Loaded(self.sent, lambda: None), _Loaded(self.hours, lambda: ([],))
         out = []
-        for x in due:
-            r = SimpleNamespace(**dict(zip(_EVENT, x, strict=True)))
-            r.paired = bool(r.paired)
+        for r in due:
             if r.quoted and r.name and r.kind in ("name", "payment"):
                 found = sent[r.quoted]
                 if found is not None and r.s - found[0] <= self.limits.quotes:
@@ -121,7 +77,7 @@ class Chat(StatefulProcessor):
             if found:
                 out.append((r.id, *found))
         if due:
-            self._forget(due[-1][2], sent, hours)
+            self._forget(due[-1].s, sent, hours)
         sent.write(lambda v: v is None)
         hours.write(lambda v: not v[0])
         for sender, waiting in senders.items():
@@ -153,19 +109,11 @@ class Chat(StatefulProcessor):
                         sent[message] = None
                 hours[hour] = ([],)
 
-    def close(self) -> None:
-        pass
-
 
 def attributed(events: DataFrame, limits: Limits = Limits(), late: str = "1 minute") -> DataFrame:
     """The stream of effects; ``events`` as in the batch form, which gives the same rows. Events later than ``late`` are dropped.
 
-    State is kept in RocksDB, by a setting of the session. A chat's state is what waits in it,
-    the events that the watermark has not passed, and a row for each receipt of the days in which replies may find it.
+    A chat's state is what waits in it, the events that the watermark has not passed, and a row for each receipt of the days
+    in which replies may find it.
     """
-    ship(events.sparkSession)
-    ship_code(__name__, Waiting.__module__)
-    with_rocks(events.sparkSession)
-    rows = rows_of(events)
-    rows = rows.withColumn("ts", F.timestamp_seconds("s")).withWatermark("ts", late)
-    return rows.groupBy("grp").transformWithStateInPandas(Chat(limits), outputStructType="id long, what string, about long, name string, amount double", outputMode="Append", timeMode="EventTime")
+    return in_order(rows_of(events), "grp", Chat(limits), late, Waiting.__module__)

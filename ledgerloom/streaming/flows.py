@@ -76,7 +76,7 @@ def with_a_last_beat(stream: DataFrame, key: str) -> DataFrame:
     """
     spark = stream.sparkSession
     path = scratch(spark)
-    values = {"id": F.lit(-1), "ts": F.lit("2100-01-01").cast("timestamp"), key: F.lit("beat")}
+    values = {key: F.lit("beat"), "id": F.lit(-1), "ts": F.lit("2100-01-01").cast("timestamp")}
     beat = spark.range(1).select(*[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in stream.schema])
     beat.write.parquet(path)
     return stream.unionByName(spark.readStream.schema(stream.schema).parquet(path))
