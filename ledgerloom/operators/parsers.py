@@ -17,10 +17,17 @@ def parse_messages(messages: DataFrame, id_col: str = "id", body_col: str = "bod
     """One row per payment or unclear line: id, line_no, raw_name, amount, note, card_to, unparsed (null for payments).
 
     Each line is classed by itself; a name holds for the amounts below it, until the next name, blank lines
-    or not. The name is carried by a window over the message's lines.
+    or not. A message's names are looked through before its lines are dealt out, so that nothing is shuffled; the work
+    is its lines times its names.
     """
-    lines = messages.select(F.col(id_col).alias("id"), F.posexplode(F.split(F.coalesce(body_col, F.lit("")), "\r?\n")).alias("line_no", "raw"))
-    lines = lines.select("id", "line_no", fn.trimmed("raw").alias("line")).filter("line <> ''")
+    numbered = F.transform(F.split(F.coalesce(body_col, F.lit("")), "\r?\n"), lambda x, i: F.struct(i.alias("line_no"), fn.trimmed(x).alias("line")))
+    # Amounts have digits, so that a line without one is a name by its words alone.
+    a_name = lambda line: ~line.rlike(r"\d") & F.size(fn.words_of(line)).between(1, 4)
+    rows = messages.select(F.col(id_col).alias("id"), F.filter(numbered, lambda x: x["line"] != "").alias("lines"))
+    rows = rows.withColumn("names", F.filter("lines", lambda x: a_name(x["line"])))
+    lines = rows.select("id", "names", F.inline("lines"))
+    above = F.element_at(F.filter("names", lambda x: x["line_no"] < F.col("line_no")), -1)["line"]
+    lines = lines.filter(~a_name(F.col("line"))).select("id", "line_no", "line", F.when(F.exists("names", lambda x: x["line_no"] < F.col("line_no")), above).alias("name"))
     part = lambda k: F.regexp_extract("line", V.NAME_AMOUNT, k)
     inline_name, inline_number = fn.trimmed(part(1)), fn.trimmed(part(2))
     acts = F.exists(F.lit(list(V.ACTIONS)), lambda a: F.lower(inline_name).contains(a))
@@ -29,10 +36,7 @@ def parse_messages(messages: DataFrame, id_col: str = "id", body_col: str = "bod
     number = F.regexp_extract("line", r"^(\d[\d\s.,]*)", 1)
     prefix = F.when(number != "", fn.parse_money(number))
     lines = lines.withColumn("amount_line", F.coalesce(fn.thousands("line"), F.when(prefix > 0, prefix)))
-    is_name = F.col("inline").isNull() & F.col("amount_line").isNull() & ~F.col("line").rlike(r"\d") & F.size(fn.words_of("line")).between(1, 4)
-    lines = lines.withColumn("is_name", is_name).withColumn("free", fn.freeform_amount("line"))
-    above = Window.partitionBy("id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    lines = lines.withColumn("name", F.last(F.when(F.col("is_name"), F.col("line")), ignorenulls=True).over(above)).filter(~F.col("is_name"))
+    lines = lines.withColumn("free", fn.freeform_amount("line"))
     kind = F.when(F.col("inline").isNotNull(), "inline").when(F.col("amount_line").isNotNull(), F.when(F.col("name").isNull(), "nameless").otherwise("amount")).when(F.col("free").isNotNull(), "free").otherwise("unparsed")
     lines = lines.withColumn("kind", kind)
     paid = ~F.col("kind").isin("nameless", "unparsed")

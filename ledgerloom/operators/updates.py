@@ -331,9 +331,11 @@ def _clients_with(parts: DataFrame, clients: DataFrame) -> DataFrame:
     an index of the clients' names, not a comparison of all with all.
     """
     index = clients.select(F.col("id").alias("client_id"), "full_name", F.explode(F.concat(*[ngrams("full_name", n) for n in (1, 2, 3)])).alias("gram"))
-    df = index.groupBy("gram").agg(F.count("*").alias("df"))
     own = F.when(F.length("part") < 3, F.array(F.lower("part"))).otherwise(ngrams("part", 3))
-    grams = parts.filter("part <> ''").select("part", F.explode(own).alias("gram")).join(df, "gram", "left")
+    grams = parts.filter("part <> ''").select("part", F.explode(own).alias("gram"))
+    # Runs that no part has are no use in the index.
+    index = index.join(grams.select("gram").distinct(), "gram", "left_semi")
+    grams = grams.join(index.groupBy("gram").agg(F.count("*").alias("df")), "gram", "left")
     # A part of which one run is in no name is in none.
     rarest = grams.groupBy("part").agg(F.count("*").alias("n"), F.count("df").alias("known"), F.min_by("gram", F.struct("df", "gram")).alias("gram")).filter("known = n")
     return rarest.select("part", "gram").join(index, "gram").filter(F.lower("full_name").contains(F.lower("part"))).select("part", "client_id").distinct()

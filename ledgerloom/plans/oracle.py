@@ -13,7 +13,7 @@ ev as (
   from events),
 e as (select *, ts + to_hours(k % 9 + case when k % 11 = 0 then 960 else 0 end) as received_at, event_type in ('purchase', 'view') as pic from ev),
 messages as (
-  select event_id as id, 'm' || event_id as wa_message_id, 'g' || (k % 4) as wa_group_jid, '7900' || lpad(cast(k % 12 as varchar), 7, '0') || '@s.example' as sender_jid,
+  select event_id as id, case when k % 20 = 10 then 'm' || (event_id - 1) || '-fwd-g1' else 'm' || event_id end as wa_message_id, 'g' || (k % 4) as wa_group_jid, '7900' || lpad(cast(k % 12 as varchar), 7, '0') || '@s.example' as sender_jid,
          '7900' || lpad(cast(k % 12 as varchar), 7, '0') as phone, 'Sender ' || (k % 12) as sender_name, 'message ' || k as body, pic as has_media,
          case when pic and k % 2 = 0 then 'media/' || event_id end as media_path, received_at, k % 23 <> 0 as parsed, k = 77 as deleted
   from e),
@@ -133,11 +133,11 @@ def _queue(kind: str, now: str = LATE_END, most: int = 1000) -> str:
     return _with(f"select id, grp, amount, waiting from x where nth <= 2 {gate}", f"x as ({_waiting(kind, now)})")
 
 
-def _suspicious(where: str, least: float, times: float) -> str:
+def _suspicious(where: str, least: float, times: float, r: str = "r") -> str:
     return _with(
         f"select id, group_jid, cast(amount as double) as amount, n, median from x where n >= 30 and median > 0 and amount > {times} * median",
         f"""x as (select a.id, a.group_jid, a.amount, count(*) as n, cast(quantile_cont(cast(b.amount as double), 0.5) as double) as median
-          from (select * from r where live and amount >= {least} and {where}) a join (select * from r where live and amount > 0) b on b.group_jid = a.group_jid and b.created_at >= cast(cast(a.created_at as date) - interval 3 month as date) and b.created_at <= a.created_at
+          from (select * from {r} where live and amount >= {least} and {where}) a join (select * from {r} where live and amount > 0) b on b.group_jid = a.group_jid and b.created_at >= cast(cast(a.created_at as date) - interval 3 month as date) and b.created_at <= a.created_at
           group by 1, 2, 3)""",
     )
 
@@ -211,12 +211,12 @@ def oracle_sql() -> dict[str, str]:
         "rp16_unclear_items": _with("select * from x order by happened_at desc, kind, id limit 50", _UNCLEAR),
         "rp17_group_medians": _with("select group_jid, count(*) as n, cast(quantile_cont(cast(amount as double), 0.5) as double) as median from r where live and amount > 0 and created_at >= timestamp '2024-01-01' group by 1"),
         "rp18_suspicious_amounts": _suspicious("created_at >= timestamp '2024-01-01'", 20, 3),
-        "rp18_suspicious_by_default": _suspicious("true", 100000, 12),
+        "rp18_suspicious_by_default": _suspicious("true", 100000, 12, "(select * replace (case when id % 50 = 0 then amount * 10000 else amount end as amount) from r)"),
         **{f"rp19_queue_{k}": _queue(k) for k in _QUESTIONS},
-        **{f"rp19_gated_{k}": _queue(k, EARLY, 6) for k in _QUESTIONS},
+        **{f"rp19_gated_{k}": _queue(k, LATE if k == "cash_repeat" else EARLY, 6) for k in _QUESTIONS},
         "rp19_cycle": _cycle(EARLY),
         "rp01_in_groups": _summary(_in("tx_date") + " and wa_group_jid in ('g1', 'g3') and " + texts + _countable("tx_date", START, END), _first("key1", _in("tx_date") + " and group_jid in ('g1', 'g3') and live and not needs_review and canonical_name is not null")),
-        "rp04_by_name_or_phone": _senders(_in("tx_date") + " and group_jid in ('g0', 'g1')", _in("tx_date") + " and wa_group_jid in ('g0', 'g1') and " + _countable("tx_date", START, END), "sender ilike '%er 1%' or phone like '%er 1%'"),
+        "rp04_by_name_or_phone": _senders(_in("tx_date") + " and group_jid in ('g2', 'g3')", _in("tx_date") + " and wa_group_jid in ('g2', 'g3') and " + _countable("tx_date", START, END), "sender ilike '%er 1%' or phone like '%er 1%'"),
         "rp07_bounded": _with(
             """select c_name as name, coalesce(r_cnt, 0) as receipt_cnt, cast(coalesce(r_total, 0) as double) as receipt_total, coalesce(t_cnt, 0) as payment_cnt, cast(coalesce(t_total, 0) as double) as payment_total, least(r_first, t_first) as first_op, greatest(r_last, t_last) as last_op
             from customer left join a on c_custkey = a.contact_id left join b on c_custkey = b.contact_id
@@ -240,8 +240,11 @@ def oracle_sql() -> dict[str, str]:
         "rp29_month_context": f"""with p as (select name as label, cnt, total from ({_summary(_in("tx_date", MONTH, MONTH_END) + " and " + texts + _countable("tx_date", MONTH, MONTH_END), _first("key1", _in("tx_date", MONTH, MONTH_END) + " and live and not needs_review and canonical_name is not null"))}))
           select 'client' as section, label, cnt, total from p union all select 'sum', 'total', sum(cnt), sum(total) from p union all select 'group', r_name, null, null from region union all select 'person', c_name, null, null from customer
           union all select 'rule', r_name || ' > ' || lower(r_name), null, null from region union all select 'setting', ['main_group', 'working_group', 'unmatched_branch'][a.r_regionkey + 1] || '=' || b.r_name, null, null from region a join region b on b.r_regionkey = a.r_regionkey + 1 where a.r_regionkey < 3""",
-        "rp30_same_as": _with("select id, tx_date from r where live and group_jid = 'g1' and coalesce(cast(contact_id as varchar), recipient_raw) = '5' and amount = 10 and (doc_number = '' or doc_number = 'd5-10') and abs(epoch(tx_date) - epoch(timestamp '2024-01-15')) <= 1728000 order by tx_date, id limit 1"),
-        "rp31_media_path": _with("select 'message' as kind, id, media_path from messages where id = 40 and media_path <> '' union all select 'receipt', br.id, media_path from br join messages using (id) where br.id = 64 and media_path <> ''"),
+        "rp30_same_as": _with(
+            "select r.id, r.tx_date from r, p where r.live and r.group_jid = p.group_jid and coalesce(cast(r.contact_id as varchar), r.recipient_raw) = cast(p.contact_id as varchar) and r.amount = p.amount and (r.doc_number = '' or r.doc_number = p.doc_number) and abs(epoch(r.tx_date) - epoch(p.tx_date)) <= 1728000 order by r.tx_date, r.id limit 1",
+            "p as (select * from r where live and doc_number <> '' and contact_id is not null order by id limit 1)",
+        ),
+        "rp31_media_path": _with("select 'message' as kind, id, media_path from messages where id = (select min(id) from messages where media_path <> '') union all select 'receipt', br.id, media_path from br join messages using (id) where br.id = (select min(br.id) from br join messages using (id) where media_path <> '')"),
         "rp20_unparsed_messages": _with("select id, wa_group_jid, body, received_at from messages where not parsed and not has_media and not deleted and id not in (select id from tr where ignored is null) and id not in (select id from tr) order by received_at, id limit 100"),
         "rp20_unresolved_receipts": _with("select id, recipient_raw, group_jid from br where contact_id is null and not ignored and not is_duplicate"),
         "rp21_recent_sender_texts": _with(f"select id, body, received_at from messages where sender_jid = '79000000001@s.example' and wa_group_jid = 'g1' and {_in('received_at')} and not deleted order by received_at desc, id limit 15"),

@@ -299,21 +299,43 @@ def unclear_items(l: Ledger, group: str = "", limit: int = 50) -> DataFrame:
 
 
 def group_medians(l: Ledger, since) -> DataFrame:
-    """Count and median of each group's live amounts."""
+    """Count and median of each group's live amounts; equal amounts are counted before they meet."""
     rows = full_receipts(l).filter(f"{LIVE} and amount > 0").filter(F.col("created_at") >= F.lit(since))
-    return rows.groupBy("group_jid").agg(F.count("*").alias("n"), F.percentile("amount", 0.5).alias("median"))
+    rows = rows.groupBy("group_jid", "amount").agg(F.count("*").alias("n"))
+    return rows.groupBy("group_jid").agg(F.sum("n").alias("n"), F.expr("percentile(amount, 0.5, n)").alias("median"))
+
+
+def trailing_counts(days: DataFrame, asked: DataFrame) -> DataFrame:
+    """g, since, until, amount and n: how often each amount occurs in a group on the whole days from ``since`` to before ``until``.
+
+    ``days``: g, day, amount, n (a histogram a day); ``asked``: g, since, until, once each. Histograms are summed up along
+    the days once, amount by amount; a stretch of days is the difference of two sums, whatever its length.
+    """
+    amounts = days.select("g", "amount").distinct()
+    ends = asked.select("g", "since", "until", F.inline(F.array(F.struct(F.date_sub("until", 1).alias("day"), F.lit(1).alias("sign")), F.struct(F.date_sub("since", 1).alias("day"), F.lit(-1).alias("sign")))))
+    marks = ends.join(amounts, "g").select("g", "amount", "day", F.lit(0).cast("long").alias("n"), "sign", "since", "until")
+    rows = days.select("g", "amount", "day", "n", F.lit(0).alias("sign"), F.lit(None).cast("date").alias("since"), F.lit(None).cast("date").alias("until")).unionByName(marks)
+    upto = F.sum("n").over(Window.partitionBy("g", "amount").orderBy(F.datediff("day", F.lit("1970-01-01"))).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    sums = rows.withColumn("upto", upto).filter("sign <> 0")
+    return sums.groupBy("g", "since", "until", "amount").agg(F.sum(F.col("sign") * F.col("upto")).alias("n")).filter("n > 0")
 
 
 def suspicious_amounts(l: Ledger, start=None, end=None, least: float = 100_000, times: float = 12, least_n: int = 30, months: int = 3) -> DataFrame:
     """Receipts recorded in the period that lie far above the median of their group's ``months`` before, themselves included.
 
-    Only the few large receipts look back; what they look at is counted by group, time and amount first.
+    Whole days come as histograms, put together once for each group and day on which there is a large receipt; only that
+    day itself, up to the receipt, is looked at receipt by receipt.
     """
-    live = full_receipts(l).filter(f"{LIVE} and amount > 0")
-    large = live.filter(within("created_at", start, end)).filter(F.col("amount") >= least).select("id", "group_jid", "amount", "created_at")
-    past = live.groupBy(F.col("group_jid").alias("g"), F.col("created_at").alias("c"), F.col("amount").alias("a")).agg(F.count("*").alias("n"))
-    near = large.join(past, (F.col("group_jid") == F.col("g")) & (F.col("c") >= F.add_months(F.to_date("created_at"), -months)) & (F.col("c") <= F.col("created_at")))
-    near = near.groupBy("id", "group_jid", "amount").agg(F.sum("n").alias("n"), F.expr("percentile(a, 0.5, n)").alias("median"))
+    live = full_receipts(l).filter(f"{LIVE} and amount > 0").select("id", F.col("group_jid").alias("g"), "amount", "created_at", F.to_date("created_at").alias("day")).filter("g is not null")
+    large = live.filter(within("created_at", start, end)).filter(F.col("amount") >= least).withColumn("since", F.add_months("day", -months))
+    days = live.groupBy("g", "day", "amount").agg(F.count("*").alias("n"))
+    asked = large.select("g", "since", F.col("day").alias("until")).distinct()
+    whole = trailing_counts(days, asked).select("g", F.col("until").alias("day"), F.col("amount").alias("a"), "n")
+    before = large.select("id", "g", "day").join(whole, ["g", "day"]).select("id", "a", "n")
+    same = live.select(F.col("g").alias("_g"), F.col("day").alias("_day"), F.col("amount").alias("a"), F.col("created_at").alias("c"))
+    today = large.join(same, (F.col("g") == F.col("_g")) & (F.col("day") == F.col("_day")) & (F.col("c") <= F.col("created_at"))).groupBy("id", "a").agg(F.count("*").alias("n"))
+    near = before.unionByName(today).groupBy("id").agg(F.sum("n").alias("n"), F.expr("percentile(a, 0.5, n)").alias("median"))
+    near = large.select("id", F.col("g").alias("group_jid"), "amount").join(near, "id")
     return near.filter((F.col("n") >= least_n) & (F.col("median") > 0) & (F.col("amount") > times * F.col("median"))).select("id", "group_jid", F.col("amount").cast("double").alias("amount"), "n", "median")
 
 
@@ -333,15 +355,22 @@ def _waiting(l: Ledger, kind: str, now, grace_seconds: int) -> DataFrame:
     return rows.select("id", "grp", "sender_jid", "card_owner", F.col("amount").cast("double").alias("amount"), "created_at")
 
 
+def _queues(rows: DataFrame, kind: str, most: int) -> DataFrame:
+    """grp and waiting: the groups that are asked, and how much waits in each."""
+    waiting = rows.filter("grp is not null").groupBy("grp").agg(F.count("*").alias("waiting"))
+    return waiting if kind == "cash_repeat" else waiting.filter(F.col("waiting") <= most)
+
+
 def clarification_queue(l: Ledger, kind: str, now, grace_seconds: int = 90, most: int = 6, per_group: int = 2) -> DataFrame:
     """What to ask next in each group, by one of ``QUESTIONS``.
 
     A group whose queue is longer than ``most`` isn't asked at all, but for repeats of cash.
     """
-    by = Window.partitionBy("grp")
-    rows = _waiting(l, kind, now, grace_seconds).select("id", "grp", "amount", "created_at", F.count("*").over(by).alias("waiting"), F.row_number().over(by.orderBy("created_at", "id")).alias("nth"))
-    rows = rows if kind == "cash_repeat" else rows.filter(F.col("waiting") <= most)
-    return rows.filter(F.col("nth") <= per_group).select("id", "grp", "amount", "waiting")
+    rows = _waiting(l, kind, now, grace_seconds)
+    # Each task keeps a group's first few alone; how many there are is counted apart.
+    nth = F.row_number().over(Window.partitionBy("grp").orderBy("created_at", "id"))
+    first = rows.select("id", "grp", "amount", nth.alias("nth")).filter(F.col("nth") <= per_group)
+    return first.join(_queues(rows, kind, most), "grp").select("id", "grp", "amount", "waiting")
 
 
 def clarification_cycle(l: Ledger, now, aliases: DataFrame | None = None, grace_seconds: int = 90, most: int = 6, per_cycle: int = 2) -> DataFrame:
@@ -351,8 +380,8 @@ def clarification_cycle(l: Ledger, now, aliases: DataFrame | None = None, grace_
     """
     queues = []
     for nth, kind in enumerate(QUESTIONS):
-        rows = _waiting(l, kind, now, grace_seconds).withColumn("waiting", F.count("*").over(Window.partitionBy("grp")))
-        rows = rows if kind == "cash_repeat" else rows.filter(F.col("waiting") <= most)
+        rows = _waiting(l, kind, now, grace_seconds)
+        rows = rows.join(_queues(rows, kind, most), "grp")
         if kind == "unconfirmed" and aliases is not None:
             asked = rows.select("id", "grp", F.col("sender_jid").alias("sender"), "card_owner", F.lit(now).cast("timestamp").alias("at"))
             rows = rows.join(updates.silently_resolved(asked, l.messages, aliases).select("id"), "id", "left_anti")
@@ -403,12 +432,18 @@ def expenses_for_period(l: Ledger, start, end) -> DataFrame:
     return rows.select("id", "amount", "note", "spent_at").unionByName(total).withColumn("amount", F.col("amount").cast("double"))
 
 
+def amount_part(units: Column) -> Column:
+    """One of a hundred parts of all amounts, so that an amount in units and the same in hundredths are in one: hundredths of hundredths, rounded, down to below a hundred."""
+    return F.aggregate(F.sequence(F.lit(1), F.lit(9)), units.cast("long"), lambda x, _: F.when(x >= 100, F.floor((x + 50) / 100).cast("long")).otherwise(x))
+
+
 def reconcile(l: Ledger, start, end, group: str = "", days: int = 5) -> DataFrame:
     """The period's receipts against the payments of the other program: added, missing, or to be looked at (attention).
 
     A receipt's client is looked up by name; only a find of one client by the whole name is sure. A client's receipts,
     the latest first, each take the first payment left of their amount, in units or hundredths, among those within
-    ``days`` of the client's first receipt in that order. A client's receipts pass through one task: the rule is sequential.
+    ``days`` of the client's first receipt in that order. The rule is sequential where receipts may want the same payment:
+    a client's receipts and payments fall into parts, by ``amount_part``, that are folded each in a task of its own.
     """
     receipts = receipts_for_period(l, start, end, group).withColumn("units", updates.units("amount"))
     found = updates.looked_up(receipts.select("name").distinct(), l.clients)
@@ -418,8 +453,11 @@ def reconcile(l: Ledger, start, end, group: str = "", days: int = 5) -> DataFram
     day = F.to_date("paid_at")
     paid = l.payments.join(first, "client_id").filter(day.between(F.date_sub("_day", days), F.date_add("_day", days)))
     seconds = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    # A receipt below one unit in hundredths may want what no other of its part does: such a client is one part.
+    tiny = sure.groupBy("client_id").agg(F.min(F.element_at("units", 1)).alias("_least")).filter("_least < 2").select("client_id", F.lit(True).alias("_tiny"))
     events = paid.select("client_id", F.lit(0).alias("kind"), seconds("paid_at").alias("nth"), F.col("payment_id").alias("id"), F.array("amount").alias("units"))
     events = events.unionByName(sure.select("client_id", F.lit(1).alias("kind"), (-seconds("tx_date")).alias("nth"), "id", "units"))
+    events = events.join(tiny, "client_id", "left").withColumn("part", F.when(F.col("_tiny"), 0).otherwise(amount_part(F.element_at("units", 1)))).drop("_tiny")
 
     def fold():
         left: dict[int, deque] = {}  # (place, payment) by amount; payments come before receipts
@@ -434,7 +472,7 @@ def reconcile(l: Ledger, start, end, group: str = "", days: int = 5) -> DataFram
 
         return step
 
-    pairs = folded(events, ["client_id"], ["kind", "nth", "id"], fold, "kind int, id long, result long", ["kind", "id"]).filter("kind = 1").select("id", F.col("result").alias("payment_id"))
+    pairs = folded(events, ["client_id", "part"], ["kind", "nth", "id"], fold, "kind int, id long, result long", ["kind", "id"]).filter("kind = 1").select("id", F.col("result").alias("payment_id"))
     status = F.when((F.col("n") == 1) & F.col("exact"), F.when(F.col("payment_id").isNull(), "missing").otherwise("added")).otherwise("attention")
     why = F.when(F.col("n") == 0, "no client").when(F.col("n") > 1, "several clients").when(~F.col("exact"), "alike").otherwise("")
     return rows.join(pairs, "id", "left").select("id", "name", "client_id", "payment_id", status.alias("status"), why.alias("why"))

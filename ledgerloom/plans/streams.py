@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from glob import glob
+from pathlib import Path
+from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import attribution, updates
 from ledgerloom.plans.oracle import LEDGER
+from ledgerloom.sources import remote
 from ledgerloom.sources.ledger import from_events
 from ledgerloom.session import scratch
 from ledgerloom.streaming import attribution as attribution_stream
@@ -109,6 +113,28 @@ def _arrived_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.join(table.read().select("wa_message_id"), "wa_message_id")
 
 
+def _paged_clients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The other program's clients, from a folder of pages that stands for it: its tokens last for three pages, and its lists are wrapped now and then."""
+    clients, limit = from_events(spark, sf_dir).clients, 40
+    path = scratch(spark)
+    nth = F.row_number().over(Window.orderBy("id"))
+    pages = clients.select(F.col("id").cast("string").alias("id"), "full_name", F.floor((nth - 1) / limit).alias("page"))
+    pages = pages.groupBy("page").agg(F.to_json(F.collect_list(F.struct("id", "full_name"))).alias("list"))
+    body = F.when(F.col("page") % 3 == 0, F.col("list")).when(F.col("page") % 3 == 1, F.concat(F.lit('{"items":'), "list", F.lit("}"))).otherwise(F.concat(F.lit('{"total":1,"data":'), "list", F.lit("}")))
+    pages.select(body.alias("value"), "page").repartition("page").write.partitionBy("page").text(path)
+    folder, used = path.removeprefix("file://"), {}
+
+    def fetch(page: int, size: int, token: str) -> str:
+        used[token] = used.get(token, 0) + 1
+        if used[token] > 3:
+            raise remote.Unauthorized(token)
+        files = glob(f"{folder}/page={page}/part-*")
+        return Path(files[0]).read_text("utf-8") if files else '{"items":[]}'
+
+    rows = remote.paged(spark, f"pages_{path[-8:]}", remote.CLIENTS, fetch, lambda: uuid4().hex, limit, tasks=4)
+    return rows.select(F.col("id").cast("long").alias("id"), "full_name", "phone")
+
+
 def _cash_photos(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ledger's messages: those with a payment as payments, others as pictures of cash and names."""
     l = from_events(spark, sf_dir)
@@ -134,6 +160,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "st13_spaced_stream": _stream(lambda e: e.select(F.concat(F.lit("g"), _k() % 4).alias("chat"), F.col("event_id").alias("id"), "ts"), "chat", lambda x: stateful.spaced(x, 5 * HOUR).filter("id >= 0")),
     "st14_replies": lambda s, d: updates.replies_about(asks(_events(s, d)), 20),
     "st14_replies_stream": _stream(asks, "kind", lambda x: stateful.replies_about(x, 20)),
+    "sc08_paged_clients": _paged_clients,
     "sk01_arrivals_stream": _arrived_messages,
     "sk04_upserted_stream": _upserted_senders,
 }
@@ -241,6 +268,7 @@ ORACLES: dict[str, str] = {
     "st13_spaced_stream": _SPACED,
     "st14_replies": _REPLIES,
     "st14_replies_stream": _REPLIES,
+    "sc08_paged_clients": f"with {LEDGER} select id, full_name, cast(null as varchar) as phone from clients",
     "sk01_arrivals_stream": "select 'm' || ((event_id // 3) % 500) as wa_message_id, count(*) as n, count(*) - 1 as existed from events group by 1",
     "sk04_upserted_stream": "select user_id, max(event_id) as event_id, arg_max(event_type, event_id) as event_type, min(event_id) as first_id from events group by 1",
     "st01_attributed": _attributed(_CHATS, LIMITS),

@@ -48,7 +48,7 @@ class EventsLedger(Ledger):
     def messages(self) -> DataFrame:
         return self._events.select(
             F.col("event_id").alias("id"),
-            _text("m", F.col("event_id")).alias("wa_message_id"),
+            F.when(F.col("k") % 20 == 10, _text("m", F.col("event_id") - 1, "-fwd-g1")).otherwise(_text("m", F.col("event_id"))).alias("wa_message_id"),
             _group().alias("wa_group_jid"),
             _text("7900", F.lpad((F.col("k") % 12).cast("string"), 7, "0"), "@s.example").alias("sender_jid"),
             _text("Sender ", F.col("k") % 12).alias("sender_name"),
