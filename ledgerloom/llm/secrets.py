@@ -24,6 +24,8 @@ KINDS = ("assign", "access", "hex", "dense")
 BASE = KINDS[:3]
 #: Characters per token up to which a string counts as random; prose has 2.5 to 5, base-64 text 1.2 to 1.9.
 MOST_PER_TOKEN = 2.0
+#: The same for a window of a string that is readable on the whole.
+WINDOW_PER_TOKEN = 1.6
 MIN_LENGTH = 16
 
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -32,8 +34,12 @@ _HEX = re.compile(r"[0-9a-f]{32,}")  # a run is taken whole: one of 32 or more b
 _DENSE = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_LENGTH)
 #: Digests by their length in hexadecimal digits (MD5, SHA-1, SHA-224, SHA-256, SHA-384, SHA-512) and UUIDs.
 _DIGEST = re.compile(r"(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128}|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12})\Z")
+#: One of them within a longer string, between marks.
+_DIGEST_WITHIN = re.compile(r"(?<![A-Za-z0-9])(?:[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})(?![A-Za-z0-9])")
 #: The parts of a string: words, also in camel case, numbers, and marks. Each character is looked at once.
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+|[+/_=-]+")
+#: What stands between marks.
+_PIECES = re.compile(r"[A-Za-z0-9]+")
 #: Digits that a word of an identifier may have behind it.
 MOST_DIGITS = 4
 #: Characters that are encoded at once; longer strings in stretches, as the vocabulary's own merging takes more than linear time.
@@ -76,10 +82,96 @@ def known_name(s: str, encoding, most_per_token: float = MOST_PER_TOKEN) -> bool
     return not words or letters >= 3 * len(words) and letters > most_per_token * sum(n_tokens(w, encoding) for w in words)
 
 
-def _touches(merged: list[tuple[int, int]], start: int, end: int) -> bool:
-    """Whether one of ``merged``, sorted and apart, overlaps the span."""
-    k = bisect_left(merged, (end, 0))
-    return k > 0 and merged[k - 1][1] > start
+def _dense(s: str, encoding, most_per_token: float) -> bool:
+    """Whether a string of letters, digits and marks is random by its tokens, and no known name."""
+    return len(s) >= MIN_LENGTH and bool(_ALNUM.search(s)) and len(s) / n_tokens(s, encoding) <= most_per_token and not known_name(s, encoding, most_per_token)
+
+
+def _readable(part: str, encoding, most_per_token: float) -> bool:
+    """Whether a part between marks is a word or a name: letters with few digits behind, spelt by long tokens or by one."""
+    n = n_tokens(part, encoding)
+    return part[0].isalpha() and (n == 1 or (len(part) > most_per_token * n and known_name(part, encoding, most_per_token)))
+
+
+def _windows(s: str, encoding) -> Iterator[tuple[int, int]]:
+    """The random stretches of a string without marks, where it is readable on the whole.
+
+    Every window of MIN_LENGTH characters and more, token by token, that has WINDOW_PER_TOKEN characters a token at most;
+    windows that overlap are one. The time is linear.
+    """
+    ends = [0]
+    for i in range(0, len(s), STRETCH):
+        for token in encoding.encode_ordinary(s[i : i + STRETCH]):
+            ends.append(ends[-1] + len(encoding.decode_single_token_bytes(token)))
+    start = end = None
+    j = 0
+    for i in range(len(ends) - 1):
+        while j < len(ends) and ends[j] - ends[i] < MIN_LENGTH:
+            j += 1
+        if j == len(ends):
+            break
+        if ends[j] - ends[i] <= WINDOW_PER_TOKEN * (j - i):
+            if start is not None and ends[i] > end:
+                yield start, end
+                start = None
+            start, end = ends[i] if start is None else start, ends[j]
+    if start is not None:
+        yield start, end
+
+
+def random_strings(s: str, encoding, most_per_token: float = MOST_PER_TOKEN) -> Iterator[tuple[int, int]]:
+    """The random strings in a run of letters, digits and marks: the whole, or what stands in and between readable parts.
+
+    Digests and UUIDs between marks are cut out first.
+    A run that isn't random on the whole is parted by its marks. Parts that no readable one separates are taken together, then
+    each by itself; of a part that is readable, or not random on the whole, windows.
+    """
+    if len(s) < MIN_LENGTH:
+        return
+    known = [m.span() for m in _DIGEST_WITHIN.finditer(s)]
+    if known:
+        for a, b in _outside(known, 0, len(s)):
+            yield from ((a + x, a + y) for x, y in random_strings(s[a:b], encoding, most_per_token))
+        return
+    if _dense(s, encoding, most_per_token):
+        yield 0, len(s)
+        return
+
+    def inside(a: int, b: int) -> Iterator[tuple[int, int]]:
+        if b - a > MIN_LENGTH:
+            yield from ((a + x, a + y) for x, y in _windows(s[a:b], encoding) if not known_name(s[a + x : a + y], encoding, most_per_token))
+
+    group: list[tuple[int, int]] = []
+    for m in [*_PIECES.finditer(s), None]:
+        if m is not None and not _readable(m[0], encoding, most_per_token):
+            group.append(m.span())
+            continue
+        if group and group[-1][1] - group[0][0] >= MIN_LENGTH:
+            a, b = group[0][0], group[-1][1]
+            if _dense(s[a:b], encoding, most_per_token):
+                yield a, b
+            elif not known_name(s[a:b], encoding, most_per_token):
+                for a, b in group:
+                    if _dense(s[a:b], encoding, most_per_token):
+                        yield a, b
+                    else:
+                        yield from inside(a, b)
+        group = []
+        if m is not None:
+            yield from inside(*m.span())
+
+
+def _outside(merged: list[tuple[int, int]], start: int, end: int) -> Iterator[tuple[int, int]]:
+    """What of the span none of ``merged``, sorted and apart, covers."""
+    k = max(0, bisect_left(merged, (start, 0)) - 1)
+    while k < len(merged) and merged[k][0] < end:
+        if merged[k][1] > start:
+            if merged[k][0] > start:
+                yield start, merged[k][0]
+            start = merged[k][1]
+        k += 1
+    if start < end:
+        yield start, end
 
 
 def find_secrets(text: str, encoding, most_per_token: float = MOST_PER_TOKEN) -> list[tuple[str, int, int]]:
@@ -95,11 +187,8 @@ def find_secrets(text: str, encoding, most_per_token: float = MOST_PER_TOKEN) ->
         else:
             base.append((a, b))
     for m in _DENSE.finditer(text):
-        s = m[0]
-        if not _ALNUM.search(s) or _touches(base, m.start(), m.end()):
-            continue
-        if len(s) / n_tokens(s, encoding) <= most_per_token and not known_name(s, encoding, most_per_token):
-            found.append(("dense", m.start(), m.end()))
+        for a, b in _outside(base, m.start(), m.end()):
+            found += [("dense", a + x, a + y) for x, y in random_strings(text[a:b], encoding, most_per_token)]
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
