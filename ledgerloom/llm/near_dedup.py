@@ -1,9 +1,10 @@
 """Near duplicates by improved consistent weighted sampling.
 
 Documents are weighted sets of shingles of five words: damped term frequency times inverse document frequency,
-the latter counted over all documents for hashed shingles and kept between two thirds and one. Without that floor
-a large group of near copies would make its own shingles light and every edit in it heavy, and so tear itself
-apart. Consistent weighted samples of these sets (Ioffe 2010) agree with the probability of the sets' weighted Jaccard similarity. Bands of samples propose
+the latter from exact counts, over all documents, of every shingle that is common, and kept between ``LEAST_IDF``
+and one. Without that floor a large group of near copies would make its own shingles light and every edit in it
+heavy, and so tear itself apart: a pair of which all that it shares is common and nothing else is must share
+0.8 / (0.8 + 0.2 * LEAST_IDF) of its shingles, 0.825, in place of 0.8. Consistent weighted samples of these sets (Ioffe 2010) agree with the probability of the sets' weighted Jaccard similarity. Bands of samples propose
 pairs, and the exact weighted Jaccard similarity of the two texts decides.
 
 Within a band's bucket each text is first held against two pivots of the bucket. Buckets of two neighbouring
@@ -29,11 +30,12 @@ SIMILARITY = 0.8
 WIDTH = 5
 BANDS = 12
 ROWS = 3
-#: Hashed shingles whose document frequencies are counted.
-BUCKETS = 1 << 18
 #: Share of the documents up to which a shingle has full weight, and the weight of the most common ones.
 RARE = 0.001
-LEAST_IDF = 2 / 3
+LEAST_IDF = 0.85
+#: Documents and distinct shingles in which common shingles are first looked for at a time.
+COUNTED_DOCS = 8192
+COUNTED_SHINGLES = 1 << 22
 #: Texts of a bucket that make a side of a block, about.
 BLOCK = 128
 
@@ -89,10 +91,18 @@ def shingles(text: str, width: int = WIDTH) -> np.ndarray:
     return _mixed(total + np.uint64(min(width, len(words))))
 
 
-def weighted(text: str, idf: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct shingles, sorted, and their weights."""
+Idf = tuple[np.ndarray, np.ndarray]
+
+
+def weighted(text: str, idf: Idf, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles, sorted, and their weights. ``idf``: the common shingles, sorted, and theirs; all others have 1."""
     found, n = np.unique(shingles(text, width), return_counts=True)
-    return found, (1 + np.log(n)).astype(np.float32) * idf[(found & np.uint64(BUCKETS - 1)).astype(np.int64)]
+    weights = (1 + np.log(n)).astype(np.float32)
+    common, light = idf
+    if len(common) and len(found):
+        at = np.minimum(np.searchsorted(common, found), len(common) - 1)
+        weights *= np.where(common[at] == found, light[at], np.float32(1))
+    return found, weights
 
 
 def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -126,7 +136,7 @@ def samples(sets: list[tuple[np.ndarray, np.ndarray]], k: int) -> np.ndarray:
     return out
 
 
-def _grouped(texts: list[str], idf: np.ndarray, width: int, most: int = 60_000) -> Iterator[tuple[list[int], list[tuple[np.ndarray, np.ndarray]]]]:
+def _grouped(texts: list[str], idf: Idf, width: int, most: int = 60_000) -> Iterator[tuple[list[int], list[tuple[np.ndarray, np.ndarray]]]]:
     """Weighted sets of the texts that have any words, some ten thousand shingles at a time."""
     at, sets, n = [], [], 0
     for i, text in enumerate(texts):
@@ -142,30 +152,63 @@ def _grouped(texts: list[str], idf: np.ndarray, width: int, most: int = 60_000)
         yield at, sets
 
 
-def inverse_frequencies(docs: DataFrame, width: int = WIDTH) -> np.ndarray:
-    """log(1 + documents / documents with a shingle of the bucket), for each of ``BUCKETS`` hashed shingles,
-    over its value at ``RARE``, kept between ``LEAST_IDF`` and 1.
+def _common(docs: DataFrame, width: int) -> np.ndarray:
+    """Every shingle that more than ``RARE`` of the documents may hold, sorted.
+
+    One that is that common is so in some stretch of documents too, so that each stretch tells those that are in its own,
+    and in two documents at least. Of all documents that makes some thousand times as many as a document has, at most.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def out() -> pa.RecordBatch:
+            found, n = np.unique(np.concatenate(held), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array(found[n >= max(2, int(RARE * len(held)) + 1)].view(np.int64))], names=["shingle"])
+
+        for batch in slices(batches):
+            for text in batch.column(0).to_pylist():
+                held.append(np.unique(shingles(text or "", width)))
+                size += len(held[-1])
+                if size >= COUNTED_SHINGLES or len(held) >= COUNTED_DOCS:
+                    yield out()
+                    held, size = [], 0
+        if held:
+            yield out()
+
+    found = docs.select("text").mapInArrow(run, "shingle long").distinct().toPandas()["shingle"]
+    return np.sort(found.to_numpy(np.int64).view(np.uint64))
 
-    Counted over all rows of ``docs`` (column text). A task sends each bucket once; the result has a fixed size.
+
+def inverse_frequencies(docs: DataFrame, width: int = WIDTH) -> Idf:
+    """The common shingles, sorted, and their weights: log(1 + documents / documents with the shingle) over its value at
+    ``RARE`` of all documents (or at one document, in small tables), kept between ``LEAST_IDF`` and 1.
+
+    Counted exactly over all rows of ``docs`` (column text). Of what remains rare nothing is kept.
     """
+    spark = docs.sparkSession
+    asked = spark.sparkContext.broadcast(_common(docs, width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, rows = np.zeros(BUCKETS, np.int64), 0
+        common = asked.value
+        counts, rows = np.zeros(len(common) + 1, np.int64), 0
         for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 rows += 1
-                counts[np.unique(shingles(text or "", width) & np.uint64(BUCKETS - 1)).astype(np.int64)] += 1
+                if len(common):
+                    found = np.unique(shingles(text or "", width))
+                    at = np.minimum(np.searchsorted(common, found), len(common) - 1)
+                    counts[at[common[at] == found]] += 1
         some = np.flatnonzero(counts)
-        some_n = counts[some]
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(some_n, rows))], names=["bucket", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(counts[some], rows))], names=["place", "n"])
 
-    table = docs.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    counts = np.zeros(BUCKETS, np.float64)
-    inner = table[table.bucket >= 0]
-    counts[inner.bucket] = inner.n
-    total = float(table.n[table.bucket < 0].sum())
-    idf = np.log1p(max(total, 1.0) / np.maximum(counts, 1)) / np.log1p(1 / RARE)
-    return np.clip(idf, LEAST_IDF, 1).astype(np.float32)
+    table = docs.select("text").mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
+    inner, total = table[table.place >= 0], float(table.n[table.place < 0].sum())
+    common, n = asked.value[inner.place.to_numpy(np.int64)], inner.n.to_numpy(np.float64)
+    idf = np.clip(np.log1p(total / np.maximum(n, 1)) / np.log1p(total / max(1.0, RARE * total)), LEAST_IDF, 1).astype(np.float32)
+    order = np.argsort(common)
+    order = order[idf[order] < 1]
+    return common[order], idf[order]
 
 
 def _signed(docs: DataFrame, idf, bands: int, rows: int, width: int) -> DataFrame:
@@ -353,13 +396,14 @@ def near_duplicates(
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """The rows of ``docs`` that stand for their class, one each, with all columns.
 
-    A class keeps the text of its smallest id. Of rows that repeat that id and text the first by all columns stays.
+    A class keeps the text of its smallest id. Of rows that repeat that id and text the one stays whose columns, as JSON,
+    have the smallest hash. Columns may be of any type and name.
     """
     kept = near_duplicates(docs, id_col=id_col, text_col=text_col, **how).filter("kept").select(F.col("key").alias("kept_key"), F.col("doc_id").alias("kept_id"))
     # Below one name the columns of ``docs`` clash with none.
-    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("id"), F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))).alias("key"))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("id"), F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))).alias("key"))
     rows = keyed.hint("merge").join(kept, (F.col("key") == F.col("kept_key")) & F.col("id").eqNullSafe(F.col("kept_id")), "left_semi")
-    return rows.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("row"))).filter("nth = 1").select("row.*")
+    return rows.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64(F.to_json("row"))))).filter("nth = 1").select("row.*")
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
