@@ -20,13 +20,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.shared import for_python, partitions, written
+from ledgerloom.llm.shared import for_python, partitions, slices, written
 
 #: States are the role of the last turn; 0 is the beginning.
 ROLES = ("system", "user", "assistant")
 MERGE, RELABEL, INSERT = 1, 2, 3
 #: Turns of a chunk, and chunks that are composed at once.
 CHUNK = 512
+#: Characters of a chunk's texts, about, and turns up to which what is worked out is remembered.
+CHUNK_CHARS = 4 << 20
+REMEMBERED = 16
 _FAR = 1 << 60
 #: Empty turns that must stand between a state and the next role; a pair that is missing cannot follow.
 _BETWEEN = {(0, 1): (), (0, 2): (), (0, 3): (2,), (1, 2): (), (1, 3): (2,), (2, 3): (), (2, 2): (3,), (3, 2): (), (3, 3): (2,)}
@@ -49,9 +52,18 @@ def moves(role: str | None) -> tuple[tuple[int, int, int, bool, tuple[int, ...]]
     return tuple(found)
 
 
-@lru_cache(maxsize=50_000)
+def _known(roles: tuple[str | None, ...]) -> tuple[str, ...]:
+    """The roles with one name for all that are unknown, so that few short rows of roles differ."""
+    return tuple(r if r in ROLES else "" for r in roles)
+
+
 def matrix(roles: tuple[str | None, ...]) -> tuple[int, ...]:
-    """Least costs from each state to each, row by row, over these turns."""
+    """Least costs from each state to each, row by row, over these turns; remembered for short rows of turns alone."""
+    return (_matrix if len(roles) <= REMEMBERED else _matrix.__wrapped__)(_known(roles))
+
+
+@lru_cache(maxsize=20_000)
+def _matrix(roles: tuple[str, ...]) -> tuple[int, ...]:
     out = []
     for start in range(4):
         cost = [_FAR] * 4
@@ -93,9 +105,13 @@ def between(matrices: list[list[int]], start: int, end: int) -> list[int]:
     return way[::-1]
 
 
-@lru_cache(maxsize=50_000)
 def repaired(roles: tuple[str | None, ...], start: int, end: int) -> tuple[tuple[int, bool, tuple[int, ...]], ...]:
-    """(new role, merged, roles inserted before) of each turn, at the least cost from ``start`` to ``end``."""
+    """(new role, merged, roles inserted before) of each turn, at the least cost from ``start`` to ``end``; remembered likewise."""
+    return (_repaired if len(roles) <= REMEMBERED else _repaired.__wrapped__)(_known(roles), start, end)
+
+
+@lru_cache(maxsize=20_000)
+def _repaired(roles: tuple[str, ...], start: int, end: int) -> tuple[tuple[int, bool, tuple[int, ...]], ...]:
     way = between([list(matrix((r,))) for r in roles], start, end)
     out = []
     for role, a, b in zip(roles, way, way[1:], strict=False):
@@ -127,14 +143,14 @@ def _chunks(turns: DataFrame, chunk: int) -> DataFrame:
     kind = pa.schema([("conv_id", pa.int64()), ("part", pa.int64()), ("no", pa.int64()), ("turns", pa.list_(pa.int64())), ("roles", pa.list_(pa.string())), ("texts", pa.list_(pa.string())), ("m", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, no, conv, held = TaskContext.get().partitionId(), 0, None, []
-        for batch in batches:
+        part, no, conv, held, size = TaskContext.get().partitionId(), 0, None, [], 0
+        for batch in slices(batches):
             done = []
             for c, *row in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                if held and (c != conv or len(held) == chunk):
+                if held and (c != conv or len(held) == chunk or size > CHUNK_CHARS):
                     done.append((conv, held))
-                    held = []
-                conv = c
+                    held, size = [], 0
+                conv, size = c, size + len(row[-1])
                 held.append(row)
             if done:
                 yield emitted(done, part, no)
@@ -205,7 +221,7 @@ def repair(turns: DataFrame, chunk: int = CHUNK, conv_col: str = "conv_id", turn
     kind = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("new_role", pa.string()), ("action", pa.string()), ("inserted", pa.list_(pa.string())), ("piece", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 64):
             columns: list[list] = [[] for _ in kind]
             for conv, turn, roles, texts, m, start, end, last in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 if start is None:
