@@ -149,15 +149,15 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A document stands where the first of its blocks does: partitions, and so files, hold consecutive stretches of
     slots, sorted. Where a source's target ends within a document, the text is cut to the words that are taken.
     Null and blank texts are never taken. Rows that agree in id, source and text, whatever their other columns
-    hold, are each taken as often as the mix takes them, with the columns of the first by all columns' values. An
-    empty table gives no rows; no other column's name matters.
+    hold, are each taken as often as the mix takes them, with the columns of the one whose columns, as JSON, have the
+    smallest hash. An empty table gives no rows; no other column's name or type matters.
     """
     spark = docs.sparkSession
     sized, mixed = mix(docs, id_col=id_col, text_col=text_col, source_col=source_col, share=share, block=block, **how)
     taken = mixed.groupBy("source_no", "at", "h", "epoch").agg(F.sum("words").alias("taken"), F.min("slot").alias("slot")).select("h", "taken", "slot")
     # Below one name the columns of ``docs`` clash with none.
-    rows = docs.select(F.struct(*docs.columns).alias("row"), _digest(id_col, text_col, source_col).alias("digest"))
-    texts = rows.withColumn("nth", F.row_number().over(Window.partitionBy("digest").orderBy("row"))).filter("nth = 1")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _digest(id_col, text_col, source_col).alias("digest"))
+    texts = rows.withColumn("nth", F.row_number().over(Window.partitionBy("digest").orderBy(F.xxhash64(F.to_json("row"))))).filter("nth = 1")
     both = texts.hint("merge").join(taken, F.col("digest") == F.col("h"))
     own = F.col("row").getField(text_col)
     cut = F.array_join(F.slice(F.regexp_extract_all(own, F.lit(WORD), F.lit(0)), 1, F.col("taken").cast("int")), " ")
