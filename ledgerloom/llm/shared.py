@@ -23,24 +23,32 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/ledgerloom-{uuid.uuid4().hex}"
 
 
+def _folder(spark: SparkSession, path: str):
+    """The folder and its file system, as the driver's JVM has them."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
 def written(df: DataFrame) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it again.
 
-    Later stages then start from files that survive a lost executor, and nothing above is run twice.
+    Later stages then start from files that survive a lost executor, and nothing above is run twice. The files go when the
+    driver ends, as a result may be read until then; ``discard`` deletes them before.
     """
     spark = df.sparkSession
     path = shared_folder(spark)
     df.write.option("compression", "zstd").parquet(path)
+    folder, files = _folder(spark, path)
+    files.deleteOnExit(folder)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def discard(*tables: DataFrame) -> None:
     """Delete the files of ``written`` tables from which nothing is read any more."""
     for table in tables:
-        jvm = table.sparkSession._jvm
-        for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(table.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        for path in {f.rpartition("/")[0] for f in table.inputFiles()}:
+            folder, files = _folder(table.sparkSession, path)
+            files.delete(folder, True)
 
 
 def for_python(spark: SparkSession) -> None:

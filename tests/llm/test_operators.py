@@ -93,30 +93,75 @@ def test_random_strings_of_any_alphabet(alphabet):
 
 
 def plain_secrets(text, e):
-    """The contract's patterns one by one, and a scanner that looks at each string of the dense alphabet by itself."""
+    """The contract's patterns one by one, and a scanner that looks at each string of the dense alphabet that no base span covers."""
     found = []
     for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text, re.IGNORECASE | re.ASCII):
         found += [("assign", m.start(), m.end())] if len(m[2]) >= 8 else []
     found += [("access", m.start(), m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
     found += [("hex", m.start(), m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
-    base, start = list(found), None
+    taken, start = {i for _, a, b in found for i in range(a, b)}, None
     for i in range(len(text) + 1):
-        inside = i < len(text) and (text[i].isascii() and text[i].isalnum() or text[i] in "+/_=-")
+        inside = i < len(text) and i not in taken and (text[i].isascii() and text[i].isalnum() or text[i] in "+/_=-")
         if inside and start is None:
             start = i
         elif not inside and start is not None:
-            s, a, b = text[start:i], start, i
+            found += [("dense", start + a, start + b) for a, b in plain_random(text[start:i], e)]
             start = None
-            if b - a < 16 or not any(c.isalnum() for c in s) or any(x < b and a < y for _, x, y in base):
-                continue
-            count = sum(len(e.encode_ordinary(s[k : k + 1024])) for k in range(0, len(s), 1024))
-            if len(s) / count <= 2.0 and not plain_name(s, e):
-                found.append(("dense", a, b))
     return sorted(found, key=lambda x: (x[1], ["assign", "access", "hex", "dense"].index(x[0])))
 
 
+def plain_tokens(s, e):
+    return [len(e.decode_single_token_bytes(t)) for k in range(0, len(s), 1024) for t in e.encode_ordinary(s[k : k + 1024])]
+
+
+def plain_dense(s, e):
+    return len(s) >= 16 and any(c.isalnum() for c in s) and len(s) / len(plain_tokens(s, e)) <= 2.0 and not plain_name(s, e)
+
+
+def plain_windows(s, e):
+    """Every window of whole tokens, no longer than need be, looked at by itself; the characters that they cover."""
+    sizes, covered = plain_tokens(s, e), []
+    starts = [sum(sizes[:i]) for i in range(len(sizes) + 1)]
+    for i in range(len(sizes)):
+        j = next((j for j in range(i, len(sizes) + 1) if starts[j] - starts[i] >= 16), None)
+        if j is not None and (starts[j] - starts[i]) / (j - i) <= 1.6:
+            if covered and starts[i] <= covered[-1][1]:
+                covered[-1][1] = starts[j]
+            else:
+                covered.append([starts[i], starts[j]])
+    return [(a, b) for a, b in covered if not plain_name(s[a:b], e)]
+
+
+def plain_random(s, e):
+    if len(s) < 16:
+        return []
+    for a, b in itertools.combinations(range(len(s) + 1), 2):
+        if b - a in (32, 36, 40, 56, 64, 96, 128) and not (a and s[a - 1].isalnum()) and not (b < len(s) and s[b].isalnum()) and plain_digest(s[a:b]):
+            return plain_random(s[:a], e) + [(b + x, b + y) for x, y in plain_random(s[b:], e)]
+    if plain_dense(s, e):
+        return [(0, len(s))]
+    parts = [(m.start(), m.end()) for m in re.finditer("[A-Za-z0-9]+", s)]
+    word = lambda p: p[0].isalpha() and (len(plain_tokens(p, e)) == 1 or len(p) > 2.0 * len(plain_tokens(p, e)) and plain_name(p, e))
+    within = lambda a, b: [(a + x, a + y) for x, y in plain_windows(s[a:b], e)] if b - a > 16 else []
+    found = []
+    for is_word, group in itertools.groupby(parts, key=lambda p: word(s[p[0] : p[1]])):
+        group = list(group)
+        a, b = group[0][0], group[-1][1]
+        if is_word:
+            found += [x for p in group for x in within(*p)]
+        elif b - a >= 16 and plain_dense(s[a:b], e):
+            found.append((a, b))
+        elif b - a >= 16 and not plain_name(s[a:b], e):
+            found += [x for p in group for x in ([p] if plain_dense(s[p[0] : p[1]], e) else within(*p))]
+    return found
+
+
+def plain_digest(s):
+    return bool(re.fullmatch("[0-9a-fA-F]+", s) and len(s) in (32, 40, 56, 64, 96, 128) or re.fullmatch("[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", s))
+
+
 def plain_name(s, e):
-    if re.fullmatch("[0-9a-fA-F]+", s) and len(s) in (32, 40, 56, 64, 96, 128) or re.fullmatch("[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", s):
+    if plain_digest(s):
         return True
     if not any(c.isalpha() for c in s):
         return True
@@ -138,11 +183,32 @@ def test_secrets_by_brute_force(spark, corpus):
     assert {k for s in want.values() for k, _, _ in s} == set(secrets.KINDS)
 
 
+@pytest.mark.parametrize("before", ["https://hooks.example.com/services/production/notifications/messages/{}", "GET /api/v1/customers/accounts/transactions/{}", "config-option-name-for-production-{}", "user_access_credential_{}", "/download/{}/reports/january", "prefixproductionnotification{}", "token=abcdefgh1234&callback/{}"])
+def test_keys_behind_readable_text(before):
+    """A key is found by its own tokens, whatever readable text stands beside it in one run."""
+    rng, e = random.Random(3), secrets._encoding(VOCABULARY)
+    hits = 0
+    for _ in range(300):
+        key = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=24))
+        text = before.format(key)
+        at = text.index(key)
+        hits += any(k == "dense" and min(b, at + 24) - max(a, at) >= 16 for k, a, b in secrets.find_secrets(text, e))
+    assert hits > 0.95 * 300
+
+
+def test_readable_paths_are_no_secrets():
+    e = secrets._encoding(VOCABULARY)
+    for text in ("https://docs.example.com/en/latest/getting-started/installation/requirements", "src/main/java/org/example/project/configuration/ApplicationConfiguration", "users/550e8400-e29b-41d4-a716-446655440000/settings", "releases/2024-01-31/notes", "getUserAccountByIdentifierAndPasswordReset", "/home/user/documents/photos/2023/summer/image_0042"):
+        assert secrets.find_secrets(text, e) == [], text
+
+
 def test_secrets_in_long_strings():
     """Each takes a time in proportion to its length, or would not end."""
     e = secrets._encoding(VOCABULARY)
-    for text in ("q" * 40 + "12345", "x" * 10_000 + "12345", "aB3" * 200_000, "1-" * 200_000, "secret" + " " * 50_000, "k9" * 20 + " token=abcdefgh12 " * 500, "f" * 500_000):
+    for text in ("q" * 40 + "12345", "x" * 1000 + "12345", "k9" * 20 + " token=abcdefgh12 " * 500):
         assert secrets.find_secrets(text, e) == plain_secrets(text, e), text[:50]
+    for text, kinds in (("x" * 10_000 + "12345", []), ("aB3" * 200_000, ["dense"]), ("1-" * 200_000, []), ("secret" + " " * 50_000, []), ("f" * 500_000, ["hex"]), ("/word" * 100_000, []), ("production" * 50_000, [])):
+        assert [k for k, _, _ in secrets.find_secrets(text, e)] == kinds, text[:50]
 
 
 def test_secret_columns(spark):
@@ -629,6 +695,21 @@ def test_near_duplicates_hold_a_star_together(spark):
     assert {got[i] for i in near} == {0}
 
 
+def test_weights_of_long_documents_differ(spark):
+    """Common shingles are light and rare ones are not, however many a document has; counts are exact."""
+    rng = random.Random(5)
+    line = [f"common{i}" for i in range(40)]
+    words = [[f"w{rng.randrange(10**6)}" for _ in range(5000)] + (line if i % 2 else []) for i in range(60)]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(words)], "doc_id long, text string")
+    idf = near_dedup.inverse_frequencies(df)
+    held = [set(near_dedup.shingles(" ".join(w)).tolist()) for w in words]
+    n = {h: sum(h in s for s in held) for s in held[:2] for h in s}
+    found, weights = near_dedup.weighted(" ".join(words[1]), idf)
+    want = [np.clip(np.log1p(60 / n[h]) / np.log1p(60), near_dedup.LEAST_IDF, 1) for h in found.tolist()]
+    assert np.allclose(weights, want, rtol=1e-6)
+    assert (weights == 1).sum() > 4900 and (weights == np.float32(near_dedup.LEAST_IDF)).sum() >= 36
+
+
 def test_block_pairs_are_exact():
     rng = np.random.default_rng(6)
     sets = []
@@ -733,6 +814,30 @@ def test_pipeline_stages(spark):
     assert pieces.filter("begins").count() == docs.count()
 
 
+def test_columns_that_have_no_order(spark, docs):
+    """Maps and the like go through the stages that choose among equal rows."""
+    rows = docs.withColumn("extra", F.create_map(F.lit("a"), F.col("size"))).withColumn("a.b", F.array(F.create_map(F.lit(1), F.lit("x"))))
+    for out in (near_dedup.without_near_duplicates(rows), mixing.mixed_documents(rows)):
+        assert out.columns == rows.columns and out.count() > 0
+
+
+def test_written_tables_go(spark):
+    table = shared.written(spark.range(5))
+    folder, files = shared._folder(spark, table.inputFiles()[0].rpartition("/")[0])
+    assert files.exists(folder)
+    shared.discard(table)
+    assert not files.exists(folder)
+
+
+def test_what_chats_remember_is_bounded():
+    rng = random.Random(9)
+    for _ in range(300):
+        roles = tuple(rng.choice(["user", "assistant", "system", None, "x" * rng.randint(1, 50)]) for _ in range(512))
+        chat_format.repaired(roles, 0, chat_format.ends(chat_format.matrix(roles))[0])
+    assert chat_format._matrix.cache_info().maxsize * chat_format.REMEMBERED <= 320_000
+    assert all(len(k) <= chat_format.REMEMBERED for k in [("user",)]) and chat_format._matrix.cache_info().currsize < 100
+
+
 def test_pipeline_on_odd_rows(spark, docs):
     rows = docs.select("doc_id", "text", "lang", "source", "n_chars")
     for table in (rows, rows.limit(0)):
