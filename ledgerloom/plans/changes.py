@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as fn
 from ledgerloom.operators import folds, parsers, updates
+from ledgerloom.plans import layouts, tables
 from ledgerloom.plans import reports as rp
-from ledgerloom.plans import tables
 from ledgerloom.plans.oracle import END, START, _countable, _first, _in, _with
 from ledgerloom.sources.ledger import Ledger, from_events
 
@@ -143,6 +143,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "fn14_resolve_names": _names,
     "fn32_unclear_reason": _l(rp.unclear_with_reason),
     "tv02_parse_receipts": _receipt_texts,
+    "tv02_receipt_layouts": layouts.receipt_layouts,
     "tv03_model_payments": _messages_and_replies,
     "tv04_merge_receipts": _l(lambda l: parsers.merge_receipts(l.receipts.select("id", "doc_number", "auth_code"), l.receipts.select("id", F.lit("m").alias("doc_number"), F.when(F.col("id") % 2 == 0, "n").otherwise("").alias("auth_code")), ["doc_number", "auth_code"], False).unionByName(parsers.merge_receipts(l.receipts.select((-F.col("id")).alias("id"), "doc_number", "auth_code"), l.receipts.select((-F.col("id")).alias("id"), F.lit("m").alias("doc_number"), F.when(F.col("id") % 2 == 0, "n").otherwise("").alias("auth_code")), ["doc_number", "auth_code"], True))),
     "tv05_caption_names": lambda s, d: parsers.caption_names(_events(s, d).select(F.col("event_id").alias("id"), F.when(F.col("k") % 2 == 0, "Тестов Тест 500").otherwise("что это?").alias("caption"))),
@@ -186,6 +187,7 @@ _TAKEN = "coalesce(nullif(card_owner, ''), nullif(recipient_raw, ''))"
 _K = "select *, cast(json_extract(props, '$.k') as int) as k from events"
 
 ORACLES: dict[str, str] = {
+    "tv02_receipt_layouts": layouts.LAYOUTS_SQL,
     "sc02_routed": f"""with e as ({_K}) select event_id as id, case when k % 11 = 0 then 'revoke' when k % 5 > 1 then 'group' else 'private' end as route from e
       where k % 7 <> 0 and k % 5 <> 0 and (k % 11 = 0 or (k % 5 > 1 and k % 4 in (1, 2)) or (k % 5 = 1 and k % 9 in (1, 3)))""",
     "sc06_message_text": f"with e as ({_K}) select event_id, case when k % 3 <> 0 then 'c' || k when k % 2 = 0 then 'ext' else 'cap' end as text from e",
