@@ -1,10 +1,11 @@
 """Personal data by candidates and boosted trees.
 
 Wide generators propose spans that overlap freely: whatever looks like a number, a group of numbers or an
-address. Boosted trees judge each by its format and its context. They are fitted on a seed of labelled examples
-that is drawn by rule from stated formats and cues, both of personal data and of what looks like it (dates, book
-and order numbers, amounts, versions), never on what the strict patterns find. The threshold comes from held-out
-seeds. Of a chain of overlapping candidates the generator of the best one stays; strict spans always stay and
+address. Boosted trees judge each by its format and its context. They are fitted on labelled examples of two
+kinds. Real ones are the table's own strict spans, written as the strict patterns don't have them (other marks
+between digits, no country's plus, "(at)") and left in their own contexts; beside each a twin that is none (a wrong
+check digit, a part beyond 255). Seeds are drawn by rule from stated formats and cues, both of personal data and of
+what looks like it (dates, book and order numbers, amounts, versions). The threshold comes from held-out examples. Of a chain of overlapping candidates the generator of the best one stays; strict spans always stay and
 nothing overlaps them. All of it is DataFrame operations: candidates are rows, and chains are told by a sweep
 over each document's sorted spans.
 """
@@ -23,6 +24,10 @@ ADDED = ("number", "group", "address")
 PRECISION = 0.95
 #: Labelled examples that the trees are fitted on and calibrated with.
 SEEDS = 6000
+#: Strict spans of the table that real examples are made of, drawn by a hash.
+REAL = 4000
+#: Trees.
+ROUNDS = 80
 #: The strict patterns, rewritten so that no text takes more than a few steps a character: runs are entered
 #: at their start alone (or where the last match ended) and never given back. They match what these do:
 #: [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+; [0-9]+(\.[0-9]+){3}; [0-9]([ -]?[0-9])+ with 16 to 19
@@ -100,6 +105,12 @@ def _sound(kind: str) -> str:
     return "true"
 
 
+_DIGITS = "regexp_replace(v, '[^0-9]', '')"
+#: Whether a candidate's digits pass the check of cards, if they are as many, and whether it is four parts up to 255.
+_CARD = f"case when length({_DIGITS}) between 16 and 19 then if(exists(array(named_struct('v', v)), x -> {_sound('card')}), 1, 2) else 0 end"
+_PARTS = "cast(v rlike '^[0-9]{1,3}([^0-9]{1,3}[0-9]{1,3}){3}$' and forall(split(v, '[^0-9]+'), p -> p <> '' and cast(p as int) <= 255) as int)"
+
+
 def _features() -> str:
     """Binned features of a candidate (columns k, v, b, a): format first, then context."""
     words = " ".join(f"when b rlike r'{p}' then {n}" for n, p in CONTEXT)
@@ -109,17 +120,17 @@ def _features() -> str:
       least(length(regexp_extract(v, '([0-9]+)[^0-9]*$', 1)), 8), least(length(regexp_replace(v, '[^ ()/-]', '')), 5), cast(v like '%(%' as int), cast(v like '%-%' as int), cast(v like '%/%' as int),
       least(length(regexp_replace(v, '[^.]', '')), 4), cast(v rlike '^[(]?0' as int), cast(v rlike '^(19|20)[0-9][0-9]([^0-9]|$)' as int), cast(v rlike '[^0-9](19|20)[0-9][0-9]$' as int), cast(v like '978%' as int),
       case when v rlike '([(]at[)]|@).*[.][a-z]' then 2 when v rlike '@' then 1 else 0 end, cast(v rlike '^[ -~]*$' as int),
-      case {words} else 0 end, case when a = '' then 0 when a rlike '[A-Za-z0-9]' then 2 else 1 end)"""
+      {_CARD}, {_PARTS}, case {words} else 0 end, case when a = '' then 0 when a rlike '[A-Za-z0-9]' then 2 else 1 end)"""
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, ``keep``, ``strict`` (array of kind, s, e) and ``wide`` (array of k, the generator's number, v, s, e, b, a)."""
+    """doc_id, ``keep``, ``strict`` (array of kind, s, e, v, b) and ``wide`` (array of k, the generator's number, v, s, e, b, a)."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *keep)
     for kind, needs in zip(KINDS, ("@", ".", None, "+"), strict=True):
-        rows = with_matches(rows, kind, PATTERNS[kind], needs)
+        rows = with_matches(rows, kind, PATTERNS[kind], needs, around=True)
     for kind in ADDED:
         rows = with_matches(rows, kind, PATTERNS[kind], around=True)
-    strict = ", ".join(f"transform(filter({k}, x -> {_sound(k)}), x -> named_struct('kind', '{k}', 's', x.s, 'e', x.e))" for k in KINDS)
+    strict = ", ".join(f"transform(filter({k}, x -> {_sound(k)}), x -> named_struct('kind', '{k}', 's', x.s, 'e', x.e, 'v', x.v, 'b', x.b))" for k in KINDS)
     wide = ", ".join(f"transform({g}, x -> named_struct('k', {i}, 'v', x.v, 's', x.s, 'e', x.e, 'b', x.b, 'a', x.a))" for i, g in enumerate(ADDED))
     return rows.select("doc_id", *keep, F.expr(f"concat({strict})").alias("strict"), F.expr(f"concat({wide})").alias("wide"))
 
@@ -138,13 +149,42 @@ def seeds(spark: SparkSession, n: int = SEEDS) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), F.concat("before", "value", "tail").alias("text"), vs.alias("vs"), (vs + F.length("value")).alias("ve"), y.alias("y"))
 
 
-def trained(spark: SparkSession, precision: float = PRECISION, n: int = SEEDS) -> tuple[Boosted, float]:
-    """The trees and the threshold, from the counted features of the seeds' candidates; a third of the seeds, by a hash, is held out.
+#: How strict values are written otherwise, by kind, as expressions over v; and their twins that are no personal data.
+REWRITTEN = {
+    "phone": ["substring(v, 2)", *[f"regexp_replace(substring(v, 2), '[^0-9]+', '{m}')" for m in ("/", " ", "-")]],
+    "card": [f"regexp_replace({_DIGITS}, '([0-9]{{4}})(?=[0-9])', '$1{m}')" for m in ("/", ".", " / ", ") (")],
+    "email": ["replace(v, '@', ' (at) ')", "replace(v, '@', '(at)')", "replace(v, '@', ' (at)')", "replace(v, '@', '(at) ')"],
+    "ip": [f"replace(v, '.', '{m}')" for m in ("-", " ", "/", " - ")],
+}
+TWINS = {
+    "card": f"concat(substring({_DIGITS}, 1, length({_DIGITS}) - 1), (cast(right({_DIGITS}, 1) as int) + 1 + pmod(xxhash64(v), 8)) % 10)",
+    "ip": "concat(300 + pmod(xxhash64(v), 600), regexp_replace(v, '^[0-9]+', ''))",
+    "phone": "concat('+20', 10 + pmod(xxhash64(v), 20), '-0', 1 + pmod(xxhash64(v), 9), '-1', pmod(xxhash64(v), 10))",
+    "email": "replace(v, '.', ' ')",
+}
+
+
+def real_examples(found: DataFrame, n: int = REAL) -> DataFrame:
+    """Labelled examples as ``seeds`` gives them, out of ``n`` strict spans of ``found`` (as ``candidates`` gives it, with row) at most."""
+    each = found.filter("size(strict) > 0").select("row", F.inline("strict")).withColumn("h", F.xxhash64("row", "s", "kind"))
+    few = each.orderBy("h", "row", "s", "kind").limit(n).select("h", "kind", "v", "b", F.explode(F.array(F.lit(True), F.lit(False))).alias("y"))
+    twin = F.expr("case " + " ".join(f"when kind = '{k}' then {x}" for k, x in TWINS.items()) + " end")
+    few = few.withColumn("v", F.when(F.col("y"), F.col("v")).otherwise(twin))
+    way = "pmod(h div 16, 4)"
+    written_as = "case " + " ".join(f"when kind = '{k}' and {way} = {i} then {x}" for k, ways in REWRITTEN.items() for i, x in enumerate(ways)) + " end"
+    few = few.withColumn("v", F.expr(written_as)).withColumn("tail", F.element_at(F.array(*map(F.lit, TAILS)), (F.pmod(F.col("h"), F.lit(len(TAILS))) + 1).cast("int")))
+    vs = F.length("b").cast("long")
+    return few.select(F.col("h").alias("doc_id"), F.concat("b", "v", "tail").alias("text"), vs.alias("vs"), (vs + F.length("v")).alias("ve"), "y")
+
+
+def trained(spark: SparkSession, precision: float = PRECISION, n: int = SEEDS, real: DataFrame | None = None) -> tuple[Boosted, float]:
+    """The trees and the threshold, from the counted features of the examples' candidates; a third of the examples, by a hash, is held out.
 
     A candidate is personal where it and the value that it was drawn around overlap by four fifths of either. What
     begins behind the value has no label.
     """
-    found = candidates(seeds(spark, n), keep=("vs", "ve", "y"))
+    examples = seeds(spark, n)
+    found = candidates(examples if real is None else examples.unionByName(real), keep=("vs", "ve", "y"))
     each = found.select((F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(3)) == 0).alias("held"), "vs", "ve", "y", F.inline("wide")).filter("s < ve")
     personal = F.expr("y and least(e, ve) - greatest(s, vs) >= 0.8 * greatest(e - s, ve - vs)")
     each = each.select("held", F.expr(_features()).alias("f"), personal.cast("long").alias("y"))
@@ -153,7 +193,7 @@ def trained(spark: SparkSession, precision: float = PRECISION, n: int = SEEDS) -
     for held in (False, True):
         rows = sorted((r["f"], r["p"], r["n"]) for r in counts if bool(r["held"]) == held)
         parts[held] = [np.asarray([r[k] for r in rows], float if k else int) for k in range(3)]
-    model = Boosted.fitted(*parts[False], rounds=40)
+    model = Boosted.fitted(*parts[False], rounds=ROUNDS)
     x, p, total = parts[True]
     return model, threshold(model.score(x), p, total, precision)
 
@@ -165,11 +205,11 @@ def find_personal_data(docs: DataFrame, precision: float = PRECISION, id_col: st
     These pass the threshold and overlap no strict span and none of their own. Null texts count as empty; repeated
     rows are searched each for itself, with or without an id; an empty table gives no rows; other columns are ignored.
     """
-    model, least = trained(docs.sparkSession, precision)
     found = written(candidates(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()))
+    model, least = trained(docs.sparkSession, precision, real=real_examples(found))
     each = found.filter("size(wide) > 0").select("row", F.inline("wide")).select("row", "k", "s", "e", F.expr(_features()).alias("f"))
     scored = each.select("row", "k", "s", "e", F.expr(model.sql("f")).alias("o")).filter(F.col("o") >= least)
-    strict = found.select("row", F.inline("strict")).select("row", F.lit(-1).alias("k"), "s", "e", F.lit(0.0).alias("o"))
+    strict = found.filter("size(strict) > 0").select("row", F.inline("strict")).select("row", F.lit(-1).alias("k"), "s", "e", F.lit(0.0).alias("o"))
     # A span begins a new chain where none before it in its document reaches it.
     by = Window.partitionBy("row").orderBy("s", "e", "k")
     swept = scored.unionByName(strict).withColumn("reach", F.max("e").over(by.rowsBetween(Window.unboundedPreceding, -1)))
