@@ -25,8 +25,8 @@ from ledgerloom.llm.shared import for_python, slices, written
 
 WINDOW = 4096
 END_ID = 2
-#: Words, with and without the marks behind them, whose ids one Python worker remembers at most, beyond those of
-#: the ``TOGETHER`` texts at hand; then it forgets them all. No result depends on either.
+#: Words with the marks behind them, and words without, whose ids one Python worker remembers at most of each, beyond
+#: those of the ``TOGETHER`` texts at hand; then it forgets all of that sort. No result depends on either.
 REMEMBERED = 600_000
 TOGETHER = 100
 
@@ -96,9 +96,9 @@ class WordEncoder:
     def _some(self, texts: list[str]) -> list[bytes]:
         parted = [_PARTS.findall(t) if any(c in t for c in _ODD) else t.split() for t in texts]
         known = self._known
-        if len(known) + len(self._cores) > REMEMBERED:
-            known.clear()
-            self._cores.clear()
+        for sort in (known, self._cores):
+            if len(sort) > REMEMBERED:
+                sort.clear()
         new = set().union(*parted).difference(known)
         if new:
             self._learn(new)
