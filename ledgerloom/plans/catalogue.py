@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ledgerloom.operators import updates
 from ledgerloom.operators.rules import LIVE
 from ledgerloom.plans import reports as rp
+from ledgerloom.plans import tools
 from ledgerloom.plans.oracle import EARLY, END, LATE, LATE_END, MONTH, MONTH_END, START
 from ledgerloom.sources.ledger import Ledger, from_events
 
@@ -42,6 +43,7 @@ REPORTS: dict[str, Callable[[Ledger], DataFrame]] = {
     "rp05_sender_stats_by_chat": lambda l: rp.sender_stats_by_chat(l, *THE_LATE, *THE_MONTH),
     "rp06_card_totals": lambda l: rp.card_totals(l, *PERIOD),
     "rp07_person_report": lambda l: rp.person_report(l, "1"),
+    "fn28_cards_of_named_groups": lambda l: rp.card_totals(l, *PERIOD, groups=tools.resolve_groups(l, "asia и Euro")),
     "rp08_receipts_ledger": lambda l: rp.receipts_ledger(l, *PERIOD),
     "rp09_missing_in_group": lambda l: rp.missing_in_group(l, "g1", *PERIOD),
     "rp10_exclusions": lambda l: rp.exclusions(l, *PERIOD),

@@ -90,6 +90,7 @@ def _senders(receipts: str, texts: str, where: str = "true") -> str:
     return _with(f"select sender, phone, count(*) as cnt, cast(sum(amount) as double) as total from x where {where} group by all", rows)
 
 
+_NAMED = "group_jid in (select 'g' || r_regionkey from region where r_name ilike '%asia%' or r_name ilike '%euro%')"
 _NAME = "coalesce(canonical_name, recipient_raw, '')"
 _BY = "coalesce(nullif(submitted_by, ''), nullif(sender_name, ''), nullif(phone, ''), '')"
 
@@ -182,6 +183,7 @@ def oracle_sql() -> dict[str, str]:
         "rp04_sender_stats": _senders(_in("tx_date"), _in("tx_date") + " and " + _countable("tx_date", START, END)),
         "rp05_sender_stats_by_chat": _senders(_in("received_at", LATE, LATE_END) + " and " + _in("tx_date", MONTH, MONTH_END), _in("received_at", LATE, LATE_END) + " and " + _countable("received_at", LATE, LATE_END)),
         "rp06_card_totals": _with(f"select min_by(card, (created_at, id)) as card_owner, coalesce(min_by(bank, (created_at, id)) filter (bank <> ''), '') as bank, count(*) as cnt, cast(sum(amount) as double) as total from (select coalesce(nullif(card_owner, ''), nullif(recipient_raw, ''), 'не распознано') as card, coalesce(nullif(recipient_bank, ''), nullif(bank, ''), '') as bank, amount, created_at, id from {_first('key2', _in('tx_date') + ' and live and amount > 0')}) group by lower(card)"),
+        "fn28_cards_of_named_groups": _with(f"select min_by(card, (created_at, id)) as card_owner, coalesce(min_by(bank, (created_at, id)) filter (bank <> ''), '') as bank, count(*) as cnt, cast(sum(amount) as double) as total from (select coalesce(nullif(card_owner, ''), nullif(recipient_raw, ''), 'не распознано') as card, coalesce(nullif(recipient_bank, ''), nullif(bank, ''), '') as bank, amount, created_at, id from {_first('key2', _in('tx_date') + ' and live and amount > 0 and ' + _NAMED)}) group by lower(card)"),
         "rp07_person_report": _with(
             """select c_name as name, coalesce(r_cnt, 0) as receipt_cnt, cast(coalesce(r_total, 0) as double) as receipt_total, coalesce(t_cnt, 0) as payment_cnt, cast(coalesce(t_total, 0) as double) as payment_total, least(r_first, t_first) as first_op, greatest(r_last, t_last) as last_op
             from customer left join a on c_custkey = a.contact_id left join b on c_custkey = b.contact_id

@@ -9,6 +9,7 @@ from __future__ import annotations
 from types import SimpleNamespace
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessorHandle
 
 from ledgerloom.operators.attribution import Limits, Waiting, rows_of
@@ -117,3 +118,14 @@ def attributed(events: DataFrame, limits: Limits = Limits(), late: str = "1 minu
     in which replies may find it.
     """
     return in_order(rows_of(events), "grp", Chat(limits), late, Waiting.__module__)
+
+
+def paired_names(events: DataFrame, ttl_seconds: int = 360, most: int = 20, late: str = "1 minute") -> DataFrame:
+    """Names and receipts of a sender in a group, paired first in first out: id of the receipt, name.
+
+    ``events``: id, grp, sender, ts, kind (``name`` or ``receipt``), text (a name). Nothing else than ``attributed`` with names
+    and receipts alone.
+    """
+    none = F.lit(None).cast("string")
+    rows = events.select("id", "grp", "sender", "ts", "kind", F.when(F.col("kind") == "name", F.col("text")).alias("name"), F.lit(0.0).alias("amount"), F.lit(False).alias("paired"), none.alias("message"), none.alias("quoted"))
+    return attributed(rows, Limits(names=ttl_seconds, most=most), late).filter("what = 'named'").select(F.col("about").alias("id"), "name")

@@ -129,19 +129,19 @@ def test_totals_after_random_revokes(spark, tmp_path, seed):
 def test_a_watch_fires_once_by_the_clock(spark, tmp_path):
     """Two runs of one stream, a few seconds apart; nobody asks about the watches in between."""
     now = int(time.time())
-    rows = [(1, "watch", now - 100 - T0), (2, "watch", now - 100 - T0), (2, "settled", now - 95 - T0), (3, "watch", now + 20 - T0)]
+    rows = [(1, "watch", now - 100 - T0), (2, "watch", now - 100 - T0), (2, "settled", now - 95 - T0), (3, "watch", now + 12 - T0)]
     schema, out = "id long, kind string, s long", tmp_path / "out"
 
     def run(part):
-        stream = stateful.due_watches(feed(spark, tmp_path / "in", [part], schema), seconds=10)
+        stream = stateful.due_watches(feed(spark, tmp_path / "in", [part], schema), seconds=6)
         query = stream.writeStream.format("parquet").option("path", str(out)).option("checkpointLocation", str(tmp_path / "state")).trigger(processingTime="1 second").start()
-        query.awaitTermination(12)  # the clock goes on for ever
+        query.awaitTermination(9)  # the clock goes on for ever
         query.stop()
         return sorted((r["id"], int(r["due"].timestamp())) for r in spark.read.parquet(str(out)).collect())
 
-    assert run(rows) == [(1, now - 90)]
-    time.sleep(max(0.0, now + 31 - time.time()))
-    assert run([(1, "watch", now - 100 - T0), (4, "settled", now - T0)]) == [(1, now - 90), (3, now + 30)]
+    assert run(rows) == [(1, now - 94)]
+    time.sleep(max(0.0, now + 19 - time.time()))
+    assert run([(1, "watch", now - 100 - T0), (4, "settled", now - T0)]) == [(1, now - 94), (3, now + 18)]
 
 
 def test_watches_by_the_times_of_events(spark, tmp_path):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import text as fn
 from ledgerloom.operators import attribution, folds, parsers
 from ledgerloom.sources import files
+from ledgerloom.streaming import attribution as attribution_stream
 from ledgerloom.streaming import flows
 
 CASES = [
@@ -101,7 +102,7 @@ def test_pairing_in_batch_and_stream(spark, tmp_path):
         for f in set((tmp_path / "in").glob("*.parquet")) - before:
             os.utime(f, (1_700_000_000 + 60 * k,) * 2)  # files are read in the order of their times
     schema = _events(spark, EVENTS).schema
-    stream = flows.paired_names(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")))
+    stream = attribution_stream.paired_names(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")))
     assert {r["id"]: r["name"] for r in flows.drained(stream).collect()} == {2: "A", 3: "B"}
 
 
