@@ -208,7 +208,7 @@ def find_personal_data(docs: DataFrame, precision: float = PRECISION, id_col: st
     found = written(candidates(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()))
     model, least = trained(docs.sparkSession, precision, real=real_examples(found))
     each = found.filter("size(wide) > 0").select("row", F.inline("wide")).select("row", "k", "s", "e", F.expr(_features()).alias("f"))
-    scored = each.select("row", "k", "s", "e", F.expr(model.sql("f")).alias("o")).filter(F.col("o") >= least)
+    scored = each.select("row", "k", "s", "e", F.expr(model.folded("f")).alias("o")).filter(F.col("o") >= least)
     strict = found.filter("size(strict) > 0").select("row", F.inline("strict")).select("row", F.lit(-1).alias("k"), "s", "e", F.lit(0.0).alias("o"))
     # A span begins a new chain where none before it in its document reaches it.
     by = Window.partitionBy("row").orderBy("s", "e", "k")
