@@ -399,11 +399,14 @@ def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: s
     A class keeps the text of its smallest id. Of rows that repeat that id and text the one stays whose columns, as JSON,
     have the smallest hash. Columns may be of any type and name.
     """
-    kept = near_duplicates(docs, id_col=id_col, text_col=text_col, **how).filter("kept").select(F.col("key").alias("kept_key"), F.col("doc_id").alias("kept_id"))
+    # Joined and numbered by the same two columns, so that the texts are dealt once; a copy of another id goes elsewhere.
+    same = lambda c: F.coalesce(F.col(c).cast("long").cast("string"), F.lit(""))
+    kept = near_duplicates(docs, id_col=id_col, text_col=text_col, **how).filter("kept").select(F.col("key").alias("kept_key"), same("doc_id").alias("kept_id"))
     # Below one name the columns of ``docs`` clash with none.
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).cast("long").alias("id"), F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))).alias("key"))
-    rows = keyed.hint("merge").join(kept, (F.col("key") == F.col("kept_key")) & F.col("id").eqNullSafe(F.col("kept_id")), "left_semi")
-    return rows.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64(F.to_json("row"))))).filter("nth = 1").select("row.*")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), same(f"`{id_col}`").alias("id"), F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))).alias("key"))
+    rows = keyed.hint("merge").join(kept, (F.col("key") == F.col("kept_key")) & (F.col("id") == F.col("kept_id")), "left_semi")
+    nth = F.row_number().over(Window.partitionBy("key", "id").orderBy(F.xxhash64(F.to_json("row"))))
+    return rows.withColumn("nth", nth).filter("nth = 1").select("row.*")
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
