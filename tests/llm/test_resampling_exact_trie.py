@@ -8,29 +8,15 @@ import string
 import zlib
 from collections import Counter, defaultdict
 
-import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import exact_dedup, prefix_trie, queries, resampling
+from ledgerloom.llm import exact_dedup, prefix_trie, resampling
 
-SF = "/root/testdata/sf0.001"
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
-@pytest.mark.parametrize("name", ["op11_importance_resampling", "op12_exact_dedup", "op13_conversation_trie"])
-def test_sql_agrees(spark, name):
-    con = duckdb.connect()
-    for table in ("documents", "benchmark", "conversations"):
-        con.execute(f"create view {table} as select * from '{SF}/{table}.parquet'")
-    found = con.execute(queries.oracle_sql()[name])
-    columns = [c[0] for c in found.description]
-    want = sorted(map(repr, found.fetchall()))
-    got = sorted(repr(tuple(r)) for r in queries.queries()[name](spark, SF).select(*columns).collect())
-    assert got == want and got
-
-
 # --- importance resampling ----------------------------------------------------------------------------------------------
 
 
