@@ -89,6 +89,11 @@ class WordEncoder:
         for word, ids, marks in marked:
             known[word] = ids + known[marks]
 
+    def forget(self) -> None:
+        """Forget all words, at the end of a task: its worker may do other work next, and keep what it holds for long."""
+        self._known.clear()
+        self._cores.clear()
+
     def batch(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         return [ids for i in range(0, len(texts), TOGETHER) for ids in self._some(texts[i : i + TOGETHER])]
@@ -116,19 +121,22 @@ def tokenised(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, id_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part, at = _encoder(tokenizer_path), TaskContext.get().partitionId(), 0
         end = np.asarray([end_id], "<u4").tobytes()
-        for batch in slices(batches):
-            starts, counts, blobs = [], [], []
-            for blob in encode.batch([t or "" for t in batch.column(1).to_pylist()]):
-                ids = np.frombuffer(blob + end, "<u4")
-                starts.append(at)
-                counts.append(len(ids))
-                at += len(ids)
-                blobs.append(ids.astype("<u2").tobytes() if ids.max() < 65536 else ids.tobytes())
-            n = len(starts)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([part] * n, pa.int64()), pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), pa.array(blobs, pa.binary())],
-                names=["doc_id", "part", "local_start", "tokens", "ids"],
-            )
+        try:
+            for batch in slices(batches):
+                starts, counts, blobs = [], [], []
+                for blob in encode.batch([t or "" for t in batch.column(1).to_pylist()]):
+                    ids = np.frombuffer(blob + end, "<u4")
+                    starts.append(at)
+                    counts.append(len(ids))
+                    at += len(ids)
+                    blobs.append(ids.astype("<u2").tobytes() if ids.max() < 65536 else ids.tobytes())
+                n = len(starts)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array([part] * n, pa.int64()), pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), pa.array(blobs, pa.binary())],
+                    names=["doc_id", "part", "local_start", "tokens", "ids"],
+                )
+        finally:
+            encode.forget()
 
     for_python(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
