@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from types import SimpleNamespace
 
@@ -13,6 +14,10 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ledgerloom.session import ship, ship_code
 from ledgerloom.streaming.flows import with_rocks
 
+HOUR = 3600
+#: How many events of a key are held before they are written to state.
+MOST = 100_000
+
 
 def _of(kind: str, value):
     """A value as Spark has it: pandas makes nulls of numbers to NaN, and whole numbers beside them to floats."""
@@ -25,37 +30,54 @@ class Ordered(StatefulProcessor):
     """Takes the events of a key in the order of time (s, in seconds) and id, whatever the order in which they come.
 
     A subclass names the columns of its events, of which id and s are never null, and of what it gives, opens its state variables, and takes events that are
-    due. State: the events ahead of the watermark; one timer, set at the first of them.
+    due. State: the events ahead of the watermark, hour by hour, in parts as they came; one timer, set at the first of them.
+    One hour's events are in memory at a time, however many wait.
     """
 
     events: dict[str, str]
     gives: dict[str, str]
+    #: What orders events; within a second s doesn't.
+    order: tuple[str, ...] = ("s", "id")
 
     def open(self, handle: StatefulProcessorHandle) -> None:
         """Get the state variables."""
 
     def take(self, key: tuple, due: list[SimpleNamespace]) -> list[tuple]:
-        """The rows that these events give."""
+        """The rows that these events, one at least, give."""
         raise NotImplementedError
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.ahead = handle.getListState("ahead", ", ".join(f"{c} {t}" for c, t in self.events.items()))
+        self.parts = handle.getMapState("parts", "hour long", "n long")
+        self.ahead = handle.getMapState("ahead", "hour long, part long", "rows string")
         self.open(handle)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first, at = None, list(self.events).index("s")
+        first, at, kinds = None, list(self.events).index("s"), list(self.events.values())
+        new, held, parts = {}, 0, {}
         for batch in rows:
-            if len(batch):
-                kinds = self.events.values()
-                new = [tuple(_of(k, v) for k, v in zip(kinds, x, strict=True)) for x in zip(*(batch[c].tolist() for c in self.events), strict=True)]
-                self.ahead.appendList(new)
-                least = min(x[at] for x in new)
-                first = least if first is None else min(first, least)
+            for x in zip(*(batch[c].tolist() for c in self.events), strict=True):
+                row = [_of(k, v) for k, v in zip(kinds, x, strict=True)]
+                new.setdefault(row[at] // HOUR, []).append(row)
+                first = row[at] if first is None else min(first, row[at])
+            held += len(batch)
+            if held >= MOST:
+                self._keep(new, parts)
+                new, held = {}, 0
+        self._keep(new, parts)
+        for hour, n in parts.items():
+            self.parts.updateValue((hour,), (n,))
         if first is not None:
             self._wake(first)
         yield from ()
 
+    def _keep(self, new: dict[int, list], parts: dict[int, int]) -> None:
+        for hour, some in new.items():
+            if hour not in parts:
+                parts[hour] = self.parts.getValue((hour,))[0] if self.parts.containsKey((hour,)) else 0
+            self.ahead.updateValue((hour, parts[hour]), (json.dumps(some),))
+            parts[hour] += 1
+
     def _wake(self, second: int) -> None:
         """Have a timer at this second at the latest, and one timer only."""
         at, set_ = second * 1000, list(self.handle.listTimers())
@@ -65,18 +87,29 @@ class Ordered(StatefulProcessor):
             self.handle.registerTimer(at)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentWatermarkInMs()
-        every = sorted((SimpleNamespace(**dict(zip(self.events, x, strict=True))) for x in self.ahead.get()), key=lambda r: (r.s, r.id))
-        due = [r for r in every if r.s * 1000 <= now]
-        rest = every[len(due) :]
-        if rest:
-            self.ahead.put([tuple(vars(r)[c] for c in self.events) for r in rest])
-            self.handle.registerTimer(rest[0].s * 1000)
-        else:
-            self.ahead.clear()
-        out = self.take(key, due)
-        if out:
-            yield pd.DataFrame({c: pd.Series(v, dtype=object if t not in ("long",) or None in v else "int64") for (c, t), v in zip(self.gives.items(), zip(*out, strict=True), strict=True)})
+        now, at, order = timerValues.getCurrentWatermarkInMs(), list(self.events).index("s"), [list(self.events).index(c) for c in self.order]
+        following = None
+        for hour in sorted(h for (h,) in list(self.parts.keys())):
+            if hour * HOUR * 1000 > now:
+                following = hour * HOUR if following is None else following
+                break
+            parts = [(hour, p) for p in range(self.parts.getValue((hour,))[0])]
+            every = sorted((x for p in parts for x in json.loads(self.ahead.getValue(p)[0])), key=lambda x: [x[i] for i in order])
+            due = [SimpleNamespace(**dict(zip(self.events, x, strict=True))) for x in every if x[at] * 1000 <= now]
+            rest = every[len(due) :]
+            for p in parts:
+                self.ahead.removeKey(p)
+            if rest:
+                self.ahead.updateValue((hour, 0), (json.dumps(rest),))
+                self.parts.updateValue((hour,), (1,))
+                following = rest[0][at]
+            else:
+                self.parts.removeKey((hour,))
+            out = self.take(key, due) if due else []
+            if out:
+                yield pd.DataFrame({c: pd.Series(v, dtype=object if t not in ("long",) or None in v else "int64") for (c, t), v in zip(self.gives.items(), zip(*out, strict=True), strict=True)})
+        if following is not None:
+            self.handle.registerTimer(following * 1000)
 
     def close(self) -> None:
         pass
