@@ -15,7 +15,7 @@ from ledgerloom.session import ship, ship_code
 from ledgerloom.streaming.flows import with_rocks
 
 HOUR = 3600
-#: How many events of a key are held before they are written to state.
+#: How many events of a key are held before they are written to state, and taken at a time.
 MOST = 100_000
 
 
@@ -31,7 +31,7 @@ class Ordered(StatefulProcessor):
 
     A subclass names the columns of its events, of which id and s are never null, and of what it gives, opens its state variables, and takes events that are
     due. State: the events ahead of the watermark, hour by hour, in parts as they came; one timer, set at the first of them.
-    One hour's events are in memory at a time, however many wait.
+    Hours are taken together up to ``MOST`` events, so that so many and an hour's are in memory at a time, however many wait.
     """
 
     events: dict[str, str]
@@ -88,15 +88,15 @@ class Ordered(StatefulProcessor):
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now, at, order = timerValues.getCurrentWatermarkInMs(), list(self.events).index("s"), [list(self.events).index(c) for c in self.order]
-        following = None
+        following, due = None, []
         for hour in sorted(h for (h,) in list(self.parts.keys())):
             if hour * HOUR * 1000 > now:
                 following = hour * HOUR if following is None else following
                 break
             parts = [(hour, p) for p in range(self.parts.getValue((hour,))[0])]
             every = sorted((x for p in parts for x in json.loads(self.ahead.getValue(p)[0])), key=lambda x: [x[i] for i in order])
-            due = [SimpleNamespace(**dict(zip(self.events, x, strict=True))) for x in every if x[at] * 1000 <= now]
-            rest = every[len(due) :]
+            rest = [x for x in every if x[at] * 1000 > now]
+            due += every[: len(every) - len(rest)]
             for p in parts:
                 self.ahead.removeKey(p)
             if rest:
@@ -105,12 +105,18 @@ class Ordered(StatefulProcessor):
                 following = rest[0][at]
             else:
                 self.parts.removeKey((hour,))
-            out = self.take(key, due) if due else []
-            if out:
-                yield pd.DataFrame({c: pd.Series(v, dtype=object if t not in ("long",) or None in v else "int64") for (c, t), v in zip(self.gives.items(), zip(*out, strict=True), strict=True)})
+            if len(due) >= MOST:
+                yield from self._given(key, due)
+                due = []
+        yield from self._given(key, due)
         if following is not None:
             self.handle.registerTimer(following * 1000)
 
+    def _given(self, key: tuple, due: list[list]) -> Iterator[pd.DataFrame]:
+        out = self.take(key, [SimpleNamespace(**dict(zip(self.events, x, strict=True))) for x in due]) if due else []
+        if out:
+            yield pd.DataFrame({c: pd.Series(v, dtype=object if t not in ("long",) or None in v else "int64") for (c, t), v in zip(self.gives.items(), zip(*out, strict=True), strict=True)})
+
     def close(self) -> None:
         pass
 
