@@ -1,11 +1,11 @@
 """Near duplicates by improved consistent weighted sampling.
 
 Documents are weighted sets of shingles of five words: damped term frequency times inverse document frequency,
-the latter from exact counts, over all documents, of every shingle that is common, and kept between ``LEAST_IDF``
-and one. Without that floor a large group of near copies would make its own shingles light and every edit in it
-heavy, and so tear itself apart: a pair of which all that it shares is common and nothing else is must share
-0.8 / (0.8 + 0.2 * LEAST_IDF) of its shingles, 0.825, in place of 0.8. Consistent weighted samples of these sets (Ioffe 2010) agree with the probability of the sets' weighted Jaccard similarity. Bands of samples propose
-pairs, and the exact weighted Jaccard similarity of the two texts decides.
+the latter from counts, over all documents, of every shingle that is common. Copies of one document count as one
+there: else a large group of near copies would make its own shingles light and every edit in it heavy, and so tear
+itself apart. What unlike documents share is light: a passage in every tenth document weighs a third of a rare one.
+Consistent weighted samples of these sets (Ioffe 2010) agree with the probability of the sets' weighted Jaccard
+similarity. Bands of samples propose pairs, and the exact weighted Jaccard similarity of the two texts decides.
 
 Within a band's bucket each text is first held against two pivots of the bucket. Buckets of two neighbouring
 bands together give every text further, closer pivots. Linked texts form classes; equal texts share a class
@@ -24,15 +24,18 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.components import components
-from ledgerloom.llm.shared import for_python, slices, written
+from ledgerloom.llm.shared import discard, for_python, slices, written
 
 SIMILARITY = 0.8
 WIDTH = 5
 BANDS = 12
 ROWS = 3
-#: Share of the documents up to which a shingle has full weight, and the weight of the most common ones.
+#: Share of the documents up to which a shingle has full weight, and the weight of those that a fifth of them hold and more.
 RARE = 0.001
-LEAST_IDF = 0.85
+LEAST_IDF = 0.27
+#: Bands of plain minimum hashes, and hashes in one, by which copies are told where documents with a shingle are counted.
+COPY_BANDS = 16
+COPY_ROWS = 5
 #: Documents and distinct shingles in which common shingles are first looked for at a time.
 COUNTED_DOCS = 8192
 COUNTED_SHINGLES = 1 << 22
@@ -136,6 +139,26 @@ def samples(sets: list[tuple[np.ndarray, np.ndarray]], k: int) -> np.ndarray:
     return out
 
 
+def _banded(s: np.ndarray) -> np.ndarray:
+    """One hash of each band; ``s``: samples by set, band and row."""
+    one = np.zeros(s.shape[:2], np.uint64)
+    for k in range(s.shape[2]):
+        one = _mixed(one * np.uint64(31) + s[:, :, k])
+    return _mixed(one + np.arange(s.shape[1], dtype=np.uint64))
+
+
+def _copy_bands(sets: list[np.ndarray]) -> np.ndarray:
+    """``COPY_BANDS`` hashes of each set (none may be empty), whatever its weights: each from its ``COPY_ROWS`` minimum hashes."""
+    h, starts = np.concatenate(sets), np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]])
+    least = np.empty((len(sets), COPY_BANDS * COPY_ROWS), np.uint64)
+    for i in range(least.shape[1]):
+        m = (h ^ _SEEDS[i]) * np.uint64(0xD6E8FEB86659FD93)
+        m ^= m >> np.uint64(32)
+        m *= np.uint64(0xD6E8FEB86659FD93)
+        least[:, i] = np.minimum.reduceat(m, starts)
+    return _banded(least.reshape(len(sets), COPY_BANDS, COPY_ROWS))
+
+
 def _grouped(texts: list[str], idf: Idf, width: int, most: int = 60_000) -> Iterator[tuple[list[int], list[tuple[np.ndarray, np.ndarray]]]]:
     """Weighted sets of the texts that have any words, some ten thousand shingles at a time."""
     at, sets, n = [], [], 0
@@ -180,30 +203,61 @@ def _common(docs: DataFrame, width: int) -> np.ndarray:
     return np.sort(found.to_numpy(np.int64).view(np.uint64))
 
 
-def inverse_frequencies(docs: DataFrame, width: int = WIDTH) -> Idf:
-    """The common shingles, sorted, and their weights: log(1 + documents / documents with the shingle) over its value at
-    ``RARE`` of all documents (or at one document, in small tables), kept between ``LEAST_IDF`` and 1.
+def _holders(docs: DataFrame, common, width: int, most: int = 60_000) -> DataFrame:
+    """row, places and bands: which of the ``common`` shingles each document has, and the bands by which its copies are told.
 
-    Counted exactly over all rows of ``docs`` (column text). Of what remains rare nothing is kept.
+    Documents with none make no rows, but are counted: a row without bands has how many documents a task has seen.
     """
-    spark = docs.sparkSession
-    asked = spark.sparkContext.broadcast(_common(docs, width))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common = asked.value
-        counts, rows = np.zeros(len(common) + 1, np.int64), 0
+        table, rows = common.value, 0
+        ids, sets, places, n = [], [], [], 0
+
+        def out() -> pa.RecordBatch:
+            bands = _copy_bands(sets).view(np.int64).tolist()
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(places, pa.list_(pa.int32())), pa.array(bands, pa.list_(pa.int64()))], names=["row", "places", "bands"])
+
         for batch in slices(batches):
-            for text in batch.column(0).to_pylist():
-                rows += 1
-                if len(common):
+            rows += batch.num_rows
+            if len(table):
+                for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     found = np.unique(shingles(text or "", width))
-                    at = np.minimum(np.searchsorted(common, found), len(common) - 1)
-                    counts[at[common[at] == found]] += 1
-        some = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(counts[some], rows))], names=["place", "n"])
+                    at = np.minimum(np.searchsorted(table, found), len(table) - 1)
+                    at = at[table[at] == found]
+                    if len(at):
+                        ids.append(row)
+                        sets.append(found)
+                        places.append(at.astype(np.int32))
+                        n += len(found)
+                    if n > most:
+                        yield out()
+                        ids, sets, places, n = [], [], [], 0
+        if sets:
+            yield out()
+        yield pa.RecordBatch.from_arrays([pa.array([rows], pa.int64()), pa.array([None], pa.list_(pa.int32())), pa.array([None], pa.list_(pa.int64()))], names=["row", "places", "bands"])
 
-    table = docs.select("text").mapInArrow(run, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).toPandas()
-    inner, total = table[table.place >= 0], float(table.n[table.place < 0].sum())
+    return docs.select(F.monotonically_increasing_id().alias("row"), "text").mapInArrow(run, "row long, places array<int>, bands array<long>")
+
+
+def inverse_frequencies(docs: DataFrame, width: int = WIDTH) -> Idf:
+    """The common shingles, sorted, and their weights: log(1 + documents / documents with the shingle) over its value at
+    ``RARE`` of all documents (or at one document, in small tables), kept between ``LEAST_IDF`` and 1.
+
+    Counted over all rows of ``docs`` (column text). Of documents that share a band of plain minimum hashes only the first
+    counts as one with the shingle: copies of Jaccard similarity 0.85 share one with probability 0.9999, documents with a
+    fifth of their shingles in common, that is of similarity 0.11, with 0.0003. Of what remains rare nothing is kept.
+    """
+    spark = docs.sparkSession
+    asked = spark.sparkContext.broadcast(_common(docs, width))
+    seen = written(_holders(docs, asked, width))
+    total = float(seen.filter("bands is null").agg(F.sum("row")).first()[0] or 0)
+    held = seen.filter("bands is not null")
+    # Rows that are the first in each of their bands; no bucket is ever gathered.
+    firsts = held.select("row", F.explode("bands").alias("bucket")).groupBy("bucket").agg(F.min("row").alias("first")).groupBy("first").agg(F.count("*").alias("n"))
+    alone = firsts.filter(F.col("n") == COPY_BANDS)
+    counted = held.select("row", "places").hint("merge").join(alone, F.col("row") == F.col("first"), "left_semi")
+    inner = counted.select(F.explode("places").alias("place")).groupBy("place").agg(F.count("*").alias("n")).toPandas()
+    discard(seen)
     common, n = asked.value[inner.place.to_numpy(np.int64)], inner.n.to_numpy(np.float64)
     idf = np.clip(np.log1p(total / np.maximum(n, 1)) / np.log1p(total / max(1.0, RARE * total)), LEAST_IDF, 1).astype(np.float32)
     order = np.argsort(common)
@@ -219,11 +273,7 @@ def _signed(docs: DataFrame, idf, bands: int, rows: int, width: int) -> DataFram
         for batch in slices(batches):
             found: list[list[int]] = [[] for _ in range(batch.num_rows)]
             for at, sets in _grouped([t or "" for t in batch.column(3).to_pylist()], table, width):
-                s = samples(sets, bands * rows).reshape(len(sets), bands, rows)
-                one = np.zeros(s.shape[:2], np.uint64)
-                for k in range(rows):
-                    one = _mixed(one * np.uint64(31) + s[:, :, k])
-                one = _mixed(one + np.arange(bands, dtype=np.uint64))
+                one = _banded(samples(sets, bands * rows).reshape(len(sets), bands, rows))
                 two = _mixed(one * np.uint64(3) + np.roll(one, -1, axis=1))
                 for i, b in zip(at, np.concatenate([one, two], axis=1).view(np.int64).tolist(), strict=True):
                     found[i] = b

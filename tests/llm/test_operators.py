@@ -788,6 +788,24 @@ def test_weights_of_long_documents_differ(spark):
     assert (weights == 1).sum() > 4900 and (weights == np.float32(near_dedup.LEAST_IDF)).sum() >= 36
 
 
+def test_what_unlike_documents_share_is_light_and_copies_are_not(spark):
+    """Documents that share a passage and nothing else weigh it little; a large group of near copies keeps its weights, and together."""
+    rng = random.Random(11)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    passage, base = words(40), words(200)
+    unlike = [words(40) + passage + words(40) for _ in range(400)]
+    copies = [base[:i] + words(1) + base[i + 1 :] for i in rng.choices(range(10, 190), k=400)]
+    alone = [words(100) for _ in range(3200)]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(unlike + copies + alone)], "doc_id long, text string")
+    idf = near_dedup.inverse_frequencies(df)
+    weight = lambda w: near_dedup.weighted(" ".join(w), idf)[1]
+    assert weight(passage).max() < 0.45
+    assert weight(base).min() > 0.9
+    got = by_id(near_dedup.near_duplicates(df), "class_id")
+    assert {got[i] for i in range(400, 800)} == {400}
+    assert all(got[i] == i for i in [*range(400), *range(800, 4000)])
+
+
 def test_block_pairs_are_exact():
     rng = np.random.default_rng(6)
     sets = []
