@@ -60,6 +60,8 @@ def looks_messy(messages: DataFrame, id_col: str = "id", body_col: str = "body")
 
 
 _LABELS = [(field, re.compile(rf"(?i)^{label}\s*{'№?' if label == 'квитанция' else ':?'}\s*(.*)$")) for field, label in V.FIELDS]
+#: What a line with any label begins with.
+_ANY_LABEL = re.compile("(?i)" + "|".join(f"(?:{label})" for _, label in V.FIELDS))
 _FIELD_NAMES = ("recipient", "sender", "amount", "commission", "doc", "auth", "status")
 
 
@@ -68,10 +70,10 @@ def _fields(text: str) -> dict[str, str]:
     lines = [line.strip() for line in text.splitlines()]
     found: dict[str, str] = {}
     for i, line in enumerate(lines):
-        hit = next(((f, m[1].strip()) for f, r in _LABELS if f not in found and (m := r.match(line))), None) if line else None
+        hit = next(((f, m[1].strip()) for f, r in _LABELS if f not in found and (m := r.match(line))), None) if _ANY_LABEL.match(line) else None
         if hit:
             value = hit[1] or next((x for x in lines[i + 1 :] if x), "")
-            if value and not any((m := r.match(value)) and not m[1].strip() for _, r in _LABELS):
+            if value and not (_ANY_LABEL.match(value) and any((m := r.match(value)) and not m[1].strip() for _, r in _LABELS)):
                 found[hit[0]] = value
     return found
 
