@@ -94,7 +94,7 @@ class Chat(Ordered):
     def _store(self, sender: str, w: Waiting) -> None:
         columns = lambda rows: tuple(list(c) for c in zip(*rows, strict=True))
         picture = None if w.picture is None else (w.picture,)
-        for state, value in ((self.names, columns(w.names)), (self.receipts, columns(w.receipts)), (self.payments, columns(w.payments)), (self.pictures, picture)):
+        for state, value in ((self.names, columns(w.names)), (self.receipts, columns(w.open_receipts())), (self.payments, columns(w.payments)), (self.pictures, picture)):
             if value:
                 state.updateValue((sender,), value)
             elif state.containsKey((sender,)):
