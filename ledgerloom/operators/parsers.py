@@ -13,8 +13,8 @@ from ledgerloom.functions import vocabulary as V
 from ledgerloom.session import ship
 
 
-def parse_messages(messages: DataFrame, id_col: str = "id", body_col: str = "body") -> DataFrame:
-    """One row per payment or unclear line: id, line_no, raw_name, amount, note, card_to, unparsed (null for payments).
+def parse_messages(messages: DataFrame, id_col: str = "id", body_col: str = "body", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per payment or unclear line: id, line_no, raw_name, amount, note, card_to, unparsed (null for payments), and what to ``keep`` of its message.
 
     Each line is classed by itself; a name holds for the amounts below it, until the next name, blank lines
     or not. A message's names are looked through before its lines are dealt out, so that nothing is shuffled; the work
@@ -23,11 +23,11 @@ def parse_messages(messages: DataFrame, id_col: str = "id", body_col: str = "bod
     numbered = F.transform(F.split(F.coalesce(body_col, F.lit("")), "\r?\n"), lambda x, i: F.struct(i.alias("line_no"), fn.trimmed(x).alias("line")))
     # Amounts have digits, so that a line without one is a name by its words alone.
     a_name = lambda line: ~line.rlike(r"\d") & F.size(fn.words_of(line)).between(1, 4)
-    rows = messages.select(F.col(id_col).alias("id"), F.filter(numbered, lambda x: x["line"] != "").alias("lines"))
+    rows = messages.select(F.col(id_col).alias("id"), F.filter(numbered, lambda x: x["line"] != "").alias("lines"), *keep)
     rows = rows.withColumn("names", F.filter("lines", lambda x: a_name(x["line"])))
-    lines = rows.select("id", "names", F.inline("lines"))
+    lines = rows.select("id", *keep, "names", F.inline("lines"))
     above = F.element_at(F.filter("names", lambda x: x["line_no"] < F.col("line_no")), -1)["line"]
-    lines = lines.filter(~a_name(F.col("line"))).select("id", "line_no", "line", F.when(F.exists("names", lambda x: x["line_no"] < F.col("line_no")), above).alias("name"))
+    lines = lines.filter(~a_name(F.col("line"))).select("id", *keep, "line_no", "line", F.when(F.exists("names", lambda x: x["line_no"] < F.col("line_no")), above).alias("name"))
     part = lambda k: F.regexp_extract("line", V.NAME_AMOUNT, k)
     inline_name, inline_number = fn.trimmed(part(1)), fn.trimmed(part(2))
     acts = F.exists(F.lit(list(V.ACTIONS)), lambda a: F.lower(inline_name).contains(a))
@@ -48,6 +48,7 @@ def parse_messages(messages: DataFrame, id_col: str = "id", body_col: str = "bod
         F.when(F.col("kind") == "inline", part(4)).when(paid, fn.extract_note("line")).alias("note"),
         F.when(paid, fn.extract_card("line")).alias("card_to"),
         F.when(F.col("kind") == "nameless", F.concat("line", F.lit(V.NO_NAME))).when(F.col("kind") == "unparsed", F.col("line")).alias("unparsed"),
+        *keep,
     )
 
 
@@ -157,6 +158,9 @@ def caption_names(captions: DataFrame, extract=None, id_col: str = "id", text_co
 #: What a model says of a message.
 REPLY = "struct<payments:array<struct<name:string,amount:double,cash:boolean,collector:string,note:string,card:string>>,clarify:string>"
 
+#: About as many messages as a task of ``model_payments`` sorts, whatever the number of all.
+MESSAGES = 50_000
+
 
 def model_payments(messages: DataFrame, replies: DataFrame) -> DataFrame:
     """The payments in messages as a model read them, or as the rules do where it found none.
@@ -164,18 +168,22 @@ def model_payments(messages: DataFrame, replies: DataFrame) -> DataFrame:
     ``messages``: id, body, cash_hint. ``replies``: id, reply, in which a JSON object is looked for. One row per payment:
     id, line_no, raw_name, amount, note, card_to, is_cash, collector, by_model.
     """
-    said = messages.join(replies, "id", "left").withColumn("r", F.from_json(fn.json_block("reply"), REPLY))
-    each = said.select("id", "body", "cash_hint", F.posexplode("r.payments").alias("line_no", "p")).withColumn("name", fn.trimmed("p.name")).filter("p.amount > 0 and name <> ''")
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
-    cash = F.coalesce("p.cash", F.lit(False)) | F.col("cash_hint") | fn.is_cash(F.concat_ws(" ", text("body"), text("p.note"), text("p.card")))
+    payments = F.transform(F.from_json(fn.json_block("reply"), REPLY)["payments"], lambda p, i: F.struct(i.alias("line_no"), fn.trimmed(p["name"]).alias("name"), *[p[c].alias(c) for c in ("amount", "cash", "collector", "note", "card")]))
+    read = replies.select("id", F.filter(payments, lambda p: (p["amount"] > 0) & (p["name"] != "")).alias("payments")).filter("payments is not null and size(payments) > 0")
+    # Sorted, not broadcast: ids and texts are far larger than their compressed columns, by which Spark would choose.
+    # So are they when partitions are put together by their compressed bytes; therefore a task gets a number of messages.
+    n = 1 + messages.count() // MESSAGES
+    said = messages.filter("id is not null").repartition(n, "id").join(read.repartition(n, "id").hint("merge"), "id", "left")
+    each = said.select("id", "body", "cash_hint", F.inline("payments"))
+    cash = F.coalesce("cash", F.lit(False)) | F.col("cash_hint") | fn.is_cash(F.concat_ws(" ", text("body"), text("note"), text("card")))
     model = each.withColumn("is_cash", cash).select(
-        "id", "line_no", F.col("name").alias("raw_name"), F.col("p.amount").alias("amount"), text("p.note").alias("note"),
-        F.when(F.col("is_cash") & (text("p.card") == ""), V.CASH_CARD).otherwise(text("p.card")).alias("card_to"), "is_cash", fn.trimmed(text("p.collector")).alias("collector"), F.lit(True).alias("by_model"),
+        "id", "line_no", F.col("name").alias("raw_name"), "amount", text("note").alias("note"),
+        F.when(F.col("is_cash") & (text("card") == ""), V.CASH_CARD).otherwise(text("card")).alias("card_to"), "is_cash", fn.trimmed(text("collector")).alias("collector"), F.lit(True).alias("by_model"),
     )
-    rest = messages.join(model.select("id").distinct(), "id", "left_anti")
-    plain = parse_messages(rest).filter("unparsed is null").join(rest.select(F.col("id").alias("_id"), "body", "cash_hint"), F.col("id") == F.col("_id"))
-    plain = plain.select("id", "line_no", "raw_name", "amount", "note", "card_to", (fn.is_cash(text("body")) | F.col("cash_hint")).alias("is_cash"), F.lit("").alias("collector"), F.lit(False).alias("by_model"))
-    return model.unionByName(plain)
+    rest = said.filter("payments is null").select("id", "body", (fn.is_cash(text("body")) | F.col("cash_hint")).alias("is_cash"))
+    plain = parse_messages(rest, keep=("is_cash",)).filter("unparsed is null")
+    return model.unionByName(plain.select("id", "line_no", "raw_name", "amount", "note", "card_to", "is_cash", F.lit("").alias("collector"), F.lit(False).alias("by_model")))
 
 
 #: The fields of a reading; those of the first list say how full it is.
